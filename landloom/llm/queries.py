@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, minhash, packing, quality
+from . import ann, chunks, exact_dedup, licenses, minhash, mixing, packing, pii, quality
 from .common import table
 
 
+#: Shares of the mixture's tokens; clean documents are all used and set the scale.
+WEIGHTS = {"clean": 0.93, "low": 0.05, "toxic": 0.02}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.label_domains(table(spark, sf_dir, "labels"))
+    return mixing.draw(mixing.mixing_rates(table(spark, sf_dir, "documents"), labels, WEIGHTS, "clean"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -26,10 +35,27 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: one directory a source, in it directories of 50 documents; the first of each speaks for it."""
+    docs = table(spark, sf_dir, "documents")
+    place = F.concat_ws("/", "source", F.concat(F.lit("d"), F.floor(F.col("doc_id") / 50)), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = docs.select("doc_id", "text", place.alias("path"))
+    return licenses.scan_licenses(files, "path", "text", "doc_id", speaks=F.col("doc_id") % 50 < 5)
+
+
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunks.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.withColumn("kept_sha256", F.sha2("text", 256))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents"), key=spark.conf.get("landloom.pii.key", "a key of the tests"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), packing.default_tokenizer())
     length = (F.octet_length("ids") / 4).cast("long").alias("length")
@@ -41,9 +67,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_near_dedup": op3_near_dedup,
+    "op4_licenses": op4_licenses,
+    "op5_chunk_dedup": op5_chunk_dedup,
     "op7_nearest": op7_nearest,
+    "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
