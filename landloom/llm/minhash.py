@@ -9,9 +9,11 @@ Documents with the same set form a class, which one representative (the smallest
 representatives are compared. Inside a bucket of a band, rows meet a pivot, not each other:
   round 1 compares every member with the bucket's smallest member; later rounds use other pivots, and
   only in buckets whose members still lie in several components, for members outside the pivot's one;
-  at last every pair of a bucket that still lies in two components, could reach the similarity by its
-  set sizes and agrees on enough coordinates is compared. So no link between different components is
-  left out, and a bucket of one component, however large, costs one row a member.
+  what is still open then is settled exactly by prefixes: with the shingles of each set in one order,
+  rare ones first, two sets can only be similar enough if a shingle is in the first places of both, and
+  early enough in both for the rest to suffice. Only such pairs of different components are compared.
+So no link between different components is left out, and a bucket of one component, or one whose members
+differ in shingles of their own, costs a few rows a member, however large it is.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 CHUNK = 1 << 15  # shingles worked on at once: they stay in the cache
 WORDS_KEPT = 500_000
+SLOTS = 1 << 17
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 R1, R2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
@@ -156,7 +159,53 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long, link boolean")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", pivot_rounds: int = 3) -> DataFrame:
+def sharing_prefixes(rest: DataFrame, num: int, den: int) -> DataFrame:
+    """rest (rep, label, n, s) -> pairs (a, b) of different labels that may be linked; none that is linked is missing.
+
+    The order of shingles follows counts in SLOTS slots, so that what the tasks share has a fixed size.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SLOTS, np.int64)
+        for part in batches:
+            for s in part["s"]:
+                np.add.at(total, (np.frombuffer(s, np.uint64) % np.uint64(SLOTS)).astype(np.int64), 1)
+        some = np.nonzero(total)[0]
+        yield pd.DataFrame({"slot": some, "c": total[some]})
+
+    counts = np.zeros(SLOTS, np.int64)
+    for r in rest.select("s").mapInPandas(count, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).collect():  # SLOTS rows at most
+        counts[r["slot"]] = r["c"]
+    shared = rest.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common = shared.value
+        for part in batches:
+            out = []
+            for rep, label, n, s in zip(part["rep"], part["label"], part["n"], part["s"], strict=True):
+                own = np.frombuffer(s, np.uint64)
+                take = n - -(-num * n // den) + 1
+                order = np.lexsort((own, common[(own % np.uint64(SLOTS)).astype(np.int64)]))[:take]
+                out.append(pd.DataFrame({"token": own[order].view(np.int64), "place": np.arange(len(order)), "rep": rep, "label": label, "n": n}))
+            if out:
+                yield pd.concat(out)
+
+    rows = materialise(rest.mapInPandas(first, "token long, place int, rep long, label long, n long"), "prefixes")
+    by_label = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = by_label.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("m")).filter("labels > 1")
+    mixed = materialise(mixed.select("token", F.col("m.label").alias("most")), "tokens")
+    rows = materialise(rows.join(mixed, "token"), "rows")
+    # Of two labels at a token one is not its most frequent one: that one looks for the others.
+    one = rows.filter("label <> most").select("token", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    two = rows.select("token", F.col("rep").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    # The first shingle that both share leaves room for at most this many.
+    room = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    enough = (num + den) * room >= num * (F.col("nx") + F.col("ny"))
+    pairs = one.join(two, "token").filter("lx <> ly").filter(enough)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", pivot_rounds: int = 2) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
 
     Words are runs of anything but ASCII blanks after lower-casing A-Z; documents are linked when
@@ -191,18 +240,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             out = out.union(x)
         return out
 
-    for turn in range(pivot_rounds + 1):
-        where = labels.select(F.col("node").alias("rep"), "label")
-        placed = members.join(where, "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        open_ = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("rep", "n", "label"), F.xxhash64("rep", F.lit(turn))).alias("p")).filter("lo < hi").select("bucket", "p")
-        open_ = materialise(open_, "open")
-        left = materialise(placed.join(open_, "bucket"), "left")
-        if turn < pivot_rounds:
-            pairs = left.filter("label <> p.label").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"), F.col("n").alias("x"), F.col("p.n").alias("y"))
-        else:
-            one, two = left.select("bucket", F.col("rep").alias("a"), F.col("n").alias("x"), F.col("label").alias("la")), left.select("bucket", F.col("rep").alias("b"), F.col("n").alias("y"), F.col("label").alias("lb"))
-            pairs = one.join(two, "bucket").filter("a < b AND la <> lb")
-        pairs = pairs.filter(fits(F.col("x"), F.col("y"))).select("a", "b").distinct()
+    def placed() -> DataFrame:
+        """The members of buckets that still lie in several components."""
+        now = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
+        now = materialise(now, "placed")
+        open_ = materialise(now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("rep", "n", "label"), F.xxhash64("rep", F.lit(len(done)))).alias("p")).filter("lo < hi").select("bucket", "p"), "open")
+        out = materialise(now.join(open_, "bucket"), "left")
+        forget(now)
+        return out
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal labels
         before = united().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = materialise(pairs.join(before, ["a", "b"], "left_anti"), "pairs")
         new = materialise(confirmed(pairs, sets, num, den), "tested")
@@ -210,7 +258,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         if new.filter("link").limit(1).count():
             old = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
             labels = components(old.union(new.filter("link").select("a", "b")))
-        forget(open_, left, pairs)
+
+    for turn in range(pivot_rounds):
+        left = placed()
+        one = left.filter("label <> p.label").filter(fits(F.col("n"), F.col("p.n"))).groupBy("rep").agg(F.min_by("p.rep", F.xxhash64("bucket", F.lit(turn))).alias("p"))
+        link(one.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct())
+        forget(left)
+    left = placed()
+    rest = materialise(left.select("rep", "label", "n").distinct().join(sets.withColumnRenamed("id", "rep"), "rep"), "rest")
+    link(sharing_prefixes(rest, num, den))
+    forget(left, rest)
     forget(members, ids, sets, pivots)
     to = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
     to = materialise(to, "membership")
