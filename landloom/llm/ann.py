@@ -24,9 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 TABLES, HASHES, WIDTH, SUCCESS = 2, 16, 1.2, 0.84
 SAMPLE = 4096  # vectors looked at to estimate the neighbours' distance
 CELLS = 12  # cells of one hash; what lies beyond is counted with the outermost
+WIDER = 3  # the distance allowed for is that of the k-th neighbour times this in rank, for a sample tells it roughly
 DRAWS = 400
 ROWS_A_BLOCK, QUERIES_A_BLOCK = 4096, 1024
 
@@ -121,7 +124,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
                 unit = np.column_stack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q))])
                 s = np.where(ids[:, None] == known_ids[None, :], -1, unit @ known.T)
                 s.sort(axis=1)
-                near = np.clip(s[:, -min(rank, s.shape[1])], 0.05, 0.995)
+                near = np.clip(s[:, -min(WIDER * rank, s.shape[1])], 0.05, 0.995)
                 cuts = np.column_stack([tables.cut(tables.log_success(t, q, near), t) for t in range(TABLES)])
                 yield pd.DataFrame({"query_id": ids, "q": list(q), "near": near, "cuts": list(cuts)})
 
@@ -149,8 +152,18 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
             out.append(best(own["query_id"].to_numpy(), v, ids, x, seen, k))
         return pd.concat(out)
 
-    some = queries.groupBy("qb", "db").cogroup(blocks.groupBy("qb", "db")).applyInPandas(search, "query_id long, vec_id long, score double")
-    return top(some.dropDuplicates(["query_id", "vec_id"]), k)
+    def pairs(asked: DataFrame) -> DataFrame:
+        found = asked.groupBy("qb", "db").cogroup(blocks.groupBy("qb", "db")).applyInPandas(search, "query_id long, vec_id long, score double")
+        return materialise(top(found.dropDuplicates(["query_id", "vec_id"]), k), "found")
+
+    some = pairs(queries)
+    # Queries that found fewer than there may be go on to all other buckets.
+    full = some.groupBy("query_id").count().filter(F.col("count") >= min(k, n - 1)).select("query_id")
+    short = queries.join(full, "query_id", "left_anti")
+    if short.limit(1).count():
+        every_bucket = F.transform("cuts", lambda _: F.lit(float("-inf")))
+        some = some.join(full, "query_id", "left_semi").union(pairs(short.withColumn("cuts", every_bucket).select(queries.columns)))
+    return some
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
