@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -71,3 +72,9 @@ def forget(*dfs: DataFrame) -> None:
         if path:
             _remove(df.sparkSession, path)
             _written[:] = [x for x in _written if x[1] != path]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now; else they wait for the driver's next collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

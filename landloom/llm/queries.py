@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chunks, exact_dedup, licenses, minhash, mixing, packing, pii, quality
+from . import ann, chunks, exact_dedup, licenses, minhash, mixing, packing, pii, quality, suffixes
 from .common import table
 
 
@@ -48,6 +48,11 @@ def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept_sha256", F.sha2("text", 256))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_licenses": op4_licenses,
     "op5_chunk_dedup": op5_chunk_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_nearest": op7_nearest,
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
