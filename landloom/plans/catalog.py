@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from landloom.plans import attributes  # noqa: F401  each module registers its queries
+from landloom.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
