@@ -5,7 +5,7 @@ All of it stays inside the JVM. General polygons, which may be concave or have h
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landloom.functions.num import clamp, ratio, rnd
@@ -97,21 +97,30 @@ def ring_bounds(ring: Column) -> Column:
     return F.struct(of("x", F.array_min).alias("x0"), of("y", F.array_min).alias("y0"), of("x", F.array_max).alias("x1"), of("y", F.array_max).alias("y1"))
 
 
-def resample(ring: Column, n: int = 24) -> Column:
-    """n points at equal steps along the outline, from its first point on."""
-    after = _next(ring)
-    sides = F.zip_with(ring, after, lambda p, q: F.struct(p.alias("p"), q.alias("q"), F.sqrt((q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"])).alias("d")))
-    start = F.struct(F.lit(0.0).alias("at"), F.array().cast("array<struct<p:struct<x:double,y:double>,q:struct<x:double,y:double>,d:double,at:double>>").alias("s"))
-    placed = F.aggregate(sides, start, lambda acc, s: F.struct((acc["at"] + s["d"]).alias("at"), F.concat(acc["s"], F.array(F.struct(s["p"].alias("p"), s["q"].alias("q"), s["d"].alias("d"), acc["at"].alias("at")))).alias("s")))
-    total = placed["at"]
+def with_samples(df: DataFrame, ring: str, out: str, n: int = 24) -> DataFrame:
+    """df with n points at equal steps along the outline of a ring column, from its first point on.
 
-    def at(i: Column) -> Column:
-        far = total * i / n
-        side = F.element_at(F.filter(placed["s"], lambda s: s["at"] <= far), -1)
-        t = F.when(side["d"] > 0, F.least((far - side["at"]) / side["d"], F.lit(1.0))).otherwise(0.0)
-        return point(side["p"]["x"] + (side["q"]["x"] - side["p"]["x"]) * t, side["p"]["y"] + (side["q"]["y"] - side["p"]["y"]) * t)
+    The steps are columns of their own, so that no part is evaluated once for each point.
+    """
+    r, after = F.col(ring), _next(F.col(ring))
+    length = lambda p, q: F.sqrt((q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"]))
+    sides = F.zip_with(r, after, lambda p, q: F.struct(p.alias("p"), q.alias("q"), length(p, q).alias("d")))
+    kind = "array<struct<p:struct<x:double,y:double>,q:struct<x:double,y:double>,d:double,at:double>>"
+    start = F.struct(F.lit(0.0).alias("at"), F.array().cast(kind).alias("s"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+    def along(acc: Column, s: Column) -> Column:
+        own = F.array(F.struct(s["p"].alias("p"), s["q"].alias("q"), s["d"].alias("d"), acc["at"].alias("at")))
+        return F.struct((acc["at"] + s["d"]).alias("at"), F.concat(acc["s"], own).alias("s"))
+
+    def at(pick: Column) -> Column:
+        s = pick["s"]
+        t = F.when(s["d"] > 0, F.least((pick["far"] - s["at"]) / s["d"], F.lit(1.0))).otherwise(0.0)
+        return point(s["p"]["x"] + (s["q"]["x"] - s["p"]["x"]) * t, s["p"]["y"] + (s["q"]["y"] - s["p"]["y"]) * t)
+
+    placed = df.withColumn("_placed", F.aggregate(sides, start, along))
+    far = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("_placed")["at"] * i / n)
+    picks = F.transform(far, lambda f: F.struct(f.alias("far"), F.element_at(F.filter(F.col("_placed")["s"], lambda s: s["at"] <= f), -1).alias("s")))
+    return placed.withColumn("_picks", picks).withColumn(out, F.transform("_picks", at)).drop("_placed", "_picks")
 
 
 def outline_likeness(samples_a: Column, samples_b: Column, area_a: Column, area_b: Column) -> Column:

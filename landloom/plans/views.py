@@ -58,6 +58,18 @@ VIEWS = {
     "v_vector": "SELECT vec_id, embedding FROM embeddings",
 }
 
+#: Columns that are doubles: both engines read literals with a point as decimals, whose arithmetic differs.
+DOUBLES = {
+    "v_parcel": ("idx, parcel_id, khasra_no, owner_name, land_use, ward, balance", ("x0", "y0", "x1", "y1")),
+    "v_register_all": ("reg_idx, parcel_ref, survey_no, state, price", ("recorded",)),
+    "v_candidate": ("cand_idx, cand_id", ("x0", "y0", "x1", "y1")),
+    "v_structure": ("b_idx, building_id, hint", ("x0", "y0", "x1", "y1")),
+    "v_corridor": ("c_idx, corridor_id, conflict_type", ("buffer_m", "x0", "y0", "x1", "y1")),
+    "v_survey": ("obs_idx, parcel, corner, accuracy, source", ("x", "y")),
+}
+for _name, (_rest, _cols) in DOUBLES.items():
+    VIEWS[_name] = f"SELECT {_rest}, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _cols)} FROM ({VIEWS[_name]}) q"
+
 
 def _needs(name: str) -> list[str]:
     out: list[str] = []
