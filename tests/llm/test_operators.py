@@ -1,0 +1,317 @@
+"""The operators against brute force on small fixtures, with nulls, empty and long texts, ties and repeated rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from landloom.llm import ann, chunks, components, exact_dedup, licenses, minhash, mixing, packing, pii, quality, suffixes
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, t string, kept string"
+
+
+def fixture(seed=3, n=120):
+    """Texts with copies, near copies, shared passages, odd blanks and other scripts."""
+    rng = random.Random(seed)
+    vocabulary = [rng.choice("abcdefghijklmnop") * rng.randint(1, 3) + str(i) for i in range(300)]
+    text = lambda k: " ".join(rng.choice(vocabulary) for _ in range(k))
+    passage = text(60)
+    out = [None, "", "   \n", "One", "two words", "É" * 70 + " x", "ab" * 3000, text(4000)]
+    while len(out) < n:
+        kind = rng.random()
+        if kind < 0.4 or len(out) < 12:
+            out.append(text(rng.randint(5, 120)))
+        elif kind < 0.55:
+            out.append((rng.choice(out[8:]) or "").upper())
+        elif kind < 0.8:
+            w = (rng.choice(out[8:]) or "").split(" ")
+            for _ in range(rng.randint(1, 4)):
+                w[rng.randrange(len(w))] = "edit" + str(rng.randint(0, 999))
+            out.append(" ".join(w))
+        else:
+            out.append(text(10) + "\n" + passage + " " + text(rng.randint(3, 30)))
+    rng.shuffle(out)
+    return [(i * 3 + 1, t, "en", "src0", len(t or ""), "clash", None) for i, t in enumerate(out)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(fixture(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def test_exact(docs, empty):
+    rows = [(r.doc_id, (r.text or "").translate(LOWER)) for r in docs.collect()]
+    for keep, best in (("min", min), ("max", max)):
+        want = {d: best(e for e, u in rows if u == t) for d, t in rows}
+        got = {r.doc_id: r for r in exact_dedup.exact_groups(docs, keep=keep).collect()}
+        assert {d: r.keep_id for d, r in got.items()} == want
+        assert all(got[d].text_sha256 == hashlib.sha256(t.encode()).hexdigest() and got[d].kept == (want[d] == d) for d, t in rows)
+        assert all(got[d].group_size == sum(u == t for _, u in rows) for d, t in rows)
+    twice = docs.union(docs)
+    out = exact_dedup.exact_dedup(twice)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted({min(e for e, u in rows if u == t) for d, t in rows})
+    assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.exact_dedup(empty).count() == 0
+
+
+def near_brute(rows, k, num, den):
+    sets = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets[d] = set() if not w else {tuple(w)} if len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+@pytest.mark.parametrize("k,num,den", [(3, 85, 100), (5, 80, 100)])
+def test_near(docs, empty, k, num, den):
+    want = near_brute([(r.doc_id, r.text) for r in docs.collect()], k, num, den)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, k, num, den).collect()}
+    assert got == want
+    assert minhash.near_duplicates(empty, k, num, den).count() == 0
+
+
+def test_near_large_group_with_weak_members(spark):
+    """A large group whose weaker members are too far from the first pivot but may reach others."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for _ in range(rng.randint(0, 7)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 40)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 3, 85, 100).collect()}
+    assert got == near_brute(rows, 3, 85, 100)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)] + [(200, i) for i in range(201, 260)]
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100} | {i: 200 for i in range(200, 260)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def suffix_brute(rows):
+    first = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            first[b[i : i + 50]] = min(d, first.get(b[i : i + 50], d))
+    out = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < d:
+                gone[i : i + 50] = True
+        runs = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(b) else 0
+        out[d] = (len(b), int(gone.sum()), runs, bytes(x for x, g in zip(b, gone) if not g))
+    return out
+
+
+@pytest.mark.parametrize("hot_from", [20_000, 2])
+def test_suffixes(docs, empty, hot_from):
+    want = suffix_brute([(r.doc_id, r.text) for r in docs.collect()])
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.suffix_dedup(docs, hot_from=hot_from).collect()}
+    assert got == want
+    assert suffixes.suffix_dedup(empty).count() == 0
+
+
+def test_loser_tree():
+    rng = random.Random(1)
+    for k in (1, 2, 3, 5, 8):
+        runs = [sorted(bytes(rng.choice(b"ab") for _ in range(suffixes.WIDTH)) for _ in range(rng.randint(0, 30))) for _ in range(k)]
+        coded = [(r, [0, *[next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), suffixes.WIDTH) for a, b in zip(r, r[1:])]][: len(r)]) for r in runs]
+        run, place, shared = suffixes.loser_tree(coded)
+        merged = [runs[r][p] for r, p in zip(run, place)]
+        assert merged == sorted(x for r in runs for x in r)
+        assert shared[1:] == [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), suffixes.WIDTH) for a, b in zip(merged, merged[1:])]
+
+
+def test_chunks(spark, docs, empty):
+    rows = sorted((r.doc_id, (r.text or "").encode()) for r in docs.collect())
+    seen, want = set(), {}
+    for d, b in rows:
+        ends = chunks.cuts(np.frombuffer(b, np.uint8))
+        assert not b or ends[-1] == len(b)
+        assert all(b[e] & 0xC0 != 0x80 for e in ends[:-1])
+        kept, gone, at = [], 0, 0
+        for e in ends:
+            c = b[at:e]
+            kept.append(b"" if c in seen else c)
+            gone += len(c) * (c in seen)
+            seen.add(c)
+            at = e
+        want[d] = (gone, b"".join(kept).decode(), len(ends))
+    got = {r.doc_id: (r.n_removed, r.text, r.n_chunks) for r in chunks.substring_dedup(docs).collect()}
+    assert got == want
+    assert chunks.substring_dedup(empty).count() == 0
+    text = " ".join(f"word{i * 7919 % 1000}" for i in range(400))
+    moved = spark.createDataFrame([(1, text), (2, "an insertion " + text)], "doc_id long, text string")
+    r = {x.doc_id: x for x in chunks.substring_dedup(moved).collect()}[2]
+    assert r.n_removed > 0.8 * r.n_bytes  # cuts find themselves again behind an insertion
+
+
+def brute_nearest(rows, every, k):
+    ok = [(i, np.array(v, float)) for i, v in rows if v is not None and len(v) and None not in v and np.isfinite(v).all() and any(v)]
+    ids, x = np.array([i for i, _ in ok]), np.stack([v for _, v in ok])
+    out = {}
+    for i, v in ok:
+        if i % every == 0:
+            s = x @ v
+            order = [j for j in np.lexsort((ids, -np.round(s, 12))) if ids[j] != i][:k]
+            out[i] = [int(ids[j]) for j in order]
+    return out
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((12, 16)) * 3
+    rows = [(i, (centres[i % 12] + rng.standard_normal(16)).tolist()) for i in range(600)]
+    rows += [(1000 + i, rows[40][1]) for i in range(60)]  # one vector many times: ties
+    rows += [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [None] * 16), (2080, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, 20, 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute_nearest(rows, 20, 10)
+    assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
+    assert np.mean([len(set(got[q]) & set(want[q])) / 10 for q in want]) >= 0.9
+    few = spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>")
+    assert ann.nearest(few, 20, 10).count() == 3
+    assert ann.nearest(df.limit(0), 20, 10).count() == 0
+
+
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    odd = [(900, "a <|endoftext|> b"), (901, "  a  b\tc \n\n"), (902, "don't stop'll 123 4567"), (903, "日本語 テスト"), (None, "no id")]
+    both = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame(odd, "doc_id long, text string"))
+    texts = {r.doc_id: r.text or "" for r in both.collect()}
+    by_doc, by_seq = {}, {}
+    for r in packing.pack(both, packing.default_tokenizer(), length=64, block=4).collect():
+        ids = np.frombuffer(bytes(r.ids), "<u4").tolist()
+        by_doc.setdefault(r.doc_id, []).append((r.start, ids, r.doc_tokens))
+        by_seq.setdefault(r.sequence_id, []).append((r.offset, len(ids)))
+    for d, t in texts.items():
+        whole = [x for _, ids, _ in sorted(by_doc[d]) for x in ids]
+        assert whole == [*tok.encode(t, add_special_tokens=False).ids, 0]
+        assert all(n == len(whole) for _, _, n in by_doc[d])
+    for pieces in by_seq.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at == 64 or at & (at - 1) == 0
+    assert packing.pack(empty, packing.default_tokenizer()).count() == 0
+
+
+def test_quality(spark, empty):
+    rng = random.Random(2)
+    clean = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(20, 90))).capitalize() + "."
+    junk = lambda: " | ".join(x.upper() + "!!" for x in clean().split())
+    rows = [(i, junk() if i % 4 == 0 else clean(), int(i % 4 != 0)) for i in range(400)] + [(400, None, 1), (401, "", 0), (402, "x " * 50_000, 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1, None), (9999, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.quality_scores(docs, labels).collect()}
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
+    own = [(got[i].predicted, y) for i, _, y in rows[:400] if got[i].held_out]
+    assert np.mean([a == b for a, b in own]) > 0.95
+    assert quality.quality_scores(empty, labels).count() == 0
+    assert {r.score for r in quality.quality_scores(docs.limit(3), labels.limit(0)).collect()} == {0.5}
+
+
+def test_mixing(spark, docs):
+    rng = random.Random(4)
+    word = {"clean": "river stone", "low": "casino bonus", "toxic": "insult slur"}
+    rows = []
+    for i in range(300):
+        d = ("clean", "clean", "low", "toxic")[i % 4]
+        rows.append((i, " ".join(rng.choice(word[d].split() + ["the", "of"]) for _ in range(rng.randint(5, 60))), d))
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, d) for i, _, d in rows if i % 2 == 0 or i % 3 == 0], "doc_id long, domain string")
+    got = mixing.mixing_rates(df, labels, {"clean": 0.8, "low": 0.15, "toxic": 0.05}, "clean").toPandas()
+    assert len(got) == 302 and got.rate.between(0, 1).all()
+    total = {d: float((got.tokens * got.rate * got[f"p_{d}"]).sum()) for d in word}
+    have = float((got.tokens * got.p_clean).sum())
+    for d, w in (("clean", 0.8), ("low", 0.15), ("toxic", 0.05)):
+        assert abs(total[d] - have * w / 0.8) < 0.01 * have
+    kind = {i: d for i, _, d in rows}
+    own = got[got.doc_id < 300]
+    best = own[["p_clean", "p_low", "p_toxic"]].idxmax(axis=1)
+    assert np.mean([b == f"p_{kind[d]}" for b, d in zip(best, own.doc_id)]) > 0.95
+    plan = mixing.draw(mixing.mixing_rates(df, labels, {"clean": 0.8, "low": 0.2}, "clean"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    assert mixing.mixing_rates(df.limit(0), labels, {"clean": 1.0, "low": 1.0}, "clean").count() == 0
+
+
+def test_pii(spark, docs):
+    text = "Mail Ann.Lee7@Mail5.example.com or ann.lee7@mail5.example.com, call +1 (743) 555-3824, 1-743-555-3824 pays 4539 1488 0343 6467 from 10.1.2.3; token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\". Anna Keller met Иван Петров and रमेश कुलकर्णी."
+    rows = [(1, text), (2, text + " Anna Keller again, and Maria Stone."), (3, "Nothing here 12 and 3.5."), (4, None), (5, "4539148803436467")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.surrogates(df, "k").collect()}
+    for secret in ("Ann.Lee7", "743", "4539 1488", "10.1.2.3", "24be64439e3e49cf", "Keller", "Петров", "कुलकर्णी"):
+        assert secret not in got[1].text and secret not in got[2].text, secret
+    assert got[3].text == rows[2][1] and got[3].n_entities == 0 and got[4].text == "" and got[4].n_entities == 0
+    one, two = [(e.kind, e.surrogate) for e in got[1].entities], [(e.kind, e.surrogate) for e in got[2].entities]
+    assert two[: len(one)] == one  # the same in every document
+    mails = [s.lower() for k, s in one if k == "email"]
+    assert mails[0] == mails[1]
+    card = next(s for k, s in one if k == "card")
+    assert re.fullmatch(r"4\d{3} \d{4} \d{4} \d{4}", card) and card.replace(" ", "") == got[5].text
+    digits = [int(c) for c in card if c.isdigit()][::-1]
+    assert sum(d if i % 2 == 0 else d * 2 // 10 + d * 2 % 10 for i, d in enumerate(digits)) % 10 == 0
+    kinds = dict(Counter(k for k, _ in two))
+    assert kinds["name_latin_f"] == 3 and kinds["name_cyrillic_m"] == 1 and kinds["name_devanagari_m"] == 1
+    first = [s.split()[0] for k, s in two if k == "name_latin_f"]
+    assert all(x in pii.NAMES["latin_f"] for x in first)
+    assert pii.surrogates(df.limit(0), "k").count() == 0
+
+
+def test_pii_collisions(spark):
+    """Among 200 two-digit-tail values many first surrogates collide; all are distinct in the end and none is a real value."""
+    values = [(i, f"{i}.{j}.1.1") for i in range(1, 200) for j in (1,)] + [(1000 + i, f"A{i}@b.co") for i in range(60)]
+    df = spark.createDataFrame(values, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.surrogates(df, "k").collect()}
+    real = {t for _, t in values} | {t.lower() for _, t in values}
+    assert len(set(got.values())) == len(values) and not real & set(got.values())
+
+
+def test_licenses(spark, empty):
+    rows = [
+        (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "code"), (3, "a/b/c/y.py", "# Licensed under the Apache License, Version 2.0.\nrun()"), (4, "z/q.py", "some text about the river"),
+        (5, "a/b/LICENSE", "This work is licensed under the GNU General Public License, version 3."), (6, None, None), (7, "a/c/d.txt", ""), (8, "a/c/e.txt", "we reserved all rights to park"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df, "path", "text", "doc_id", F.col("path").endswith("LICENSE")).collect()}
+    assert [(got[i].license, got[i].how) for i in range(1, 9)] == [("MIT", "own"), ("GPL-3.0", "inherited"), ("Apache-2.0", "own"), (None, "none"), ("GPL-3.0", "own"), (None, "none"), ("MIT", "inherited"), ("MIT", "inherited")]
+    assert licenses.scan_licenses(empty.withColumn("path", F.lit("")), "path", "text", "doc_id", F.lit(True)).count() == 0
