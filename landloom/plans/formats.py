@@ -99,3 +99,25 @@ def geojson_export(spark: SparkSession, parcels: DataFrame) -> DataFrame:
     lines = formats.geojson_lines(outlined(parcels), "rings", "parcel_id")
     key = F.get_json_object("value", "$.properties.parcel_id")
     return lines.select(F.regexp_extract(key, "[0-9]+", 0).cast("long").alias("idx"), F.substring_index("value", ',"coordinates"', 1).alias("head"))
+
+
+def layers(parcels: DataFrame, register: DataFrame, candidates: DataFrame, survey: DataFrame, structures: DataFrame, corridors: DataFrame, customer: DataFrame):
+    from landloom.plans.harmonize import Layers
+
+    owned = register.join(customer.select(F.col("c_custkey").alias("parcel_ref"), F.col("c_name").alias("owner")), "parcel_ref", "left")
+    return Layers(parcels, owned, candidates, survey, structures, corridors)
+
+
+@query(None, "v_surveyed", "v_register", "v_candidate", "v_survey", "v_structure", "v_corridor", "customer")
+def harmonization_run(spark: SparkSession, *sources: DataFrame) -> DataFrame:
+    """The whole run: parcels with match, attribute status, confidence and route."""
+    from landloom.plans.harmonize import run
+
+    return run(layers(*sources), "run-1")["parcels"].withColumn("concerns", F.array_join("concerns", ", "))
+
+
+@query(None, "v_surveyed", "v_register", "v_candidate", "v_survey", "v_structure", "v_corridor", "customer")
+def harmonization_conflicts(spark: SparkSession, *sources: DataFrame) -> DataFrame:
+    from landloom.plans.harmonize import run
+
+    return run(layers(*sources), "run-1")["conflicts"].groupBy("conflict_type", "severity", "status").agg(F.count(F.lit(1)).alias("n"))
