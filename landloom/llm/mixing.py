@@ -10,12 +10,13 @@ round is one sum over a narrow table and no per-document state is carried from r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import forget, materialise
 
 BUCKETS = 16384
 CALM = 0.3  # words are dependent, so their summed log odds are too sure; they count by this factor
@@ -32,23 +33,21 @@ def buckets(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
 
 
-def word_model(labelled: DataFrame, domains: list[str]) -> DataFrame:
-    """One row: for each domain after the first an array of BUCKETS log odds against the first, and a prior each.
+def word_model(labelled: DataFrame, domains: list[str]) -> list[tuple[list[float], float]]:
+    """For each domain after the first: BUCKETS log odds against the first, and its log prior odds.
 
-    labelled has b (buckets) and domain. All labelled rows count. Its size is fixed by BUCKETS and the domains.
+    labelled has b (buckets) and domain. Its size is fixed by BUCKETS and the domains.
     """
     counts = labelled.select("domain", F.explode("b").alias("k")).groupBy("k").pivot("domain", domains).count()
-    every = labelled.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("k")).join(counts, "k", "left")
     n = [f"n{i}" for i in range(len(domains))]
-    every = every.select("k", *[(F.coalesce(F.col(f"`{d}`"), F.lit(0)) + 1.0).alias(c) for d, c in zip(domains, n, strict=True)])
-    total = every.agg(*[F.sum(c).alias(f"t{c}") for c in n])
-    rows = labelled.agg(*[F.count_if(F.col("domain") == d).alias(f"r{i}") for i, d in enumerate(domains)])
-    both = every.crossJoin(F.broadcast(total))  # one row
-    odds = [(F.log(F.col(c) / F.col(f"t{c}")) - F.log(F.col(n[0]) / F.col(f"t{n[0]}"))).alias(f"o{i}") for i, c in enumerate(n) if i]
-    ordered = [F.array_sort(F.collect_list(F.struct("k", F.col(f"o{i}").alias("o")))).getField("o").alias(f"o{i}") for i in range(1, len(n))]
-    packed = both.select("k", *odds).agg(*ordered)
-    prior = rows.select(*[F.log((F.col(f"r{i}") + 1) / (F.col("r0") + 1)).alias(f"p{i}") for i in range(1, len(n))])
-    return packed.crossJoin(prior)
+    every = labelled.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("k")).join(counts, "k", "left")
+    every = materialise(every.select("k", *[(F.coalesce(F.col(f"`{d}`"), F.lit(0)) + 1.0).alias(c) for d, c in zip(domains, n, strict=True)]), "words")
+    total = every.agg(*[F.sum(c).alias(c) for c in n]).first()
+    rows = labelled.agg(*[F.count_if(F.col("domain") == d).alias(c) for d, c in zip(domains, n, strict=True)]).first()
+    odds = [(F.log(F.col(c) / total[c]) - F.log(F.col(n[0]) / total[n[0]])).alias(f"o{i}") for i, c in enumerate(n) if i]
+    found = every.select("k", *odds).orderBy("k").collect()  # BUCKETS rows
+    forget(every)
+    return [([r[f"o{i}"] for r in found], math.log((rows[n[i]] + 1) / (rows[n[0]] + 1))) for i in range(1, len(n))]
 
 
 def memberships(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", taught: int = TAUGHT) -> DataFrame:
@@ -57,13 +56,11 @@ def memberships(docs: DataFrame, labels: DataFrame, domains: list[str], id_col:
     some = labels.select(F.col(id_col).alias("_id"), "domain").filter(F.col("domain").isin(domains)).orderBy(F.xxhash64("_id"), "_id", "domain").limit(taught)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(some), "_id")  # bounded by taught
     taught_rows = own.select("domain", buckets(F.col("_t")).alias("b"))
-    model = word_model(taught_rows, domains).first()  # BUCKETS numbers a domain
+    model = word_model(taught_rows, domains)
     scored = src.select("doc_id", "b", F.size("b").alias("tokens"))
     odds = [F.lit(0.0)]
-    for i in range(1, len(domains)):
-        table = literal(model[f"o{i}"])
-        own = F.aggregate("b", F.lit(0.0), adds(table))
-        odds.append(F.lit(model[f"p{i}"]) + own * CALM)
+    for values, prior in model:
+        odds.append(F.aggregate("b", F.lit(0.0), adds(literal(values))) * CALM + prior)
     scored = scored.select("doc_id", "tokens", F.array(*odds).alias("o"))
     soft = F.transform("o", lambda x: F.exp(x - F.array_max("o")))
     scored = scored.select("doc_id", "tokens", soft.alias("e"))
