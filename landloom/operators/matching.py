@@ -83,3 +83,15 @@ def first_generation_score(iou: Column, delta: Column, text: Column, survey: Col
     """The older composite of 100: .40 overlap, .35 area, .15 names, .10 survey, clamped; 2 places."""
     c = lambda x: clamp(x, 0.0, 1.0)
     return rnd((c(iou) * 0.40 + (1 - c(delta)) * 0.35 + c(text) * 0.15 + c(survey) * 0.10) * 100, 2)
+
+
+def reasons(iou: Column, likeness: Column, shift: Column, distance: Column, verdict_: Column) -> Column:
+    """Sentences for what speaks for and against a match, in a fixed order."""
+    f = lambda s, c: F.format_string(s, c)
+    overlap = F.when(iou >= 0.9, f("Boundary overlap IoU %.2f - near-identical footprint", iou)).when(iou >= 0.6, f("Boundary overlap IoU %.2f - substantial shared area", iou)).when(iou > 0, f("Partial boundary overlap IoU %.2f", iou))
+    area = F.when(likeness >= 0.95, f("Area similarity %.2f - extents agree", likeness)).when(likeness < 0.85, f("Area similarity only %.2f - extents differ", likeness))
+    moved = F.when(shift <= 0.5, f("Centroid displacement %.2f m", shift)).when(shift <= 2, f("Centroid displaced %.2f m - plausible legacy shift", shift)).when(shift > 2, f("Centroid displaced %.2f m - large offset", shift))
+    survey = F.when(distance <= 1, f("A survey point supports this parcel (%.2f m)", distance))
+    found = F.array_compact(F.array(overlap, area, moved, survey))
+    some = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("No shared geometry between candidate and reference")))
+    return F.when(verdict_ == "UNMATCHED", F.array_append(some, F.lit("Below the correspondence threshold"))).otherwise(some)

@@ -167,3 +167,64 @@ def georeference(points: DataFrame, smoothing: float = 0.01) -> DataFrame:
 
     cols = ["sheet", "status", "points", "mean_error", "largest_error", "baseline"]
     return points.groupBy("sheet").applyInPandas(fit, "sheet string, status string, points int, mean_error double, largest_error double, baseline double")
+
+
+def gaps(parcels: DataFrame, extent: tuple[float, float, float, float], tile: float = 128.0, ignore: float = 0.05, material: float = 25.0) -> DataFrame:
+    """Area of an extent that no outline covers, by tile: tx, ty, gap_area, kind (covered, residual or gap).
+
+    parcels have idx, rings and box. Tiles are independent, so no union of the whole layer is ever made.
+    """
+    x0, y0, x1, y1 = extent
+    spark = parcels.sparkSession
+    nx, ny = int(np.ceil((x1 - x0) / tile)), int(np.ceil((y1 - y0) / tile))
+    tiles = spark.range(nx * ny).select((F.col("id") % nx).alias("tx"), F.floor(F.col("id") / nx).alias("ty"))
+    tx = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("x0") - x0) / tile)).cast("long"), F.least(F.lit(nx - 1), F.floor((F.col("x1") - x0) / tile)).cast("long")))
+    ty = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("y0") - y0) / tile)).cast("long"), F.least(F.lit(ny - 1), F.floor((F.col("y1") - y0) / tile)).cast("long")))
+    inside = parcels.filter((F.col("x1") >= x0) & (F.col("x0") <= x1) & (F.col("y1") >= y0) & (F.col("y0") <= y1))
+    placed = inside.withColumn("tx", tx).withColumn("ty", ty).select("tx", "ty", "rings")
+
+    def uncovered(part: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(part["tx"].iloc[0]), int(part["ty"].iloc[0])
+        a, b = x0 + i * tile, y0 + j * tile
+        c, d = min(a + tile, x1), min(b + tile, y1)
+        rest = [np.array([(a, b), (c, b), (c, d), (a, d)])]
+        for v in part["rings"]:
+            if v is not None:
+                rest = K.difference(rest, to_rings(v))
+        return pd.DataFrame([(i, j, K.area(rest))], columns=["tx", "ty", "gap_area"])
+
+    out = tiles.join(placed, ["tx", "ty"], "left").groupBy("tx", "ty").applyInPandas(uncovered, "tx long, ty long, gap_area double")
+    return out.withColumn("kind", F.when(F.col("gap_area") <= ignore, "covered").when(F.col("gap_area") <= material, "residual").otherwise("gap"))
+
+
+def eave_correction(footprints: DataFrame, trigger: float = 2.5, inset: float = 0.4) -> DataFrame:
+    """footprints (idx, height, rings), convex: those at least trigger high move inwards; one that collapses stays. idx, rings, corrected, removed."""
+
+    def run(batches):
+        for part in batches:
+            out = []
+            for i, h, v in zip(part["idx"], part["height"], part["rings"], strict=True):
+                rings = to_rings(v)
+                small = [q for r in rings for q in K.shrink_convex(r, inset)] if h is not None and h >= trigger else []
+                small = sorted(small, key=lambda r: -K.area([r]))[:1]
+                done = small or rings
+                out.append((i, from_rings(done), bool(small), K.area(rings) - K.area(done)))
+            yield pd.DataFrame(out, columns=["idx", "rings", "corrected", "removed"])
+
+    return footprints.select("idx", "height", "rings").mapInPandas(run, f"idx long, rings {RINGS}, corrected boolean, removed double")
+
+
+def sliver_hosts(boxes: DataFrame, floor: float, size: float = 32.0) -> DataFrame:
+    """Boxes (idx, x0...) whose area is under a floor, with the neighbour that shares the longest side (ties: larger area, smaller idx): idx, host, shared.
+
+    A sliver without neighbour has none. Slivers are no hosts.
+    """
+    b = G.box()
+    sized = boxes.withColumn("area", G.box_area(b)).withColumn("thin", G.is_sliver(F.col("area"), ((b[2] - b[0]) + (b[3] - b[1])) * 2, floor))
+    of = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in ("idx", "x0", "y0", "x1", "y1", "area")])
+    thin = sized.filter("thin")
+    pairs = grid_join(of(thin, "a_"), of(sized.filter("NOT thin"), "b_"), size, margin=0.001)
+    a, c = G.box("a_"), G.box("b_")
+    along = F.greatest(F.least(a[2], c[2]) - F.greatest(a[0], c[0]), F.least(a[3], c[3]) - F.greatest(a[1], c[1]))
+    best = pairs.withColumn("shared", F.greatest(along, F.lit(0.0))).groupBy(F.col("a_idx").alias("idx")).agg(F.max_by(F.struct(F.col("b_idx").alias("host"), "shared"), F.struct("shared", "b_area", -F.col("b_idx"))).alias("h"))
+    return thin.select("idx").join(best, "idx", "left").select("idx", "h.host", "h.shared")

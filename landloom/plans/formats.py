@@ -121,3 +121,38 @@ def harmonization_conflicts(spark: SparkSession, *sources: DataFrame) -> DataFra
     from landloom.plans.harmonize import run
 
     return run(layers(*sources), "run-1")["conflicts"].groupBy("conflict_type", "severity", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(None, "v_parcel")
+def gap_detection(spark: SparkSession, parcels: DataFrame) -> DataFrame:
+    part = outlined(parcels).filter("x0 < 520 AND y0 < 440")
+    out = R.gaps(part.select("idx", "rings", "x0", "y0", "x1", "y1"), (0.0, 0.0, 520.0, 440.0))
+    return out.select("tx", "ty", rnd(F.col("gap_area"), 3).alias("gap_area"), "kind")
+
+
+@query("SELECT b.b_idx AS idx, b.b_idx % 4 >= 2 AS corrected, CASE WHEN b.b_idx % 4 >= 2 THEN floor(((b.x1 - b.x0) * (b.y1 - b.y0) - (b.x1 - b.x0 - 0.8) * (b.y1 - b.y0 - 0.8)) * 1000.0 + 0.5) / 1000.0 ELSE 0.0::DOUBLE END AS removed FROM v_structure b", "v_structure")
+def eave_correction(spark: SparkSession, structures: DataFrame) -> DataFrame:
+    """Every footprint of two storeys or more moves inwards by its eaves."""
+    f = outlined(structures).select(F.col("b_idx").alias("idx"), (1.0 + (F.col("b_idx") % 4) * 1.0).alias("height"), "rings")
+    return R.eave_correction(f).select("idx", "corrected", rnd(F.col("removed"), 3).alias("removed"))
+
+
+S_AREA = "((a.x1 - a.x0) * (a.y1 - a.y0))"
+SHARED = "greatest(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), least(a.y1, b.y1) - greatest(a.y0, b.y0)), 0.0)"
+THIN = "({p}.x1 - {p}.x0) * ({p}.y1 - {p}.y0) < 500.0 OR (power(2 * (({p}.x1 - {p}.x0) + ({p}.y1 - {p}.y0)), 2) / (({p}.x1 - {p}.x0) * ({p}.y1 - {p}.y0)) > 25 AND ({p}.x1 - {p}.x0) * ({p}.y1 - {p}.y0) < 10000.0)"
+
+
+@query(
+    f"""SELECT t.idx, h.host, floor(h.shared * 10000.0 + 0.5) / 10000.0 AS shared FROM (SELECT idx FROM v_parcel p WHERE {THIN.format(p='p')}) t LEFT JOIN (SELECT * FROM (SELECT a.idx, b.idx AS host, {SHARED} AS shared, row_number() OVER (PARTITION BY a.idx ORDER BY {SHARED} DESC, (b.x1 - b.x0) * (b.y1 - b.y0) DESC, b.idx) AS rn
+FROM v_parcel a JOIN v_parcel b ON a.x0 - 0.001 <= b.x1 AND b.x0 <= a.x1 + 0.001 AND a.y0 - 0.001 <= b.y1 AND b.y0 <= a.y1 + 0.001 AND ({THIN.format(p='a')}) AND NOT ({THIN.format(p='b')})) WHERE rn = 1) h ON h.idx = t.idx""",
+    "v_parcel",
+)
+def sliver_dissolve(spark: SparkSession, parcels: DataFrame) -> DataFrame:
+    return R.sliver_hosts(parcels, 500.0).select("idx", "host", rnd(F.col("shared"), 4).alias("shared"))
+
+
+@query("SELECT 'csv' AS format, TRUE AS implemented UNION ALL SELECT 'dxf', FALSE UNION ALL SELECT 'geojson', TRUE UNION ALL SELECT 'gpkg', TRUE UNION ALL SELECT 'kml', FALSE UNION ALL SELECT 'pdf', TRUE UNION ALL SELECT 'shp', TRUE", "region")
+def export_formats(spark: SparkSession, region: DataFrame) -> DataFrame:
+    from landloom.sources.sinks import available
+
+    return available(spark).select("format", "implemented")

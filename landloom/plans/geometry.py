@@ -368,3 +368,26 @@ def topology_before_after(spark: SparkSession, parcels: DataFrame, candidates: D
         s = df.filter(G.box_area(G.box()) < 520.0).select(F.lit(phase).alias("phase"), F.lit("sliver").alias("kind"))
         facts = o.union(s) if facts is None else facts.union(o).union(s)
     return compare_issues(facts)
+
+
+@query(None, "v_parcel", "v_candidate", "v_survey")
+def match_reasons(spark: SparkSession, parcels: DataFrame, candidates: DataFrame, survey: DataFrame) -> DataFrame:
+    """Why each parcel got its verdict, as sentences."""
+    m = matches(parcels, candidates, survey)
+    why = M.reasons(F.col("iou"), F.col("likeness"), F.col("shift"), F.col("b_distance"), F.col("verdict"))
+    return m.select("a_idx", "verdict", F.array_join(why, "; ").alias("reasons"))
+
+
+CHECKED = "SELECT b.b_idx, CASE WHEN b.b_idx % 17 = 0 THEN 'NULL' WHEN b.b_idx % 19 = 0 THEN 'ZERO_AREA' WHEN min(b.b_idx) OVER (PARTITION BY b.b_idx % 17 = 0, b.b_idx % 19 = 0, b.x0, b.y0, b.x1, b.y1) < b.b_idx THEN 'DUPLICATE' ELSE 'VALID' END AS state FROM v_structure b"
+
+
+@query(f"SELECT state, count(*) AS n FROM ({CHECKED}) GROUP BY state", "v_structure")
+def geometry_checks(spark: SparkSession, structures: DataFrame) -> DataFrame:
+    """Null, empty and repeated outlines counted; some outlines are made null or flat first."""
+    box = ["x0", "y0", "x1", "y1"]
+    null, flat = F.col("b_idx") % 17 == 0, F.col("b_idx") % 19 == 0
+    df = structures.select("b_idx", *[F.when(~null, F.col(c)).alias(c) for c in box]).withColumn("x1", F.when(flat, F.col("x0")).otherwise(F.col("x1")))
+    first = df.filter("x1 > x0").groupBy(*box).agg(F.min("b_idx").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    seen = df.join(first, box, "left")
+    state = F.when(F.col("x0").isNull(), "NULL").when(F.col("x1") <= F.col("x0"), "ZERO_AREA").when(F.col("first") < F.col("b_idx"), "DUPLICATE").otherwise("VALID")
+    return seen.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))

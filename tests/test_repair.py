@@ -134,3 +134,56 @@ def test_formats(spark, tmp_path):
     df = spark.createDataFrame([("a.las", las), ("b.las", bytearray(b"nope"))], "path string, content binary")
     a, b = formats.las_headers(df).orderBy("path").collect()
     assert (a.ok, a.version, a.point_format, a.points, a.scale_offset) == (True, "1.2", 3, 1234, [0.01, 0.01, 0.01, 5.0, 6.0, 7.0]) and not b.ok
+
+
+def test_sinks(spark, tmp_path):
+    from landloom.sources import sinks
+
+    df = rings_df(spark, [(1, [SQUARE]), (2, [SQUARE + 9])])
+    sinks.export(df, "csv", str(tmp_path / "c"))
+    assert any(p.read_bytes().startswith("﻿idx".encode()) for p in (tmp_path / "c").glob("part-*"))
+    sinks.export(df, "geojson", str(tmp_path / "g"))
+    assert sum(len(p.read_text().splitlines()) for p in (tmp_path / "g").glob("part-*")) == 2
+    sinks.export(df, "gpkg", str(tmp_path / "a.gpkg"))
+    back = formats.read_gpkg(formats.files(spark, str(tmp_path / "a.gpkg"))).orderBy("fid").collect()
+    assert [len(r.rings[0]) for r in back] == [5, 5] and back[0].srid == 32643
+    for kind in ("kml", "xyz", "pdf"):
+        with pytest.raises(sinks.Refused):
+            sinks.export(df, kind, str(tmp_path / "x"))
+    assert sinks.text_pdf(sinks.report_lines({"parcel_id": "P(1)"}, [], [])).startswith(b"%PDF-1.4")
+
+
+def test_gaps(spark):
+    rows = rings_df(spark, [(1, [SQUARE]), (2, [SQUARE + [4, 0]])]).withColumn("x0", (F.col("idx") - 1) * 4.0).withColumn("x1", F.col("idx") * 4.0).withColumn("y0", F.lit(0.0)).withColumn("y1", F.lit(4.0))
+    got = {(r.tx, r.ty): (round(r.gap_area, 6), r.kind) for r in R.gaps(rows, (0.0, 0.0, 16.0, 8.0), tile=8.0).collect()}
+    assert got == {(0, 0): (32.0, "gap"), (1, 0): (64.0, "gap")}
+
+
+def test_run_and_store(spark, tmp_path):
+    from landloom.plans import harmonize as H
+    from landloom.plans.formats import layers
+    from landloom.plans.views import relation
+
+    sf = "/root/testdata/sf0.001"
+    own = layers(*[relation(spark, sf, v) for v in ("v_surveyed", "v_register", "v_candidate", "v_survey", "v_structure", "v_corridor", "customer")])
+    for run_id in ("a", "b"):
+        H.persist(H.run(own, run_id), str(tmp_path))
+    assert H.latest_run(spark, str(tmp_path)) == "b"
+    assert H.table(spark, str(tmp_path), "parcels", "a").count() == own.parcels.count()
+    assert set(H.TABLES) == {p.name for p in tmp_path.iterdir()}
+    own.datasets = relation(spark, sf, "v_dataset").withColumn("fill", F.col("fill").cast("double")).withColumn("parse_ok", F.lit(False))
+    with pytest.raises(H.Blocked):
+        H.run(own, "c")
+
+
+def test_audit_stream(spark, tmp_path):
+    from landloom.streaming import audit
+
+    rows = [(str(i), "r", f"user{i % 2}", "review", "p", "ok", "{}", f"2024-01-01 10:{i:02d}:00") for i in range(30)]
+    spark.createDataFrame(rows, audit.SCHEMA.replace("timestamp", "string")).withColumn("created_at", F.to_timestamp("created_at")).write.parquet(str(tmp_path / "in"))
+    q = audit.activity(audit.trail(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("activity").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sum(r.n for r in spark.table("activity").collect()) == 30
+    s = audit.to_store(audit.trail(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
+    s.awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 30
