@@ -130,12 +130,12 @@ def parcel_search_page(spark: SparkSession, parcels: DataFrame) -> DataFrame:
 SCORED = f"""SELECT l_orderkey AS idx, l_linenumber AS line, {s_rnd("least(1.0::DOUBLE, greatest(0.0::DOUBLE, geometry * 0.30::DOUBLE + attribute * 0.25::DOUBLE + area * 0.20::DOUBLE + topology * 0.15::DOUBLE + support * 0.10::DOUBLE))", 4)} AS overall, iou, att, rec, sur, issues, dist FROM (
 SELECT *, {s_rnd('iou', 4)} AS geometry, {s_rnd('least(1.0::DOUBLE, greatest(0.0::DOUBLE, att))', 4)} AS attribute, CASE WHEN rec > 0 AND sur <> 0 THEN {s_rnd('greatest(0.0::DOUBLE, 1 - abs(rec - sur) / rec * 100.0::DOUBLE / 7.0::DOUBLE)', 4)} ELSE 0.0 END AS area, {s_rnd('greatest(0.0::DOUBLE, 1 - issues / 3.0::DOUBLE)', 4)} AS topology, {s_rnd('greatest(0.0::DOUBLE, 1 - dist / 3.0::DOUBLE)', 4)} AS support FROM (
 SELECT l_orderkey, l_linenumber, 1 - l_discount * 3 AS iou, 1 - l_tax * 2 AS att, l_extendedprice AS rec, l_extendedprice * (1 + l_tax / 2) AS sur, l_linenumber % 3 AS issues, l_quantity / 25 AS dist FROM lineitem))"""
-NONE = F.lit(None).cast("double")
+NONE = "cast(NULL AS double)"
 
 
 def signals(lineitem: DataFrame) -> tuple[DataFrame, list]:
     df = lineitem.select(F.col("l_orderkey").alias("idx"), F.col("l_linenumber").alias("line"), (1 - F.col("l_discount") * 3).alias("iou"), (1 - F.col("l_tax") * 2).alias("att"), F.col("l_extendedprice").alias("rec"), (F.col("l_extendedprice") * (1 + F.col("l_tax") / 2)).alias("sur"), (F.col("l_linenumber") % 3).alias("issues"), (F.col("l_quantity") / 25).alias("dist"))
-    return df, [F.col("iou"), NONE, *[F.col(c) for c in ("att", "rec", "sur", "issues", "dist")]]
+    return df, [F.col("iou"), F.expr(NONE), *[F.col(c) for c in ("att", "rec", "sur", "issues", "dist")]]
 
 
 def confident(lineitem: DataFrame) -> DataFrame:
