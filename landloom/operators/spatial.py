@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landloom.operators.cut import cut
@@ -44,30 +44,54 @@ def prefixed(df: DataFrame, p: str) -> DataFrame:
     return df.select(*[F.col(c).alias(p + c) for c in df.columns])
 
 
-def nearest(left: DataFrame, points: DataFrame, size: float, rounds: int = 24) -> DataFrame:
+def nearest(left: DataFrame, points: DataFrame, size: float) -> DataFrame:
     """The nearest point (b_x, b_y, tie: smallest b_order) of each left row (a_x, a_y): left columns, b (its columns), distance.
 
-    Rows look at the 3 x 3 cells around them; a hit within one cell's side is exact. The others try again with
-    cells four times as large, so each round is an equi-join of what is left. Without points the result is empty.
+    Rows look at the 3 x 3 cells around them; a hit within one cell's side is exact. The others descend a pyramid of
+    occupied cells, each level four times as fine: a cell stays while the least distance to the box of its
+    points does not exceed the smallest largest distance to any box, so few cells a row are left on each level and
+    far rows never meet all points. Without points the result is empty.
     """
-    if not points.limit(1).count():
+    x, y = F.col("a_x"), F.col("a_y")
+    far = points.agg(F.max(F.abs("b_x")).alias("x"), F.max(F.abs("b_y")).alias("y")).first()
+    if far["x"] is None:
         return left.withColumn("b", F.lit(None)).withColumn("distance", F.lit(None).cast("double")).limit(0)
-    found, rest = None, left
     cols = left.columns
-    for _ in range(rounds):
-        p = points.withColumn("_cx", _cell(F.col("b_x"), size)).withColumn("_cy", _cell(F.col("b_y"), size))
-        probe = rest.withColumn("_i", F.explode(F.array(*[F.lit(i) for i in range(9)])))
-        probe = probe.withColumn("_cx", _cell(F.col("a_x"), size) + F.col("_i") % 3 - 1).withColumn("_cy", _cell(F.col("a_y"), size) + F.floor(F.col("_i") / 3) - 1)
-        d = F.sqrt((F.col("a_x") - F.col("b_x")) * (F.col("a_x") - F.col("b_x")) + (F.col("a_y") - F.col("b_y")) * (F.col("a_y") - F.col("b_y")))
-        hits = probe.join(p, ["_cx", "_cy"]).withColumn("_d", d)
-        best = hits.groupBy(*cols).agg(F.min_by(F.struct(*points.columns, F.col("_d")), F.struct("_d", "b_order")).alias("b"))
-        near = cut(best.filter(F.col("b._d") <= size))
-        found = near if found is None else found.union(near)
-        rest = cut(rest.join(near.select(*cols), cols, "left_anti"))
-        if not rest.limit(1).count():
-            break
-        size *= 4
-    return found.select(*cols, "b", F.col("b._d").alias("distance"))
+    d = F.sqrt((x - F.col("b_x")) * (x - F.col("b_x")) + (y - F.col("b_y")) * (y - F.col("b_y")))
+
+    def closest(hits: DataFrame) -> DataFrame:
+        return hits.withColumn("_d", d).groupBy(*cols).agg(F.min_by(F.struct(*points.columns, F.col("_d")), F.struct("_d", "b_order")).alias("b"))
+
+    placed = points.withColumn("_cx", _cell(F.col("b_x"), size)).withColumn("_cy", _cell(F.col("b_y"), size))
+    probe = left.withColumn("_i", F.explode(F.array(*[F.lit(i) for i in range(9)])))
+    probe = probe.withColumn("_cx", _cell(x, size) + F.col("_i") % 3 - 1).withColumn("_cy", _cell(y, size) + F.floor(F.col("_i") / 3) - 1)
+    near = cut(closest(probe.join(placed, ["_cx", "_cy"])).filter(F.col("b._d") <= size))
+    rest = cut(left.join(near.select(*cols), cols, "left_anti"))
+    if rest.limit(1).count():
+        box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+        levels = [cut(placed.groupBy("_cx", "_cy").agg(F.min("b_x").alias("x0"), F.min("b_y").alias("y0"), F.max("b_x").alias("x1"), F.max("b_y").alias("y1")))]
+        side = size
+        while max(far["x"], far["y"]) / side > 2:  # the top level has at most 6 x 6 cells
+            up = levels[-1].withColumn("_px", F.floor(F.col("_cx") / 4).cast("long")).withColumn("_py", F.floor(F.col("_cy") / 4).cast("long"))
+            levels.append(cut(up.groupBy(F.col("_px").alias("_cx"), F.col("_py").alias("_cy")).agg(*box)))
+            side *= 4
+        rows = rest.select(F.struct(*cols).alias("_row"), "a_x", "a_y")
+        out = lambda lo, hi, v: F.greatest(lo - v, v - hi, F.lit(0.0))
+        wide = lambda lo, hi, v: F.greatest(F.abs(v - lo), F.abs(v - hi))
+        reach = lambda f: F.sqrt(f(F.col("x0"), F.col("x1"), x) * f(F.col("x0"), F.col("x1"), x) + f(F.col("y0"), F.col("y1"), y) * f(F.col("y0"), F.col("y1"), y))
+
+        def pruned(pairs: DataFrame) -> DataFrame:
+            bound = pairs.withColumn("_lo", reach(out)).withColumn("_hi", F.min(reach(wide)).over(Window.partitionBy("_row")))  # few cells a row
+            return cut(bound.filter(F.col("_lo") <= F.col("_hi") * (1 + 1e-12)).select("_row", "a_x", "a_y", "_cx", "_cy"))
+
+        pairs = pruned(rows.join(F.broadcast(levels[-1]), F.lit(True)))  # 36 rows at most
+        for finer in reversed(levels[:-1]):
+            child = finer.withColumn("_px", F.floor(F.col("_cx") / 4).cast("long")).withColumn("_py", F.floor(F.col("_cy") / 4).cast("long"))
+            parent = pairs.withColumnRenamed("_cx", "_px").withColumnRenamed("_cy", "_py")
+            pairs = pruned(parent.join(child, ["_px", "_py"]))
+        hits = pairs.join(placed, ["_cx", "_cy"]).select(*[F.col(f"_row.{c}").alias(c) for c in cols], *points.columns)
+        near = near.union(closest(hits))
+    return near.select(*cols, "b", F.col("b._d").alias("distance"))
 
 
 def without_neighbour(nodes: DataFrame, tolerance: float) -> DataFrame:
