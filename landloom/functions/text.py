@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +21,11 @@ LATIN = {
 DIGIT = {"1": "BFPV", "2": "CGJKQSXZ", "3": "DT", "4": "L", "5": "MN", "6": "R"}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def key(c: Column) -> Column:
     """Lower case, trimmed, every run of other than a-z0-9 one space."""
     return F.trim(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", " "))
@@ -49,25 +54,37 @@ def transliterate(c: Column) -> Column:
 
 def phonetic_code(c: Column) -> Column:
     """First letter and three digits; a digit is left out when it repeats the last one written, and nothing resets that."""
-    t = F.regexp_replace(transliterate(c), r"\s", "")
-    digits = F.translate(F.upper(F.substr(t, F.lit(2))), "".join(DIGIT.values()), "".join(d * len(x) for d, x in DIGIT.items()))
-    only = F.regexp_replace(digits, "[^1-6]", "")
-    return F.when(F.length(t) > 0, F.rpad(F.concat(F.substr(t, F.lit(1), F.lit(1)), F.regexp_replace(only, r"([1-6])\1+", "$1")), 4, "0")).otherwise("Z000")
+
+    def code(t: Column) -> Column:
+        digits = F.translate(F.upper(F.substr(t, F.lit(2))), "".join(DIGIT.values()), "".join(d * len(x) for d, x in DIGIT.items()))
+        only = F.regexp_replace(digits, "[^1-6]", "")
+        return F.when(F.length(t) > 0, F.rpad(F.concat(F.substr(t, F.lit(1), F.lit(1)), F.regexp_replace(only, r"([1-6])\1+", "$1")), 4, "0")).otherwise("Z000")
+
+    return let(F.regexp_replace(transliterate(c), r"\s", ""), code)
+
+
+def _alike(t: Column, b: Column) -> tuple[Column, Column]:
+    distance = F.levenshtein(F.lower(F.trim(t)), F.lower(F.trim(b)))
+    return distance, F.greatest(F.lit(0.0), F.lit(1.0) - distance / F.greatest(F.length(t), F.length(b), F.lit(1)))
+
+
+def _codes_alike(x: Column, y: Column) -> Column:
+    return F.when(x == y, 1.0).when(F.substr(x, F.lit(1), F.lit(1)) == F.substr(y, F.lit(1), F.lit(1)), 0.8).otherwise(0.2)
 
 
 def name_parts(a: Column, b: Column) -> dict[str, Column]:
     """Distance, similarity and codes of two names, the first in either script."""
     t = transliterate(a)
-    distance = F.levenshtein(F.lower(F.trim(t)), F.lower(F.trim(b)))
-    longest = F.greatest(F.length(t), F.length(b), F.lit(1))
-    similarity = F.greatest(F.lit(0.0), F.lit(1.0) - distance / longest)
+    distance, similarity = _alike(t, b)
     x, y = phonetic_code(a), phonetic_code(b)
-    codes = F.when(x == y, 1.0).when(F.substr(x, F.lit(1), F.lit(1)) == F.substr(y, F.lit(1), F.lit(1)), 0.8).otherwise(0.2)
-    return {"transliterated": t, "distance": distance, "similarity": rnd(similarity, 4), "code_a": x, "code_b": y, "code_score": codes, "score": rnd(similarity * 0.5 + codes * 0.5, 4)}
+    return {"transliterated": t, "distance": distance, "similarity": rnd(similarity, 4), "code_a": x, "code_b": y, "code_score": _codes_alike(x, y), "score": name_score(a, b)}
 
 
 def name_score(a: Column, b: Column) -> Column:
-    return name_parts(a, b)["score"]
+    """Half the likeness of spellings, half that of the codes; 4 places."""
+    spelled = let(transliterate(a), lambda t: _alike(t, b)[1])
+    codes = let(F.struct(phonetic_code(a).alias("x"), phonetic_code(b).alias("y")), lambda p: _codes_alike(p["x"], p["y"]))
+    return let(spelled * 0.5 + codes * 0.5, lambda s: rnd(s, 4))
 
 
 def bare_identifier(c: Column) -> Column:

@@ -23,11 +23,11 @@ def owner_check(local_a: Column, english_a: Column, local_b: Column, english_b:
     lone = F.when(~blank(local_a), T.name_score(local_a, english_b)).when(~blank(local_b), T.name_score(local_b, english_a)).otherwise(0.0)
     local = F.when(both_local, T.name_score(local_a, local_b)).otherwise(lone)
     best = F.greatest(F.lit(0.0), local, T.name_score(english_a, english_b))
-    status = F.when(best >= match, MATCH).when(best >= probable, PROBABLE).otherwise(CONFLICT)
+    status = lambda s: F.when(s >= match, MATCH).when(s >= probable, PROBABLE).otherwise(CONFLICT)
     same = F.lower(F.trim(english_a)) == F.lower(F.trim(english_b))
     missing = blank(english_a) | blank(english_b)
     of = lambda s, c: F.struct(s.alias("status"), c.alias("confidence"))
-    return F.when(missing, of(F.lit(MISSING), F.lit(0.0))).when(same, of(F.lit(MATCH), F.lit(1.0))).otherwise(of(status, best))
+    return F.when(missing, of(F.lit(MISSING), F.lit(0.0))).when(same, of(F.lit(MATCH), F.lit(1.0))).otherwise(T.let(best, lambda s: of(status(s), s)))
 
 
 def area_check(recorded: Column, surveyed: Column, tolerance: float = 3.5) -> Column:
