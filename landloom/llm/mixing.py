@@ -2,15 +2,18 @@
 
 A labelled table teaches a multinomial model of hashed words for each domain; its posterior gives every
 document a soft membership p(domain | text), computed within the row. Rates r >= 0, one a document, are
-then sought whose expected tokens, sum of r * tokens * p, meet the target of each domain, by projected
-gradient descent on the squared gap from r = 1. The step is scaled by the domains' Gram matrix, so few rounds
-are needed. A rate is a function of the document's own numbers and of the few steps taken so far, so a
-round is one sum over a narrow table and no per-document state is carried from round to round.
+then sought whose expected tokens, sum of r * tokens * p, are nearest to the targets of the domains (least
+squares), by an implicit projected-gradient step from r = 1: r = cut(1 + a . gap / eps), a = tokens * p, with
+the gap that r itself leaves. These are the rates of smallest squared gap + eps * |r - 1|^2; eps falls until a bound
+on the distance from the best totals is small. The step is as many numbers as there are domains, found by
+Newton's method with the Gram matrix of the rows that are not cut, so a round is one sum over a narrow
+table and no per-document state is carried from round to round.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +24,7 @@ from .common import forget, materialise
 BUCKETS = 16384
 CALM = 0.3  # words are dependent, so their summed log odds are too sure; they count by this factor
 TAUGHT = 20_000  # labelled rows that the model is fitted on at most (those of smallest hash)
-ROUNDS, CLOSE = 30, 1e-6
+CLOSE = 2e-5  # the totals' distance from the best ones, as a share of the largest target
 
 
 def words(text: Column) -> Column:
@@ -92,18 +95,88 @@ def solve(m: list[list[float]], v: list[float]) -> list[float]:
     return [a[i][n] / a[i][i] for i in range(n)]
 
 
-def rate(steps: list[list[float]], most: float | None) -> Column:
-    """r after the steps: each adds tokens * (p . step) and is cut at 0 (and at most, if given)."""
-    if not steps:
-        return F.lit(1.0)
-    table = F.from_json(F.lit("[" + ",".join("[" + ",".join(map(repr, s)) + "]" for s in steps) + "]"), "array<array<double>>")
-    move = lambda g: F.aggregate(F.zip_with("a", g, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def dot(values: list[float]) -> Column:
+    """tokens of each domain (columns a0, a1 ...) . values."""
+    return sum((F.col(f"a{i}") * v for i, v in enumerate(values)), F.lit(0.0))
 
-    def go(r: Column, g: Column) -> Column:
-        r = F.greatest(F.lit(0.0), r + move(g))
-        return r if most is None else F.least(F.lit(float(most)), r)
 
-    return F.aggregate(table, F.lit(1.0), go)
+def rate(step: list[float], most: float | None) -> Column:
+    """1 + a . step, cut at 0 (and at most, if given)."""
+    r = F.greatest(F.lit(0.0), F.lit(1.0) + dot(step))
+    return r if most is None else F.least(F.lit(float(most)), r)
+
+
+def fit(sized: DataFrame, goal: list[float], most: float | None) -> tuple[list[float], list[float], bool]:
+    """The step of rate(), the domains' expected tokens at it, and whether these are known to be the nearest to goal (within CLOSE).
+
+    sized has a0, a1 ... (tokens of each domain). With r the rates and u the gap, a limit on the rates gives a bound: totals
+    differ from the best ones by sqrt(2 * sum of (largest a . u within the limits - r * a . u)) at most. Without a
+    limit the projected gradient must vanish against that of r = 0.
+    """
+    n, largest = len(goal), max(max(goal), 1.0)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+
+    def value(step: list[float]) -> Column:
+        """The dual function without its terms in goal and eps."""
+        r = rate(step, most)
+        return total(r * (F.lit(1.0) + dot(step)) - r * r / 2)
+
+    def at(step: list[float]) -> tuple[float, list[float], list[list[float]]]:
+        """That value, the domains' tokens, and the Gram matrix of the rows that are not cut."""
+        r = rate(step, most)
+        loose = (r == F.lit(1.0) + dot(step)).cast("double")
+        row = sized.agg(value(step), *[total(F.col(f"a{i}") * r) for i in range(n)], *[total(F.col(f"a{i}") * F.col(f"a{j}") * loose) for i, j in pairs]).first()
+        upper = dict(zip(pairs, row[n + 1 :], strict=True))
+        return row[0], list(row[1 : n + 1]), [[upper[min(i, j), max(i, j)] for j in range(n)] for i in range(n)]
+
+    def dual(v: float, step: list[float], eps: float) -> float:
+        return v + sum(eps * s * s / 2 - s * g for s, g in zip(step, goal, strict=True))
+
+    def lowest(steps: list[list[float]], eps: float) -> tuple[float, list[float]]:
+        row = sized.agg(*[value(s).alias(f"v{i}") for i, s in enumerate(steps)]).first()
+        return min((dual(v, s, eps), s) for v, s in zip(row, steps, strict=True))
+
+    def proven(step: list[float], now: list[float]) -> bool:
+        gap = [g - x for g, x in zip(goal, now, strict=True)]
+        if max(map(abs, gap)) <= CLOSE * largest:
+            return True
+        pull, r = dot(gap), rate(step, most)
+        if most is not None:
+            return math.sqrt(2 * max(sized.agg(total(F.greatest(F.lit(0.0), pull * float(most)) - r * pull)).first()[0], 0.0)) <= CLOSE * largest
+        left = F.when(r > 0, pull).otherwise(F.greatest(F.lit(0.0), pull))
+        row = sized.agg(total(left * left), total(dot(goal) * dot(goal))).first()
+        return math.sqrt(row[0]) <= CLOSE * math.sqrt(row[1])
+
+    step = [0.0] * n
+    found = at(step)
+    scale = sum(found[2][i][i] for i in range(n)) / n
+    if not scale:
+        return step, found[1], True  # no tokens, nothing to choose
+    for power in range(2, 15):
+        eps = scale * 10.0**-power
+        if power > 2:
+            longer = [10 * s for s in step]  # right where the gap stays, step where it goes
+            if lowest([step, longer], eps)[1] == longer:
+                step, found = longer, at(longer)
+        while True:
+            slope = [x - g + eps * s for x, g, s in zip(found[1], goal, step, strict=True)]
+            if norm(slope) <= max(1e-3 * eps * norm(step), CLOSE * 1e-2 * largest):
+                break
+            way = solve([[x + (eps if i == j else 0.0) for j, x in enumerate(row)] for i, row in enumerate(found[2])], [-x for x in slope])
+            before = dual(found[0], step, eps)
+            new = [s + w for s, w in zip(step, way, strict=True)]
+            then = at(new)
+            if dual(then[0], new, eps) >= before:  # too far: parts of the way
+                low, new = lowest([[s + w / 2**k for s, w in zip(step, way, strict=True)] for k in range(1, 18)], eps)
+                if low >= before:
+                    break  # below the precision of doubles
+                then = at(new)
+            step, found = new, then
+        if proven(step, found[1]):
+            return step, found[1], True
+    return step, found[1], False
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], anchor: str, most: float | None = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,31 +190,18 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
     are rated each; a null id is rated too. An empty table gives no rows.
     """
     domains = [anchor, *sorted(d for d in weights if d != anchor)]
-    soft = materialise(memberships(docs, labels, domains, id_col, text_col), "memberships")
     n = len(domains)
-    sized = soft.withColumn("a", F.transform("p", lambda x: x * F.col("tokens")))
-    part = lambda i: F.get("a", F.lit(i))
-    first = sized.agg(*[F.sum(part(i)).alias(f"s{i}") for i in range(n)], *[F.sum(part(i) * part(j)).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]).first()
-    have = [first[f"s{i}"] or 0.0 for i in range(n)]
-    gram = [[first[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)]
+    soft = memberships(docs, labels, domains, id_col, text_col)
+    soft = materialise(soft.select("doc_id", "tokens", *[F.get("p", F.lit(i)).alias(f"p{i}") for i in range(n)]), "memberships")
+    sized = soft.withColumns({f"a{i}": F.col(f"p{i}") * F.col("tokens") for i in range(n)})
+    have = [x or 0.0 for x in sized.agg(*[F.sum(f"a{i}") for i in range(n)]).first()]
     goal = [have[0] * weights[d] / weights[anchor] for d in domains]
     if most is not None and most <= 1:
         goal = [min(g, h) for g, h in zip(goal, have, strict=True)]
-    steps: list[list[float]] = []
-    now = have
-    for _ in range(ROUNDS):
-        gap = [g - x for g, x in zip(goal, now, strict=True)]
-        if max(map(abs, gap)) <= CLOSE * max(max(goal), 1.0):
-            break
-        steps.append(solve(gram, gap))
-        r = rate(steps, most)
-        row = sized.withColumn("r", r).agg(*[F.sum(part(i) * F.col("r")).alias(f"s{i}") for i in range(n)]).first()
-        new = [row[f"s{i}"] or 0.0 for i in range(n)]
-        if sum((g - x) ** 2 for g, x in zip(goal, new, strict=True)) >= sum(x * x for x in gap) * (1 - 1e-9):
-            steps.pop()  # no nearer: the targets can't be met within the limits
-            break
-        now = new
-    return sized.select("doc_id", F.col("tokens").cast("long").alias("tokens"), *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], rate(steps, most).alias("rate"))
+    step, now, best = fit(sized, goal, most)
+    if not best:
+        warnings.warn(f"mixing: not the nearest rates; tokens {dict(zip(domains, now, strict=True))} for targets {dict(zip(domains, goal, strict=True))}", stacklevel=2)
+    return sized.select("doc_id", F.col("tokens").cast("long").alias("tokens"), *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)], rate(step, most).alias("rate"))
 
 
 def draw(rates: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landloom.llm import ann, chunks, components, exact_dedup, licenses, minhash, mixing, packing, pii, quality, suffixes
+from landloom.llm.common import materialise
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, t string, kept string"
 
@@ -274,6 +275,25 @@ def test_mixing(spark, docs):
     assert mixing.mixing_rates(df.limit(0), labels, {"clean": 1.0, "low": 1.0}, "clean").count() == 0
 
 
+def test_mixing_nearest(spark):
+    """Where the targets can't be met, rates are the nearest: no direction within the limits lessens the squared gap."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.3, 0.1, 0.1], 600)
+    a = p * rng.integers(1, 3000, 600)[:, None]
+    have = a.sum(0)
+    sized = materialise(spark.createDataFrame(a.tolist(), "a0 double, a1 double, a2 double").coalesce(1), "sized")
+    for most, goal in ((1.0, [have[0], have[1] * 0.3, have[2] * 0.05]), (2.0, [have[0], have[1] * 2.5, have[2] * 0.5]), (None, [have[0], have[1] * 3, have[2] * 0.2])):
+        step, now, best = mixing.fit(sized, [float(x) for x in goal], most)
+        r = np.clip(1 + a @ step, 0, most)
+        gap = goal - a.T @ r
+        assert best and np.allclose(a.T @ r, now)
+        if most is None:
+            assert abs(gap).max() <= 1e-4 * max(goal)
+        else:
+            pull = a @ gap
+            assert np.sqrt(2 * (np.maximum(pull * most, 0) - r * pull).sum()) <= 1e-4 * max(goal) or abs(gap).max() <= 1e-4 * max(goal)
+
+
 def test_pii(spark, docs):
     text = "Mail Ann.Lee7@Mail5.example.com or ann.lee7@mail5.example.com, call +1 (743) 555-3824, 1-743-555-3824 pays 4539 1488 0343 6467 from 10.1.2.3; token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\". Anna Keller met Иван Петров and रमेश कुलकर्णी."
     rows = [(1, text), (2, text + " Anna Keller again, and Maria Stone."), (3, "Nothing here 12 and 3.5."), (4, None), (5, "4539148803436467")]
