@@ -47,7 +47,7 @@ for _kind, _names in NAMES.items():
 EVERY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity; it spares most texts the longer pattern.
 _latin = [n for k in ("latin_f", "latin_m") for n in NAMES[k]]
-HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|[0-9A-Fa-f]{32}|sk-|[\u0400-\u04FF]{2}|[\u0900-\u097F]{2}|" + rf"(?=[{''.join(sorted({n[0] for n in _latin}))}])(?<!\p{{L}})(?:{'|'.join(_latin)}) \p{{Lu}}"
+HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|[0-9](?:[ -]?[0-9]){12}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|AKIA|gh[pousr]_|[0-9A-Fa-f]{32}|sk-|[\u0400-\u04FF]{2}|[\u0900-\u097F]{2}|" + rf"(?=[{''.join(sorted({n[0] for n in _latin}))}])(?<!\p{{L}})(?:{'|'.join(_latin)}) \p{{Lu}}"
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 TRIES = 12
 
