@@ -3,23 +3,28 @@
 A byte is removed if a string of LENGTH bytes that covers it also starts in a document of smaller id. To
 find these strings, suffixes are sorted by a distributed merge sort that never compares a known prefix twice:
 
-1. Of each string of LENGTH bytes at least one GRAM-byte piece is an anchor: the smallest by hash of
-   the pieces in it. Equal strings have equal anchors at equal places, so it is enough to sort the
-   suffixes that start at anchors (about 1 byte in 13), each with the bytes before it as a second key.
-   A first pass exchanges only the anchors' hashes and drops those that one document alone has.
-2. Documents are dealt to runs. A run sorts its suffixes, cut at LENGTH bytes and followed by the bytes
-   before them in reverse; a suffix that it holds twice stays with its smallest document only,
-   for the others are covered wholly. The sorted run is front-coded: the length of the prefix
-   shared with the one before, and the rest.
+1. The anchor of a string is the smallest, by hash, of the GRAM-byte pieces in it. Equal strings have equal
+   anchors at equal places, so it is enough to sort the suffixes that start at anchors, each with those
+   bytes before it that its strings hold as a second key. A first exchange compares the anchors' hashes,
+   delta-coded, and tells each run which of its anchors other documents have too (and which very many have).
+2. Documents are dealt to runs. A run sorts its suffixes; one that it holds twice stays with its smallest
+   document only, for the others are covered wholly. The sorted run is front-coded: the length of the
+   prefix shared with the one before, and the rest.
 3. Each range of anchors merges its runs with a loser tree that carries these lengths, which decides most
    duels without looking at a byte. In the merged order the strings that contain an anchor at a given
-   place are neighbours up to the bytes before it; the smallest document of each is noted, and all
-   others' bytes are covered. Anchors that very many documents share skip the merge: their strings are
-   counted one by one in sums that are combined before the shuffle.
+   place are neighbours up to the bytes before it, whose ranks are compared too; the smallest document of
+   each string is noted, and all others' bytes are covered. Everything is decided by bytes, hashes only filter.
+
+An anchor that very many documents have is parted before the exchange: each of its strings goes as a suffix of
+its own to a range chosen by the whole string, where a run sends any string once.
+
+All steps are one plan. The texts are exchanged once, by run, and that exchange is read by three steps. A
+run and a range exchange a row only if they have anchors in common, so there are never more rows than anchors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,18 +32,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release
-
-LENGTH, GRAM = 50, 26
+LENGTH, GRAM = 50, 16
 PLACES = LENGTH - GRAM + 1  # of an anchor in a string; also pieces a string has
 BEFORE = PLACES - 1  # bytes before an anchor that a string can have
 WIDTH = LENGTH + BEFORE
 PAD = 255  # never a byte of UTF-8
-RUN_BYTES = 8 << 20
+RUN_BYTES, LARGEST_RUN = 16 << 20, 256 << 20
 BATCH_BYTES = 1 << 20
-HOT = 20_000  # documents of one anchor from which on its strings are counted one by one
+HOT = 20_000  # documents of one anchor from which on its strings are sent one by one
 BASE = 0x9E3779B97F4A7C15
-LOW = np.uint64((1 << 40) - 1)
 
 
 def stepped(op: np.ufunc, x: np.ndarray, n: int, back: bool) -> np.ndarray:
@@ -77,10 +79,13 @@ def piece_hashes(b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32)) | np.uint64(1)
 
 
-def anchors(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of texts laid end to end; strings never cross an end."""
+def anchors(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts laid end to end: places and hashes of the anchors, and the first and last place of the anchor in its strings.
+
+    Strings never cross an end. A string whose smallest hash stands at several places belongs to the anchor of each.
+    """
     if len(b) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = piece_hashes(b)
     least = stepped(np.minimum, h, PLACES, back=False)
     edge = np.zeros(len(b) + 1, np.int64)
@@ -89,226 +94,201 @@ def anchors(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     np.add.at(edge, ends, -1)
     least[np.cumsum(edge[:-1]) > 0] = 0  # no string starts here
     at = np.nonzero(h == stepped(np.maximum, least, PLACES, back=True))[0]
-    return at, h[at]
-
-
-def laid_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw])
+    low, high = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    for i in range(0, len(at), 1 << 15):
+        own = at[i : i + (1 << 15)]
+        place = own[:, None] - np.arange(PLACES)
+        mine = (least[np.maximum(place, 0)] == h[own][:, None]) & (place >= 0)
+        low[i : i + len(own)], high[i : i + len(own)] = mine.argmax(1), PLACES - 1 - mine[:, ::-1].argmax(1)
+    return at, h[at], low, high
 
 
-def batches_of(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and size < BATCH_BYTES:
-            size += len(texts[to])
-            to += 1
-        yield at, to
-        at = to
-
+def planes(x: np.ndarray) -> bytes:
+    """Integers of one sign byte plane by byte plane, as many as the largest needs; small numbers compress well."""
+    x = np.asarray(x)
+    size = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8) if x.min(initial=0) >= 0 else 8
+    return bytes([size]) + np.ascontiguousarray(x.astype("<u8" if x.dtype.kind == "u" else "<i8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
 
-def planes(x: np.ndarray, size: int) -> bytes:
-    """Integers byte plane by byte plane: the upper planes of sorted numbers compress well."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
 
-
-def from_planes(raw: bytes, size: int) -> np.ndarray:
-    n = len(raw) // size
+def from_planes(raw: bytes) -> np.ndarray:
+    size = raw[0]
+    n = (len(raw) - 1) // size
     out = np.zeros((n, 8), np.uint8)
-    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(size, n).T
-    return out.view("<u8").reshape(-1)
-
-
-def parts_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-
-
-def hash_runs(rows: DataFrame, parts: int) -> DataFrame:
-    """rows (run, doc_id, t) -> a task's anchors by part: sorted low hashes, their run, and how many documents (2 bytes)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, runs, docs, held = [], [], [], 0
-
-        def flush() -> pd.DataFrame:
-            h, r, d = np.concatenate(hashes), np.concatenate(runs), np.concatenate(docs)
-            p = parts_of(h, parts)
-            low = h & LOW
-            order = np.lexsort((d, r, low, p))
-            p, low, r, d = p[order], low[order], r[order], d[order]
-            new = np.ones(len(p), bool)
-            new[1:] = (p[1:] != p[:-1]) | (low[1:] != low[:-1]) | (r[1:] != r[:-1])
-            doc = new.copy()
-            doc[1:] |= d[1:] != d[:-1]
-            first = np.nonzero(new)[0]
-            many = np.minimum(np.add.reduceat(doc.astype(np.int64), first), 65535)
-            p, low, r = p[first], low[first], r[first]
-            cut = np.searchsorted(p, np.arange(parts + 1))
-            out = [(k, planes(low[i:j], 5), planes(r[i:j], 3), planes(many[i:j], 2)) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
-            return pd.DataFrame(out, columns=["part", "low", "runs", "many"])
-
-        for part in batches:
-            texts, ids, own = part["t"].to_list(), part["doc_id"].to_numpy(), part["run"].to_numpy()
-            for i, j in batches_of(texts):
-                b, ends = laid_out(texts[i:j])
-                at, h = anchors(b, ends)
-                doc = np.searchsorted(ends, at, side="right") + i
-                hashes.append(h)
-                runs.append(own[doc])
-                docs.append(ids[doc])
-                held += len(h)
-                if held > 3_000_000:
-                    yield flush()
-                    hashes, runs, docs, held = [], [], [], 0
-        if held:
-            yield flush()
-
-    return rows.mapInPandas(run, "part int, low binary, runs binary, many binary")
-
-
-def shared_hashes(hashed: DataFrame, hot_from: int = HOT) -> DataFrame:
-    """What hash_runs found, by part -> for each run the sorted low hashes that several documents have, hot ones marked."""
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        low = np.concatenate([from_planes(x, 5) for x in part["low"]])
-        r = np.concatenate([from_planes(x, 3) for x in part["runs"]]).astype(np.int64)
-        many = np.concatenate([from_planes(x, 2) for x in part["many"]]).astype(np.int64)
-        order = np.argsort(low, kind="stable")
-        low, r, many = low[order], r[order], many[order]
-        first = np.nonzero(np.r_[True, low[1:] != low[:-1]])[0]
-        docs = np.repeat(np.add.reduceat(many, first), np.diff(np.r_[first, len(low)]))
-        keep = docs > 1
-        low, r, hot = low[keep], r[keep], (docs > hot_from)[keep]
-        order = np.lexsort((low, r))
-        low, r, hot = low[order], r[order], hot[order]
-        runs, first = np.unique(r, return_index=True)
-        out = [(int(part["part"].iloc[0]), int(k), planes(low[i:j], 5), np.packbits(hot[i:j]).tobytes()) for k, i, j in zip(runs, first, np.r_[first[1:], len(r)], strict=True)]
-        return pd.DataFrame(out, columns=["part", "run", "low", "hot"])
-
-    return hashed.groupBy("part").applyInPandas(merge, "part int, run int, low binary, hot binary")
-
-
-def ordered(docs: pd.DataFrame) -> pd.DataFrame:
-    """Rows in the order of id and text; rows that repeat an id lie behind each other in one range of places (column base)."""
-    docs = docs.sort_values(["doc_id", "t"], kind="stable").reset_index(drop=True)
-    size = np.array([len(t.encode("utf-8", "surrogatepass")) for t in docs["t"]], np.int64)
-    total = np.cumsum(size) - size
-    first = np.r_[True, docs["doc_id"].to_numpy()[1:] != docs["doc_id"].to_numpy()[:-1]] if len(docs) else np.zeros(0, bool)
-    return docs.assign(size=size, base=total - total[np.maximum.accumulate(np.where(first, np.arange(len(docs)), 0))] if len(docs) else size)
-
-
-def contexts(b: np.ndarray, ends: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(anchors, WIDTH) bytes: LENGTH from each anchor on, then BEFORE before it in reverse; PAD beyond the text."""
-    starts = np.concatenate([[0], ends[:-1]])
-    right = at[:, None] + np.arange(LENGTH)
-    left = at[:, None] - 1 - np.arange(BEFORE)
-    idx = np.concatenate([right, left], axis=1)
-    out = b[np.clip(idx, 0, len(b) - 1)]
-    out[(idx >= ends[doc][:, None]) | (idx < starts[doc][:, None])] = PAD
+    out[:, :size] = np.frombuffer(raw, np.uint8, offset=1).reshape(size, n).T
+    return out.view("<i8").reshape(-1)
+
+
+def part_of(h: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """The range that a hash of so many bits (32 at least) falls into; ranges follow the order of hashes."""
+    return ((h >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def slices(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Each value of a sorted array with its slice."""
+    first = np.nonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])[0] if len(sorted_values) else np.zeros(0, np.int64)
+    yield from zip(sorted_values[first].tolist(), first.tolist(), np.r_[first[1:], len(sorted_values)].tolist(), strict=True)
+
+
+class Run:
+    """A run's texts end to end in the order of id and text, with their anchors; equal on every node and in every step."""
+
+    def __init__(self, docs: pd.DataFrame, bits: int):
+        docs = docs.sort_values(["doc_id", "t"], kind="stable")
+        self.ids = docs["doc_id"].to_numpy(np.int64)
+        raw = [t.encode("utf-8", "surrogatepass") for t in docs["t"]]
+        self.ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
+        self.starts = self.ends - [len(x) for x in raw]
+        self.b = np.frombuffer(b"".join(raw), np.uint8)
+        self.bits = bits
+
+    def find(self) -> None:
+        found, i = [], 0
+        while i < len(self.ids):
+            base = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, base + BATCH_BYTES)))
+            at, *rest = anchors(self.b[base : self.ends[j - 1]], self.ends[i:j] - base)
+            found.append((at + base, *rest))
+            i = j
+        self.at, h, self.low, self.high = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.h = h >> np.uint64(64 - self.bits)
+        self.doc = self.ids[np.searchsorted(self.ends, self.at, side="right")]
+        self.distinct = np.unique(self.h)
+
+
+CELLS = "part int, run int, hashes binary, docs binary"
+
+
+def hash_run(docs: pd.DataFrame, bits: int, parts: int) -> pd.DataFrame:
+    """A run's distinct anchor hashes by range, delta-coded, each with the number of its documents."""
+    run = Run(docs, bits)
+    run.find()
+    order = np.argsort(run.h, kind="stable")  # within a hash by document
+    h, d = run.h[order], run.doc[order]
+    new = np.r_[True, h[1:] != h[:-1]][: len(h)]
+    other = new.copy()
+    other[1:] |= d[1:] != d[:-1]
+    many = np.add.reduceat(other.astype(np.int64), np.nonzero(new)[0]) if len(h) else np.zeros(0, np.int64)
+    h = h[new]
+    out = [(p, int(docs["run"].iloc[0]), planes(np.diff(h[i:j], prepend=np.uint64(0))), planes(many[i:j])) for p, i, j in slices(part_of(h, bits, parts))]
+    return pd.DataFrame(out, columns=["part", "run", "hashes", "docs"])
+
+
+FLAGS = "run int, part int, shared binary, hot binary"
+
+
+def compare_hashes(cells: pd.DataFrame, hot_from: int) -> pd.DataFrame:
+    """A range's cells -> for each run which of its hashes several documents have, and which more than hot_from have."""
+    if not len(cells):
+        return pd.DataFrame([], columns=["run", "part", "shared", "hot"])
+    hashes = [np.cumsum(from_planes(x).view(np.uint64)) for x in cells["hashes"]]
+    h = np.concatenate(hashes)
+    order = np.argsort(h, kind="stable")
+    first = np.nonzero(np.r_[True, np.diff(h[order]) != 0])[0]
+    total = np.add.reduceat(np.concatenate([from_planes(x) for x in cells["docs"]])[order], first)
+    docs = np.empty(len(h), np.int64)
+    docs[order] = np.repeat(total, np.diff(np.r_[first, len(h)]))
+    cut = np.cumsum([0, *map(len, hashes)])
+    out = [(r, p, np.packbits(docs[i:j] > 1).tobytes(), np.packbits(docs[i:j] > hot_from).tobytes()) for r, p, i, j in zip(cells["run"], cells["part"], cut, cut[1:])]
+    return pd.DataFrame(out, columns=["run", "part", "shared", "hot"])
+
+
+def contexts(b: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """(anchors, WIDTH) bytes: those from each anchor on that its strings hold, then those before it in reverse; PAD elsewhere."""
+    out = np.full((len(at), WIDTH), PAD, np.uint8)
+    right, left = np.arange(LENGTH), np.arange(BEFORE)
+    for i in range(0, len(at), 1 << 14):
+        a, lo, hi = (x[i : i + (1 << 14), None] for x in (at, low, high))
+        out[i : i + len(a), :LENGTH] = np.where(right < LENGTH - lo, b[np.minimum(a + right, len(b) - 1)], PAD)
+        out[i : i + len(a), LENGTH:] = np.where(left < hi, b[np.maximum(a - 1 - left, 0)], PAD)
     return out
 
 
-def reach(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many bytes each has from the anchor on and before it."""
-    return (s[:, :LENGTH] != PAD).sum(1), (s[:, LENGTH:] != PAD).sum(1)
+def order_of(s: np.ndarray) -> np.ndarray:
+    """The stable order of rows of bytes."""
+    return np.argsort(np.column_stack([s, np.ones(len(s), np.uint8)]).view(f"S{s.shape[1] + 1}").reshape(-1), kind="stable")  # a last byte that isn't 0
 
 
 def common(s: np.ndarray) -> np.ndarray:
     """The length of the prefix that each row of sorted s shares with the row before; 0 for the first."""
     out = np.zeros(len(s), np.int64)
-    if len(s) > 1:
-        out[1:] = np.cumprod(s[1:] == s[:-1], axis=1, dtype=np.uint8).sum(1)
+    for i in range(1, len(s), 1 << 16):
+        j = min(i + (1 << 16), len(s))
+        differ = s[i:j] != s[i - 1 : j - 1]
+        out[i:j] = np.where(differ.any(1), differ.argmax(1), s.shape[1])
     return out
 
 
-SORTED = "part int, run int, docs array<long>, starts array<long>, ends array<long>, shared binary, tails binary, w0 array<long>, w1 array<long>"
-COLUMNS = ["part", "run", "docs", "starts", "ends", "shared", "tails", "w0", "w1"]
+def settled(s: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted order of suffixes that come in the order of documents, and which of them repeat one of a smaller document."""
+    order = order_of(s)
+    s, doc = s[order], doc[order]
+    first = np.nonzero(np.r_[True, (s[1:] != s[:-1]).any(1)])[0] if len(s) else np.zeros(0, np.int64)
+    return order, doc > np.repeat(doc[first], np.diff(np.r_[first, len(s)]))
 
 
-def sort_run(docs: pd.DataFrame, shared: pd.DataFrame, parts: int) -> pd.DataFrame:
-    """A run's suffixes sorted and front-coded by part; spans that the run itself decides; strings of hot anchors."""
-    if not len(docs) or not len(shared):
-        return pd.DataFrame([], columns=COLUMNS)
-    run = int(docs["run"].iloc[0])
-    known: dict[int, tuple] = {}
-    for p, low, hot in zip(shared["part"], shared["low"], shared["hot"], strict=True):
-        x = from_planes(low, 5)
-        known[int(p)] = (x, np.unpackbits(np.frombuffer(hot, np.uint8))[: len(x)].astype(bool))
-    table = np.concatenate([x | (np.uint64(p) << np.uint64(40)) for p, (x, _) in sorted(known.items())])
-    is_hot = np.concatenate([h for _, (_, h) in sorted(known.items())])
-    docs = ordered(docs)
-    texts, ids, base = docs["t"].to_list(), docs["doc_id"].to_numpy(), docs["base"].to_numpy()
-    got, got_doc, got_at, got_part, got_hot = [], [], [], [], []
-    for i, j in batches_of(texts):
-        b, ends = laid_out(texts[i:j])
-        at, h = anchors(b, ends)
-        key = (h & LOW) | (parts_of(h, parts).astype(np.uint64) << np.uint64(40))
-        k = np.minimum(np.searchsorted(table, key), len(table) - 1)
-        some = table[k] == key
-        at, key, k = at[some], key[some], k[some]
-        doc = np.searchsorted(ends, at, side="right")
-        got.append(contexts(b, ends, doc, at))
-        got_doc.append(ids[doc + i])
-        got_at.append(at - np.concatenate([[0], ends[:-1]])[doc] + base[doc + i])
-        got_part.append((key >> np.uint64(40)).astype(np.int64))
-        got_hot.append(is_hot[k])
-    s, doc, at, part, hot = np.concatenate(got), np.concatenate(got_doc), np.concatenate(got_at), np.concatenate(got_part), np.concatenate(got_hot)
-    if not len(s):
-        return pd.DataFrame([], columns=COLUMNS)
-    text = np.column_stack([s, np.full(len(s), 1, np.uint8)]).view(f"S{WIDTH + 1}").reshape(-1)  # a last byte that isn't 0
-    order = np.lexsort((at, doc, text))
-    s, doc, at, part, hot = s[order], doc[order], at[order], part[order], hot[order]
-    first = np.nonzero(np.r_[True, (s[1:] != s[:-1]).any(1)])[0]
-    smallest = np.repeat(doc[first], np.diff(np.r_[first, len(s)]))  # sorted by document within equal strings
-    right, left = reach(s)
-    gone = doc > smallest
-    own = merged(doc[gone], (at - left)[gone], (at + right)[gone])
-    out = [(run % parts, run, *own, b"", b"", None, None)] if len(own[0]) else []
-    keep = ~gone
-    out += hot_strings(run, parts, s[keep & hot], doc[keep & hot], at[keep & hot], right[keep & hot], left[keep & hot])
-    keep &= ~hot
-    s, doc, at, part = s[keep], doc[keep], at[keep], part[keep]
-    for p in np.unique(part):
-        mine = part == p
-        x = s[mine]
-        lcp = common(x)
-        tails = x[np.arange(WIDTH)[None, :] >= lcp[:, None]].tobytes()
-        out.append((int(p), run, doc[mine], at[mine], None, lcp.astype(np.uint8).tobytes(), tails, None, None))
-    return pd.DataFrame(out, columns=COLUMNS)
+SORTED = "part int, run int, shared binary, tails binary, docs binary, places binary, sizes binary"
+COLUMNS = [x.split()[0] for x in SORTED.split(", ")]
 
 
-def hot_strings(run: int, parts: int, s: np.ndarray, doc: np.ndarray, at: np.ndarray, right: np.ndarray, left: np.ndarray) -> list[tuple]:
-    """Each string of LENGTH bytes around the anchors as a 128-bit hash with its document and place."""
-    out = []
-    for o in range(PLACES):
-        ok = (left >= o) & (right >= LENGTH - o)
-        if ok.any():
-            x = np.concatenate([s[ok, LENGTH : LENGTH + o][:, ::-1], s[ok, : LENGTH - o]], axis=1).astype(np.uint64)
-            w = []
-            for seed in (BASE, 0xC2B2AE3D27D4EB4F):
-                h = np.full(len(x), seed, np.uint64)
-                for c in range(LENGTH):
-                    h = (h ^ x[:, c]) * np.uint64(0x100000001B3)
-                    h ^= h >> np.uint64(29)
-                w.append((h * np.uint64(BASE)).view(np.int64))
-            start = at[ok] - o
-            out.append(((run + o) % parts, run, doc[ok], start, start + LENGTH, b"", b"", w[0], w[1]))
-    return out
+def spans_row(part: int, run: int, start: np.ndarray, end: np.ndarray) -> tuple:
+    order = np.argsort(start)
+    return (part, run, None, None, None, planes(np.diff(start[order], prepend=0)), planes((end - start)[order]))
 
 
-def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of each document united where they touch or overlap."""
-    if not len(doc):
-        return doc, start, end
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    # Behind a shift for each document, so that one running maximum serves all.
-    rank = np.cumsum(np.r_[0, doc[1:] != doc[:-1]]).astype(np.int64)
-    wide = int(end.max()) + 2
-    far = np.maximum.accumulate(end + rank * wide)
-    new = np.r_[True, (start + rank * wide)[1:] > far[:-1]]
-    first = np.nonzero(new)[0]
-    return doc[first], start[first], far[np.r_[first[1:] - 1, len(far) - 1]] - rank[first] * wide
+def sort_run(docs: pd.DataFrame, flags: pd.DataFrame, bits: int, parts: int) -> pd.DataFrame:
+    """A run's suffixes sorted and front-coded by range, and the spans that the run decides itself (column sizes)."""
+    if not len(docs) or not len(flags):
+        return pd.DataFrame([], columns=COLUMNS)
+    run, me = Run(docs, bits), int(docs["run"].iloc[0])
+    run.find()
+    shared, hot = np.zeros(len(run.distinct), bool), np.zeros(len(run.distinct), bool)
+    known = {p: (x, y) for p, x, y in zip(flags["part"], flags["shared"], flags["hot"], strict=True)}
+    for p, i, j in slices(part_of(run.distinct, bits, parts)):
+        for out, x in zip((shared, hot), known[p], strict=True):
+            out[i:j] = np.unpackbits(np.frombuffer(x, np.uint8))[: j - i]
+    which = np.searchsorted(run.distinct, run.h)
+    use = np.nonzero(shared[which])[0]
+    if not len(use):
+        return pd.DataFrame([], columns=COLUMNS)
+    at, low, high, doc, part, hot = run.at[use], run.low[use], run.high[use], run.doc[use], part_of(run.h[use], bits, parts), hot[which[use]]
+    s = contexts(run.b, at, low, high)
+    order, gone = settled(s, doc, at)
+    out = []
+    if gone.any():
+        x = order[gone]
+        out.append(spans_row(me % parts, me, at[x] - high[x], at[x] - low[x] + LENGTH))
+    kept = order[~gone]
+    few, many = kept[~hot[kept]], np.sort(kept[hot[kept]])
+    if len(many):
+        # Anchors of very many documents: string by string.
+        width = high[many] - low[many] + 1
+        start = np.repeat(at[many] - high[many], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        of = np.repeat(doc[many], width)
+        later = np.lexsort((start, of))
+        start, of = start[later], of[later]
+        zero = np.zeros(len(start), np.int64)
+        x = contexts(run.b, start, zero, zero)
+        order, gone = settled(x, of, start)
+        if gone.any():
+            y = start[order[gone]]
+            out.append(spans_row(me % parts, me, y, y + LENGTH))
+        order = order[~gone]
+        x, of, start = x[order], of[order], start[order]
+        h = np.full(len(x), BASE, np.uint64)
+        for c in range(LENGTH):
+            h = (h ^ x[:, c].astype(np.uint64)) * np.uint64(0x100000001B3)
+            h ^= h >> np.uint64(29)
+        s, doc, at, part = np.concatenate([s[few], x]), np.concatenate([doc[few], of]), np.concatenate([at[few], start]), np.concatenate([part[few], part_of(h * np.uint64(BASE), 64, parts)])
+        order = order_of(s)
+    else:
+        order = few
+    order = order[np.argsort(part[order], kind="stable")]
+    s, doc, at, part = s[order], doc[order], at[order], part[order]
+    column = np.arange(WIDTH)
+    for p, i, j in slices(part):
+        lcp = common(s[i:j])
+        out.append((p, me, lcp.astype(np.uint8).tobytes(), s[i:j][column >= lcp[:, None]].tobytes(), planes(doc[i:j]), planes(at[i:j]), None))
+    return pd.DataFrame(out, columns=COLUMNS)
 
 
 def decode(shared: bytes, tails: bytes) -> tuple[list[bytes], list[int]]:
@@ -348,10 +328,10 @@ def loser_tree(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], li
         x, y = heads[a], heads[b]
         if x is end or y is end:
             return (b, lb, a, 0) if x is end and y is not end else (a, la, b, 0)
+        if x == y:
+            return (a, la, b, WIDTH) if a < b else (b, lb, a, WIDTH)
         d = from_bytes(x[la:], "big") ^ from_bytes(y[la:], "big")
         n = WIDTH - (d.bit_length() + 7 >> 3)
-        if not d:
-            return (a, la, b, WIDTH) if a < b else (b, lb, a, WIDTH)
         return (a, la, b, n) if x[n] < y[n] else (b, lb, a, n)
 
     loser, kept = [0] * k, [0] * k
@@ -391,104 +371,108 @@ def loser_tree(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], li
     return from_run, from_place, shares
 
 
-def covered(s: np.ndarray, lcp: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For merged suffixes: whether any string around an anchor occurs in a smaller document, and the first and last such place of the anchor."""
-    right, left = reach(s)
-    low, high = np.full(len(s), PLACES), np.full(len(s), -1)
-    # Only anchors that occur with more than one document have anything to say.
-    group = np.cumsum(lcp < GRAM)
-    ends = np.r_[np.nonzero(lcp < GRAM)[0], len(s)]
-    some = np.maximum.reduceat(doc, ends[:-1]) != np.minimum.reduceat(doc, ends[:-1])
-    use = np.nonzero(some[group - 1])[0]
-    if not len(use):
-        return high >= 0, low, high
-    hashed = np.zeros(len(use), np.uint64)
-    for o in range(PLACES):
-        if o:
-            hashed = (hashed ^ s[use, LENGTH + o - 1].astype(np.uint64)) * np.uint64(0x100000001B3)
-            hashed ^= hashed >> np.uint64(31)
-        right_group = np.cumsum(lcp < LENGTH - o)[use].astype(np.uint64)
-        ok = np.nonzero((left[use] >= o) & (right[use] >= LENGTH - o))[0]
-        if not len(ok):
-            continue
-        key = (right_group[ok] * np.uint64(BASE)) ^ hashed[ok]
-        _, which = np.unique(key, return_inverse=True)
-        least = np.full(which.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, which, doc[use[ok]])
-        hit = use[ok][least[which] < doc[use[ok]]]
-        low[hit] = np.minimum(low[hit], o)
-        high[hit] = np.maximum(high[hit], o)
-    return high >= 0, low, high
-
-
-SPANS = "run int, docs array<long>, starts array<long>, ends array<long>, w0 array<long>, w1 array<long>"
+def covered(s: np.ndarray, lcp: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For merged suffixes: the first and last place of the anchor in strings that a smaller document has too (last < first: none)."""
+    right, left = (s[:, :LENGTH] != PAD).sum(1), (s[:, LENGTH:] != PAD).sum(1)
+    # Equal contexts: all but those of the smallest document are covered wholly; one of these speaks for the rest.
+    same = np.cumsum(lcp < WIDTH) - 1
+    first = np.nonzero(lcp < WIDTH)[0]
+    least = np.minimum.reduceat(doc, first)
+    low, high = np.full(len(first), PLACES), np.full(len(first), -1)
+    # Only anchors with several contexts of different documents have more to say.
+    shared = lcp[first]  # with the context before
+    group = np.nonzero(shared < GRAM)[0]
+    some = np.maximum.reduceat(least, group) != np.minimum.reduceat(least, group)
+    use = np.nonzero(some[np.cumsum(shared < GRAM) - 1])[0]
+    if len(use):
+        x, r, lf, d = s[first[use]], right[first[use]], left[first[use]], least[use]
+        back = order_of(x[:, LENGTH:])
+        alike = common(x[back, LENGTH:])
+        before = np.empty(len(use), np.int64)
+        for o in range(PLACES):
+            ok = np.nonzero((lf >= o) & (r >= LENGTH - o))[0]
+            if len(ok) < 2:
+                continue
+            before[back] = np.cumsum(alike < o)
+            key = np.cumsum(shared < LENGTH - o)[use][ok] * (len(use) + 1) + before[ok]
+            order = np.lexsort((d[ok], key))
+            key = key[order]
+            new = np.r_[True, key[1:] != key[:-1]]
+            smallest = d[ok[order]][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+            hit = use[ok[order[d[ok[order]] > smallest]]]
+            low[hit], high[hit] = np.minimum(low[hit], o), np.maximum(high[hit], o)
+    low, high = low[same], high[same]
+    whole = doc > least[same]
+    return np.where(whole, LENGTH - right, low), np.where(whole, left, high)
+
+
+SPANS = "run int, starts binary, sizes binary"
 
 
 def merge_part(part: pd.DataFrame) -> pd.DataFrame:
-    """A part's sorted runs -> spans by run; spans and hot strings of the runs pass through."""
-    through = part["ends"].notna()
-    out = [(int(r.run), r.docs, r.starts, r.ends, r.w0, r.w1) for r in part[through].itertuples()]
+    """A range's sorted runs -> spans by run; spans that a run decided pass through."""
+    through = part["sizes"].notna()
+    out = [(int(r.run), r.places, r.sizes) for r in part[through].itertuples()]
     part = part[~through].sort_values("run")
     if len(part):
         runs = [decode(a, b) for a, b in zip(part["shared"], part["tails"], strict=True)]
         from_run, from_place, lcp = (np.array(x, np.int64) for x in loser_tree(runs))
-        first = np.cumsum([0, *(len(r[0]) for r in runs)])
-        flat = first[from_run] + from_place
+        flat = np.cumsum([0, *(len(r[0]) for r in runs)])[from_run] + from_place
         s = np.frombuffer(b"".join(x for r in runs for x in r[0]), np.uint8).reshape(-1, WIDTH)[flat]
-        doc, at = np.concatenate(part["docs"].to_list())[flat], np.concatenate(part["starts"].to_list())[flat]
-        hit, low, high = covered(s, lcp, doc)
-        whose = part["run"].to_numpy()[from_run]
-        for r in np.unique(whose[hit]):
-            mine = hit & (whose == r)
-            out.append((int(r), *merged(doc[mine], at[mine] - high[mine], at[mine] - low[mine] + LENGTH), None, None))
-    return pd.DataFrame(out, columns=["run", "docs", "starts", "ends", "w0", "w1"])
+        doc, at = (np.concatenate([from_planes(x) for x in part[c]])[flat] for c in ("docs", "places"))
+        low, high = covered(s, lcp, doc)
+        hit = np.nonzero(high >= low)[0]
+        hit = hit[np.argsort(from_run[hit], kind="stable")]
+        names = part["run"].to_list()
+        for r, i, j in slices(from_run[hit]):
+            mine = hit[i:j]
+            _, me, *_, starts, sizes = spans_row(0, names[r], at[mine] - high[mine], at[mine] - low[mine] + LENGTH)
+            out.append((me, starts, sizes))
+    return pd.DataFrame(out, columns=["run", "starts", "sizes"])
 
 
-def cut_run(docs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+
+
+def cut_run(docs: pd.DataFrame, spans: pd.DataFrame, bits: int) -> pd.DataFrame:
     """A run's texts without their spans."""
     if not len(docs):
         return pd.DataFrame([], columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-    docs = ordered(docs)
-    empty = np.zeros(0, np.int64)
-    doc, start, end = merged(*(np.concatenate([empty, *spans[c].to_list()]).astype(np.int64) for c in ("docs", "starts", "ends")))
-    by: dict[int, list] = {}
-    for d, i, j in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True):
-        by.setdefault(d, []).append((i, j))
-    out = []
-    for d, t, base, size in zip(docs["doc_id"].tolist(), docs["t"], docs["base"].tolist(), docs["size"].tolist(), strict=True):
-        raw, at, kept, gone, n = t.encode("utf-8", "surrogatepass"), 0, [], 0, 0
-        for i, j in by.get(d, ()):
-            i, j = max(i - base, 0), min(j - base, size)
-            if i < j:
-                kept.append(raw[at:i])
-                gone, n, at = gone + j - i, n + 1, j
-        kept.append(raw[at:])
-        out.append((d, size, gone, n, b"".join(kept)))
-    return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_from: int = HOT) -> DataFrame:
+    run = Run(docs, bits)
+    size = len(run.b)
+    depth = np.zeros(size + 1, np.int32)
+    for starts, sizes in zip(spans["starts"], spans["sizes"], strict=True):
+        start = np.cumsum(from_planes(starts))
+        np.add.at(depth, start, 1)
+        np.add.at(depth, start + from_planes(sizes), -1)
+    gone = np.cumsum(depth[:size]) > 0
+    before = np.r_[0, np.cumsum(gone)]
+    begins = gone & ~np.r_[False, gone[:-1]] if size else gone
+    some = run.starts[run.starts < run.ends]
+    begins[some] = gone[some]
+    runs = np.r_[0, np.cumsum(begins)]
+    kept, at = run.b[~gone].tobytes(), np.arange(size + 1) - before
+    i, j = run.starts, run.ends
+    return pd.DataFrame({"doc_id": run.ids, "n_bytes": j - i, "n_removed": before[j] - before[i], "n_spans": runs[j] - runs[i], "kept": [kept[x:y] for x, y in zip(at[i].tolist(), at[j].tolist(), strict=True)]})
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_from: int = HOT, run_bytes: int | None = None) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (remaining bytes).
 
     Null text counts as empty. Rows with a null id keep their text and take no part. Rows that repeat an
     id don't remove each other's bytes. An empty table gives no rows. What is removed is judged on the input.
+    run_bytes: text that one task sorts at once; by default RUN_BYTES, growing with the square root of tables beyond 256 GB up to LARGEST_RUN.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("t"))
     size = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
-    runs = max(32, -(-size // RUN_BYTES))
-    src = rows.filter("doc_id IS NOT NULL").withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int"))
-    shared = materialise(shared_hashes(hash_runs(src, runs), hot_from), "shared")
-    release(docs.sparkSession)
-    in_runs = src.groupBy("run").cogroup(shared.groupBy("run")).applyInPandas(lambda d, s: sort_run(d, s, runs), SORTED)
-    found = materialise(in_runs.groupBy("part").applyInPandas(merge_part, SPANS), "spans")
-    release(docs.sparkSession)
-    spans = found.filter("w0 IS NULL").select("run", "docs", "starts", "ends")
-    hot = found.filter("w0 IS NOT NULL").select("run", F.explode(F.arrays_zip("docs", "starts", "ends", "w0", "w1")).alias("x")).select("run", "x.*")
-    if hot.limit(1).count():
-        least = materialise(hot.groupBy("w0", "w1").agg(F.min("docs").alias("least"), F.max("docs").alias("most")).filter("least < most").select("w0", "w1", "least"), "least")
-        late = hot.join(least, ["w0", "w1"]).filter("docs > least")
-        spans = spans.union(late.groupBy("run", "docs").agg(F.collect_set(F.struct("starts", "ends")).alias("x")).select("run", F.transform("x", lambda _: F.col("docs")).alias("docs"), F.col("x.starts").alias("starts"), F.col("x.ends").alias("ends")))
-    out = src.groupBy("run").cogroup(spans.groupBy("run")).applyInPandas(cut_run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    runs = max(32, -(-size // (run_bytes or max(RUN_BYTES, min(LARGEST_RUN, math.isqrt(size << 10))))))
+    bits = min(64, max(36, size.bit_length() + 4))  # a hash meets another by chance once in some hundred
+    src = rows.filter("doc_id IS NOT NULL").withColumn("run", F.pmod(F.xxhash64("doc_id", "t"), F.lit(runs)).cast("int"))
+    cells = src.groupBy("run").applyInPandas(lambda d: hash_run(d, bits, runs), CELLS)
+    flags = cells.groupBy("part").applyInPandas(lambda c: compare_hashes(c, hot_from), FLAGS)
+    suffixes = src.groupBy("run").cogroup(flags.groupBy("run")).applyInPandas(lambda d, f: sort_run(d, f, bits, runs), SORTED)
+    spans = suffixes.groupBy("part").applyInPandas(merge_part, SPANS)
+    out = src.groupBy("run").cogroup(spans.groupBy("run")).applyInPandas(lambda d, s: cut_run(d, s, bits), RESULT)
     none = rows.filter("doc_id IS NULL").select("doc_id", F.octet_length("t").cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.encode("t", "UTF-8"))
     return out.union(none)
