@@ -37,7 +37,7 @@ PLACES = LENGTH - GRAM + 1  # of an anchor in a string; also pieces a string has
 BEFORE = PLACES - 1  # bytes before an anchor that a string can have
 WIDTH = LENGTH + BEFORE
 PAD = 255  # never a byte of UTF-8
-RUN_BYTES, LARGEST_RUN = 16 << 20, 256 << 20
+RUN_BYTES, LARGEST_RUN = 8 << 20, 256 << 20
 BATCH_BYTES = 1 << 20
 HOT = 20_000  # documents of one anchor from which on its strings are sent one by one
 BASE = 0x9E3779B97F4A7C15
@@ -445,15 +445,14 @@ def cut_run(docs: pd.DataFrame, spans: pd.DataFrame, bits: int) -> pd.DataFrame:
         start = np.cumsum(from_planes(starts))
         np.add.at(depth, start, 1)
         np.add.at(depth, start + from_planes(sizes), -1)
-    gone = np.cumsum(depth[:size]) > 0
-    before = np.r_[0, np.cumsum(gone)]
+    gone = np.cumsum(depth[:size], dtype=np.int32) > 0
     begins = gone & ~np.r_[False, gone[:-1]] if size else gone
     some = run.starts[run.starts < run.ends]
     begins[some] = gone[some]
-    runs = np.r_[0, np.cumsum(begins)]
-    kept, at = run.b[~gone].tobytes(), np.arange(size + 1) - before
+    removed, runs = (np.r_[np.int32(0), np.cumsum(x, dtype=np.int32)] for x in (gone, begins))
     i, j = run.starts, run.ends
-    return pd.DataFrame({"doc_id": run.ids, "n_bytes": j - i, "n_removed": before[j] - before[i], "n_spans": runs[j] - runs[i], "kept": [kept[x:y] for x, y in zip(at[i].tolist(), at[j].tolist(), strict=True)]})
+    kept, x, y = run.b[~gone].tobytes(), (i - removed[i]).tolist(), (j - removed[j]).tolist()
+    return pd.DataFrame({"doc_id": run.ids, "n_bytes": j - i, "n_removed": removed[j] - removed[i], "n_spans": runs[j] - runs[i], "kept": [kept[a:z] for a, z in zip(x, y, strict=True)]})
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_from: int = HOT, run_bytes: int | None = None) -> DataFrame:
