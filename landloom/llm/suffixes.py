@@ -100,7 +100,9 @@ def anchors(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         place = own[:, None] - np.arange(PLACES)
         mine = (least[np.maximum(place, 0)] == h[own][:, None]) & (place >= 0)
         low[i : i + len(own)], high[i : i + len(own)] = mine.argmax(1), PLACES - 1 - mine[:, ::-1].argmax(1)
-    return at, h[at], low, high
+    # Anchors' hashes are the small ones; mixed again they spread over all ranges.
+    h = (h[at] ^ (h[at] >> np.uint64(31))) * np.uint64(BASE)
+    return at, h ^ (h >> np.uint64(29)), low, high
 
 
 def planes(x: np.ndarray) -> bytes:
