@@ -1,34 +1,38 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 Largest inner product becomes smallest distance when vectors are scaled into the unit ball and lifted
-to the sphere by one more component. Each of TABLES tables hashes a point by floor((a x + b) / WIDTH)
-for HASHES Gaussian directions. For a query the success of a bucket is estimated as the product of
-the chances that a neighbour at the expected distance falls into each of its cells; buckets are
-visited in descending order of that estimate until their sum reaches SUCCESS, which fixes a cut of the
-estimate: exactly the buckets above it are visited. Candidates of all tables are merged and ranked by
-the exact inner product of the original vectors in double precision.
-
-Rows are dealt to blocks by a hash of their id and queries to blocks of their own, so a bucket or a vector
-that a third of all rows share is spread evenly, and each pair of blocks yields at most k rows a query.
-What the search costs follows the data: where neighbours are much nearer than other points few buckets
-are visited; on vectors without structure about half of the points must be.
+to the sphere by one more component. Each of TABLES tables gives a point the bucket of its cells
+floor((a x + b) / WIDTH) for some Gaussian directions, so many that a bucket has about ROWS_A_BUCKET rows.
+For a query the success of a bucket is estimated as the product of the chances that a neighbour at the
+expected distance falls into each of its cells. Buckets are visited in descending order of that estimate
+until their sum reaches SUCCESS, and only rows of visited buckets are scored. Candidates of all tables
+are merged and ranked by the exact inner product of the original vectors in double precision.
+
+The visits of all queries meet the buckets that exist in an equi-join. Buckets are gathered in blocks by a hash,
+large ones over several blocks by a hash of their rows; a block with very many queries is looked at by
+several tasks. What the search costs follows the data: where neighbours are much nearer than other points few
+buckets are visited; on vectors without structure about half of the points must be.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-TABLES, HASHES, WIDTH, SUCCESS = 2, 16, 1.2, 0.84
-SAMPLE = 4096  # vectors looked at to estimate the neighbours' distance
+TABLES, WIDTH, SUCCESS = 2, 1.2, 0.84
+ROWS_A_BUCKET = 256
+BITS_A_HASH = 1.6  # what one cell tells about a point, about
 CELLS = 12  # cells of one hash; what lies beyond is counted with the outermost
+MOST_HASHES = 15  # four bits of a bucket's key each
+SAMPLE = 4096  # vectors looked at to estimate the neighbours' distance
 WIDER = 3  # the distance allowed for is that of the k-th neighbour times this in rank, for a sample tells it roughly
 DRAWS = 400
 ROWS_A_BLOCK, QUERIES_A_BLOCK = 4096, 1024
@@ -39,26 +43,33 @@ def phi(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(-1.5976 * x - 0.070566 * x**3, -60, 60)))
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, however small or large."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class Tables:
     """The hash functions; equal seeds give equal tables on every node."""
 
-    def __init__(self, dim: int, scale: float, seed: int = 7):
+    def __init__(self, dim: int, hashes: int, scale: float, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.scale = scale
-        self.a = rng.standard_normal((TABLES, dim + 1, HASHES))
-        self.b = rng.uniform(0, WIDTH, (TABLES, HASHES))
+        self.scale, self.hashes = scale, hashes
+        self.a = rng.standard_normal((TABLES, dim + 1, hashes))
+        self.b = rng.uniform(0, WIDTH, (TABLES, hashes))
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         x = x / self.scale
         return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))])
 
-    def cells(self, t: int, x: np.ndarray) -> np.ndarray:
-        c = np.floor((self.lifted(x) @ self.a[t] + self.b[t]) / WIDTH).astype(np.int64) + CELLS // 2
-        return np.clip(c, 0, CELLS - 1)
+    def buckets(self, t: int, x: np.ndarray) -> np.ndarray:
+        """The key of each point's bucket."""
+        c = np.clip(np.floor((self.lifted(x) @ self.a[t] + self.b[t]) / WIDTH).astype(np.int64) + CELLS // 2, 0, CELLS - 1)
+        return (c << (4 * np.arange(self.hashes))).sum(1)
 
     def log_success(self, t: int, q: np.ndarray, near: np.ndarray) -> np.ndarray:
-        """(queries, HASHES, CELLS): log of the chance that a neighbour of similarity near lies in a cell."""
-        q = np.column_stack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q))])
+        """(queries, hashes, CELLS): log of the chance that a neighbour of similarity near lies in a cell; q of length 1."""
+        q = np.column_stack([q, np.zeros(len(q))])
         mean, sd = near[:, None] * (q @ self.a[t]), np.sqrt(1 - near**2)[:, None]
         edges = (np.arange(CELLS + 1) - CELLS // 2) * WIDTH
         z = (edges[None, None, :] - self.b[t][None, :, None] - mean[:, :, None]) / sd[:, :, None]
@@ -70,104 +81,166 @@ class Tables:
         rng = np.random.default_rng(seed)
         total = np.cumsum(np.exp(log_p), axis=2)
         out = np.zeros((len(log_p), DRAWS))
-        for i in range(HASHES):
+        for i in range(self.hashes):
             u = rng.random(DRAWS)[None, :] * total[:, i, -1:]
             cell = (u[:, :, None] > total[:, i, None, :]).sum(2)
             out += np.take_along_axis(log_p[:, i, :], np.minimum(cell, CELLS - 1), 1)
         return np.quantile(out, 1 - SUCCESS, axis=1) - 1e-3
 
+    def visited(self, log_p: np.ndarray, least: float) -> np.ndarray:
+        """The keys of all buckets of one query whose estimate is least or more, in descending order of it.
+
+        Cells are chosen hash by hash; a choice is given up once even the best of the other cells can't save it.
+        """
+        best = np.r_[np.cumsum(log_p.max(1)[::-1])[::-1], 0.0]
+        key, sum_ = np.zeros(1, np.int64), np.zeros(1)
+        for i in range(self.hashes):
+            s = sum_[:, None] + log_p[i][None, :]
+            row, cell = np.nonzero(s + best[i + 1] >= least)
+            key, sum_ = key[row] | (cell << (4 * i)), s[row, cell]
+        return key[np.argsort(-sum_, kind="stable")]
+
+
+@lru_cache(maxsize=8)
+def tables_of(dim: int, hashes: int, scale: float) -> Tables:
+    return Tables(dim, hashes, scale)
+
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """vec_id and v (array of double), without null ids and without vectors null, empty, zero or holding null or non-finite components."""
     v = F.col(vec_col).cast("array<double>")
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~F.coalesce(F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True)) & F.exists("v", lambda x: x != 0))
+    sound = ~F.coalesce(F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & (F.size("v") > 0) & sound & F.exists("v", lambda x: x != 0))
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, seen: np.ndarray, k: int) -> pd.DataFrame:
-    """The k largest products of each query among the rows that seen marks for it; ties to smaller ids."""
-    s = np.where(seen & (q_ids[:, None] != ids[None, :]), np.round(q @ x.T, 12), -np.inf)
-    floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest products of each query among other ids' rows, ties to smaller ids: place of the query, place of the row, product."""
+    s = q @ x.T
+    s[q_ids[:, None] == ids[None, :]] = -np.inf
+    # The matrix product may differ from the sum below in its last bits; what may still be among the k stays in.
+    slack = 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max(initial=0)
+    floor = np.partition(s, -k, axis=1)[:, -k] - slack if s.shape[1] > k else np.full(len(s), -np.inf)
     row, col = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
-    order = np.lexsort((ids[col], -s[row, col], row))
-    row, col = row[order], col[order]
-    first = np.searchsorted(row, row)
-    take = np.arange(len(row)) - first < k
-    row, col = row[take], col[take]
-    return pd.DataFrame({"query_id": q_ids[row], "vec_id": ids[col], "score": (q[row] * x[col]).sum(1)})
+    exact = (q[row] * x[col]).sum(1)
+    order = np.lexsort((ids[col], -exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    take = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[take], col[take], exact[take]
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by every.
 
-    Candidates are all rows of another id; fewer than k of them give fewer rows. Vectors that usable()
-    rejects, and those not of the table's longest length, take no part. Equal scores go to the smaller id.
-    Rows that repeat an id are candidates each (the same pair is reported once) and one query (the
-    smallest vector). An empty table gives no rows.
+    Candidates are all rows of another id and the same number of components; fewer than k of them give
+    fewer rows. Vectors that usable() rejects take no part. Equal scores go to the smaller id. Rows that
+    repeat an id are candidates each (a pair of ids is reported once, with its largest score) and one query
+    (the smallest vector). An empty table gives no rows.
     """
     rows = usable(vectors, id_col, vec_col)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    found = rows.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("queries"), F.max(norm).alias("norm")).first()
-    dim, n = found["dim"] or 1, found["n"]
-    rows = rows.filter(F.size("v") == dim)
-    tables = Tables(dim, found["norm"] or 1.0)
+    most = F.array_max(F.transform("v", F.abs))
+    norm = F.max(most * F.sqrt(F.aggregate(F.transform("v", lambda x: x / most), F.lit(0.0), lambda s, x: s + x * x))).alias("norm")
+    asked = F.count_if(F.col("vec_id") % every == 0).alias("queries")
+    kinds = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), asked, norm).filter("queries > 0").orderBy("dim").collect()  # one row for each length of vectors
+    found = [nearest_of(rows.filter(F.size("v") == r["dim"]), every, k, r["dim"], r["n"], r["queries"], r["norm"]) for r in kinds]
+    if not found:
+        return rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out
+
+
+def nearest_of(rows: DataFrame, every: int, k: int, dim: int, n: int, n_queries: int, norm: float) -> DataFrame:
+    """nearest() for vectors of one length."""
+    hashes = min(MOST_HASHES, max(1, round(math.log2(max(n / ROWS_A_BUCKET, 2)) / BITS_A_HASH)))
+    blocks = max(1, -(-n * TABLES // ROWS_A_BLOCK))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # bounded by SAMPLE
+    tables = tables_of(dim, hashes, norm)
     known = tables.lifted(np.array([r["v"] for r in sample]).reshape(-1, dim))
     known_ids = np.array([r["vec_id"] for r in sample], np.int64)
     rank = max(1, math.ceil(k * len(sample) / max(n, 1)))
-    d_blocks, q_blocks = max(1, -(-n // ROWS_A_BLOCK)), max(1, -(-found["queries"] // QUERIES_A_BLOCK))
 
-    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = tables_of(dim, hashes, norm)
+        for part in batches:
+            for at in range(0, len(part), 4096):
+                x = np.stack(part["v"].iloc[at : at + 4096].to_list())
+                for t in range(TABLES):
+                    yield pd.DataFrame({"t": t, "bucket": own.buckets(t, x), "vec_id": part["vec_id"].iloc[at : at + 4096].to_numpy(), "v": list(x)})
+
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = tables_of(dim, hashes, norm)
         for part in batches:
             for at in range(0, len(part), 256):
-                own = part.iloc[at : at + 256]
-                ids, q = own["vec_id"].to_numpy(), np.stack(own["v"].to_list())
-                unit = np.column_stack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q))])
-                s = np.where(ids[:, None] == known_ids[None, :], -1, unit @ known.T)
+                ids, q = part["query_id"].iloc[at : at + 256].to_numpy(), unit(np.stack(part["q"].iloc[at : at + 256].to_list()))
+                s = np.where(ids[:, None] == known_ids[None, :], -1, np.column_stack([q, np.zeros(len(q))]) @ known.T)
                 s.sort(axis=1)
                 near = np.clip(s[:, -min(WIDER * rank, s.shape[1])], 0.05, 0.995)
-                cuts = np.column_stack([tables.cut(tables.log_success(t, q, near), t) for t in range(TABLES)])
-                yield pd.DataFrame({"query_id": ids, "q": list(q), "near": near, "cuts": list(cuts)})
+                for t in range(TABLES):
+                    log_p = own.log_success(t, q, near)
+                    keys = [own.visited(p, c) for p, c in zip(log_p, own.cut(log_p, t), strict=True)]
+                    yield pd.DataFrame({"query_id": np.repeat(ids, [len(x) for x in keys]), "t": t, "bucket": np.concatenate(keys)})
+
+    placed = materialise(rows.mapInPandas(place, "t int, bucket long, vec_id long, v array<double>"), "placed")
+    queries = materialise(rows.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")), "queries")
+    sizes = placed.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / ROWS_A_BLOCK).cast("int").alias("pieces"))
+    sizes = materialise(sizes, "buckets")
+
+    def block(piece: Column) -> Column:
+        return F.pmod(F.xxhash64("t", "bucket", piece.cast("int")), F.lit(blocks)).cast("int").alias("block")
 
-    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).mapInPandas(prepare, "query_id long, q array<double>, near double, cuts array<double>")
-    queries = queries.select("*", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1)).cast("array<long>")).alias("db"))
-    blocks = rows.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(d_blocks)).alias("db"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<long>")).alias("qb"))
+    large = sizes.filter("pieces > 1")
+    points = placed.join(large, ["t", "bucket"], "left").select("t", "bucket", "vec_id", "v", block(F.pmod(F.xxhash64("vec_id", "v"), F.coalesce("pieces", F.lit(1)))))
+    visits = queries.mapInPandas(plan, "query_id long, t int, bucket long").join(sizes, ["t", "bucket"])
+    visits = visits.select("query_id", "t", "bucket", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")).select("query_id", "t", "bucket", block(F.col("piece")))
+    visits = materialise(visits.groupBy("block", "query_id").agg(F.collect_list(F.struct("t", "bucket")).alias("to")), "visits")
 
     def search(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(d):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, x = d["vec_id"].to_numpy(), np.stack(d["v"].to_list())
-        lit = []  # for each table the cells of each row as ones in HASHES * CELLS places
-        for t in range(TABLES):
-            ones = np.zeros((HASHES * CELLS, len(x)), np.float32)
-            ones[tables.cells(t, x).T + np.arange(HASHES)[:, None] * CELLS, np.arange(len(x))[None, :]] = 1
-            lit.append(ones)
-        out = []
-        for at in range(0, len(q), 128):
-            own = q.iloc[at : at + 128]
-            v, near, cuts = np.stack(own["q"].to_list()), own["near"].to_numpy(), np.stack(own["cuts"].to_list())
-            seen = np.zeros((len(own), len(d)), bool)
-            for t in range(TABLES):
-                log_p = tables.log_success(t, v, near).reshape(len(own), -1).astype(np.float32)
-                seen |= log_p @ lit[t] >= cuts[:, t : t + 1]
-            out.append(best(own["query_id"].to_numpy(), v, ids, x, seen, k))
-        return pd.concat(out)
-
-    def pairs(asked: DataFrame) -> DataFrame:
-        found = asked.groupBy("qb", "db").cogroup(blocks.groupBy("qb", "db")).applyInPandas(search, "query_id long, vec_id long, score double")
-        return materialise(top(found.dropDuplicates(["query_id", "vec_id"]), k), "found")
-
-    some = pairs(queries)
-    # Queries that found fewer than there may be go on to all other buckets.
+        """Bucket by bucket, the queries that visit it and its rows. A query without visits looks at all rows of the first table."""
+        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(q) and len(d):
+            key = (d["t"].to_numpy(np.int64) << 60) | d["bucket"].to_numpy(np.int64)
+            order = np.argsort(key, kind="stable")
+            key, ids, x = key[order], d["vec_id"].to_numpy()[order], np.stack(d["v"].to_list())[order]
+            q_ids, v = q["query_id"].to_numpy(), np.stack(q["q"].to_list())
+            to = [np.array([(y["t"] << 60) | y["bucket"] for y in z], np.int64) for z in q["to"]]
+            who, what = np.repeat(np.arange(len(q)), [len(z) for z in to]), np.concatenate(to)
+            turn = np.argsort(what, kind="stable")
+            who, what = who[turn], what[turn]
+            first = np.nonzero(np.r_[True, what[1:] != what[:-1]])[0] if len(what) else np.zeros(0, np.int64)
+            meets = [(who[i:j], np.searchsorted(key, what[i]), np.searchsorted(key, what[i], "right")) for i, j in zip(first, np.r_[first[1:], len(what)][: len(first)], strict=True)]
+            everywhere = np.nonzero([not len(z) for z in to])[0]
+            meets += [(everywhere[i : i + 256], 0, np.searchsorted(key, 1 << 60)) for i in range(0, len(everywhere), 256)]
+            for mine, lo, hi in meets:
+                if lo < hi:
+                    row, col, score = best(q_ids[mine], v[mine], ids[lo:hi], x[lo:hi], k)
+                    got.append((q_ids[mine[row]], ids[lo + col], score))
+        row, col, score = (np.concatenate(z) for z in zip(*got, strict=True))
+        # A row that several tables found counts once; the best k of the block go on.
+        order = np.lexsort((-score, col, row))
+        row, col, score = row[order], col[order], score[order]
+        new = np.r_[True, (row[1:] != row[:-1]) | (col[1:] != col[:-1])][: len(row)]
+        row, col, score = row[new], col[new], score[new]
+        order = np.lexsort((col, -score, row))
+        row, col, score = row[order], col[order], score[order]
+        take = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return pd.DataFrame({"query_id": row[take], "vec_id": col[take], "score": score[take]})
+
+    def met(asked: DataFrame) -> DataFrame:
+        """asked (block, query_id, to) against the blocks' rows: the k best of each query."""
+        tasks = materialise(asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES_A_BLOCK).cast("int").alias("tasks")), "tasks")
+        left = asked.join(tasks, "block").join(queries, "query_id").withColumn("task", F.pmod(F.xxhash64("query_id"), F.col("tasks")).cast("int"))
+        right = points.join(tasks.select("block", F.col("tasks").alias("copies")), "block").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        found = left.groupBy("block", "task").cogroup(right.groupBy("block", "task")).applyInPandas(search, "query_id long, vec_id long, score double")
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return materialise(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+
+    some = met(visits)
+    # Queries that found fewer than there may be go on to all rows.
     full = some.groupBy("query_id").count().filter(F.col("count") >= min(k, n - 1)).select("query_id")
-    short = queries.join(full, "query_id", "left_anti")
+    short = materialise(queries.join(full, "query_id", "left_anti").select("query_id"), "short")
     if short.limit(1).count():
-        every_bucket = F.transform("cuts", lambda _: F.lit(float("-inf")))
-        some = some.join(full, "query_id", "left_semi").union(pairs(short.withColumn("cuts", every_bucket).select(queries.columns)))
+        everywhere = short.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "query_id", F.array().cast("array<struct<t:int,bucket:bigint>>").alias("to"))
+        some = some.join(full, "query_id", "left_semi").union(met(everywhere))
     return some
-
-
-def top(found: DataFrame, k: int) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

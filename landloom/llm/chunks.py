@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialise
+from .common import forget, id_back, id_text, materialise
 
 MIN, MAX, TOP_BITS = 32, 512, 6
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -134,5 +134,5 @@ def without_spans(joined: DataFrame) -> DataFrame:
                 out.append((d, len(raw), gone, runs, n, len(found), b"".join(kept).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "n_chunks", "n_repeated", "text"])
 
-    src = joined.select("doc_id", "t", "spans", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
-    return src.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, n_chunks long, n_repeated long, text string")
+    src = joined.select(id_text(F.col("doc_id")).alias("doc_id"), "t", "spans", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+    return id_back(src.mapInPandas(run, "doc_id string, n_bytes long, n_removed long, n_spans long, n_chunks long, n_repeated long, text string"), "doc_id")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import tempfile
 import uuid
 
@@ -25,12 +24,24 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(F.coalesce(c, F.lit("")), UPPER, UPPER.lower())
 
 
+def id_text(c: Column) -> Column:
+    """An id on its way through pandas, where longs beside a null would become doubles."""
+    return c.cast("long").cast("string")
+
+
+def id_back(df: DataFrame, *names: str) -> DataFrame:
+    """df with the ids of id_text() as longs again, in their places."""
+    return df.select(*[F.col(c).cast("long").alias(c) if c in names else c for c in df.columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the setting is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode and an error on a cluster."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = sc.getCheckpointDir()
+    if not found and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
     if not found:
         found = tempfile.mkdtemp(prefix="landloom-")
         sc.setCheckpointDir(found)
@@ -72,9 +83,3 @@ def forget(*dfs: DataFrame) -> None:
         if path:
             _remove(df.sparkSession, path)
             _written[:] = [x for x in _written if x[1] != path]
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished steps now; else they wait for the driver's next collection of garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -41,8 +41,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of rows that repeat both id and text one stays (ties: the smallest remaining columns). A null id
     stays only where no row of its group has an id.
     """
-    rest = [c for c in docs.columns if c != id_col]
-    t = ascii_lower(F.col(text_col))
-    row = F.struct(F.col(id_col).isNull().alias("_null"), F.col(id_col), *[F.col(c) for c in rest])
-    best = docs.groupBy(F.md5(t).alias("_h"), t.alias("_t")).agg(F.min(row).alias("_row"))
-    return best.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    rest = [c.cast("string") if "map<" in f.dataType.simpleString() or f.dataType.simpleString() == "variant" else c for c, f in zip(columns, docs.schema, strict=True) if f.name != id_col]
+    t, i = ascii_lower(F.col(text_col)), F.col(id_col)
+    row = F.struct(*[c.alias(f"c{k}") for k, c in enumerate(columns)])
+    order = F.struct(i.isNull().alias("none"), i.alias("id"), *[c.alias(f"c{k}") for k, c in enumerate(rest)])
+    best = docs.groupBy(F.md5(t).alias("h"), t.alias("t")).agg(F.min_by(row, order).alias("row"))
+    return best.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])

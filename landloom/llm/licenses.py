@@ -1,37 +1,48 @@
 """License scan: sparse TF-IDF cosine of header lines and licence files to templates, then inheritance by path.
 
-Each file's units are its lines and its blocks of consecutive lines (a licence text is also one unit as a whole). A unit is a sparse
-vector of word counts times inverse document frequencies over all files; the template of largest cosine
-at or above the threshold names the unit's licence, and a file takes its best unit's. A file
-without one inherits from the nearest directory above it for which a licence file speaks: directories are
-few against files, so they find their ancestor first, by a join on path prefixes, and files join
-their directory.
+Units of a file are the file as a whole, each of its lines, and every run of consecutive words within a
+paragraph that has the length of a template, so a statement is found wherever it begins, on one line or several. A unit is a
+sparse vector of word counts times inverse document frequencies over all files; the template of largest
+cosine at or above the threshold names the unit's licence, and a file takes its best unit's. Words outside
+the templates are counted in SLOTS slots by a hash. Runs are found by a bound: without repeated words the
+cosine is a quotient of two running sums, and repeated words only lessen it, so only runs whose bound
+reaches the threshold are weighed exactly. Runs of very few words must have the words in the template's order.
+
+A file without a licence inherits from the nearest directory above it for which a licence file speaks:
+directories are few against files, so they find their ancestor first, by a join on path prefixes, and
+files join their directory.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import id_back, id_text, materialise
 
-#: Short statements by which files name their licence.
+#: Statements by which files name their licence, titles and texts of licences.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -41,7 +52,10 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-LONGEST = 60  # words of a block looked at in one unit; longer blocks are looked at by overlapping units
+SLOTS = 1 << 16  # of words outside the templates
+WORDS_KEPT = 300_000
+BATCH_CHARS = 1 << 20
+ORDERED = 5  # runs of fewer words must have a template's words in its order: a bag of three words says little
 
 
 def terms(text: str) -> list[str]:
@@ -49,69 +63,110 @@ def terms(text: str) -> list[str]:
 
 
 VOCABULARY = sorted({t for _, text in TEMPLATES for t in terms(text)})
-#: A line that may matter holds a word that names a licence, a right or a permission; every template does.
-ANCHOR = sorted({"licensed", "license", "reserved", "granted", "redistribution", "redistribute", "waived", "domain", "terms"})
 
 
-class Templates:
-    """Unit vectors of the templates under given document frequencies of their words; other words weigh as the rarest."""
-
-    def __init__(self, frequency: dict[str, int], files: int):
-        self.rare = math.log(1 + max(files, 1))
-        self.idf = {t: math.log(1 + max(files, 1) / (1 + frequency.get(t, 0))) for t in VOCABULARY}
-        self.by_term: dict[str, list[tuple[int, float]]] = {}
-        for i, (_, text) in enumerate(TEMPLATES):
-            own, norm = self.vector(terms(text))
-            for t, x in own.items():
-                self.by_term.setdefault(t, []).append((i, x / norm))
-
-    def vector(self, words: list[str]) -> tuple[dict[str, float], float]:
-        own = {t: c * self.idf.get(t, self.rare) for t, c in Counter(words).items()}
-        return own, math.sqrt(sum(x * x for x in own.values())) or 1.0
-
-    def best(self, words: list[str]) -> tuple[float, int]:
-        """The largest cosine and its template; ties go to the first template."""
-        own, norm = self.vector(words)
-        sums: dict[int, float] = {}
-        for t, x in own.items():
-            for i, y in self.by_term.get(t, ()):
-                sums[i] = sums.get(i, 0.0) + x * y
-        return max(((s / norm, -i) for i, s in sums.items()), default=(0.0, 0))
-
-
-HAS_ANCHOR = re.compile(r"\b(?:" + "|".join(ANCHOR) + r")\b", re.IGNORECASE)
-
-
-def units(text: str) -> Iterator[tuple[int, list[str]]]:
-    """(line number from 1, words) of the lines and blocks that hold an anchor word."""
-    lines = text.split("\n")
-    hit = [i for i, x in enumerate(lines) if HAS_ANCHOR.search(x)]
-    for i in hit:
-        words = terms(lines[i])
-        for at in range(0, max(1, len(words) - LONGEST // 2), LONGEST // 2) if len(words) > LONGEST else (0,):
-            yield i + 1, words[at : at + LONGEST]
-        # Lines that continue a statement; a blank line ends it.
-        for more in (2, 3):
-            own = lines[i : i + more]
-            if len(own) == more and all(x.strip() for x in own):
-                yield i + 1, terms(" ".join(own))[:LONGEST]
-
-
-def document_frequency(files: DataFrame) -> tuple[dict[str, int], int]:
-    """In how many of all files (column t) each template word occurs, and their number."""
-    known = frozenset(VOCABULARY)
+class Numbers(dict):
+    """word -> its number: its place in the vocabulary, or behind that a slot; kept for words met before."""
+
+    def __init__(self) -> None:
+        super().__init__({w: i for i, w in enumerate(VOCABULARY)})
+
+    def __missing__(self, word: str) -> int:
+        out = len(VOCABULARY) + zlib.crc32(word.encode("utf-8", "surrogatepass")) % SLOTS
+        if len(self) < WORDS_KEPT:
+            self[word] = out
+        return out
+
+
+def document_frequency(files: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many of all files (column t) each number occurs, and how many files there are."""
+    size = len(VOCABULARY) + SLOTS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+        known, total = Numbers(), np.zeros(size + 1, np.int64)
         for part in batches:
             for t in part["t"]:
-                total.update(known.intersection(terms(t)))
-                total[""] += 1
-        yield pd.DataFrame({"term": list(total), "n": list(total.values())}, dtype=object)
+                total[np.unique(np.array([known[w] for w in terms(t)], np.int64))] += 1
+                total[size] += 1
+        some = np.nonzero(total)[0]
+        yield pd.DataFrame({"i": some, "n": total[some]})
 
-    rows = files.mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # the template words
-    found = {r["term"]: r["n"] for r in rows}
-    return found, found.pop("", 0)
+    out = np.zeros(size + 1, np.int64)
+    for r in files.mapInPandas(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # size + 1 rows at most
+        out[r["i"]] = r["n"]
+    return out[:size], int(out[size])
+
+
+class Templates:
+    """Unit vectors of the templates under given document frequencies of all numbers."""
+
+    def __init__(self, frequency: np.ndarray, files: int):
+        self.idf = np.log(1 + max(files, 1) / (1 + frequency))
+        known = Numbers()
+        self.ids = [np.array([known[w] for w in terms(text)], np.int64) for _, text in TEMPLATES]
+        self.weights = np.zeros((len(VOCABULARY), len(TEMPLATES)))  # what one more of a word adds to the product with a template
+        for k, ids in enumerate(self.ids):
+            word, n = np.unique(ids, return_counts=True)
+            x = n * self.idf[word]
+            self.weights[word, k] = self.idf[word] * x / math.sqrt((x * x).sum())
+        self.lengths = sorted({len(x) for x in self.ids})
+
+    def cosines(self, ids: np.ndarray) -> np.ndarray:
+        """The cosine of one unit to each template."""
+        word, n = np.unique(ids, return_counts=True)
+        x = n * self.idf[word]
+        own = word < len(VOCABULARY)
+        return n[own] @ self.weights[word[own]] / (math.sqrt((x * x).sum()) or 1.0)
+
+    def scan(self, texts: list[str], known: Numbers, threshold: float) -> list[tuple[int, float, int] | None]:
+        """For each text the template of its best unit, the cosine and the unit's line from 1; None below the threshold.
+
+        Of units of equal cosine (to 12 places) the earliest line counts, then the first template.
+        """
+        ids, file_of, line_of, block_of = [], [], [], []
+        block = 0
+        for f, t in enumerate(texts):
+            block += 1
+            for n, line in enumerate(t.split("\n")):
+                own = [known[w] for w in terms(line)]
+                if not own and not line.strip():
+                    block += 1
+                ids += own
+                file_of += [f] * len(own)
+                line_of += [n + 1] * len(own)
+                block_of += [block] * len(own)
+        found: list[tuple | None] = [None] * len(texts)
+        if not ids:
+            return found
+        x, files, lines, blocks = (np.array(v, np.int64) for v in (ids, file_of, line_of, block_of))
+        own = x < len(VOCABULARY)
+        w = np.where(own[:, None], self.weights[np.where(own, x, 0)], 0.0)
+        sums = np.vstack([np.zeros(len(TEMPLATES)), np.cumsum(w, axis=0)])
+        squares = np.r_[0.0, np.cumsum(self.idf[x] ** 2)]
+        # From, to: lines, whole files, and the runs of each template's length within a paragraph.
+        line = np.r_[0, np.nonzero((lines[1:] != lines[:-1]) | (files[1:] != files[:-1]))[0] + 1, len(x)]
+        whole = np.r_[0, np.nonzero(files[1:] != files[:-1])[0] + 1, len(x)]
+        units = [(line[:-1], line[1:], np.arange(len(TEMPLATES))), (whole[:-1], whole[1:], np.arange(len(TEMPLATES)))]
+        for n in self.lengths:
+            start = np.arange(max(0, len(x) - n + 1))
+            start = start[blocks[start] == blocks[start + n - 1]]
+            units.append((start, start + n, np.array([k for k, t in enumerate(self.ids) if len(t) == n])))
+        seen = set()
+        for start, end, which in units:
+            bound = (sums[end][:, which] - sums[start][:, which]) / np.sqrt(np.maximum(squares[end] - squares[start], 1e-12))[:, None]
+            for i in np.nonzero((bound >= threshold - 1e-9).any(1))[0].tolist():
+                a, b = int(start[i]), int(end[i])
+                if (a, b) in seen:
+                    continue
+                seen.add((a, b))
+                cos = np.round(self.cosines(x[a:b]), 12)
+                if len(which) < len(TEMPLATES) and b - a < ORDERED:
+                    cos = np.array([float(k in which and np.array_equal(x[a:b], t)) for k, t in enumerate(self.ids)])
+                k = int(cos.argmax())
+                f, score, at = int(files[a]), float(cos[k]), int(lines[a])
+                if score >= threshold and (found[f] is None or (-score, at, k) < (-found[f][1], found[f][2], found[f][0])):
+                    found[f] = (k, score, at)
+        return found
 
 
 def scan_licenses(files: DataFrame, path_col: str, text_col: str, id_col: str, speaks: Column, threshold: float = 0.75) -> DataFrame:
@@ -124,26 +179,28 @@ def scan_licenses(files: DataFrame, path_col: str, text_col: str, id_col: str, s
     an id or a path are reported each. An empty table gives no rows.
     """
     path = F.coalesce(F.col(path_col), F.lit(""))
-    src = files.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.coalesce(speaks, F.lit(False)).alias("speaks"))
+    src = files.select(id_text(F.col(id_col)).alias("doc_id"), path.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.coalesce(speaks, F.lit(False)).alias("speaks"))
     model = Templates(*document_frequency(src.select("t")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Numbers()
         for part in batches:
-            names, scores, at = [], [], []
-            for t in part["t"]:
-                best, where = (0.0, 0), 0
-                if HAS_ANCHOR.search(t):
-                    for line, words in units(t):
-                        found = model.best(words)
-                        if found[0] > best[0] + 1e-12:
-                            best, where = found, line
-                ok = best[0] >= threshold
-                names.append(TEMPLATES[-best[1]][0] if ok else None)
-                scores.append(round(best[0], 6) if ok else None)
-                at.append(where if ok else None)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "path": part["path"], "speaks": part["speaks"], "own": names, "score": pd.array(scores, "Float64"), "line": pd.array(at, "Int64")})
-
-    own = materialise(src.mapInPandas(run, "doc_id long, path string, speaks boolean, own string, score double, line long"), "licences")
+            texts, found, at = part["t"].to_list(), [], 0
+            while at < len(texts):
+                to, size = at, 0
+                while to < len(texts) and (to == at or size + len(texts[to]) <= BATCH_CHARS):
+                    size += len(texts[to])
+                    to += 1
+                found += model.scan(texts[at:to], known, threshold)
+                at = to
+            yield pd.DataFrame(
+                {
+                    "doc_id": part["doc_id"], "path": part["path"], "speaks": part["speaks"], "own": [TEMPLATES[x[0]][0] if x else None for x in found],
+                    "score": pd.array([round(x[1], 6) if x else None for x in found], "Float64"), "line": pd.array([x[2] if x else None for x in found], "Int64"),
+                }
+            )
+
+    own = materialise(id_back(src.mapInPandas(run, "doc_id string, path string, speaks boolean, own string, score double, line long"), "doc_id"), "licences")
     up = lambda p: F.when(F.instr(p, "/") > 0, F.regexp_replace(p, r"/[^/]*$", "")).otherwise(F.lit(""))
     own = own.withColumn("dir", up(F.col("path")))
     order = F.struct((-F.col("score")).alias("a"), F.col("path"), F.col("doc_id"), F.col("own"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialise
+from .common import forget, id_back, id_text, materialise
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -126,7 +126,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                         bands[i] = row
                 yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "n": [len(s) for s in sets], "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], "bands": bands})
 
-    return docs.mapInPandas(run, "doc_id long, n long, set_key binary, bands array<long>")
+    return id_back(docs.withColumn("doc_id", id_text(F.col("doc_id"))).mapInPandas(run, "doc_id string, n long, set_key binary, bands array<long>"), "doc_id")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -160,7 +160,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def sharing_prefixes(rest: DataFrame, num: int, den: int) -> DataFrame:
-    """rest (rep, label, n, s) -> pairs (a, b) of different labels that may be linked; none that is linked is missing.
+    """rest (rep, label, s) -> pairs (a, b) of different labels that may be linked; none that is linked is missing.
 
     The order of shingles follows counts in SLOTS slots, so that what the tasks share has a fixed size.
     """
@@ -182,8 +182,9 @@ def sharing_prefixes(rest: DataFrame, num: int, den: int) -> DataFrame:
         common = shared.value
         for part in batches:
             out = []
-            for rep, label, n, s in zip(part["rep"], part["label"], part["n"], part["s"], strict=True):
+            for rep, label, s in zip(part["rep"], part["label"], part["s"], strict=True):
                 own = np.frombuffer(s, np.uint64)
+                n = len(own)
                 take = n - -(-num * n // den) + 1
                 order = np.lexsort((own, common[(own % np.uint64(SLOTS)).astype(np.int64)]))[:take]
                 out.append(pd.DataFrame({"token": own[order].view(np.int64), "place": np.arange(len(order)), "rep": rep, "label": label, "n": n}))
@@ -211,8 +212,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     Words are runs of anything but ASCII blanks after lower-casing A-Z; documents are linked when
     den * intersection >= num * union of their shingle sets. Null and empty texts have an empty set
     and no link; equal sets are linked. component_id is the smallest id in reach, kept says that it
-    is the document's own. Rows that repeat an id count as one document in their class. A document
-    with a null id is its own component (component_id null) and kept.
+    is the document's own. Of rows that repeat an id each is placed by its
+    own text; where the id stands for several texts, it is linked by any of them. A document with a null id is its own component (component_id null) and kept.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     seen = materialise(describe(src, k), "shingles")
@@ -224,7 +225,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # Only rows of buckets with two members at least go on.
     members = materialise(members.join(pivots.select("bucket", "pivot"), "bucket"), "members")
     ids = materialise(members.select(F.col("rep").alias("id")).distinct(), "ids")
-    sets = materialise(full_sets(src, ids, k).dropDuplicates(["id"]), "sets")
+    sets = materialise(full_sets(src, ids, k).dropDuplicates(["id", "s"]), "sets")
     fits = lambda x, y: den * F.least(x, y) >= num * F.greatest(x, y)  # noqa: E731  sets of other sizes can't be so similar
 
     sizes = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"))
@@ -265,7 +266,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         link(one.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct())
         forget(left)
     left = placed()
-    rest = materialise(left.select("rep", "label", "n").distinct().join(sets.withColumnRenamed("id", "rep"), "rep"), "rest")
+    rest = materialise(left.select("rep", "label").distinct().join(sets.withColumnRenamed("id", "rep"), "rep"), "rest")
     link(sharing_prefixes(rest, num, den))
     forget(left, rest)
     forget(members, ids, sets, pivots)

@@ -22,9 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_back, id_text
+
 #: Fixed value: how byte-level BPE files part a text into words.
 WORD = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-SCHEMA = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
+LONG_BLANKS = 20_000
+SCHEMA = "doc_id string, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 _encoders: dict[str, Callable[[str], np.ndarray]] = {}
 
@@ -47,7 +50,8 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     """text -> uint32 ids of the tokenizer file, without special tokens added.
 
     For byte-level BPE files the merges run in tiktoken, over the same vocabulary, at four times the
-    speed; texts that hold the string of an added token, and files of other kinds, go to tokenizers.
+    speed; texts that hold the string of an added token or a very long run of blanks (its pattern search fails
+    on these), and files of other kinds, go to tokenizers.
     """
     if path in _encoders:
         return _encoders[path]
@@ -62,10 +66,11 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     import tiktoken
 
     ordinary = tiktoken.Encoding("own", pat_str=WORD, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    blanks = re.compile(rf"\s{{{LONG_BLANKS}}}")
     special = re.compile("|".join(re.escape(t.content) for t in tok.get_added_tokens_decoder().values()) or r"(?!)")
 
     def encode(text: str) -> np.ndarray:
-        return whole(text) if special.search(text) else np.frombuffer(array("I", ordinary(text)), "<u4")
+        return whole(text) if special.search(text) or len(text) >= LONG_BLANKS and blanks.search(text) else np.frombuffer(array("I", ordinary(text)), "<u4")
 
     _encoders[path] = encode
     return encode
@@ -134,15 +139,15 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, separator: int = 0
         for part in batches:
             for d, t in zip(part["doc_id"].to_list(), part["t"].to_list(), strict=True):
                 ids = np.concatenate([encode(t), end])
-                waiting.append(((None if d is None or d != d else int(d), len(ids)), 0, ids))
+                waiting.append(((d, len(ids)), 0, ids))
                 held += len(ids)
                 if held >= block * length:
                     yield rows(False)
         if waiting:
             yield rows(True)
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return src.mapInPandas(run, SCHEMA)
+    src = docs.select(id_text(F.col(id_col)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return id_back(src.mapInPandas(run, SCHEMA), "doc_id")
 
 
 def default_tokenizer() -> str:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import id_back, id_text, materialise
 
 FEATURES = ("log_words", "log_word_len", "upper", "digit", "symbol", "bang", "pipe", "mark", "stop", "unique", "repeat", "top_word", "line_len", "line_repeat", "lower_start", "bracket")
 D = len(FEATURES)
@@ -55,8 +55,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for part in batches:
             yield pd.DataFrame({"doc_id": part["doc_id"], "x": [statistics(t) for t in part["t"]]})
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return src.mapInPandas(run, "doc_id long, x array<double>")
+    src = docs.select(id_text(F.col(id_col)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return id_back(src.mapInPandas(run, "doc_id string, x array<double>"), "doc_id")
 
 
 def class_sums(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -135,5 +135,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             s = model.score(np.stack(part["x"].to_list())) if len(part) else np.zeros(0)
             yield pd.DataFrame({"doc_id": part["doc_id"], "score": s})
 
-    out = x.mapInPandas(run, "doc_id long, score double")
+    out = id_back(x.withColumn("doc_id", id_text(F.col("doc_id"))).mapInPandas(run, "doc_id string, score double"), "doc_id")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

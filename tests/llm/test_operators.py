@@ -187,7 +187,7 @@ def brute_nearest(rows, every, k):
     for i, v in ok:
         if i % every == 0:
             s = x @ v
-            order = [j for j in np.lexsort((ids, -np.round(s, 12))) if ids[j] != i][:k]
+            order = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:k]
             out[i] = [int(ids[j]) for j in order]
     return out
 
