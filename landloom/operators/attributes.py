@@ -31,12 +31,11 @@ def owner_check(local_a: Column, english_a: Column, local_b: Column, english_b:
 
 
 def area_check(recorded: Column, surveyed: Column, tolerance: float = 3.5) -> Column:
-    """struct(status, difference, difference_pct): percent of the recorded area, within a tolerance."""
-    gap = F.abs(recorded - surveyed)
-    pct = rnd(ratio(gap, recorded) * 100.0, 2)
-    status = F.when(recorded.isNull() | surveyed.isNull() | (recorded <= 0), MISSING).when(pct <= tolerance, MATCH).otherwise(CONFLICT)
-    known = status != MISSING
-    return F.struct(status.alias("status"), F.when(known, rnd(gap, 2)).alias("difference"), F.when(known, pct).alias("difference_pct"))
+    """struct(status, difference, difference_pct): the rounded difference as percent of the recorded area, within a tolerance; 0 % of an area that isn't positive."""
+    gap = rnd(F.abs(recorded - surveyed), 2)
+    pct = F.when(recorded > 0, rnd(gap / recorded * 100.0, 2)).when(gap.isNotNull(), 0.0)
+    status = F.when(recorded.isNull() | surveyed.isNull(), MISSING).when(pct <= tolerance, MATCH).otherwise(CONFLICT)
+    return F.struct(status.alias("status"), gap.alias("difference"), pct.alias("difference_pct"))
 
 
 def identifier_check(a: Column, b: Column) -> Column:

@@ -12,5 +12,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="landloom-"))  # a folder of its own only where none is set, as in tests
+        if not folder and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="landloom-"))  # a folder of its own only in local mode
     return df.checkpoint()

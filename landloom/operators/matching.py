@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landloom.functions import geom as G
 from landloom.functions.num import clamp, ratio, rnd
+from landloom.operators.cut import cut
 from landloom.operators.spatial import grid_join
 
 
@@ -22,22 +23,58 @@ def verdict(score: Column, iou: Column, least_iou: float = 0.55) -> Column:
     return F.when((iou >= least_iou) & (score >= 0.85), "MATCHED").when(score >= 0.65, "PROBABLE").when(score >= 0.35, "REVIEW_REQUIRED").otherwise("UNMATCHED")
 
 
+#: The most that a candidate can score that shares no area and lies beyond the reach of the shift term: area, outline, survey support.
+FAR_SCORE = 0.18 + 0.16 + 0.10
+FAR_ROWS, FAR_CANDIDATES = 2_000, 20_000
+
+
 def best_matches(legacy: DataFrame, candidates: DataFrame, far: float = 25.0, size: float = 32.0) -> DataFrame:
     """The best candidate of each legacy box: a_ columns, b_ columns, iou, shift, likeness, outline, score, verdict.
 
     legacy has a_idx and box; candidates have b_order, b_distance (to the nearest survey point, may be null) and box.
-    Pairs further apart than far share no area and earn nothing for their shift: they can't pass the lowest
-    threshold, so they are not formed, and a row without any pair is UNMATCHED with no candidate.
-    Equal scores go to the candidate that comes first.
+    Every candidate counts, however far. Those within far are found by cells; the cheap terms of a pair
+    bound its score, and outlines are compared only where a pair can still win. Beyond far a pair
+    scores FAR_SCORE at most, so only rows whose best is no better meet all candidates, in blocks.
+    Equal scores go to the candidate that comes first. Without candidates a row is UNMATCHED with score 0.
     """
     a, b = G.box("a_"), G.box("b_")
-    sampled = lambda df, p: G.with_samples(df.withColumn(f"{p}ring", G.ring_of_box(G.box(p))), f"{p}ring", f"{p}samples").drop(f"{p}ring")
-    pairs = grid_join(sampled(legacy, "a_"), sampled(candidates, "b_"), size, margin=far)
-    scored = pairs.withColumn("iou", G.box_iou(a, b)).withColumn("shift", G.box_shift(a, b)).withColumn("likeness", G.area_likeness(G.box_area(a), G.box_area(b)))
-    scored = scored.withColumn("outline", G.outline_likeness(F.col("a_samples"), F.col("b_samples"), G.box_area(a), G.box_area(b)))
-    scored = scored.withColumn("score", match_score(F.col("iou"), F.col("likeness"), F.col("outline"), F.col("shift"), F.col("b_distance"), far))
+
+    def with_terms(pairs: DataFrame) -> DataFrame:
+        out = pairs.withColumn("iou", G.box_iou(a, b)).withColumn("shift", G.box_shift(a, b)).withColumn("likeness", G.area_likeness(G.box_area(a), G.box_area(b)))
+        known = match_score(F.col("iou"), F.col("likeness"), F.lit(0.0), F.col("shift"), F.col("b_distance"), far)
+        # Outlines further apart than the root of the larger area have a likeness of 0.
+        apart = lambda lo, hi: F.greatest(a[lo] - b[hi], b[lo] - a[hi], F.lit(0.0))
+        gap = F.sqrt(apart(0, 2) * apart(0, 2) + apart(1, 3) * apart(1, 3))
+        out = out.withColumn("met", gap <= F.sqrt(F.greatest(G.box_area(a), G.box_area(b))))
+        return out.withColumn("known", known).withColumn("most", F.col("known") + F.when(F.col("met"), 0.16).otherwise(0.0) + 1e-4)
+
     own = [c for c in candidates.columns] + ["iou", "shift", "likeness", "outline", "score"]
-    best = scored.groupBy("a_idx").agg(F.max_by(F.struct(*own), F.struct("score", -F.col("b_order"))).alias("m"))
+
+    def winners(pairs: DataFrame) -> DataFrame:
+        top = F.max("known").over(Window.partitionBy("a_idx"))
+        left = with_terms(pairs).withColumn("top", top).filter(F.col("most") >= F.col("top"))
+        shaped = G.with_samples(G.with_samples(left.withColumn("ring_a", G.ring_of_box(a)).withColumn("ring_b", G.ring_of_box(b)), "ring_a", "samples_a"), "ring_b", "samples_b")
+        outline = F.when(F.col("met"), G.outline_likeness(F.col("samples_a"), F.col("samples_b"), G.box_area(a), G.box_area(b))).otherwise(0.0)
+        shaped = shaped.withColumn("outline", outline).withColumn("score", match_score(F.col("iou"), F.col("likeness"), F.col("outline"), F.col("shift"), F.col("b_distance"), far))
+        return shaped.groupBy("a_idx").agg(F.max_by(F.struct(*own), F.struct("score", -F.col("b_order"))).alias("m"))
+
+    near = cut(winners(grid_join(legacy, candidates, size, margin=far)))
+    weak = cut(legacy.join(near.filter(F.col("m.score") > FAR_SCORE), "a_idx", "left_anti"))
+    n_weak = weak.count()
+    best = near
+    if n_weak:
+        rows, blocks = max(1, -(-n_weak // FAR_ROWS)), max(1, -(-candidates.count() // FAR_CANDIDATES))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = weak.withColumn("_r", F.pmod(F.xxhash64("a_idx"), F.lit(rows)).cast("int")).withColumn("_c", every(blocks))
+        right = candidates.withColumn("_c", F.pmod(F.xxhash64("b_order"), F.lit(blocks)).cast("int")).withColumn("_r", every(rows))
+        pairs = with_terms(left.join(right, ["_r", "_c"]).drop("_r", "_c"))
+        # Beyond the outline's reach the cheap terms are the score: its maximum, then the first candidate that has it.
+        beyond = pairs.filter("NOT met").select("a_idx", "b_order", "known")
+        top = cut(beyond.groupBy("a_idx").agg(F.max("known").alias("top")))
+        first = cut(beyond.join(top, "a_idx").filter("known = top").groupBy("a_idx").agg(F.min("b_order").alias("b_order")))
+        alone = winners(weak.join(first, "a_idx").join(candidates, "b_order"))
+        best = near.union(cut(winners(pairs.filter("met").select(*weak.columns, *candidates.columns)))).union(cut(alone))
+        best = best.groupBy("a_idx").agg(F.max_by("m", F.struct("m.score", -F.col("m.b_order"))).alias("m"))
     out = legacy.join(best, "a_idx", "left")
     return out.select(*legacy.columns, *[F.col(f"m.{c}").alias(c) for c in own]).withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("verdict", verdict(F.col("score"), F.coalesce("iou", F.lit(0.0))))
 

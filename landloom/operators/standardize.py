@@ -65,15 +65,15 @@ def never_filled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def compatibility(headers: Sequence[str]) -> tuple[int, float, str]:
     """How many of the canonical fields the headers cover, the share (4 places) and a verdict.
 
-    A required field that is missing makes a layer incompatible when it lacks the identity fields, else
-    partial; with all required fields it is compatible if half of the others are there too, else usable.
+    Without any required field a layer is incompatible, with some of them partial; with all it is compatible if
+    half of the others are there too, else usable.
     """
     found = T.first_headers(headers, ALIASES)
     missing = [f for f in REQUIRED if f not in found]
     optional = [f for f in ALIASES if f not in REQUIRED]
     score = int(len(found) / len(ALIASES) * 10000 + 0.5) / 10000
     if missing:
-        verdict = "INCOMPATIBLE" if len(missing) * 2 > len(REQUIRED) else "PARTIAL"
+        verdict = "INCOMPATIBLE" if len(missing) == len(REQUIRED) else "PARTIAL"
     else:
         verdict = "COMPATIBLE" if sum(f in found for f in optional) * 2 >= len(optional) else "USABLE"
     return len(found), score, verdict

@@ -86,8 +86,9 @@ def owner_reconcile(spark: SparkSession, owner: DataFrame) -> DataFrame:
     return owner.select("idx", check.alias("c")).select("idx", "c.status", "c.confidence")
 
 
-AREA = f"""SELECT p.idx, r.recorded, p.surveyed, CASE WHEN r.recorded IS NULL THEN 'MISSING' WHEN {s_rnd('abs(r.recorded - p.surveyed) / r.recorded * 100.0', 2)} <= 3.5 THEN 'MATCH' ELSE 'CONFLICT' END AS status,
- {s_rnd('abs(r.recorded - p.surveyed)', 2)} AS difference, {s_rnd('abs(r.recorded - p.surveyed) / r.recorded * 100.0', 2)} AS difference_pct FROM v_surveyed p LEFT JOIN v_register r ON r.parcel_ref = p.idx"""
+AREA = f"""SELECT idx, recorded, surveyed, CASE WHEN gap IS NULL THEN 'MISSING' WHEN pct <= 3.5 THEN 'MATCH' ELSE 'CONFLICT' END AS status, gap AS difference, pct AS difference_pct FROM (
+ SELECT *, CASE WHEN recorded > 0 THEN {s_rnd('gap / recorded * 100.0', 2)} WHEN gap IS NOT NULL THEN 0.0 END AS pct FROM (
+ SELECT p.idx, r.recorded, p.surveyed, {s_rnd('abs(r.recorded - p.surveyed)', 2)} AS gap FROM v_surveyed p LEFT JOIN v_register r ON r.parcel_ref = p.idx))"""
 
 
 def areas(parcels: DataFrame, register: DataFrame) -> DataFrame:
@@ -189,17 +190,34 @@ def required_missing(spark: SparkSession, owner: DataFrame) -> DataFrame:
     return never_filled(wide, ["english_a", "village", "zone"])
 
 
-@query("SELECT 'customer' AS layer, 3 AS mapped, CAST(0.2143 AS DOUBLE) AS score, 'INCOMPATIBLE' AS verdict UNION ALL SELECT 'parcel', 8, 0.5714, 'USABLE' UNION ALL SELECT 'register', 12, 0.8571, 'COMPATIBLE'", "region")
+HEADERS = {
+    "customer": ["owner", "ward_no", "village_name"],
+    "parcel": ["Parcel ID", "ULPIN", "Khasra", "Owner Name", "Recorded Area", "Surveyed Area", "Local Name", "sheet", "Ward"],
+    "register": ["parcel_id", "ulpin", "khasra_no", "owner", "owner_local", "type", "landuse", "area", "measured area", "ward", "village", "zone_name"],
+    "roads": ["street", "width", "zone_name"],
+}
+
+
+def compatibility_sql() -> str:
+    """The rule in SQL: each header takes the first alias that equals it in snake case; the layer's fields are counted."""
+    from landloom.operators.standardize import ALIASES, REQUIRED
+
+    heads = ", ".join(f"('{layer}', '{h}')" for layer, own in HEADERS.items() for h in own)
+    aliases = ", ".join(f"('{a}', '{f}')" for f, own in ALIASES.items() for a in own)
+    required = ", ".join(f"'{f}'" for f in REQUIRED)
+    snake = "regexp_replace(lower(trim({})), '[^a-z0-9]+', '_', 'g')"
+    n, need = len(ALIASES), len(REQUIRED)
+    return f"""SELECT layer, CAST(total AS INT) AS mapped, floor(total * 10000.0 / {n} + 0.5) / 10000.0 AS score,
+ CASE WHEN required = 0 THEN 'INCOMPATIBLE' WHEN required < {need} THEN 'PARTIAL' WHEN (total - required) >= {n - need} * 0.5 THEN 'COMPATIBLE' ELSE 'USABLE' END AS verdict FROM (
+ SELECT h.layer, count(DISTINCT a.field) AS total, count(DISTINCT CASE WHEN a.field IN ({required}) THEN a.field END) AS required FROM (VALUES {heads}) h(layer, header) LEFT JOIN (VALUES {aliases}) a(alias, field) ON {snake.format('h.header')} = {snake.format('a.alias')} GROUP BY h.layer)"""
+
+
+@query(compatibility_sql(), "region")
 def schema_compat(spark: SparkSession, region: DataFrame) -> DataFrame:
-    """Share of the canonical fields that the headers of three layers cover, and what follows from it."""
+    """Share of the canonical fields that the headers of some layers cover, and what follows from it."""
     from landloom.operators.standardize import compatibility
 
-    layers = {
-        "customer": ["owner", "ward_no", "village_name"],
-        "parcel": ["Parcel ID", "ULPIN", "Khasra", "Owner Name", "Recorded Area", "Surveyed Area", "Local Name", "sheet", "Ward"],
-        "register": ["parcel_id", "ulpin", "khasra_no", "owner", "owner_local", "type", "landuse", "area", "measured area", "ward", "village", "zone_name"],
-    }
-    return spark.createDataFrame([(k, *compatibility(v)) for k, v in layers.items()], "layer string, mapped int, score double, verdict string")
+    return spark.createDataFrame([(k, *compatibility(v)) for k, v in HEADERS.items()], "layer string, mapped int, score double, verdict string")
 
 
 @query("SELECT raw, role FROM (VALUES ('Khasra Number', 'khasra_no'), ('Owner Name', 'owner_name'), ('Deed Area', 'recorded_area_sqm'), ('GAON', 'village'), ('Street', 'road_ref'), ('LP_No', 'parcel_id')) t(raw, role)", "region")

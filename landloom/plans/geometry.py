@@ -143,10 +143,12 @@ def s_at(a: str, axis: str) -> str:
 OUTLINE = s_rnd(
     f"greatest(0.0, 1 - list_sum(list_transform(range(0, 24), lambda i: sqrt(power(({s_at('a', 'x')}) - ({s_at('b', 'x')}), 2) + power(({s_at('a', 'y')}) - ({s_at('b', 'y')}), 2)))) / 24 / sqrt(greatest({AREA.format(a='a')}, {AREA.format(a='b')})))", 4
 )
+#: Squared distance of two boxes: where it exceeds the larger area, the mean distance of samples exceeds its root and the likeness is 0.
+APART = "(power(greatest(a.x0 - b.x1, b.x0 - a.x1, 0.0), 2) + power(greatest(a.y0 - b.y1, b.y0 - a.y1, 0.0), 2))"
 SCORES = f"""SELECT a_idx, cand_id, iou, shift, likeness, outline, score, CASE WHEN iou >= 0.55 AND score >= 0.85 THEN 'MATCHED' WHEN score >= 0.65 THEN 'PROBABLE' WHEN score >= 0.35 THEN 'REVIEW_REQUIRED' ELSE 'UNMATCHED' END AS verdict FROM (
 SELECT p.idx AS a_idx, cand_id, iou, shift, likeness, outline, coalesce(score, 0.0) AS score, row_number() OVER (PARTITION BY p.idx ORDER BY score DESC NULLS LAST, cand_idx) AS rn FROM v_parcel p LEFT JOIN (
 SELECT *, {s_rnd('least(1.0, iou * 0.42 + likeness * 0.18 + outline * 0.16 + greatest(0.0, 1 - shift / 25.0) * 0.14 + coalesce(greatest(0.0, 1 - distance / 3.0), 0.0) * 0.10)', 4)} AS score FROM (
-SELECT a.idx, b.cand_idx, b.cand_id, {IOU} AS iou, {SHIFT} AS shift, {LIKE} AS likeness, {OUTLINE} AS outline, {s_rnd('n.d', 3)} AS distance FROM v_parcel a JOIN v_candidate b ON a.x0 - 25.0 <= b.x1 AND b.x0 <= a.x1 + 25.0 AND a.y0 - 25.0 <= b.y1 AND b.y0 <= a.y1 + 25.0 JOIN ({NEAREST}) n ON n.cand_idx = b.cand_idx)) s ON s.idx = p.idx) WHERE rn = 1"""
+SELECT a.idx, b.cand_idx, b.cand_id, {IOU} AS iou, {SHIFT} AS shift, {LIKE} AS likeness, CASE WHEN {APART} <= greatest({AREA.format(a='a')}, {AREA.format(a='b')}) THEN {OUTLINE} ELSE 0.0 END AS outline, {s_rnd('n.d', 3)} AS distance FROM v_parcel a CROSS JOIN v_candidate b JOIN ({NEAREST}) n ON n.cand_idx = b.cand_idx)) s ON s.idx = p.idx) WHERE rn = 1"""
 
 
 def matches(parcels: DataFrame, candidates: DataFrame, survey: DataFrame) -> DataFrame:
