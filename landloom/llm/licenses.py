@@ -1,10 +1,12 @@
 """License scan: sparse TF-IDF cosine of header lines and licence files to templates, then inheritance by path.
 
 Units of a file are the file as a whole, each of its lines, and every run of consecutive words within a
-paragraph that has the length of a template, so a statement is found wherever it begins, on one line or several. A unit is a
+paragraph that has the length of a template, compared to that one, so a statement is found wherever it begins, on one line or several. A unit is a
 sparse vector of word counts times inverse document frequencies over all files; the template of largest
 cosine at or above the threshold names the unit's licence, and a file takes its best unit's. Words outside
-the templates are counted in SLOTS slots by a hash. Runs are found by a bound: without repeated words the
+the templates are counted in SLOTS slots by a hash. A unit whose cosine to a template reaches the threshold
+must share words that hold the threshold's square of the template's squared length, so it has one of those words of
+the template, rarest first, whose loss would leave less: other units are not weighed. Runs are found by a second bound: without repeated words the
 cosine is a quotient of two running sums, and repeated words only lessen it, so only runs whose bound
 reaches the threshold are weighed exactly. Runs of very few words must have the words in the template's order.
 
@@ -52,6 +54,7 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+WORD_OR_LINE = re.compile(WORD.pattern + r"|\n(?:[^\S\n]*\n)*")  # blank lines are one token with the end of line before them
 SLOTS = 1 << 16  # of words outside the templates
 WORDS_KEPT = 300_000
 BATCH_CHARS = 1 << 20
@@ -72,6 +75,8 @@ class Numbers(dict):
         super().__init__({w: i for i, w in enumerate(VOCABULARY)})
 
     def __missing__(self, word: str) -> int:
+        if word[0] == "\n":
+            return -word.count("\n")
         out = len(VOCABULARY) + zlib.crc32(word.encode("utf-8", "surrogatepass")) % SLOTS
         if len(self) < WORDS_KEPT:
             self[word] = out
@@ -101,6 +106,7 @@ class Templates:
     """Unit vectors of the templates under given document frequencies of all numbers."""
 
     def __init__(self, frequency: np.ndarray, files: int):
+        self.need: np.ndarray | None = None
         self.idf = np.log(1 + max(files, 1) / (1 + frequency))
         known = Numbers()
         self.ids = [np.array([known[w] for w in terms(text)], np.int64) for _, text in TEMPLATES]
@@ -111,6 +117,18 @@ class Templates:
             self.weights[word, k] = self.idf[word] * x / math.sqrt((x * x).sum())
         self.lengths = sorted({len(x) for x in self.ids})
 
+    def needed(self, threshold: float) -> np.ndarray:
+        """For each number whether it is one of the words without all of which no unit reaches the threshold for some template."""
+        out = np.zeros(len(VOCABULARY) + SLOTS, bool)
+        for ids in self.ids:
+            word, n = np.unique(ids, return_counts=True)
+            mass = (n * self.idf[word]) ** 2
+            mass = mass / mass.sum()
+            rare = np.argsort(-self.idf[word], kind="stable")
+            left = 1 - np.cumsum(mass[rare])
+            out[word[rare[: int((left >= threshold**2 - 1e-9).sum()) + 1]]] = True
+        return out
+
     def cosines(self, ids: np.ndarray) -> np.ndarray:
         """The cosine of one unit to each template."""
         word, n = np.unique(ids, return_counts=True)
@@ -123,22 +141,24 @@ class Templates:
 
         Of units of equal cosine (to 12 places) the earliest line counts, then the first template.
         """
-        ids, file_of, line_of, block_of = [], [], [], []
-        block = 0
-        for f, t in enumerate(texts):
-            block += 1
-            for n, line in enumerate(t.split("\n")):
-                own = [known[w] for w in terms(line)]
-                if not own and not line.strip():
-                    block += 1
-                ids += own
-                file_of += [f] * len(own)
-                line_of += [n + 1] * len(own)
-                block_of += [block] * len(own)
         found: list[tuple | None] = [None] * len(texts)
-        if not ids:
+        tokens = [np.array([known[w] for w in WORD_OR_LINE.findall(t.lower())], np.int64) for t in texts]
+        needed = self.needed(threshold) if self.need is None else self.need
+        self.need = needed
+        some = [f for f, x in enumerate(tokens) if needed[x[x >= 0]].any()]
+        if not some:
             return found
-        x, files, lines, blocks = (np.array(v, np.int64) for v in (ids, file_of, line_of, block_of))
+        x = np.concatenate([tokens[f] for f in some])
+        files = np.repeat(some, [len(tokens[f]) for f in some])
+        # Negative numbers are ends of lines; two or more at once end a paragraph.
+        ends = np.maximum(-x, 0)
+        first = np.r_[True, files[1:] != files[:-1]]
+        before = np.cumsum(ends) - ends
+        lines = before - np.repeat(before[first], np.diff(np.r_[np.nonzero(first)[0], len(x)])) + 1
+        blocks = np.cumsum((ends > 1) | first)
+        word = x >= 0
+        x, files, lines, blocks = x[word], files[word], lines[word], blocks[word]
+        rare = np.r_[0, np.cumsum(needed[x])]
         own = x < len(VOCABULARY)
         w = np.where(own[:, None], self.weights[np.where(own, x, 0)], 0.0)
         sums = np.vstack([np.zeros(len(TEMPLATES)), np.cumsum(w, axis=0)])
@@ -153,6 +173,8 @@ class Templates:
             units.append((start, start + n, np.array([k for k, t in enumerate(self.ids) if len(t) == n])))
         seen = set()
         for start, end, which in units:
+            may = rare[end] > rare[start]
+            start, end = start[may], end[may]
             bound = (sums[end][:, which] - sums[start][:, which]) / np.sqrt(np.maximum(squares[end] - squares[start], 1e-12))[:, None]
             for i in np.nonzero((bound >= threshold - 1e-9).any(1))[0].tolist():
                 a, b = int(start[i]), int(end[i])
@@ -161,7 +183,9 @@ class Templates:
                 seen.add((a, b))
                 cos = np.round(self.cosines(x[a:b]), 12)
                 if len(which) < len(TEMPLATES) and b - a < ORDERED:
-                    cos = np.array([float(k in which and np.array_equal(x[a:b], t)) for k, t in enumerate(self.ids)])
+                    cos = np.array([float(np.array_equal(x[a:b], t)) for t in self.ids])
+                elif len(which) < len(TEMPLATES):
+                    cos[np.setdiff1d(np.arange(len(cos)), which)] = 0
                 k = int(cos.argmax())
                 f, score, at = int(files[a]), float(cos[k]), int(lines[a])
                 if score >= threshold and (found[f] is None or (-score, at, k) < (-found[f][1], found[f][2], found[f][0])):
