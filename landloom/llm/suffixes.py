@@ -128,7 +128,7 @@ def part_of(h: np.ndarray, bits: int, parts: int) -> np.ndarray:
 def slices(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Each value of a sorted array with its slice."""
     first = np.nonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])[0] if len(sorted_values) else np.zeros(0, np.int64)
-    yield from zip(sorted_values[first].tolist(), first.tolist(), np.r_[first[1:], len(sorted_values)].tolist(), strict=True)
+    yield from zip(sorted_values[first].tolist(), first.tolist(), np.r_[first[1:], len(sorted_values)][: len(first)].tolist(), strict=True)
 
 
 class Run:
