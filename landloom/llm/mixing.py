@@ -154,6 +154,7 @@ def fit(sized: DataFrame, goal: list[float], most: float | None) -> tuple[list[f
     scale = sum(found[2][i][i] for i in range(n)) / n
     if not scale:
         return step, found[1], True  # no tokens, nothing to choose
+    best = (math.inf, step, found[1])
     for power in range(2, 15):
         eps = scale * 10.0**-power
         if power > 2:
@@ -174,9 +175,14 @@ def fit(sized: DataFrame, goal: list[float], most: float | None) -> tuple[list[f
                     break  # below the precision of doubles
                 then = at(new)
             step, found = new, then
+        gap = norm([g - x for g, x in zip(goal, found[1], strict=True)])
+        if gap < best[0]:
+            best = (gap, step, found[1])
         if proven(step, found[1]):
             return step, found[1], True
-    return step, found[1], False
+        if gap > best[0] * 1.001:
+            break  # steps have grown beyond what doubles can tell apart
+    return best[1], best[2], False
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], anchor: str, most: float | None = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
