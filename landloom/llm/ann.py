@@ -2,11 +2,13 @@
 
 Largest inner product becomes smallest distance when vectors are scaled into the unit ball and lifted
 to the sphere by one more component. Each of TABLES tables gives a point the bucket of its cells
-floor((a x + b) / WIDTH) for some Gaussian directions, so many that a bucket has about ROWS_A_BUCKET rows.
+floor((a x + b) / WIDTH) for some Gaussian directions; their number is the one at which queries of a sample
+have the least to do, rows to score and buckets to visit.
 For a query the success of a bucket is estimated as the product of the chances that a neighbour at the
 expected distance falls into each of its cells. Buckets are visited in descending order of that estimate
 until their sum reaches SUCCESS, and only rows of visited buckets are scored. Candidates of all tables
-are merged and ranked by the exact inner product of the original vectors in double precision.
+are merged and ranked by the exact inner product of the original vectors in double precision. Products below
+that of a query's k-th neighbour within a sample can't be among its k nearest and are left behind.
 
 The visits of all queries meet the buckets that exist in an equi-join. Buckets are gathered in blocks by a hash,
 large ones over several blocks by a hash of their rows; a block with very many queries is looked at by
@@ -28,14 +30,14 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 TABLES, WIDTH, SUCCESS = 2, 1.2, 0.84
-ROWS_A_BUCKET = 256
-BITS_A_HASH = 1.6  # what one cell tells about a point, about
+A_VISIT = 256  # a visit of a bucket costs as much as so many rows
+TRIED = 32  # queries of the sample on which numbers of hashes are tried
 CELLS = 12  # cells of one hash; what lies beyond is counted with the outermost
 MOST_HASHES = 15  # four bits of a bucket's key each
 SAMPLE = 4096  # vectors looked at to estimate the neighbours' distance
 WIDER = 3  # the distance allowed for is that of the k-th neighbour times this in rank, for a sample tells it roughly
 DRAWS = 400
-ROWS_A_BLOCK, QUERIES_A_BLOCK = 4096, 1024
+BLOCK_BYTES, QUERIES_A_BLOCK = 8 << 20, 1024
 
 
 def phi(x: np.ndarray) -> np.ndarray:
@@ -55,8 +57,8 @@ class Tables:
     def __init__(self, dim: int, hashes: int, scale: float, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.scale, self.hashes = scale, hashes
-        self.a = rng.standard_normal((TABLES, dim + 1, hashes))
-        self.b = rng.uniform(0, WIDTH, (TABLES, hashes))
+        self.a = rng.standard_normal((TABLES, dim + 1, MOST_HASHES))[:, :, :hashes]
+        self.b = rng.uniform(0, WIDTH, (TABLES, MOST_HASHES))[:, :hashes]
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         x = x / self.scale
@@ -101,26 +103,70 @@ class Tables:
         return key[np.argsort(-sum_, kind="stable")]
 
 
+def hashes_for(dim: int, scale: float, sample: np.ndarray, n: int, rank: int) -> int:
+    """The number of hashes at which TRIED rows of the sample, as queries among n rows, cost the least."""
+    if len(sample) < 2:
+        return 1
+    q = unit(sample[:TRIED])
+    best, out = math.inf, 1
+    for hashes in range(1, MOST_HASHES + 1):
+        tables = Tables(dim, hashes, scale)
+        s = np.column_stack([q, np.zeros(len(q))]) @ tables.lifted(sample).T
+        s[np.arange(len(q)), np.arange(len(q))] = -1
+        near = nearness(s, rank)
+        log_p, keys = tables.log_success(0, q, near), tables.buckets(0, sample)
+        cost = 0.0
+        for p, cut in zip(log_p, tables.cut(log_p, 0), strict=True):
+            seen = tables.visited(p, cut)
+            cost += np.isin(keys, seen).mean() * n + A_VISIT * len(seen)
+        if cost > 1.5 * best:
+            break
+        if cost < best:
+            best, out = cost, hashes
+    return out
+
+
+def nearness(similarities: np.ndarray, rank: int) -> np.ndarray:
+    """The similarity allowed for: that of the neighbour of WIDER times the rank in the sample."""
+    at = min(WIDER * rank, similarities.shape[1])
+    return np.clip(np.partition(similarities, -at, axis=1)[:, -at], 0.05, 0.995)
+
+
 @lru_cache(maxsize=8)
 def tables_of(dim: int, hashes: int, scale: float) -> Tables:
     return Tables(dim, hashes, scale)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id and v (array of double), without null ids and without vectors null, empty, zero or holding null or non-finite components."""
-    v = F.col(vec_col).cast("array<double>")
-    sound = ~F.coalesce(F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
+    """vec_id and v, without null ids and without vectors null, empty, zero or holding null or non-finite components."""
+    kind = vectors.select(vec_col).schema[0].dataType.simpleString()
+    v = F.col(vec_col) if kind in ("array<float>", "array<double>") else F.col(vec_col).cast("array<double>")
+    sound = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # a NaN is larger than infinity
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & (F.size("v") > 0) & sound & F.exists("v", lambda x: x != 0))
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k largest products of each query among other ids' rows, ties to smaller ids: place of the query, place of the row, product."""
+def length(v: Column) -> Column:
+    """The Euclidean norm, however small or large the components are."""
+    squares = lambda of: F.sqrt(F.aggregate(of, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    plain, most = squares(v), F.array_max(F.transform(v, F.abs)).cast("double")
+    return F.when((plain > 1e-140) & (plain < 1e140), plain).otherwise(most * squares(F.transform(v, lambda x: x / most)))
+
+
+def stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_list()).astype(np.float64, copy=False)
+
+
+def best(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest products of each query, of its floor or more, among other ids' rows, ties to smaller ids: place of the query, place of the row, product."""
     s = q @ x.T
     s[q_ids[:, None] == ids[None, :]] = -np.inf
     # The matrix product may differ from the sum below in its last bits; what may still be among the k stays in.
     slack = 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max(initial=0)
-    floor = np.partition(s, -k, axis=1)[:, -k] - slack if s.shape[1] > k else np.full(len(s), -np.inf)
-    row, col = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
+    hit = (s >= (floor - slack)[:, None]) & (s > -np.inf)
+    many = np.nonzero(hit.sum(1) > k)[0]
+    if len(many):
+        hit[many] &= s[many] >= (np.partition(s[many], -k, axis=1)[:, -k] - slack[many])[:, None]
+    row, col = np.nonzero(hit)
     exact = (q[row] * x[col]).sum(1)
     order = np.lexsort((ids[col], -exact, row))
     row, col, exact = row[order], col[order], exact[order]
@@ -137,8 +183,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     (the smallest vector). An empty table gives no rows.
     """
     rows = usable(vectors, id_col, vec_col)
-    most = F.array_max(F.transform("v", F.abs))
-    norm = F.max(most * F.sqrt(F.aggregate(F.transform("v", lambda x: x / most), F.lit(0.0), lambda s, x: s + x * x))).alias("norm")
+    norm = F.max(length(F.col("v"))).alias("norm")
     asked = F.count_if(F.col("vec_id") % every == 0).alias("queries")
     kinds = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), asked, norm).filter("queries > 0").orderBy("dim").collect()  # one row for each length of vectors
     found = [nearest_of(rows.filter(F.size("v") == r["dim"]), every, k, r["dim"], r["n"], r["queries"], r["norm"]) for r in kinds]
@@ -152,46 +197,57 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
 
 def nearest_of(rows: DataFrame, every: int, k: int, dim: int, n: int, n_queries: int, norm: float) -> DataFrame:
     """nearest() for vectors of one length."""
-    hashes = min(MOST_HASHES, max(1, round(math.log2(max(n / ROWS_A_BUCKET, 2)) / BITS_A_HASH)))
-    blocks = max(1, -(-n * TABLES // ROWS_A_BLOCK))
+    rows_a_block = max(256, BLOCK_BYTES // (8 * dim))
+    blocks = max(1, -(-n * TABLES // rows_a_block))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # bounded by SAMPLE
-    tables = tables_of(dim, hashes, norm)
-    known = tables.lifted(np.array([r["v"] for r in sample]).reshape(-1, dim))
-    known_ids = np.array([r["vec_id"] for r in sample], np.int64)
+    sample = list({r["vec_id"]: r["v"] for r in sample}.items())
+    known_ids, raw = np.array([i for i, _ in sample], np.int64), np.array([v for _, v in sample], float).reshape(-1, dim)
     rank = max(1, math.ceil(k * len(sample) / max(n, 1)))
+    hashes = hashes_for(dim, norm, raw, n, rank)
+    known = tables_of(dim, hashes, norm).lifted(raw)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = tables_of(dim, hashes, norm)
         for part in batches:
-            for at in range(0, len(part), 4096):
-                x = np.stack(part["v"].iloc[at : at + 4096].to_list())
-                for t in range(TABLES):
-                    yield pd.DataFrame({"t": t, "bucket": own.buckets(t, x), "vec_id": part["vec_id"].iloc[at : at + 4096].to_numpy(), "v": list(x)})
+            x = stacked(part["v"]) if len(part) else np.zeros((0, dim))
+            yield part.assign(buckets=list(np.stack([own.buckets(t, x) for t in range(TABLES)], axis=1)))
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each query's visits, and a product that its k-th neighbour reaches at least: that of the k-th in the sample."""
         own = tables_of(dim, hashes, norm)
         for part in batches:
             for at in range(0, len(part), 256):
-                ids, q = part["query_id"].iloc[at : at + 256].to_numpy(), unit(np.stack(part["q"].iloc[at : at + 256].to_list()))
-                s = np.where(ids[:, None] == known_ids[None, :], -1, np.column_stack([q, np.zeros(len(q))]) @ known.T)
-                s.sort(axis=1)
-                near = np.clip(s[:, -min(WIDER * rank, s.shape[1])], 0.05, 0.995)
+                ids, v = part["query_id"].iloc[at : at + 256].to_numpy(), stacked(part["q"].iloc[at : at + 256])
+                q = unit(v)
+                self_ = ids[:, None] == known_ids[None, :]
+                s = np.where(self_, -1, np.column_stack([q, np.zeros(len(q))]) @ known.T)
+                near = nearness(s, rank)
+                if s.shape[1] > k:
+                    products = np.where(self_, -np.inf, v @ raw.T)
+                    floor = np.partition(products, -k, axis=1)[:, -k]
+                    floor = floor - 4 * dim * np.finfo(float).eps * np.linalg.norm(v, axis=1) * norm
+                else:
+                    floor = np.full(len(ids), -np.inf)
                 for t in range(TABLES):
                     log_p = own.log_success(t, q, near)
-                    keys = [own.visited(p, c) for p, c in zip(log_p, own.cut(log_p, t), strict=True)]
-                    yield pd.DataFrame({"query_id": np.repeat(ids, [len(x) for x in keys]), "t": t, "bucket": np.concatenate(keys)})
-
-    placed = materialise(rows.mapInPandas(place, "t int, bucket long, vec_id long, v array<double>"), "placed")
-    queries = materialise(rows.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")), "queries")
-    sizes = placed.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / ROWS_A_BLOCK).cast("int").alias("pieces"))
+                    yield pd.DataFrame({"query_id": ids, "floor": floor, "t": t, "buckets": [own.visited(p, c) for p, c in zip(log_p, own.cut(log_p, t), strict=True)]})
+
+    kind = rows.schema["v"].dataType.simpleString()
+    placed = materialise(rows.mapInPandas(place, f"vec_id long, v {kind}, buckets array<long>"), "placed")
+    asking = rows.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
+    asking = materialise(asking, "queries")
+    planned = materialise(asking.mapInPandas(plan, "query_id long, floor double, t int, buckets array<long>"), "visits")
+    queries = asking.join(planned.filter("t = 0").select("query_id", "floor"), "query_id")
+    sizes = placed.select(F.posexplode("buckets").alias("t", "bucket")).groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / rows_a_block).cast("int").alias("pieces"))
     sizes = materialise(sizes, "buckets")
 
     def block(piece: Column) -> Column:
         return F.pmod(F.xxhash64("t", "bucket", piece.cast("int")), F.lit(blocks)).cast("int").alias("block")
 
     large = sizes.filter("pieces > 1")
-    points = placed.join(large, ["t", "bucket"], "left").select("t", "bucket", "vec_id", "v", block(F.pmod(F.xxhash64("vec_id", "v"), F.coalesce("pieces", F.lit(1)))))
-    visits = queries.mapInPandas(plan, "query_id long, t int, bucket long").join(sizes, ["t", "bucket"])
+    points = placed.select("vec_id", "v", F.posexplode("buckets").alias("t", "bucket")).join(large, ["t", "bucket"], "left")
+    points = points.select("t", "bucket", "vec_id", "v", block(F.pmod(F.xxhash64("vec_id", "v"), F.coalesce("pieces", F.lit(1)))))
+    visits = planned.select("query_id", "t", F.explode("buckets").alias("bucket")).join(sizes, ["t", "bucket"])
     visits = visits.select("query_id", "t", "bucket", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")).select("query_id", "t", "bucket", block(F.col("piece")))
     visits = materialise(visits.groupBy("block", "query_id").agg(F.collect_list(F.struct("t", "bucket")).alias("to")), "visits")
 
@@ -201,8 +257,8 @@ def nearest_of(rows: DataFrame, every: int, k: int, dim: int, n: int, n_queries:
         if len(q) and len(d):
             key = (d["t"].to_numpy(np.int64) << 60) | d["bucket"].to_numpy(np.int64)
             order = np.argsort(key, kind="stable")
-            key, ids, x = key[order], d["vec_id"].to_numpy()[order], np.stack(d["v"].to_list())[order]
-            q_ids, v = q["query_id"].to_numpy(), np.stack(q["q"].to_list())
+            key, ids, x = key[order], d["vec_id"].to_numpy()[order], stacked(d["v"])[order]
+            q_ids, v, floor = q["query_id"].to_numpy(), stacked(q["q"]), q["floor"].to_numpy()
             to = [np.array([(y["t"] << 60) | y["bucket"] for y in z], np.int64) for z in q["to"]]
             who, what = np.repeat(np.arange(len(q)), [len(z) for z in to]), np.concatenate(to)
             turn = np.argsort(what, kind="stable")
@@ -213,7 +269,7 @@ def nearest_of(rows: DataFrame, every: int, k: int, dim: int, n: int, n_queries:
             meets += [(everywhere[i : i + 256], 0, np.searchsorted(key, 1 << 60)) for i in range(0, len(everywhere), 256)]
             for mine, lo, hi in meets:
                 if lo < hi:
-                    row, col, score = best(q_ids[mine], v[mine], ids[lo:hi], x[lo:hi], k)
+                    row, col, score = best(q_ids[mine], v[mine], floor[mine], ids[lo:hi], x[lo:hi], k)
                     got.append((q_ids[mine[row]], ids[lo + col], score))
         row, col, score = (np.concatenate(z) for z in zip(*got, strict=True))
         # A row that several tables found counts once; the best k of the block go on.
