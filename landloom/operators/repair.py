@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landloom.functions import geom as G
@@ -21,8 +21,14 @@ RINGS = "array<array<struct<x:double,y:double>>>"
 NOISE = 0.05
 
 
+def boxed(rings: Column | str) -> Column:
+    """Rings on their way to pandas, each in a struct: nested arrays of different lengths can't be converted there."""
+    return F.transform(rings, lambda r: F.struct(r.alias("r")))
+
+
 def to_rings(value) -> list[np.ndarray]:
-    return [np.array([(p["x"], p["y"]) for p in r]) for r in value] if value is not None else []
+    """boxed() rings as arrays."""
+    return [np.array([(p["x"], p["y"]) for p in r["r"]]) for r in value] if value is not None else []
 
 
 def from_rings(rings: list[np.ndarray]) -> list[list[dict]]:
@@ -43,7 +49,7 @@ def valid_rings(df: DataFrame, col: str = "rings") -> DataFrame:
             yield part.assign(**{col: fixed, "repaired": changed})
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{kinds}, repaired boolean")
+    return df.withColumn(col, boxed(col)).mapInPandas(run, f"{kinds}, repaired boolean")
 
 
 def conflate(parcels: DataFrame, structures: DataFrame, least_inside: float = 0.55) -> DataFrame:
@@ -51,7 +57,7 @@ def conflate(parcels: DataFrame, structures: DataFrame, least_inside: float = 0.
 
     idx, rings, included, added (area). Order matters, for each step looks at the outline as it is by then.
     """
-    lists = structures.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("ord", "rings"))).alias("own"))
+    lists = structures.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("ord", boxed("rings").alias("rings")))).alias("own"))
 
     def run(batches):
         for part in batches:
@@ -67,14 +73,14 @@ def conflate(parcels: DataFrame, structures: DataFrame, least_inside: float = 0.
                 out.append((i, from_rings(rings), n, K.area(rings) - before))
             yield pd.DataFrame(out, columns=["idx", "rings", "included", "added"])
 
-    return parcels.select("idx", "rings").join(lists, "idx", "left").mapInPandas(run, f"idx long, rings {RINGS}, included int, added double")
+    return parcels.select("idx", boxed("rings").alias("rings")).join(lists, "idx", "left").mapInPandas(run, f"idx long, rings {RINGS}, included int, added double")
 
 
 def subtract(parcels: DataFrame, corridors: DataFrame, size: float = 32.0) -> DataFrame:
     """parcels (idx, rings, box) without the corridors (ord, rings, box) that reach them: idx, rings, removed (area)."""
     a = parcels.select(F.col("idx").alias("a_idx"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
     b = corridors.select(F.col("ord").alias("b_ord"), F.col("rings").alias("b_rings"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
-    lists = grid_join(a, b, size).groupBy(F.col("a_idx").alias("idx")).agg(F.array_sort(F.collect_list(F.struct(F.col("b_ord").alias("ord"), F.col("b_rings").alias("rings")))).alias("own"))
+    lists = grid_join(a, b, size).groupBy(F.col("a_idx").alias("idx")).agg(F.array_sort(F.collect_list(F.struct(F.col("b_ord").alias("ord"), boxed("b_rings").alias("rings")))).alias("own"))
 
     def run(batches):
         for part in batches:
@@ -87,7 +93,7 @@ def subtract(parcels: DataFrame, corridors: DataFrame, size: float = 32.0) -> Da
                 out.append((i, from_rings(rings), before - K.area(rings)))
             yield pd.DataFrame(out, columns=["idx", "rings", "removed"])
 
-    return parcels.select("idx", "rings").join(lists, "idx", "left").mapInPandas(run, f"idx long, rings {RINGS}, removed double")
+    return parcels.select("idx", boxed("rings").alias("rings")).join(lists, "idx", "left").mapInPandas(run, f"idx long, rings {RINGS}, removed double")
 
 
 def groups(edges: DataFrame) -> DataFrame:
@@ -122,7 +128,7 @@ def planarise(parcels: DataFrame, size: float = 32.0, passes: int = 12) -> DataF
             keep = [K.overlap_area(to_rings(x), to_rings(y)) > NOISE for x, y in zip(part["a_rings"], part["b_rings"], strict=True)]
             yield part.loc[keep, ["a_idx", "b_idx"]].rename(columns={"a_idx": "a", "b_idx": "b"})
 
-    edges = cut(near.select("a_idx", "b_idx", "a_rings", "b_rings").mapInPandas(disputed, "a long, b long"))
+    edges = cut(near.select("a_idx", "b_idx", boxed("a_rings").alias("a_rings"), boxed("b_rings").alias("b_rings")).mapInPandas(disputed, "a long, b long"))
     member = groups(edges)
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:
@@ -143,7 +149,7 @@ def planarise(parcels: DataFrame, size: float = 32.0, passes: int = 12) -> DataF
 
     joined = fixed.join(member.withColumnRenamed("node", "idx"), "idx", "left")
     quiet = joined.filter("label IS NULL").select("idx", "rings", F.lit(0.0).alias("lost"), "repaired")
-    settled = joined.filter("label IS NOT NULL").groupBy("label").applyInPandas(settle, f"idx long, rings {RINGS}, lost double")
+    settled = joined.filter("label IS NOT NULL").withColumn("rings", boxed("rings")).groupBy("label").applyInPandas(settle, f"idx long, rings {RINGS}, lost double")
     return settled.join(fixed.select("idx", "repaired"), "idx").unionByName(quiet).select("idx", "rings", "repaired", "lost")
 
 
@@ -169,19 +175,21 @@ def georeference(points: DataFrame, smoothing: float = 0.01) -> DataFrame:
     return points.groupBy("sheet").applyInPandas(fit, "sheet string, status string, points int, mean_error double, largest_error double, baseline double")
 
 
-def gaps(parcels: DataFrame, extent: tuple[float, float, float, float], tile: float = 128.0, ignore: float = 0.05, material: float = 25.0) -> DataFrame:
-    """Area of an extent that no outline covers, by tile: tx, ty, gap_area, kind (covered, residual or gap).
+def gaps(parcels: DataFrame, extent: tuple[float, float, float, float], tile: float = 128.0, ignore: float = 0.05, material: float = 25.0, exclusions: DataFrame | None = None) -> DataFrame:
+    """Area of an extent that no outline and no exclusion covers, by tile: tx, ty, gap_area, kind (covered, residual or gap).
 
-    parcels have idx, rings and box. Tiles are independent, so no union of the whole layer is ever made.
+    parcels and exclusions (roads, drains, water) have idx, rings and box. Tiles are independent, so no union of the whole layer is ever made.
     """
     x0, y0, x1, y1 = extent
     spark = parcels.sparkSession
+    if exclusions is not None:
+        parcels = parcels.unionByName(exclusions)
     nx, ny = int(np.ceil((x1 - x0) / tile)), int(np.ceil((y1 - y0) / tile))
     tiles = spark.range(nx * ny).select((F.col("id") % nx).alias("tx"), F.floor(F.col("id") / nx).alias("ty"))
     tx = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("x0") - x0) / tile)).cast("long"), F.least(F.lit(nx - 1), F.floor((F.col("x1") - x0) / tile)).cast("long")))
     ty = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("y0") - y0) / tile)).cast("long"), F.least(F.lit(ny - 1), F.floor((F.col("y1") - y0) / tile)).cast("long")))
     inside = parcels.filter((F.col("x1") >= x0) & (F.col("x0") <= x1) & (F.col("y1") >= y0) & (F.col("y0") <= y1))
-    placed = inside.withColumn("tx", tx).withColumn("ty", ty).select("tx", "ty", "rings")
+    placed = inside.withColumn("tx", tx).withColumn("ty", ty).select("tx", "ty", boxed("rings").alias("rings"))
 
     def uncovered(part: pd.DataFrame) -> pd.DataFrame:
         i, j = int(part["tx"].iloc[0]), int(part["ty"].iloc[0])
@@ -211,7 +219,7 @@ def eave_correction(footprints: DataFrame, trigger: float = 2.5, inset: float =
                 out.append((i, from_rings(done), bool(small), K.area(rings) - K.area(done)))
             yield pd.DataFrame(out, columns=["idx", "rings", "corrected", "removed"])
 
-    return footprints.select("idx", "height", "rings").mapInPandas(run, f"idx long, rings {RINGS}, corrected boolean, removed double")
+    return footprints.select("idx", "height", boxed("rings").alias("rings")).mapInPandas(run, f"idx long, rings {RINGS}, corrected boolean, removed double")
 
 
 def sliver_hosts(boxes: DataFrame, floor: float, size: float = 32.0) -> DataFrame:

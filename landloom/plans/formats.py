@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +43,16 @@ def structure_conflation(spark: SparkSession, parcels: DataFrame, structures: Da
     return R.conflate(outlined(parcels).select("idx", "rings"), own).select("idx", F.size("rings").alias("parts"), "included", rnd(F.col("added"), 4).alias("added"))
 
 
-@query(None, "v_parcel", "v_corridor")
+REMOVED = """WITH r AS (SELECT p.idx, p.x0 AS px0, p.y0 AS py0, p.x1 AS px1, p.y1 AS py1, greatest(k.x0, p.x0) AS x0, greatest(k.y0, p.y0) AS y0, least(k.x1, p.x1) AS x1, least(k.y1, p.y1) AS y1 FROM v_parcel p JOIN v_corridor k ON k.x0 < p.x1 AND k.x1 > p.x0 AND k.y0 < p.y1 AND k.y1 > p.y0),
+xi AS (SELECT idx, x, lead(x) OVER (PARTITION BY idx ORDER BY x) AS nx FROM (SELECT DISTINCT idx, x FROM (SELECT idx, x0 AS x FROM r UNION ALL SELECT idx, x1 FROM r))), yi AS (SELECT idx, y, lead(y) OVER (PARTITION BY idx ORDER BY y) AS ny FROM (SELECT DISTINCT idx, y FROM (SELECT idx, y0 AS y FROM r UNION ALL SELECT idx, y1 FROM r))),
+g AS (SELECT xi.idx, sum(CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.idx = xi.idx AND r.x0 <= x AND r.x1 >= nx AND r.y0 <= y AND r.y1 >= ny) THEN (nx - x) * (ny - y) ELSE 0.0 END) AS a FROM xi JOIN yi ON xi.idx = yi.idx WHERE nx IS NOT NULL AND ny IS NOT NULL GROUP BY xi.idx)
+SELECT p.idx, floor(floor(coalesce(g.a, 0.0) * 1000000.0 + 0.5) / 1000000.0 * 1000.0 + 0.5) / 1000.0 AS removed FROM v_parcel p LEFT JOIN g ON g.idx = p.idx"""
+
+
+@query(REMOVED, "v_parcel", "v_corridor")
 def corridor_subtraction(spark: SparkSession, parcels: DataFrame, corridors: DataFrame) -> DataFrame:
     own = outlined(corridors).withColumnRenamed("c_idx", "ord")
-    return R.subtract(outlined(parcels), own).select("idx", F.size("rings").alias("parts"), rnd(F.col("removed"), 4).alias("removed"))
+    return R.subtract(outlined(parcels), own).select("idx", rnd(rnd(F.col("removed"), 6), 3).alias("removed"))
 
 
 @query(None, "v_survey")
@@ -58,10 +65,18 @@ def tps_fit(spark: SparkSession, survey: DataFrame) -> DataFrame:
     return out.select("sheet", "status", "points", *[rnd(F.col(c), 4).alias(c) for c in ("mean_error", "largest_error", "baseline")])
 
 
-def sample(parcels: DataFrame) -> list[tuple[dict, list[np.ndarray]]]:
-    """The demonstration ward of 200 parcels: one file's worth of features."""
-    rows = parcels.filter("idx < 200").orderBy("idx").select("parcel_id", "land_use", "x0", "y0", "x1", "y1").collect()  # a file is bounded by its format
-    return [({"parcel_id": r.parcel_id, "land_use": r.land_use}, [np.array([(r.x0, r.y0), (r.x1, r.y0), (r.x1, r.y1), (r.x0, r.y1)])]) for r in rows]
+FILE_ROWS = 2000  # features of one file
+
+
+def filed(parcels: DataFrame, write, ending: str) -> DataFrame:
+    """All parcels as files of at most FILE_ROWS features, by ranges of ids, written where the rows are: path, content."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        rows = [({"parcel_id": r.parcel_id, "land_use": r.land_use}, [np.array([(r.x0, r.y0), (r.x1, r.y0), (r.x1, r.y1), (r.x0, r.y1)])]) for r in part.sort_values("idx").itertuples()]
+        return pd.DataFrame([(f"{int(part['file'].iloc[0])}{ending}", write(rows))], columns=["path", "content"])
+
+    own = parcels.select("idx", "parcel_id", "land_use", "x0", "y0", "x1", "y1", F.floor(F.col("idx") / FILE_ROWS).alias("file"))
+    return own.groupBy("file").applyInPandas(run, "path string, content binary")
 
 
 def as_content(spark: SparkSession, name: str, raw: bytes) -> DataFrame:
@@ -75,17 +90,17 @@ def told(features: DataFrame) -> DataFrame:
     return features.select(p["parcel_id"].alias("parcel_id"), p["land_use"].alias("land_use"), F.size(ring).cast("long").alias("points"), rnd(G.ring_area(ring), 6).alias("area"))
 
 
-BACK = "SELECT p.parcel_id, p.land_use, 5::BIGINT AS points, floor(((p.x1 - p.x0) * (p.y1 - p.y0)) * 1000000.0 + 0.5) / 1000000.0 AS area FROM v_parcel p WHERE p.idx < 200"
+BACK = "SELECT p.parcel_id, p.land_use, 5::BIGINT AS points, floor(((p.x1 - p.x0) * (p.y1 - p.y0)) * 1000000.0 + 0.5) / 1000000.0 AS area FROM v_parcel p"
 
 
 @query(BACK, "v_parcel")
 def gpkg_roundtrip(spark: SparkSession, parcels: DataFrame) -> DataFrame:
-    return told(formats.read_gpkg(as_content(spark, "a.gpkg", formats.write_gpkg(sample(parcels), "parcels", 32643))))
+    return told(formats.read_gpkg(filed(parcels, lambda rows: formats.write_gpkg(rows, "parcels", 32643), ".gpkg")))
 
 
 @query(BACK, "v_parcel")
 def shp_roundtrip(spark: SparkSession, parcels: DataFrame) -> DataFrame:
-    return told(formats.read_shapefile(as_content(spark, "a.zip", formats.write_shapefile(sample(parcels)))))
+    return told(formats.read_shapefile(filed(parcels, formats.write_shapefile, ".zip")))
 
 
 @query("SELECT 1 AS band, 40 AS width, 25 AS height, 0.5::DOUBLE AS pixel, 32643 AS epsg, 0.0::DOUBLE AS least, 998.0::DOUBLE AS largest, floor(avg(v) * 10000.0 + 0.5) / 10000.0 AS mean FROM (SELECT unnest(range(0, 1000)) AS v) WHERE v <> 999", "region")
@@ -94,11 +109,14 @@ def geotiff_stats(spark: SparkSession, region: DataFrame) -> DataFrame:
     return formats.raster_stats(as_content(spark, "a.tif", raw)).drop("path")
 
 
-@query("""SELECT p.idx, '{"type":"Feature","properties":{"parcel_id":"' || p.parcel_id || '"},"geometry":{"type":"Polygon"' AS head FROM v_parcel p""", "v_parcel")
+@query("SELECT p.idx, p.land_use, 5::BIGINT AS points, p.x0 AS min_x, p.y0 AS min_y, p.x1 AS max_x, p.y1 AS max_y, floor((p.x1 - p.x0) * (p.y1 - p.y0) * 1000000.0 + 0.5) / 1000000.0 AS area FROM v_parcel p", "v_parcel")
 def geojson_export(spark: SparkSession, parcels: DataFrame) -> DataFrame:
-    lines = formats.geojson_lines(outlined(parcels), "rings", "parcel_id")
-    key = F.get_json_object("value", "$.properties.parcel_id")
-    return lines.select(F.regexp_extract(key, "[0-9]+", 0).cast("long").alias("idx"), F.substring_index("value", ',"coordinates"', 1).alias("head"))
+    """Features written as lines of GeoJSON, and what the lines say, coordinates included."""
+    lines = formats.geojson_lines(outlined(parcels), "rings", "idx", "land_use")
+    got = lines.select(F.from_json("value", "properties struct<idx:bigint,land_use:string>, geometry struct<type:string,coordinates:array<array<array<double>>>>").alias("f"))
+    ring = F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda p: G.point(p[0], p[1]))
+    out = got.select("f.properties.idx", "f.properties.land_use", ring.alias("ring")).select("idx", "land_use", F.size("ring").cast("long").alias("points"), G.ring_bounds(F.col("ring")).alias("b"), rnd(G.ring_area(F.col("ring")), 6).alias("area"))
+    return out.select("idx", "land_use", "points", F.col("b.x0").alias("min_x"), F.col("b.y0").alias("min_y"), F.col("b.x1").alias("max_x"), F.col("b.y1").alias("max_y"), "area")
 
 
 def layers(parcels: DataFrame, register: DataFrame, candidates: DataFrame, survey: DataFrame, structures: DataFrame, corridors: DataFrame, customer: DataFrame):
@@ -123,11 +141,22 @@ def harmonization_conflicts(spark: SparkSession, *sources: DataFrame) -> DataFra
     return run(layers(*sources), "run-1")["conflicts"].groupBy("conflict_type", "severity", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(None, "v_parcel")
-def gap_detection(spark: SparkSession, parcels: DataFrame) -> DataFrame:
-    part = outlined(parcels).filter("x0 < 520 AND y0 < 440")
-    out = R.gaps(part.select("idx", "rings", "x0", "y0", "x1", "y1"), (0.0, 0.0, 520.0, 440.0))
-    return out.select("tx", "ty", rnd(F.col("gap_area"), 3).alias("gap_area"), "kind")
+TILED = """WITH e AS (SELECT min(x0) AS ex0, min(y0) AS ey0, max(x1) AS ex1, max(y1) AS ey1 FROM v_parcel), n AS (SELECT *, CAST(ceil((ex1 - ex0) / 128.0) AS BIGINT) AS nx, CAST(ceil((ey1 - ey0) / 128.0) AS BIGINT) AS ny FROM e),
+t AS (SELECT tx, ty, ex0 + tx * 128.0 AS a, ey0 + ty * 128.0 AS b, least(ex0 + tx * 128.0 + 128.0, ex1) AS c, least(ey0 + ty * 128.0 + 128.0, ey1) AS d FROM n, LATERAL (SELECT unnest(range(0, nx)) AS tx), LATERAL (SELECT unnest(range(0, ny)) AS ty)),
+p AS (SELECT tx, ty, greatest(x0, a) AS x0, greatest(y0, b) AS y0, least(x1, c) AS x1, least(y1, d) AS y1 FROM t JOIN (SELECT x0, y0, x1, y1 FROM v_parcel UNION ALL SELECT x0, y0, x1, y1 FROM v_corridor) q ON q.x0 < c AND q.x1 > a AND q.y0 < d AND q.y1 > b),
+xi AS (SELECT tx, ty, x, lead(x) OVER (PARTITION BY tx, ty ORDER BY x) AS nx FROM (SELECT DISTINCT tx, ty, x FROM (SELECT tx, ty, x0 AS x FROM p UNION ALL SELECT tx, ty, x1 FROM p UNION ALL SELECT tx, ty, a FROM t UNION ALL SELECT tx, ty, c FROM t))), yi AS (SELECT tx, ty, y, lead(y) OVER (PARTITION BY tx, ty ORDER BY y) AS ny FROM (SELECT DISTINCT tx, ty, y FROM (SELECT tx, ty, y0 AS y FROM p UNION ALL SELECT tx, ty, y1 FROM p UNION ALL SELECT tx, ty, b FROM t UNION ALL SELECT tx, ty, d FROM t))),
+g AS (SELECT xi.tx, xi.ty, sum(CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.tx = xi.tx AND p.ty = xi.ty AND p.x0 <= x AND p.x1 >= nx AND p.y0 <= y AND p.y1 >= ny) THEN 0.0 ELSE (nx - x) * (ny - y) END) AS area FROM xi JOIN yi ON xi.tx = yi.tx AND xi.ty = yi.ty WHERE nx IS NOT NULL AND ny IS NOT NULL GROUP BY xi.tx, xi.ty)
+SELECT tx, ty, floor(floor(area * 1000000.0 + 0.5) / 1000000.0 * 1000.0 + 0.5) / 1000.0 AS gap_area, CASE WHEN area <= 0.05 THEN 'covered' WHEN area <= 25.0 THEN 'residual' ELSE 'gap' END AS kind FROM g"""
+
+
+@query(TILED, "v_parcel", "v_corridor")
+def gap_detection(spark: SparkSession, parcels: DataFrame, corridors: DataFrame) -> DataFrame:
+    """What neither parcels nor corridors cover, over the extent of the whole layer, by tile."""
+    e = parcels.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
+    own = outlined(parcels).select("idx", "rings", "x0", "y0", "x1", "y1")
+    taken = outlined(corridors).select(F.lit(None).cast("long").alias("idx"), "rings", "x0", "y0", "x1", "y1")
+    out = R.gaps(own, tuple(e), exclusions=taken)
+    return out.select("tx", "ty", rnd(rnd(F.col("gap_area"), 6), 3).alias("gap_area"), "kind")
 
 
 @query("SELECT b.b_idx AS idx, b.b_idx % 4 >= 2 AS corrected, CASE WHEN b.b_idx % 4 >= 2 THEN floor(((b.x1 - b.x0) * (b.y1 - b.y0) - (b.x1 - b.x0 - 0.8) * (b.y1 - b.y0 - 0.8)) * 1000.0 + 0.5) / 1000.0 ELSE 0.0::DOUBLE END AS removed FROM v_structure b", "v_structure")

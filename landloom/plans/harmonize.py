@@ -1,7 +1,7 @@
 """The harmonization run: sources to scored parcels, conflicts and lineage, and its tables.
 
-Everything is lazy; persist() writes each table once, by run. The one action before is the gate: a run with a blocked
-dataset stops with the list of them (a catalogue has one row a source file).
+The matches and the scored parcels are written once, as several tables read them; the rest is lazy, and persist() writes
+each table once, by run. A run with a blocked dataset stops first, with the list of them (a catalogue has one row a source file).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from landloom.operators import matching as M
 from landloom.operators import quality as Q
 from landloom.operators import serving as V
 from landloom.operators import spatial as S
+from landloom.operators.cut import cut
 
 #: Default parameters of a run.
 DEFAULTS = {"match_iou": 0.55, "area_tolerance_pct": 3.5, "shift_m": 0.5, "area_change_pct": 2.0, "cell_m": 32.0}
@@ -59,7 +60,7 @@ def run(layers: Layers, run_id: str, params: dict | None = None, strict: bool =
     near = S.nearest(centre, layers.survey.select(F.col("obs_idx").alias("b_order"), F.col("x").alias("b_x"), F.col("y").alias("b_y")), 16.0).select(F.col("a_id").alias("cand_idx"), rnd(F.col("distance"), 3).alias("distance"))
     right = layers.candidates.join(near, "cand_idx", "left").select(F.col("cand_idx").alias("b_order"), F.col("cand_id").alias("b_id"), F.col("distance").alias("b_distance"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
     matched = M.assign_once(M.best_matches(boxes(layers.parcels, "a_", "idx"), right, size=cell), "b_id", "a_idx")
-    matched = matched.select(F.col("a_idx").alias("idx"), F.col("b_id").alias("cand_id"), "score", F.col("verdict").alias("match_verdict"), "iou", "outline", "shift", "likeness", F.col("b_distance").alias("distance"))
+    matched = cut(matched.select(F.col("a_idx").alias("idx"), F.col("b_id").alias("cand_id"), "score", F.col("verdict").alias("match_verdict"), "iou", "outline", "shift", "likeness", F.col("b_distance").alias("distance")))
     looked = A.register_lookup(layers.parcels, layers.register, ["parcel_ref", "survey_no"], "idx", "khasra_no", "reg_idx")
     checks = looked.withColumn("area", A.area_check(F.col("register.recorded"), F.col("surveyed"), p["area_tolerance_pct"])).withColumn("owner", A.owner_check(F.lit(None).cast("string"), F.col("owner_name"), F.lit(None).cast("string"), F.col("register.owner")))
     checks = checks.withColumn("attribute_status", A.overall(F.col("owner.status"), F.col("area.status"))).withColumn("attribute_score", A.attribute_score(F.col("owner.confidence"), F.col("area.status"), F.col("area.difference_pct")))
@@ -68,7 +69,7 @@ def run(layers: Layers, run_id: str, params: dict | None = None, strict: bool =
     wide = checks.join(matched, "idx", "left").join(issues, "idx", "left").withColumn("issues", F.coalesce("issues", F.lit(0)))
     signals = [F.col("iou"), F.col("outline"), F.col("attribute_score"), F.col("register.recorded"), F.col("surveyed"), F.col("issues"), F.col("distance")]
     passed, concerns = A.evidence(*signals)
-    scored = wide.withColumn("c", A.confidence(*signals)).withColumn("passed", passed).withColumn("concerns", concerns)
+    scored = cut(wide.withColumn("c", A.confidence(*signals)).withColumn("passed", passed).withColumn("concerns", concerns))  # five tables read it
     status = F.when(F.col("issues") > 0, "TOPOLOGY_ISSUE").otherwise(F.col("c.route"))
     parcels = scored.select(
         F.lit(run_id).alias("run_id"), "idx", "parcel_id", status.alias("status"), F.col("c.overall").alias("confidence"), F.col("c.route").alias("review_state"), "khasra_no", "owner_name", F.col("register.recorded").alias("recorded_area_sqm"),
@@ -89,9 +90,9 @@ def run(layers: Layers, run_id: str, params: dict | None = None, strict: bool =
 
 
 def persist(tables: dict[str, DataFrame], store: str) -> None:
-    """Appends each table of a run to the store, one write a table, partitioned by run."""
+    """Writes each table of a run to the store, partitioned by run; a run written again replaces its own partitions only."""
     for name, df in tables.items():
-        df.write.mode("append").partitionBy("run_id").parquet(f"{store}/{name}")
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{store}/{name}")
 
 
 def table(spark: SparkSession, store: str, name: str, run_id: str | None = None) -> DataFrame:
