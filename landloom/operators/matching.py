@@ -124,7 +124,9 @@ def first_generation_score(iou: Column, delta: Column, text: Column, survey: Col
 
 def reasons(iou: Column, likeness: Column, shift: Column, distance: Column, verdict_: Column) -> Column:
     """Sentences for what speaks for and against a match, in a fixed order."""
-    f = lambda s, c: F.format_string(s, c)
+    # Two places of the number itself, half to even, as printf of other languages; format_string rounds its shortest decimal form.
+    two = lambda c: F.regexp_replace(F.format_number(c, 2), ",", "")
+    f = lambda s, c: F.concat(F.lit(s.split("%.2f")[0]), two(c), F.lit(s.split("%.2f")[1]))
     overlap = F.when(iou >= 0.9, f("Boundary overlap IoU %.2f - near-identical footprint", iou)).when(iou >= 0.6, f("Boundary overlap IoU %.2f - substantial shared area", iou)).when(iou > 0, f("Partial boundary overlap IoU %.2f", iou))
     area = F.when(likeness >= 0.95, f("Area similarity %.2f - extents agree", likeness)).when(likeness < 0.85, f("Area similarity only %.2f - extents differ", likeness))
     moved = F.when(shift <= 0.5, f("Centroid displacement %.2f m", shift)).when(shift <= 2, f("Centroid displaced %.2f m - plausible legacy shift", shift)).when(shift > 2, f("Centroid displaced %.2f m - large offset", shift))

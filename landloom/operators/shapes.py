@@ -156,3 +156,44 @@ def harmonise(legacy: DataFrame, modern: DataFrame, structures: DataFrame | None
     out = fused.drop("rings").join(less, "idx").withColumn("before_sqm", rnd(rnd(F.col("before"), 6), 2)).withColumn("after_sqm", rnd(rnd(rings_area(F.col("rings")), 6), 2))
     delta = rnd(F.col("after_sqm") - F.col("before_sqm"), 2)
     return out.select("idx", "rings", "fused", "included", "before_sqm", "after_sqm", delta.alias("delta_sqm"), F.coalesce(rnd(ratio(delta, F.col("before_sqm")) * 100.0, 2), F.lit(0.0)).alias("delta_pct"))
+
+
+def overlays(pairs: DataFrame) -> DataFrame:
+    """pairs (idx, a, b: rings) -> idx and the areas common, united, only_a, either (one without the other)."""
+
+    def run(batches):
+        for part in batches:
+            out = []
+            for i, v, w in zip(part["idx"], part["a"], part["b"], strict=True):
+                a, b = R.to_rings(v), R.to_rings(w)
+                out.append((i, *[K.area(f(a, b)) for f in (K.intersection, K.union, K.difference, K.symmetric_difference)]))
+            yield pd.DataFrame(out, columns=["idx", "common", "united", "only_a", "either"])
+
+    return pairs.select("idx", R.boxed("a").alias("a"), R.boxed("b").alias("b")).mapInPandas(run, "idx long, common double, united double, only_a double, either double")
+
+
+def buffered(lines: DataFrame, key: str, distance: float) -> DataFrame:
+    """lines (key, line: points) -> key, rings of their surroundings within a distance, area."""
+
+    def run(batches):
+        for part in batches:
+            shapes = [K.buffer_line(R.to_rings(v)[0], distance) if v is not None else [] for v in part["line"]]
+            yield pd.DataFrame({key: part[key], "rings": [R.from_rings(s) for s in shapes], "area": [K.area(s) for s in shapes]})
+
+    kind = lines.schema[key].dataType.simpleString()
+    return lines.select(key, R.boxed(F.array("line")).alias("line")).mapInPandas(run, f"{key} {kind}, rings {R.RINGS}, area double")
+
+
+def snapped(shapes: DataFrame, grid: float) -> DataFrame:
+    """shapes (idx, rings) with vertices on a grid (a ring that would become invalid stays), and changed: whether the area moved."""
+
+    def run(batches):
+        for part in batches:
+            out = []
+            for i, v in zip(part["idx"], part["rings"], strict=True):
+                rings = R.to_rings(v)
+                new = [K.snap(r, grid) for r in rings]
+                out.append((i, R.from_rings(new), abs(K.area(new) - K.area(rings)) > 1e-9))
+            yield pd.DataFrame(out, columns=["idx", "rings", "changed"])
+
+    return shapes.select("idx", R.boxed("rings").alias("rings")).mapInPandas(run, f"idx long, rings {R.RINGS}, changed boolean")

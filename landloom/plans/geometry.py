@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from landloom.functions import geom as G
 from landloom.functions import proj as P
 from landloom.functions.num import exact_sum, ratio, rnd
 from landloom.operators import matching as M
+from landloom.operators import shapes
 from landloom.operators import spatial as S
 from landloom.operators.attributes import first_by
 from landloom.plans.attributes import s_rnd
@@ -372,7 +375,16 @@ def topology_before_after(spark: SparkSession, parcels: DataFrame, candidates: D
     return compare_issues(facts)
 
 
-@query(None, "v_parcel", "v_candidate", "v_survey")
+P2 = "printf('%.2f', {})"
+REASONS = f"""SELECT a_idx, verdict, CASE WHEN said = '' THEN 'No shared geometry between candidate and reference' ELSE said END || CASE WHEN verdict = 'UNMATCHED' THEN '; Below the correspondence threshold' ELSE '' END AS reasons FROM (
+SELECT m.a_idx, m.verdict, concat_ws('; ', CASE WHEN iou >= 0.9 THEN concat('Boundary overlap IoU ', {P2.format('iou')}, ' - near-identical footprint') WHEN iou >= 0.6 THEN concat('Boundary overlap IoU ', {P2.format('iou')}, ' - substantial shared area') WHEN iou > 0 THEN concat('Partial boundary overlap IoU ', {P2.format('iou')}) END,
+ CASE WHEN likeness >= 0.95 THEN concat('Area similarity ', {P2.format('likeness')}, ' - extents agree') WHEN likeness < 0.85 THEN concat('Area similarity only ', {P2.format('likeness')}, ' - extents differ') END,
+ CASE WHEN shift <= 0.5 THEN concat('Centroid displacement ', {P2.format('shift')}, ' m') WHEN shift <= 2 THEN concat('Centroid displaced ', {P2.format('shift')}, ' m - plausible legacy shift') WHEN shift > 2 THEN concat('Centroid displaced ', {P2.format('shift')}, ' m - large offset') END,
+ CASE WHEN distance <= 1 THEN concat('A survey point supports this parcel (', {P2.format('distance')}, ' m)') END) AS said
+FROM ({SCORES}) m LEFT JOIN (SELECT c.cand_id AS support_id, {s_rnd('n.d', 3)} AS distance FROM v_candidate c JOIN ({NEAREST}) n ON n.cand_idx = c.cand_idx) d ON d.support_id = m.cand_id)"""
+
+
+@query(REASONS, "v_parcel", "v_candidate", "v_survey")
 def match_reasons(spark: SparkSession, parcels: DataFrame, candidates: DataFrame, survey: DataFrame) -> DataFrame:
     """Why each parcel got its verdict, as sentences."""
     m = matches(parcels, candidates, survey)
@@ -393,3 +405,40 @@ def geometry_checks(spark: SparkSession, structures: DataFrame) -> DataFrame:
     seen = df.join(first, box, "left")
     state = F.when(F.col("x0").isNull(), "NULL").when(F.col("x1") <= F.col("x0"), "ZERO_AREA").when(F.col("first") < F.col("b_idx"), "DUPLICATE").otherwise("VALID")
     return seen.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""SELECT idx, {s_rnd(s_rnd('o', 7), 4)} AS common, {s_rnd(s_rnd('pa + ca - o', 7), 4)} AS united, {s_rnd(s_rnd('pa - o', 7), 4)} AS only_a, {s_rnd(s_rnd('pa + ca - 2 * o', 7), 4)} AS either FROM (SELECT a.idx, {AREA.format(a='a')} AS pa, {AREA.format(a='b')} AS ca, {OVER.format(a='a', b='b')} AS o FROM v_parcel a JOIN v_candidate b ON b.cand_idx = a.idx)""",
+    "v_parcel", "v_candidate",
+)
+def overlay_areas(spark: SparkSession, parcels: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Intersection, union, difference and symmetric difference of two epochs by the general kernel, on outlines turned by a fifth of a radian."""
+    turned = lambda p: F.transform(G.ring_of_box(G.box()), lambda q: G.point(q["x"] * math.cos(0.2) - q["y"] * math.sin(0.2), q["x"] * math.sin(0.2) + q["y"] * math.cos(0.2))).alias(p)
+    both = parcels.select("idx", turned("p")).join(candidates.select("cand_idx", turned("q")), F.col("idx") == F.col("cand_idx"))
+    out = shapes.overlays(both.select("idx", F.array("p").alias("a"), F.array("q").alias("b")))
+    return out.select("idx", *[rnd(rnd(F.col(c), 7), 4).alias(c) for c in ("common", "united", "only_a", "either")])
+
+
+@query(f"SELECT c_idx, {s_rnd(s_rnd('2 * 2.0 * l + 16 * 2 * 2.0 * 2.0 / 2 * sin(pi() / 16)', 7), 3)} AS area FROM (SELECT c_idx, sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) AS l FROM v_corridor)", "v_corridor")
+def line_buffer(spark: SparkSession, corridors: DataFrame) -> DataFrame:
+    """The surroundings of each corridor's diagonal within two metres, with round ends of sixteen sides a half circle."""
+    return shapes.buffered(corridors.select("c_idx", F.array(G.point(F.col("x0"), F.col("y0")), G.point(F.col("x1"), F.col("y1"))).alias("line")), "c_idx", 2.0).select("c_idx", rnd(rnd(F.col("area"), 7), 3).alias("area"))
+
+
+@query("SELECT idx, floor(x0 / 0.15 + 0.5) * 0.15 AS x0, floor(y1 / 0.15 + 0.5) * 0.15 AS y1, abs((floor(x1 / 0.15 + 0.5) * 0.15 - floor(x0 / 0.15 + 0.5) * 0.15) * (floor(y1 / 0.15 + 0.5) * 0.15 - floor(y0 / 0.15 + 0.5) * 0.15) - (x1 - x0) * (y1 - y0)) > 1e-9 AS changed FROM v_parcel", "v_parcel")
+def snap_grid(spark: SparkSession, parcels: DataFrame) -> DataFrame:
+    """Outlines on a grid of 15 centimetres; changed tells whether that moved their area."""
+    out = shapes.snapped(parcels.select("idx", F.array(G.ring_of_box(G.box())).alias("rings")), 0.15)
+    b = G.ring_bounds(F.get("rings", F.lit(0)))
+    return out.select("idx", b["x0"].alias("x0"), b["y1"].alias("y1"), "changed")
+
+
+@query(f"SELECT idx, idx % 10 = 0 AS repaired, CASE WHEN idx % 10 = 0 THEN 2 ELSE 1 END AS parts, CASE WHEN idx % 10 = 0 THEN {s_rnd(s_rnd('(x1 - x0) * (y1 - y0) / 2', 7), 4)} ELSE {s_rnd(s_rnd('(x1 - x0) * (y1 - y0)', 7), 4)} END AS area FROM v_parcel", "v_parcel")
+def crossed_repair(spark: SparkSession, parcels: DataFrame) -> DataFrame:
+    """Every tenth outline is crossed like a bow tie and falls into two triangles of a quarter each."""
+    from landloom.operators import repair as R
+
+    b = G.box()
+    crossed = F.array(G.point(b[0], b[1]), G.point(b[2], b[3]), G.point(b[2], b[1]), G.point(b[0], b[3]))
+    fixed = R.valid_rings(parcels.select("idx", F.array(F.when(F.col("idx") % 10 == 0, crossed).otherwise(G.ring_of_box(b))).alias("rings")))
+    return fixed.select("idx", "repaired", F.size("rings").alias("parts"), rnd(rnd(shapes.rings_area(F.col("rings")), 7), 4).alias("area"))
