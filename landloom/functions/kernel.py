@@ -137,7 +137,7 @@ def is_valid(ring: np.ndarray) -> bool:
     ring = np.asarray(ring, float)
     if len(ring) < 3:
         return False
-    x, y = ring[:, 0], ring[:, 1]
+    x, y = (ring - ring[0]).T  # near the origin products keep their last digits
     shoelace = abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
     return bool(shoelace > 0 and math.isclose(shoelace, area([ring]), rel_tol=1e-9, abs_tol=1e-12))
 

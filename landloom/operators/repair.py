@@ -19,6 +19,7 @@ from landloom.operators.spatial import grid_join
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 NOISE = 0.05
+HAIR = 1e-6  # square metres: pieces below it are rounding of the overlay
 
 
 def boxed(rings: Column | str) -> Column:
@@ -27,8 +28,8 @@ def boxed(rings: Column | str) -> Column:
 
 
 def to_rings(value) -> list[np.ndarray]:
-    """boxed() rings as arrays."""
-    return [np.array([(p["x"], p["y"]) for p in r["r"]]) for r in value] if value is not None else []
+    """Rings of a row, or boxed() ones of a data frame, as arrays."""
+    return [np.array([(p["x"], p["y"]) for p in (r if isinstance(r, list) else r["r"])]) for r in value] if value is not None else []
 
 
 def from_rings(rings: list[np.ndarray]) -> list[list[dict]]:
@@ -111,13 +112,13 @@ def groups(edges: DataFrame) -> DataFrame:
 
 
 def planarise(parcels: DataFrame, size: float = 32.0, passes: int = 12) -> DataFrame:
-    """parcels (idx, rings, box) -> idx, rings, repaired, lost (area): no two outlines share more than noise.
+    """parcels (idx, rings, box) -> idx, rings, repaired, lost (area), resolved (disputes won), settled: no two outlines share more than noise.
 
     Invalid outlines are repaired; then, in each component of disputes, the largest dispute is settled first and the
     smaller parcel (the first of the pair on ties) gives up the common area, until none is left or after some passes.
-    A parcel that is covered wholly is left empty.
+    A parcel of which no more than noise is left is emptied. settled is false where the passes did not suffice.
     """
-    fixed = cut(valid_rings(parcels.select("idx", "rings")))
+    fixed = cut(valid_rings(dealt(parcels.select("idx", "rings"))))
     bounds = F.col("ring")
     corner = fixed.select("idx", F.explode("rings").alias("ring")).select("idx", G.ring_bounds(bounds).alias("b")).groupBy("idx").agg(F.min("b.x0").alias("x0"), F.min("b.y0").alias("y0"), F.max("b.x1").alias("x1"), F.max("b.y1").alias("y1"))
     side = lambda p: corner.join(fixed.select("idx", "rings"), "idx").select(*[F.col(c).alias(p + c) for c in ("idx", "rings", "x0", "y0", "x1", "y1")])
@@ -134,23 +135,71 @@ def planarise(parcels: DataFrame, size: float = 32.0, passes: int = 12) -> DataF
     def settle(part: pd.DataFrame) -> pd.DataFrame:
         shapes = {int(i): to_rings(v) for i, v in zip(part["idx"], part["rings"], strict=True)}
         area = {i: K.area(r) for i, r in shapes.items()}
-        first = dict(area)
-        ids = sorted(shapes)
+        first, resolved, calm = dict(area), dict.fromkeys(shapes, 0), False
+        fresh = set(shapes)  # only pairs with a shape that has changed are looked at again
         for _ in range(passes):
-            pairs = [(K.overlap_area(shapes[a], shapes[b]), a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if shapes[a] and shapes[b]]
+            pairs = [(K.overlap_area(shapes[a], shapes[b]), a, b) for a, b in close_pairs(shapes) if a in fresh or b in fresh]
             pairs = sorted((p for p in pairs if p[0] > NOISE), key=lambda p: (-p[0], p[1], p[2]))
-            if not pairs:
+            calm, fresh = not pairs, set()
+            if calm:
                 break
             for _, a, b in pairs:
                 loser, winner = (a, b) if area[a] <= area[b] else (b, a)
-                shapes[loser] = K.difference(shapes[loser], shapes[winner])
-                area[loser] = K.area(shapes[loser])
-        return pd.DataFrame([(i, from_rings(shapes[i]), first[i] - area[i]) for i in ids], columns=["idx", "rings", "lost"])
+                if not shapes[loser] or not shapes[winner] or K.overlap_area(shapes[loser], shapes[winner]) <= 0:
+                    continue
+                rest = [r for r in K.difference(shapes[loser], shapes[winner]) if K.area([r]) > HAIR]
+                size = K.area(rest)
+                # What is left of a parcel that its neighbour covers is noise: it was a duplicate.
+                shapes[loser], area[loser] = (rest, size) if size > NOISE else ([], 0.0)
+                resolved[winner] += 1
+                fresh.add(loser)
+        return pd.DataFrame([(i, from_rings(shapes[i]), first[i] - area[i], resolved[i], calm) for i in sorted(shapes)], columns=["idx", "rings", "lost", "resolved", "settled"])
 
     joined = fixed.join(member.withColumnRenamed("node", "idx"), "idx", "left")
-    quiet = joined.filter("label IS NULL").select("idx", "rings", F.lit(0.0).alias("lost"), "repaired")
-    settled = joined.filter("label IS NOT NULL").withColumn("rings", boxed("rings")).groupBy("label").applyInPandas(settle, f"idx long, rings {RINGS}, lost double")
-    return settled.join(fixed.select("idx", "repaired"), "idx").unionByName(quiet).select("idx", "rings", "repaired", "lost")
+    quiet = joined.filter("label IS NULL").select("idx", "rings", F.lit(0.0).alias("lost"), F.lit(0).alias("resolved"), F.lit(True).alias("settled"), "repaired")
+    settled = joined.filter("label IS NOT NULL").withColumn("rings", boxed("rings")).groupBy("label").applyInPandas(settle, f"idx long, rings {RINGS}, lost double, resolved int, settled boolean")
+    return settled.join(fixed.select("idx", "repaired"), "idx").unionByName(quiet).select("idx", "rings", "repaired", "lost", "resolved", "settled")
+
+
+def close_pairs(shapes: dict[int, list[np.ndarray]]):
+    """Pairs (a < b) of shapes whose boxes meet, by a sweep from left to right."""
+    box = {i: (*np.vstack(r).min(0), *np.vstack(r).max(0)) for i, r in shapes.items() if r}
+    open_: list[int] = []
+    for i in sorted(box, key=lambda k: box[k][0]):
+        open_ = [j for j in open_ if box[j][2] > box[i][0]]
+        yield from ((min(i, j), max(i, j)) for j in open_ if box[j][1] < box[i][3] and box[j][3] > box[i][1])
+        open_.append(i)
+
+
+def dealt(shapes: DataFrame) -> DataFrame:
+    """Shapes dealt to all cores: the work is in each shape, so partitions aren't merged by their few bytes."""
+    return shapes.repartition(max(shapes.sparkSession.sparkContext.defaultParallelism, int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "idx")
+
+
+def with_box(shapes: DataFrame) -> DataFrame:
+    """Shapes (idx, rings) that have a ring, with their box."""
+    b = shapes.select("idx", F.explode("rings").alias("r")).select("idx", G.ring_bounds(F.col("r")).alias("b")).groupBy("idx")
+    return shapes.join(b.agg(F.min("b.x0").alias("x0"), F.min("b.y0").alias("y0"), F.max("b.x1").alias("x1"), F.max("b.y1").alias("y1")), "idx")
+
+
+def issue_counts(shapes: DataFrame, least: float = 2.0, size: float = 32.0) -> DataFrame:
+    """kind, n: pairs of outlines (idx, rings) that share more than noise, slivers under a least area, invalid outlines, empty ones."""
+
+    def look(batches):
+        for part in batches:
+            rings = [to_rings(v) for v in part["rings"]]
+            yield pd.DataFrame({"sliver": [0 < K.area(r) < least for r in rings], "invalid": [not all(K.is_valid(q) for q in r) for r in rings], "empty": [not r for r in rings]})
+
+    one = dealt(shapes).select(boxed("rings").alias("rings")).mapInPandas(look, "sliver boolean, invalid boolean, empty boolean").agg(*[F.count_if(k).alias(k) for k in ("sliver", "invalid", "empty")])
+    side = lambda p: with_box(shapes).select(*[F.col(c).alias(p + c) for c in ("idx", "rings", "x0", "y0", "x1", "y1")])
+    near = grid_join(side("a_"), side("b_"), size).filter("a_idx < b_idx")
+
+    def disputed(batches):
+        for part in batches:
+            yield pd.DataFrame({"overlap": [K.overlap_area(to_rings(x), to_rings(y)) > NOISE for x, y in zip(part["a_rings"], part["b_rings"], strict=True)]})
+
+    two = near.select(boxed("a_rings").alias("a_rings"), boxed("b_rings").alias("b_rings")).mapInPandas(disputed, "overlap boolean").agg(F.count_if("overlap").alias("overlap"))
+    return one.join(two, F.lit(True)).select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in ("overlap", "sliver", "invalid", "empty")])).alias("x")).select("x.*")  # one row each
 
 
 def georeference(points: DataFrame, smoothing: float = 0.01) -> DataFrame:

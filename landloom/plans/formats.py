@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from landloom.functions import geom as G
 from landloom.functions.num import rnd
 from landloom.operators import repair as R
+from landloom.operators.cut import cut
 from landloom.plans.registry import query
 from landloom.sources import formats, generators
 
@@ -25,6 +26,25 @@ def planarise(spark: SparkSession, parcels: DataFrame) -> DataFrame:
     return out.select("idx", F.size("rings").alias("parts"), "repaired", rnd(F.col("lost"), 4).alias("lost"))
 
 
+#: A layer with defects: some outlines crossed like a bow tie, some there twice.
+LAYER = "SELECT idx, x0, y0, x1, y1 FROM v_parcel WHERE idx % 30 <> 7 UNION ALL SELECT idx + 20000000, x0, y0, x1, y1 FROM v_parcel WHERE idx % 40 = 9"
+DISPUTES = f"WITH l AS ({LAYER}) SELECT 'overlap' AS kind, count(*) AS before FROM l a JOIN l b ON a.idx < b.idx AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 0.05 UNION ALL SELECT 'invalid', count(*) FROM v_parcel WHERE idx % 30 = 7"
+
+
+@query(f"SELECT kind, before, CAST(0 AS BIGINT) AS after, TRUE AS settled FROM ({DISPUTES})", "v_parcel")
+def planar_report(spark: SparkSession, parcels: DataFrame) -> DataFrame:
+    """Overlaps and crossed outlines of a layer before it is planarised and after: none may be left. Crossed ones lie apart."""
+    b = G.box()
+    away = lambda q: G.point(q["x"] + 100000.0, q["y"])
+    crossed = F.transform(F.array(G.point(b[0], b[1]), G.point(b[2], b[3]), G.point(b[2], b[1]), G.point(b[0], b[3])), away)
+    once = parcels.select("idx", F.array(F.when(F.col("idx") % 30 == 7, crossed).otherwise(G.ring_of_box(b))).alias("rings"))
+    layer = once.unionByName(outlined(parcels.filter("idx % 40 = 9").withColumn("idx", F.col("idx") + 20000000)).select("idx", "rings"))
+    fixed = cut(R.planarise(R.with_box(layer)))
+    calm = fixed.agg(F.bool_and("settled").alias("settled"))
+    both = R.issue_counts(layer).join(R.issue_counts(fixed.select("idx", "rings")).withColumnRenamed("n", "after"), "kind")
+    return both.filter("kind IN ('overlap', 'invalid')").join(calm, F.lit(True)).select("kind", F.col("n").alias("before"), "after", "settled")  # one row
+
+
 @query(None, "region")
 def make_valid_bowtie(spark: SparkSession, region: DataFrame) -> DataFrame:
     """The demonstration cadastre with its crossed outlines repaired: area and parts of each."""
