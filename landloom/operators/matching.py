@@ -25,7 +25,7 @@ def verdict(score: Column, iou: Column, least_iou: float = 0.55) -> Column:
 
 #: The most that a candidate can score that shares no area and lies beyond the reach of the shift term: area, outline, survey support.
 FAR_SCORE = 0.18 + 0.16 + 0.10
-FAR_ROWS, FAR_CANDIDATES = 2_000, 20_000
+FAR_ROWS, FAR_CANDIDATES = 200, 5_000
 
 
 def best_matches(legacy: DataFrame, candidates: DataFrame, far: float = 25.0, size: float = 32.0) -> DataFrame:
@@ -58,6 +58,7 @@ def best_matches(legacy: DataFrame, candidates: DataFrame, far: float = 25.0, si
         shaped = shaped.withColumn("outline", outline).withColumn("score", match_score(F.col("iou"), F.col("likeness"), F.col("outline"), F.col("shift"), F.col("b_distance"), far))
         return shaped.groupBy("a_idx").agg(F.max_by(F.struct(*own), F.struct("score", -F.col("b_order"))).alias("m"))
 
+    legacy, candidates = cut(legacy), cut(candidates)  # both are read several times
     near = cut(winners(grid_join(legacy, candidates, size, margin=far)))
     weak = cut(legacy.join(near.filter(F.col("m.score") > FAR_SCORE), "a_idx", "left_anti"))
     n_weak = weak.count()
