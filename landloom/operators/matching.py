@@ -54,6 +54,7 @@ def best_matches(legacy: DataFrame, candidates: DataFrame, far: float = 25.0, si
         top = F.max("known").over(Window.partitionBy("a_idx"))
         left = with_terms(pairs).withColumn("top", top).filter(F.col("most") >= F.col("top"))
         shaped = G.with_samples(G.with_samples(left.withColumn("ring_a", G.ring_of_box(a)).withColumn("ring_b", G.ring_of_box(b)), "ring_a", "samples_a"), "ring_b", "samples_b")
+        shaped = cut(shaped)  # else the samples' expressions are repeated wherever the likeness is named
         outline = F.when(F.col("met"), G.outline_likeness(F.col("samples_a"), F.col("samples_b"), G.box_area(a), G.box_area(b))).otherwise(0.0)
         shaped = shaped.withColumn("outline", outline).withColumn("score", match_score(F.col("iou"), F.col("likeness"), F.col("outline"), F.col("shift"), F.col("b_distance"), far))
         return shaped.groupBy("a_idx").agg(F.max_by(F.struct(*own), F.struct("score", -F.col("b_order"))).alias("m"))
