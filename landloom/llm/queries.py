@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chunks, exact_dedup, fim, licenses, minhash, mixing, packing, pii, quality, suffixes
+from . import ann, chunks, exact_dedup, fim, licenses, minhash, mixing, packing, pii, quality, suffixes, vector_codes
 from .common import table
 
 
@@ -76,6 +76,35 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sql(rounds: int = 6) -> str:
+    """A key tells an entry and its distance: distance x 16 + entry, so the least key is the nearest entry, ties to the smaller."""
+    key = "min(list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 16 + b.e)"
+    nearest = "SELECT p.part, p.n, any_value(p.x) AS x, {key} AS key FROM p JOIN b{r} b ON p.part = b.part GROUP BY p.part, p.n"
+    steps = [
+        """p AS MATERIALIZED (SELECT part::INT AS part, n, v[part * w + 1 : part * w + w] AS x, w FROM k, range(8) r(part))""",
+        """b0 AS MATERIALIZED (SELECT part, n - 1 AS e, x AS c FROM p WHERE n <= 16)""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED ({nearest.format(key=key, r=r)})")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT part, key % 16 AS e, i, sum(x[i])::BIGINT AS s, count(*) AS m FROM a{r}, range(1, (SELECT max(w) FROM p) + 1) t(i) GROUP BY part, key % 16, i),
+l{r} AS (SELECT part, e, list(((s - ((s % m) + m) % m) // m)::BIGINT ORDER BY i) AS c FROM s{r} GROUP BY part, e),
+b{r + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(l.c, b.c) AS c FROM b{r} b LEFT JOIN l{r} l ON b.part = l.part AND b.e = l.e)""")
+    return f"""
+WITH k AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS n, len(embedding) // 8 AS w, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+{", ".join(steps)},
+d AS (SELECT string_agg(array_to_string(c, ','), ',' ORDER BY part, e) AS t FROM b{rounds}),
+c AS (SELECT n, string_agg('0' || substr('0123456789abcdef', (key % 16)::INT + 1, 1), '' ORDER BY part) AS code, sum(key // 16)::BIGINT AS error FROM a{rounds} GROUP BY n)
+SELECT vec_id, label, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(t) FROM d) AS codebooks_sha256
+FROM c JOIN k USING (n)
+"""
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
     digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
@@ -106,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op12_vector_codes": op12_vector_codes,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op13_fill_in_middle": OP13_SQL}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op12_vector_codes": op12_sql(), "op13_fill_in_middle": OP13_SQL}
