@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chunks, exact_dedup, fim, licenses, minhash, mixing, packing, pii, quality, suffixes, vector_codes
+from . import ann, chunks, exact_dedup, fim, licenses, minhash, mixing, packing, pii, quality, suffixes, token_counts, vector_codes
 from .common import table
 
 
@@ -76,6 +76,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), packing.default_tokenizer(), limit=512)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
@@ -135,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_token_counts": op11_token_counts,
     "op12_vector_codes": op12_vector_codes,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
