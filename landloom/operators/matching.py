@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from landloom.functions import geom as G
 from landloom.functions.num import clamp, ratio, rnd
+from landloom.operators.area_match import best_by_area, support
 from landloom.operators.cut import cut
-from landloom.operators.spatial import grid_join
+from landloom.operators.spatial import grid_join, within_reach
 
 
 def match_score(iou: Column, likeness: Column, outline: Column, shift: Column, distance: Column, far: float = 25.0, radius: float = 3.0) -> Column:
@@ -25,7 +26,6 @@ def verdict(score: Column, iou: Column, least_iou: float = 0.55) -> Column:
 
 #: The most that a candidate can score that shares no area and lies beyond the reach of the shift term: area, outline, survey support.
 FAR_SCORE = 0.18 + 0.16 + 0.10
-FAR_ROWS, FAR_CANDIDATES = 200, 5_000
 
 
 def best_matches(legacy: DataFrame, candidates: DataFrame, far: float = 25.0, size: float = 32.0) -> DataFrame:
@@ -34,7 +34,8 @@ def best_matches(legacy: DataFrame, candidates: DataFrame, far: float = 25.0, si
     legacy has a_idx and box; candidates have b_order, b_distance (to the nearest survey point, may be null) and box.
     Every candidate counts, however far. Those within far are found by cells; the cheap terms of a pair
     bound its score, and outlines are compared only where a pair can still win. Beyond far a pair
-    scores FAR_SCORE at most, so only rows whose best is no better meet all candidates, in blocks.
+    scores FAR_SCORE at most, so only rows whose best is no better go on: to the candidates within the outline's reach, found by
+    cells of the size of the larger one, and to the best of all others by area and survey support alone (best_by_area).
     Equal scores go to the candidate that comes first. Without candidates a row is UNMATCHED with score 0.
     """
     a, b = G.box("a_"), G.box("b_")
@@ -46,36 +47,33 @@ def best_matches(legacy: DataFrame, candidates: DataFrame, far: float = 25.0, si
         apart = lambda lo, hi: F.greatest(a[lo] - b[hi], b[lo] - a[hi], F.lit(0.0))
         gap = F.sqrt(apart(0, 2) * apart(0, 2) + apart(1, 3) * apart(1, 3))
         out = out.withColumn("met", gap <= F.sqrt(F.greatest(G.box_area(a), G.box_area(b))))
-        return out.withColumn("known", known).withColumn("most", F.col("known") + F.when(F.col("met"), 0.16).otherwise(0.0) + 1e-4)
+        # The samples' mean distance is at least that of their means, and a ring's samples have their mean within half a step of its centre.
+        step = lambda c: ((c[2] - c[0]) + (c[3] - c[1])) * 2 / G.SAMPLES
+        likest = clamp(1 - (F.col("shift") - (step(a) + step(b)) / 2) / F.sqrt(F.greatest(G.box_area(a), G.box_area(b))), 0.0, 1.0)
+        return out.withColumn("known", known).withColumn("most", F.col("known") + F.when(F.col("met"), F.coalesce(likest, F.lit(1.0)) * 0.16).otherwise(0.0) + 2e-4)
 
     own = [c for c in candidates.columns] + ["iou", "shift", "likeness", "outline", "score"]
 
-    def winners(pairs: DataFrame) -> DataFrame:
+    def winners(pairs: DataFrame, least: Column | None = None) -> DataFrame:
+        """The best pair of each row; pairs that can't reach the row's best cheap score, or least, are dropped before outlines are compared."""
         top = F.max("known").over(Window.partitionBy("a_idx"))
-        left = with_terms(pairs).withColumn("top", top).filter(F.col("most") >= F.col("top"))
-        shaped = G.with_samples(G.with_samples(left.withColumn("ring_a", G.ring_of_box(a)).withColumn("ring_b", G.ring_of_box(b)), "ring_a", "samples_a"), "ring_b", "samples_b")
-        shaped = cut(shaped)  # else the samples' expressions are repeated wherever the likeness is named
-        outline = F.when(F.col("met"), G.outline_likeness(F.col("samples_a"), F.col("samples_b"), G.box_area(a), G.box_area(b))).otherwise(0.0)
-        shaped = shaped.withColumn("outline", outline).withColumn("score", match_score(F.col("iou"), F.col("likeness"), F.col("outline"), F.col("shift"), F.col("b_distance"), far))
+        left = with_terms(pairs).withColumn("top", top if least is None else F.greatest(top, least)).filter(F.col("most") >= F.col("top"))
+        outline = F.when(F.col("met"), G.box_outline_likeness(a, b)).otherwise(0.0)
+        shaped = left.withColumn("outline", outline).withColumn("score", match_score(F.col("iou"), F.col("likeness"), F.col("outline"), F.col("shift"), F.col("b_distance"), far))
         return shaped.groupBy("a_idx").agg(F.max_by(F.struct(*own), F.struct("score", -F.col("b_order"))).alias("m"))
 
     legacy, candidates = cut(legacy), cut(candidates)  # both are read several times
     near = cut(winners(grid_join(legacy, candidates, size, margin=far)))
-    weak = cut(legacy.join(near.filter(F.col("m.score") > FAR_SCORE), "a_idx", "left_anti"))
-    n_weak = weak.count()
+    weak = cut(legacy.join(near.filter(F.col("m.score") > FAR_SCORE), "a_idx", "left_anti").withColumn("a_area", G.box_area(a)))
     best = near
-    if n_weak:
-        rows, blocks = max(1, -(-n_weak // FAR_ROWS)), max(1, -(-candidates.count() // FAR_CANDIDATES))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = weak.withColumn("_r", F.pmod(F.xxhash64("a_idx"), F.lit(rows)).cast("int")).withColumn("_c", every(blocks))
-        right = candidates.withColumn("_c", F.pmod(F.xxhash64("b_order"), F.lit(blocks)).cast("int")).withColumn("_r", every(rows))
-        pairs = with_terms(left.join(right, ["_r", "_c"]).drop("_r", "_c"))
-        # Beyond the outline's reach the cheap terms are the score: its maximum, then the first candidate that has it.
-        beyond = pairs.filter("NOT met").select("a_idx", "b_order", "known")
-        top = cut(beyond.groupBy("a_idx").agg(F.max("known").alias("top")))
-        first = cut(beyond.join(top, "a_idx").filter("known = top").groupBy("a_idx").agg(F.min("b_order").alias("b_order")))
-        alone = winners(weak.join(first, "a_idx").join(candidates, "b_order"))
-        best = near.union(cut(winners(pairs.filter("met").select(*weak.columns, *candidates.columns)))).union(cut(alone))
+    if weak.limit(1).count():
+        known = candidates.select("b_order", G.box_area(b).alias("b_area"), support(F.col("b_distance")).alias("b_support"))
+        alike = cut(best_by_area(weak, known))
+        alike = cut(weak.join(alike, "a_area"))
+        alone = winners(alike.drop("a_area", "value").join(candidates, "b_order"))
+        floor = alike.select("a_idx", F.col("value").alias("floor"))
+        reached = within_reach(weak.drop("a_area"), candidates, F.sqrt(G.box_area(a)), F.sqrt(G.box_area(b))).join(floor, "a_idx")
+        best = near.union(cut(winners(reached, F.col("floor")))).union(cut(alone))
         best = best.groupBy("a_idx").agg(F.max_by("m", F.struct("m.score", -F.col("m.b_order"))).alias("m"))
     out = legacy.join(best, "a_idx", "left")
     return out.select(*legacy.columns, *[F.col(f"m.{c}").alias(c) for c in own]).withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("verdict", verdict(F.col("score"), F.coalesce("iou", F.lit(0.0))))

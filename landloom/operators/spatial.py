@@ -40,6 +40,38 @@ def grid_join(left: DataFrame, right: DataFrame, size: float, on: Callable[[tupl
     return (out.filter(on(a, b)) if on else out).drop("_cx", "_cy")
 
 
+def within_reach(left: DataFrame, right: DataFrame, reach_a: Column, reach_b: Column) -> DataFrame:
+    """Pairs of boxes (a_..., b_...) whose distance along each axis is at most the larger of their two reaches.
+
+    A box, grown by its reach, stands on the level whose cells are as large as it, so it touches four of them at most; it
+    also looks at the coarser levels on which the other side has boxes. A pair is kept on the level of its larger box,
+    in the cell of the corner of what the grown boxes have in common.
+    """
+    a, b = (tuple(F.col(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")) for p in "a_ b_".split())
+
+    def grown(df: DataFrame, p: str, box: tuple, reach: Column) -> DataFrame:
+        r = F.col(f"_r{p}")
+        side = F.greatest(box[2] - box[0], box[3] - box[1]) + 2 * r
+        level = F.when(side > 0, F.ceil(F.log2(side))).otherwise(0).cast("int")
+        return df.withColumn(f"_r{p}", reach).withColumn(f"_l{p}", level)
+
+    one, two = grown(left, "a", a, reach_a), grown(right, "b", b, reach_b)
+    levels = {p: sorted(r[0] for r in df.select(f"_l{p}").distinct().collect()) for p, df in (("a", one), ("b", two))}  # exponents: a few
+
+    def placed(df: DataFrame, p: str, box: tuple, others: list[int]) -> DataFrame:
+        r, own = F.col(f"_r{p}"), F.col(f"_l{p}")
+        known = F.array(*[F.lit(x) for x in others]) if others else F.array().cast("array<int>")
+        out = df.withColumn("_l", F.explode(F.array_union(F.array(own), F.filter(known, lambda x: x > own))))
+        cells = lambda lo, hi: F.explode(F.sequence(*(F.floor(v / F.pow(2.0, "_l")).cast("long") for v in (lo - r, hi + r))))
+        return out.withColumn("_cx", cells(box[0], box[2])).withColumn("_cy", cells(box[1], box[3]))
+
+    out = placed(one, "a", a, levels["b"]).join(placed(two, "b", b, levels["a"]), ["_l", "_cx", "_cy"]).filter(F.col("_l") == F.greatest("_la", "_lb"))
+    corner = [F.floor(F.greatest(a[k] - F.col("_ra"), b[k] - F.col("_rb")) / F.pow(2.0, "_l")).cast("long") for k in (0, 1)]
+    reach = F.greatest("_ra", "_rb")
+    near = (a[0] - reach <= b[2]) & (b[0] - reach <= a[2]) & (a[1] - reach <= b[3]) & (b[1] - reach <= a[3])
+    return out.filter(near & (F.col("_cx") == corner[0]) & (F.col("_cy") == corner[1])).drop("_l", "_la", "_lb", "_ra", "_rb", "_cx", "_cy")
+
+
 def prefixed(df: DataFrame, p: str) -> DataFrame:
     return df.select(*[F.col(c).alias(p + c) for c in df.columns])
 
@@ -94,6 +126,18 @@ def nearest(left: DataFrame, points: DataFrame, size: float) -> DataFrame:
     return near.select(*cols, "b", F.col("b._d").alias("distance"))
 
 
+def nearest_within(left: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """nearest() for the left rows that have a point within the radius; the others are left out. One equi-join on 3 x 3 cells."""
+    x, y = F.col("a_x"), F.col("a_y")
+    probe = left.withColumn("_i", F.explode(F.array(*[F.lit(i) for i in range(9)])))
+    probe = probe.withColumn("_cx", _cell(x, radius) + F.col("_i") % 3 - 1).withColumn("_cy", _cell(y, radius) + F.floor(F.col("_i") / 3) - 1)
+    placed = points.withColumn("_cx", _cell(F.col("b_x"), radius)).withColumn("_cy", _cell(F.col("b_y"), radius))
+    d = F.sqrt((x - F.col("b_x")) * (x - F.col("b_x")) + (y - F.col("b_y")) * (y - F.col("b_y")))
+    hits = probe.join(placed, ["_cx", "_cy"]).withColumn("distance", d).filter(F.col("distance") <= radius)
+    best = hits.groupBy(*left.columns).agg(F.min_by(F.struct(*points.columns, "distance"), F.struct("distance", "b_order")).alias("b"))
+    return best.select(*left.columns, "b", F.col("b.distance").alias("distance"))
+
+
 def without_neighbour(nodes: DataFrame, tolerance: float) -> DataFrame:
     """Nodes (owner, x, y) for which no node of another owner lies within the tolerance; cells of that size, 3 x 3 of them."""
     own = nodes.withColumn("_id", F.struct(*nodes.columns))

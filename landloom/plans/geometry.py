@@ -110,10 +110,12 @@ CENTRE = "(SELECT cand_idx, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM v_cand
 NEAREST = f"""SELECT cand_idx, obs_idx, d FROM (SELECT c.cand_idx, s.obs_idx, sqrt((c.cx - s.x) * (c.cx - s.x) + (c.cy - s.y) * (c.cy - s.y)) AS d, row_number() OVER (PARTITION BY c.cand_idx ORDER BY sqrt((c.cx - s.x) * (c.cx - s.x) + (c.cy - s.y) * (c.cy - s.y)), s.obs_idx) AS rn FROM {CENTRE} c CROSS JOIN v_survey s) WHERE rn = 1"""
 
 
-def supported(candidates: DataFrame, survey: DataFrame) -> DataFrame:
+def supported(candidates: DataFrame, survey: DataFrame, radius: float | None = None) -> DataFrame:
+    """The nearest observation of each candidate; with a radius only of those that have one within it."""
     left = candidates.select(F.col("cand_idx").alias("a_id"), ((F.col("x0") + F.col("x1")) / 2).alias("a_x"), ((F.col("y0") + F.col("y1")) / 2).alias("a_y"))
     right = survey.select(F.col("obs_idx").alias("b_order"), F.col("x").alias("b_x"), F.col("y").alias("b_y"))
-    return S.nearest(left, right, 16.0).select(F.col("a_id").alias("cand_idx"), F.col("b.b_order").alias("obs_idx"), "distance")
+    found = S.nearest_within(left, right, radius) if radius else S.nearest(left, right, 16.0)
+    return found.select(F.col("a_id").alias("cand_idx"), F.col("b.b_order").alias("obs_idx"), "distance")
 
 
 @query(f"SELECT cand_idx, obs_idx, {s_rnd('d', 3)} AS distance FROM ({NEAREST})", "v_candidate", "v_survey")
@@ -155,7 +157,8 @@ SELECT a.idx, b.cand_idx, b.cand_id, {IOU} AS iou, {SHIFT} AS shift, {LIKE} AS l
 
 
 def matches(parcels: DataFrame, candidates: DataFrame, survey: DataFrame) -> DataFrame:
-    near = supported(candidates, survey).select("cand_idx", rnd(F.col("distance"), 3).alias("distance"))
+    """The best candidate of each parcel; observations more than 3 m away support nothing and are not looked for."""
+    near = supported(candidates, survey, 3.0).select("cand_idx", rnd(F.col("distance"), 3).alias("distance"))
     right = candidates.join(near, "cand_idx", "left").select(F.col("cand_idx").alias("b_order"), F.col("cand_id").alias("b_id"), F.col("distance").alias("b_distance"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
     return M.best_matches(boxes(parcels, "a_", "idx"), right)
 
