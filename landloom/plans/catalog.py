@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from landloom.plans import attributes, formats, geometry, ingest, serving  # noqa: F401  each module registers its queries
+from landloom.plans import attributes, formats, geometry, ingest, layers, serving  # noqa: F401  each module registers its queries
 from landloom.plans.registry import ORACLES, QUERIES
 
 
