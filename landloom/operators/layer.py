@@ -255,7 +255,7 @@ def planar_layer(shapes: DataFrame, extent: DataFrame | None = None, exclusions:
     """shapes (idx >= 0, rings; a key once) as a planar layer: no ground twice, no slivers, one part a parcel, no material gap within the extent.
 
     Rings count even-odd, so crossed outlines become their lobes. extent and exclusions have rings. The passes go on until none changes
-    anything or max_iterations is reached (log: converged). The log has the 18 figures of the repair. A gap between MATERIAL and 50 times the sliver floor goes to
+    anything or max_iterations is reached (log: converged). The log has the 19 figures of the repair. A gap between MATERIAL and 50 times the sliver floor goes to
     the neighbour of longest common edge; a larger one becomes a record of its own (idx from CREATED on). An empty table gives an empty layer.
     """
     fixed = cut(prepared(with_ground(shapes, extent, exclusions), snap))
