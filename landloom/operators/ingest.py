@@ -19,7 +19,15 @@ FORMATS = (
     (".kml", "adapter-ready", "vector", "application/octet-stream", False), (".xlsx", "adapter-ready", "table", "application/octet-stream", False), (".zip", "adapter-ready", "package", "application/octet-stream", False),
 )
 #: Reference systems that projects use: code, label, geographic or not, unit.
-SYSTEMS = ((4326, "WGS 84", True, "degree"), (32642, "WGS 84 / UTM zone 42N", False, "metre"), (32643, "WGS 84 / UTM zone 43N", False, "metre"), (32644, "WGS 84 / UTM zone 44N", False, "metre"), (3857, "WGS 84 / Pseudo-Mercator", False, "metre"))
+SYSTEMS = (
+    (32643, "WGS 84 / UTM zone 43N", False, "metre"), (32644, "WGS 84 / UTM zone 44N", False, "metre"), (32743, "WGS 84 / UTM zone 43S", False, "metre"), (32642, "WGS 84 / UTM zone 42N", False, "metre"),
+    (3857, "WGS 84 / Pseudo-Mercator", False, "metre"), (7755, "WGS 84 / India NSF LCC", False, "metre"), (24378, "Indian 1954 / UTM zone 43N", False, "metre"), (4326, "WGS 84", True, "degree"),
+)
+#: Systems put forward to an operator, in this order, with the reason.
+HINTS = (
+    (4326, "WGS 84 geographic", "carried explicitly in the file"), (32643, "WGS 84 / UTM 43N", "nearest UTM zone to the project extent"), (32644, "WGS 84 / UTM 44N", "adjacent UTM zone to the project extent"),
+    (24378, "Indian 1954 / UTM zone 43N", "legacy Indian SOI topographic series"), (7755, "WGS 84 / India NSF LCC", "national projected grid"), (3857, "WGS 84 / Pseudo-Mercator", "web-mapping tiles"),
+)
 #: Widths of corridors around linear assets, in metres.
 DRAIN_M, UTILITY_M = 3.0, 2.0
 
@@ -49,20 +57,37 @@ def human_size(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(n < 1024**2, at(1)).when(n < 1024**3, at(2)).otherwise(at(3))
 
 
+def system_of(kind: Column, parsed: Column, located: Column) -> tuple[Column, Column]:
+    """Reference system and how it was found, of files with header_crs, declared_crs and reach.
+
+    A layer's header counts first, then a declaration of a known code. Coordinates are looked at only in tables with columns for them, and only
+    where nothing was declared; a declared code that is unknown leaves the file without a system. A table without such columns needs none.
+    """
+    known = F.col("declared_crs").isin(*[c for c, *_ in SYSTEMS])
+    declared = F.when(known, F.col("declared_crs"))
+    guess = F.when(F.col("reach") > 180, 32643).when(F.col("reach") <= 90, 4326)
+    layer, rows = (kind == "vector") & parsed, (kind == "table") & parsed
+    head = layer & F.col("header_crs").isNotNull()
+    code = F.when(head, F.col("header_crs")).when(rows & ~located, F.lit(None)).when(F.col("declared_crs").isNotNull(), declared).when(rows, guess)
+    how = F.when(head, "detected").when(rows & ~located, "not_applicable").when(known, "declared").when(rows & F.col("declared_crs").isNull() & guess.isNotNull(), "inferred").otherwise("missing")
+    return code.cast("int"), how
+
+
 def ingest(files: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """One record a file: dispatch columns, accepted, upload_status, record_count, source_crs, processing_status, size_human.
+    """One record a file: dispatch columns, accepted, upload_status, record_count, source_crs, crs_status, processing_status, size_human.
 
-    files: filename, category_id, size_bytes, parse_ok, features, header_crs, declared_crs, reach (largest absolute coordinate, null without).
-    A file of an unknown category is refused; one without a reader is stored and waits; the reference system comes from the
-    header, the declaration or the range of coordinates, tables without coordinates need none; without one the file is blocked.
+    files: filename, category_id, size_bytes, parse_ok, features, header_crs, declared_crs, reach (largest absolute coordinate of a table's
+    coordinate columns, null without). A file of an unknown category is refused; one without a reader is stored and waits; one
+    without a reference system (system_of) is blocked, tables without coordinates included.
     """
     out = dispatch(files)
     accepted = F.coalesce(F.col("category_id").isin(*categories), F.lit(False))
-    upload = F.when(~accepted, "refused").when(~F.col("reader"), "stored_adapter_pending").when(F.col("parse_ok"), "parsed").otherwise("parse_failed")
-    guess = F.when(F.col("reach") > 180, 32643).when(F.col("reach") <= 90, 4326)
-    crs = F.when(accepted, F.coalesce("header_crs", "declared_crs", guess))
+    parsed = F.col("reader") & F.coalesce("parse_ok", F.lit(False))
+    upload = F.when(~accepted, "refused").when(~F.col("reader"), "stored_adapter_pending").when(parsed, "parsed").otherwise("parse_failed")
+    code, how = system_of(F.col("kind"), parsed, F.col("reach").isNotNull())
+    crs = F.when(accepted, code)
     return out.select(
-        "*", accepted.alias("accepted"), upload.alias("upload_status"), F.when(upload == "parsed", F.col("features")).alias("record_count"), crs.cast("int").alias("source_crs"),
+        "*", accepted.alias("accepted"), upload.alias("upload_status"), F.when(upload == "parsed", F.col("features")).alias("record_count"), crs.alias("source_crs"), F.when(accepted, how).alias("crs_status"),
         F.when(~accepted, "refused").when(crs.isNotNull(), "crs_pending").otherwise("crs_blocked").alias("processing_status"), human_size(F.col("size_bytes")).alias("size_human"),
     )
 
@@ -84,12 +109,17 @@ def compatibility(a: Column, b: Column, geographic_a: Column, geographic_b: Colu
 
 
 def suggestions(spark: SparkSession, layers: DataFrame) -> DataFrame:
-    """layers (id, reach) -> id, rank, code, label: the system that the coordinates suggest (4326 where they say nothing), then all others by code."""
-    primary = F.when(F.col("reach") > 180, 32643).otherwise(4326)
-    every = layers.select("id", primary.alias("primary")).join(F.broadcast(systems(spark)), F.lit(True))  # a fixed table
-    first = F.struct(F.when(F.col("code") == F.col("primary"), 0).otherwise(1), "code")
-    ranked = every.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(first.alias("o"), "code", "label"))).alias("s"))  # a list of that size
-    return ranked.select("id", F.posexplode("s").alias("rank", "x")).select("id", "rank", "x.code", "x.label")
+    """layers (id, reach) -> id, rank, code, label, why: the system that the coordinates suggest (4326 where they say nothing), then the other hints in their order."""
+    reach = F.col("reach")
+    metric, degrees = reach > 180, reach <= 90
+    primary = F.when(metric, 32643).otherwise(4326)
+    label = {c: x for c, x, *_ in SYSTEMS}
+    far = F.format_string(f"Coordinates exceed geographic bounds (max |value| = %.1f); best-match projected CRS suggested: {label[32643]}. Operator confirmation required.", reach)
+    why = F.when(metric, far).when(degrees, "All coordinates fall inside WGS 84 geographic bounds (|lat| <= 90).").otherwise("No coordinate reference system could be established.")
+    item = lambda code, text, reason: F.struct(code.cast("int").alias("code"), text.alias("label"), reason.alias("why"))
+    first = F.array(item(primary, F.when(metric, label[32643]).otherwise(label[4326]), why))
+    rest = F.filter(F.array(*[item(F.lit(c), F.lit(x), F.lit(w)) for c, x, w in HINTS]), lambda h: h["code"] != primary)
+    return layers.select("id", F.posexplode(F.concat(first, rest)).alias("rank", "x")).select("id", "rank", "x.code", "x.label", "x.why")
 
 
 def alignment(layers: DataFrame, target: int = 32643) -> DataFrame:

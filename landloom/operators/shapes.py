@@ -67,16 +67,30 @@ def difference_stats(a: Column, b: Column) -> Column:
     return F.struct(of(common).alias("overlap_sqm"), of(G.ring_area(a) - common).alias("only_a_sqm"), of(G.ring_area(b) - common).alias("only_b_sqm"), of(shift).alias("shift_m"))
 
 
-def polygonal(parts: Column) -> Column:
-    """The rings of the polygonal parts (kind, ring) of a geometry; null if there is none."""
-    own = F.transform(F.filter(parts, lambda p: p["kind"] == "Polygon"), lambda p: p["ring"])
-    return F.when(F.size(own) > 0, own)
+def polygonal(shapes: DataFrame, key: str) -> DataFrame:
+    """shapes (key, kind, parts of kind and rings) -> key, rings, area of what is polygonal; null if nothing is.
 
+    Polygons and multipolygons stay as they are; the polygons of a collection are united, so ground under several counts once. Holes
+    are rings of their part, counted even-odd.
+    """
 
-def largest_part(rings: Column) -> Column:
-    """The ring of largest area, the first of equals."""
-    best = F.array_max(F.transform(rings, G.ring_area))
-    return F.try_element_at(F.filter(rings, lambda r: G.ring_area(r) == best), F.lit(1))
+    def run(batches):
+        for part in batches:
+            out = []
+            for i, kind, v in zip(part[key], part["kind"], part["parts"], strict=True):
+                own = [R.to_rings(p["rings"]) for p in (v if v is not None else []) if p["kind"] == "Polygon"]
+                rings = None
+                if kind in ("Polygon", "MultiPolygon") or len(own) == 1:
+                    rings = [r for p in own for r in p]
+                elif own and kind == "GeometryCollection":
+                    rings = own[0]
+                    for p in own[1:]:
+                        rings = K.union(rings, p)
+                out.append((i, R.from_rings(rings) if rings else None, sum(K.area(p) for p in own) if rings and kind != "GeometryCollection" else K.area(rings) if rings else None))
+            yield pd.DataFrame(out, columns=[key, "rings", "area"])
+
+    told = shapes.select(key, "kind", F.transform("parts", lambda p: F.struct(p["kind"].alias("kind"), R.boxed(p["rings"]).alias("rings"))).alias("parts"))
+    return told.mapInPandas(run, f"{key} {shapes.schema[key].dataType.simpleString()}, rings {R.RINGS}, area double")
 
 
 def dissolve(shapes: DataFrame, key: str) -> DataFrame:

@@ -28,13 +28,20 @@ def reader_dispatch(spark: SparkSession, files: DataFrame) -> DataFrame:
 
 OK = f"category_id IN ({', '.join(map(repr, ACCEPTED))})"
 UPLOAD = f"CASE WHEN NOT {OK} THEN 'refused' WHEN NOT {READS} THEN 'stored_adapter_pending' WHEN parse_ok THEN 'parsed' ELSE 'parse_failed' END"
-CRS = f"CASE WHEN {OK} THEN coalesce(header_crs, declared_crs, CASE WHEN reach > 180 THEN 32643 WHEN reach <= 90 THEN 4326 END) END"
+#: A layer's header, else a declaration of a known code; coordinates only of tables that have them and declare nothing.
+KNOWN = "(32643, 32644, 32743, 32642, 3857, 7755, 24378, 4326)"
+CRS = f"""CASE WHEN NOT {OK} THEN NULL WHEN {READS} AND parse_ok AND {KIND} = 'vector' AND header_crs IS NOT NULL THEN header_crs
+WHEN {READS} AND parse_ok AND {KIND} = 'table' AND reach IS NULL THEN NULL
+WHEN declared_crs IS NOT NULL THEN CASE WHEN declared_crs IN {KNOWN} THEN declared_crs END
+WHEN {READS} AND parse_ok AND {KIND} = 'table' AND reach > 180 THEN 32643 WHEN {READS} AND parse_ok AND {KIND} = 'table' AND reach <= 90 THEN 4326 END"""
+CRS_STATUS = f"""CASE WHEN NOT {OK} THEN NULL WHEN {READS} AND parse_ok AND {KIND} = 'table' AND reach IS NULL THEN 'not_applicable' WHEN {READS} AND parse_ok AND {KIND} = 'vector' AND header_crs IS NOT NULL THEN 'detected'
+WHEN declared_crs IN {KNOWN} THEN 'declared' WHEN declared_crs IS NULL AND {READS} AND parse_ok AND {KIND} = 'table' AND (reach > 180 OR reach <= 90) THEN 'inferred' ELSE 'missing' END"""
 SIZE = "CASE WHEN size_bytes < 1024 THEN concat(size_bytes, ' B') WHEN size_bytes < 1048576 THEN printf('%.1f KB', size_bytes / 1024.0) ELSE printf('%.1f MB', size_bytes / 1048576.0) END"
 
 
-@query(f"SELECT seq, upload_status, record_count, source_crs, CASE WHEN upload_status = 'refused' THEN 'refused' WHEN source_crs IS NULL THEN 'crs_blocked' ELSE 'crs_pending' END AS processing_status, size_human FROM (SELECT seq, {UPLOAD} AS upload_status, CASE WHEN {OK} AND {READS} AND parse_ok THEN features END AS record_count, CAST({CRS} AS INT) AS source_crs, {SIZE} AS size_human FROM v_file)", "v_file")
+@query(f"SELECT seq, upload_status, record_count, source_crs, crs_status, CASE WHEN upload_status = 'refused' THEN 'refused' WHEN source_crs IS NULL THEN 'crs_blocked' ELSE 'crs_pending' END AS processing_status, size_human FROM (SELECT seq, {UPLOAD} AS upload_status, CASE WHEN {OK} AND {READS} AND parse_ok THEN features END AS record_count, CAST({CRS} AS INT) AS source_crs, {CRS_STATUS} AS crs_status, {SIZE} AS size_human FROM v_file)", "v_file")
 def ingest_record(spark: SparkSession, files: DataFrame) -> DataFrame:
-    return I.ingest(files, ACCEPTED).select("seq", "upload_status", "record_count", "source_crs", "processing_status", "size_human")
+    return I.ingest(files, ACCEPTED).select("seq", "upload_status", "record_count", "source_crs", "crs_status", "processing_status", "size_human")
 
 
 @query("SELECT seq, coalesce(nullif(CASE WHEN seq % 3 = 0 THEN NULL WHEN seq % 3 = 1 THEN 0 ELSE features END, 0), nullif(features, 0), 0) AS feature_count, coalesce(CAST(header_crs AS STRING), nullif(CASE WHEN seq % 2 = 0 THEN '' END, ''), CAST(declared_crs AS STRING)) AS effective_crs FROM v_file", "v_file")
@@ -66,7 +73,8 @@ def survey_normalise(spark: SparkSession, survey: DataFrame) -> DataFrame:
     return I.observations(rows).select("seq", "point_id", rnd(F.col("x"), 3).alias("x"), rnd(F.col("y"), 3).alias("y"), "accuracy_m")
 
 
-S_SYSTEMS = "(VALUES (4326, 'WGS 84', TRUE, 'degree'), (32642, 'WGS 84 / UTM zone 42N', FALSE, 'metre'), (32643, 'WGS 84 / UTM zone 43N', FALSE, 'metre'), (32644, 'WGS 84 / UTM zone 44N', FALSE, 'metre'), (3857, 'WGS 84 / Pseudo-Mercator', FALSE, 'metre')) s(code, label, geographic, unit)"
+S_SYSTEMS = """(VALUES (32643, 'WGS 84 / UTM zone 43N', FALSE, 'metre'), (32644, 'WGS 84 / UTM zone 44N', FALSE, 'metre'), (32743, 'WGS 84 / UTM zone 43S', FALSE, 'metre'), (32642, 'WGS 84 / UTM zone 42N', FALSE, 'metre'),
+(3857, 'WGS 84 / Pseudo-Mercator', FALSE, 'metre'), (7755, 'WGS 84 / India NSF LCC', FALSE, 'metre'), (24378, 'Indian 1954 / UTM zone 43N', FALSE, 'metre'), (4326, 'WGS 84', TRUE, 'degree')) s(code, label, geographic, unit)"""
 
 
 @query(f"SELECT f.seq, CAST(c AS INT) AS code, coalesce(s.label, CASE WHEN c IS NULL THEN 'Undefined' ELSE concat('EPSG:', c, ' (unrecognised)') END) AS label, s.geographic, s.unit, s.code IS NOT NULL AS valid FROM (SELECT seq, CASE WHEN seq % 8 = 3 THEN 99999 ELSE coalesce(header_crs, declared_crs) END AS c FROM v_file) f LEFT JOIN {S_SYSTEMS} ON s.code = f.c", "v_file")
@@ -90,7 +98,15 @@ def crs_compatibility(spark: SparkSession, files: DataFrame) -> DataFrame:
     return met.select(verdict.alias("verdict"), pairs.alias("p")).groupBy("verdict").agg(F.sum("p").alias("pairs")).filter("pairs > 0")
 
 
-@query(f"SELECT seq AS id, CAST(rank AS INT) AS rank, code, label FROM (SELECT f.seq, s.code, s.label, row_number() OVER (PARTITION BY f.seq ORDER BY CASE WHEN s.code = CASE WHEN reach > 180 THEN 32643 ELSE 4326 END THEN 0 ELSE 1 END, s.code) - 1 AS rank FROM v_file f CROSS JOIN {S_SYSTEMS})", "v_file")
+#: What coordinates suggest, and the hints in their order.
+SUGGESTED = """WITH h AS (SELECT * FROM (VALUES (1, 4326, 'WGS 84 geographic', 'carried explicitly in the file'), (2, 32643, 'WGS 84 / UTM 43N', 'nearest UTM zone to the project extent'), (3, 32644, 'WGS 84 / UTM 44N', 'adjacent UTM zone to the project extent'),
+(4, 24378, 'Indian 1954 / UTM zone 43N', 'legacy Indian SOI topographic series'), (5, 7755, 'WGS 84 / India NSF LCC', 'national projected grid'), (6, 3857, 'WGS 84 / Pseudo-Mercator', 'web-mapping tiles')) t(k, code, label, why)),
+f AS (SELECT seq, CASE WHEN reach > 180 THEN 32643 ELSE 4326 END AS code, CASE WHEN reach > 180 THEN 'WGS 84 / UTM zone 43N' ELSE 'WGS 84' END AS label,
+CASE WHEN reach > 180 THEN printf('Coordinates exceed geographic bounds (max |value| = %.1f); best-match projected CRS suggested: WGS 84 / UTM zone 43N. Operator confirmation required.', reach) WHEN reach <= 90 THEN 'All coordinates fall inside WGS 84 geographic bounds (|lat| <= 90).' ELSE 'No coordinate reference system could be established.' END AS why FROM v_file)
+SELECT seq AS id, CAST(row_number() OVER (PARTITION BY seq ORDER BY k) - 1 AS INT) AS rank, code, label, why FROM (SELECT seq, 0 AS k, code, label, why FROM f UNION ALL SELECT f.seq, h.k, h.code, h.label, h.why FROM f JOIN h ON h.code <> f.code)"""
+
+
+@query(SUGGESTED, "v_file")
 def crs_suggestions(spark: SparkSession, files: DataFrame) -> DataFrame:
     return I.suggestions(spark, files.select(F.col("seq").alias("id"), "reach"))
 
@@ -138,16 +154,24 @@ def difference_stats(spark: SparkSession, parcels: DataFrame, candidates: DataFr
     return both.select("idx", H.difference_stats(F.col("p"), F.col("q")).alias("d")).select("idx", *[rnd(rnd(F.col(f"d.{c}"), 7), 3).alias(c) for c in ("overlap_sqm", "only_a_sqm", "only_b_sqm", "shift_m")])
 
 
-@query(f"SELECT b_idx, CASE WHEN b_idx % 5 IN (0, 1) THEN 1 WHEN b_idx % 5 = 2 THEN 2 ELSE 0 END AS parts, CASE WHEN b_idx % 5 IN (0, 1) THEN {s_rnd('(x1 - x0) * (y1 - y0)', 4)} WHEN b_idx % 5 = 2 THEN {s_rnd('2 * (x1 - x0) * (y1 - y0)', 4)} END AS area, CASE WHEN b_idx % 5 <= 2 THEN {s_rnd('(x1 - x0) * (y1 - y0)', 4)} END AS largest FROM v_structure", "v_structure")
+@query(
+    f"""SELECT b_idx, CASE WHEN k IN (0, 1, 4) THEN 1 WHEN k IN (2, 5) THEN 2 ELSE 0 END AS rings, CASE WHEN k IN (0, 1) THEN {s_rnd(s_rnd('a', 7), 4)} WHEN k = 2 THEN {s_rnd(s_rnd('2 * a', 7), 4)} WHEN k = 4 THEN {s_rnd(s_rnd('1.5 * a', 7), 4)} WHEN k = 5 THEN {s_rnd(s_rnd('0.96 * a', 7), 4)} END AS area
+FROM (SELECT b_idx, b_idx % 7 AS k, (x1 - x0) * (y1 - y0) AS a FROM v_structure)""",
+    "v_structure",
+)
 def polygonal_part(spark: SparkSession, structures: DataFrame) -> DataFrame:
-    """Polygons, multipolygons, collections with a line and a polygon, lines and nulls: what is polygonal stays."""
-    ring, k = G.ring_of_box(G.box()), F.col("b_idx") % 5
-    far = F.transform(ring, lambda p: G.point(p["x"] + 1000.0, p["y"]))
-    part = lambda kind, r: F.struct(F.lit(kind).alias("kind"), r.alias("ring"))
-    line = part("LineString", F.slice(ring, 1, 2))
-    parts = F.when(k == 0, F.array(part("Polygon", ring))).when(k == 1, F.array(line, part("Polygon", ring))).when(k == 2, F.array(part("Polygon", ring), part("Polygon", far))).when(k == 3, F.array(line))
-    out = structures.select("b_idx", H.polygonal(parts).alias("rings"))
-    return out.select("b_idx", F.coalesce(F.size("rings"), F.lit(0)).alias("parts"), rnd(H.rings_area(F.col("rings")), 4).alias("area"), rnd(G.ring_area(H.largest_part(F.col("rings"))), 4).alias("largest"))
+    """Polygons, multipolygons, a collection with a line and a polygon, one with overlapping polygons, one with a hole, lines and nulls: what is polygonal stays, united."""
+    x0, y0, x1, y1 = G.box()
+    k, w, h = F.col("b_idx") % 7, x1 - x0, y1 - y0
+    ring = G.ring_of_box((x0, y0, x1, y1))
+    far, half = G.ring_of_box((x0 + 1000.0, y0, x1 + 1000.0, y1)), G.ring_of_box((x0 + w / 2, y0, x1 + w / 2, y1))
+    hole = G.ring_of_box((x0 + w * 0.4, y0 + h * 0.4, x0 + w * 0.6, y0 + h * 0.6))
+    part = lambda kind, *r: F.struct(F.lit(kind).alias("kind"), F.array(*r).alias("rings"))
+    line, box = part("LineString", F.slice(ring, 1, 2)), part("Polygon", ring)
+    parts = F.when(k == 0, F.array(box)).when(k == 1, F.array(line, box)).when(k == 2, F.array(box, part("Polygon", far))).when(k == 3, F.array(line)).when(k == 4, F.array(box, line, part("Polygon", half))).when(k == 5, F.array(line, part("Polygon", ring, hole)))
+    kind = F.when(k == 0, "Polygon").when(k == 2, "MultiPolygon").when(k == 3, "LineString").otherwise("GeometryCollection")
+    out = H.polygonal(structures.select("b_idx", kind.alias("kind"), parts.alias("parts")), "b_idx")
+    return out.select("b_idx", F.coalesce(F.size("rings"), F.lit(0)).alias("rings"), rnd(rnd(F.col("area"), 7), 4).alias("area"))
 
 
 UNITED = """WITH c AS (SELECT hint, x0, y0, x1, y1 FROM v_structure), xs AS (SELECT DISTINCT hint, x FROM (SELECT hint, x0 AS x FROM c UNION ALL SELECT hint, x1 FROM c)), ys AS (SELECT DISTINCT hint, y FROM (SELECT hint, y0 AS y FROM c UNION ALL SELECT hint, y1 FROM c)),

@@ -57,7 +57,7 @@ VIEWS = {
     # Files that arrive: one a supplier, of many formats, some of no category, some with a declared or written reference system.
     "v_file": """SELECT s_suppkey AS seq, concat('in/layer_', CAST(s_suppkey AS STRING), CASE s_suppkey % 11 WHEN 0 THEN '.geojson' WHEN 1 THEN '.CSV' WHEN 2 THEN '.tif' WHEN 3 THEN '.las' WHEN 4 THEN '.laz' WHEN 5 THEN '.gpkg' WHEN 6 THEN '.shp' WHEN 7 THEN '.dxf' WHEN 8 THEN '.pdf' WHEN 9 THEN '.tsv' ELSE '' END) AS filename,
  CASE s_suppkey % 5 WHEN 0 THEN 'cadastral_map' WHEN 1 THEN 'revenue_records' WHEN 2 THEN 'gnss_cors' WHEN 3 THEN 'dsm_dtm' ELSE 'holiday_photos' END AS category_id, CAST(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 1000 ELSE s_suppkey * 7919 END AS BIGINT) AS size_bytes, s_suppkey % 13 <> 5 AS parse_ok,
- CAST(s_suppkey % 400 AS BIGINT) AS features, CASE WHEN s_suppkey % 4 = 0 THEN 32643 WHEN s_suppkey % 9 = 1 THEN 4326 END AS header_crs, CASE WHEN s_suppkey % 7 = 2 THEN 32644 END AS declared_crs, CAST(CASE s_suppkey % 6 WHEN 1 THEN 73.9 WHEN 2 THEN 380000.5 WHEN 3 THEN 120.0 END AS DOUBLE) AS reach FROM supplier""",
+ CAST(s_suppkey % 400 AS BIGINT) AS features, CASE WHEN s_suppkey % 4 = 0 THEN 32643 WHEN s_suppkey % 9 = 1 THEN 4326 END AS header_crs, CASE s_suppkey % 7 WHEN 2 THEN 32644 WHEN 4 THEN 99999 WHEN 5 THEN 7755 END AS declared_crs, CAST(CASE s_suppkey % 6 WHEN 1 THEN 73.9 WHEN 2 THEN 380000.5 WHEN 3 THEN 120.0 END AS DOUBLE) AS reach FROM supplier""",
     # A ring of 32 points a vector.
     "v_vector": "SELECT vec_id, embedding FROM embeddings",
 }
