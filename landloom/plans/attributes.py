@@ -63,15 +63,15 @@ def levenshtein_similarity(spark: SparkSession, part: DataFrame) -> DataFrame:
 
 
 @query(
-    f"SELECT local_name, english_name, p_t AS transliterated, CAST(p_d AS BIGINT) AS distance, {s_rnd('p_s', 4)} AS similarity, p_ca AS code_a, p_cb AS code_b, CAST(p_cs AS DOUBLE) AS code_score, p AS score FROM {s_scored('(SELECT l.local_name, e.english_name FROM v_local l CROSS JOIN v_english e)', {'p': ('local_name', 'english_name')}, 'local_name')}",
-    "v_local", "v_english",
+    f"SELECT idx, local_name, english_name, p_t AS transliterated, CAST(p_d AS BIGINT) AS distance, {s_rnd('p_s', 4)} AS similarity, p_ca AS code_a, p_cb AS code_b, CAST(p_cs AS DOUBLE) AS code_score, p AS score FROM {s_scored('(SELECT idx, local_a AS local_name, english_b AS english_name FROM v_owner WHERE local_a IS NOT NULL)', {'p': ('local_name', 'english_name')}, 'idx')}",
+    "v_owner",
 )
-def name_match(spark: SparkSession, local: DataFrame, english: DataFrame) -> DataFrame:
-    """Nine-part detail of the comparison of eight names with nine: a stated list against a stated list."""
-    pairs = local.select("local_name").crossJoin(F.broadcast(english.select("english_name")))  # nine rows
+def name_match(spark: SparkSession, owners: DataFrame) -> DataFrame:
+    """Detail of the comparison of each owner's name in the local script with the register's in the other."""
+    pairs = owners.filter("local_a IS NOT NULL").select("idx", F.col("local_a").alias("local_name"), F.col("english_b").alias("english_name"))
     parts = T.name_parts(F.col("local_name"), F.col("english_name"))
     parts["distance"] = parts["distance"].cast("long")
-    return pairs.select("local_name", "english_name", *[c.alias(n) for n, c in parts.items()])
+    return pairs.select("idx", "local_name", "english_name", *[c.alias(n) for n, c in parts.items()])
 
 
 OWNER = f"""SELECT idx, CASE WHEN missing THEN 'MISSING' WHEN same OR best >= 0.92 THEN 'MATCH' WHEN best >= 0.75 THEN 'PROBABLE' ELSE 'CONFLICT' END AS status, CASE WHEN missing THEN 0.0 WHEN same THEN 1.0 ELSE best END AS confidence FROM (

@@ -12,7 +12,7 @@ from landloom.functions.num import rnd
 from landloom.operators import repair as R
 from landloom.operators.cut import cut
 from landloom.plans.registry import query
-from landloom.sources import formats, generators
+from landloom.sources import formats
 
 
 def outlined(df: DataFrame) -> DataFrame:
@@ -45,16 +45,18 @@ def planar_report(spark: SparkSession, parcels: DataFrame) -> DataFrame:
     return both.filter("kind IN ('overlap', 'invalid')").join(calm, F.lit(True)).select("kind", F.col("n").alias("before"), "after", "settled")  # one row
 
 
-@query(None, "region")
-def make_valid_bowtie(spark: SparkSession, region: DataFrame) -> DataFrame:
-    """The demonstration cadastre with its crossed outlines repaired: area and parts of each."""
-    cells = generators.cadastre(spark)
+BOW = "SELECT idx, idx % 30 = 7 AS repaired, CASE WHEN idx % 30 = 7 THEN 2 ELSE 1 END AS parts, (x1 - x0) * (y1 - y0) * CASE WHEN idx % 30 = 7 THEN 0.5 ELSE 1.0 END AS a FROM v_parcel"
+
+
+@query(f"SELECT idx, repaired, parts, floor(floor(a * 10000000.0 + 0.5) / 10000000.0 * 10000.0 + 0.5) / 10000.0 AS area FROM ({BOW})", "v_parcel")
+def make_valid_bowtie(spark: SparkSession, parcels: DataFrame) -> DataFrame:
+    """Every parcel, some with crossed outlines, repaired: the lobes of a crossed box have half its area."""
     b = G.box()
     crossed = F.array(G.point(b[0], b[1]), G.point(b[2], b[3]), G.point(b[2], b[1]), G.point(b[0], b[3]))
-    shaped = cells.select("idx", "defect", F.array(F.when(F.col("defect") == "bow_tie", crossed).otherwise(G.ring_of_box(b))).alias("rings"))
+    shaped = parcels.select("idx", F.array(F.when(F.col("idx") % 30 == 7, crossed).otherwise(G.ring_of_box(b))).alias("rings"))
     fixed = R.valid_rings(shaped)
     whole = F.aggregate("rings", F.lit(0.0), lambda s, r: s + G.ring_area(r))
-    return fixed.select("idx", "defect", "repaired", F.size("rings").alias("parts"), rnd(whole, 6).alias("area"))
+    return fixed.select("idx", "repaired", F.size("rings").alias("parts"), rnd(rnd(whole, 7), 4).alias("area"))
 
 
 @query(None, "v_parcel", "v_structure")
@@ -123,10 +125,18 @@ def shp_roundtrip(spark: SparkSession, parcels: DataFrame) -> DataFrame:
     return told(formats.read_shapefile(filed(parcels, formats.write_shapefile, ".zip")))
 
 
-@query("SELECT 1 AS band, 40 AS width, 25 AS height, 0.5::DOUBLE AS pixel, 32643 AS epsg, 0.0::DOUBLE AS least, 998.0::DOUBLE AS largest, floor(avg(v) * 10000.0 + 0.5) / 10000.0 AS mean FROM (SELECT unnest(range(0, 1000)) AS v) WHERE v <> 999", "region")
-def geotiff_stats(spark: SparkSession, region: DataFrame) -> DataFrame:
-    raw = formats.write_tiff(np.arange(1000, dtype=np.float32).reshape(25, 40), (370000.0, 2050000.0), 0.5, nodata=999)
-    return formats.raster_stats(as_content(spark, "a.tif", raw)).drop("path")
+@query("SELECT concat('tile_', k, '.tif') AS path, 1 AS band, 40 AS width, 25 AS height, 0.5::DOUBLE AS pixel, 32643 AS epsg, min(v) AS least, max(v) AS largest, floor(avg(v) * 10000.0 + 0.5) / 10000.0 AS mean FROM (SELECT CAST(floor(c_custkey / 1000) AS BIGINT) AS k, CAST(floor(c_acctbal) AS DOUBLE) AS v FROM customer) GROUP BY k", "customer")
+def geotiff_stats(spark: SparkSession, customer: DataFrame) -> DataFrame:
+    """Balances written as rasters of 40 x 25 cells, a cell a customer and a file a thousand of them, and read back: size, place and statistics without the masked cells."""
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        band = np.full(1000, -99999, np.float32)
+        band[part["c_custkey"].to_numpy() % 1000] = part["v"]
+        raw = formats.write_tiff(band.reshape(25, 40), (370000.0, 2050000.0), 0.5, nodata=-99999)
+        return pd.DataFrame([(f"tile_{part['k'].iloc[0]}.tif", raw)], columns=["path", "content"])
+
+    tiles = customer.select("c_custkey", F.floor(F.col("c_custkey") / 1000).cast("long").alias("k"), F.floor("c_acctbal").cast("double").alias("v"))
+    return formats.raster_stats(tiles.groupBy("k").applyInPandas(write, "path string, content binary"))
 
 
 @query("SELECT p.idx, p.land_use, 5::BIGINT AS points, p.x0 AS min_x, p.y0 AS min_y, p.x1 AS max_x, p.y1 AS max_y, floor((p.x1 - p.x0) * (p.y1 - p.y0) * 1000000.0 + 0.5) / 1000000.0 AS area FROM v_parcel p", "v_parcel")
