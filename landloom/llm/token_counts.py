@@ -34,7 +34,8 @@ SLICE = 1 << 21  # bytes that run at once
 CHUNKS = 4096  # side by side
 LEAST = 64  # bytes of a chunk
 RUN_UP = 64  # bytes read before a chunk to guess its entry
-STATES = 1 << 17  # of the table; a row has 256 entries of 4 bytes
+STATES = 1 << 18  # of the table; a row has 256 entries of 4 bytes, so 256 MB a worker at most
+BESIDE = 1 << 19  # pairs of tokens whose standing apart is remembered
 FEW = 16  # tokens below a node up to which it is asked whether one of them may still come about
 MARGIN = 32  # bytes around a slice that tell where its words begin
 LETTER, NUMBER, SPACE = 1, 2, 3
@@ -129,7 +130,7 @@ class Transducer:
             return True
         key = a << 20 | b
         if key not in self.near:
-            if len(self.near) >= 4 * STATES:
+            if len(self.near) >= BESIDE:
                 self.near.clear()
             self.near[key] = self.apart(a, b)
         return self.near[key]
