@@ -23,7 +23,7 @@ def outlined(df: DataFrame) -> DataFrame:
 @query(None, "v_parcel")
 def planarise(spark: SparkSession, parcels: DataFrame) -> DataFrame:
     out = R.planarise(outlined(parcels).select("idx", "rings", "x0", "y0", "x1", "y1"))
-    return out.select("idx", F.size("rings").alias("parts"), "repaired", rnd(F.col("lost"), 4).alias("lost"))
+    return out.select("idx", F.size("rings").alias("parts"), "repaired", rnd(F.col("lost"), 4).alias("lost"), "resolved", "settled")
 
 
 #: A layer with defects: some outlines crossed like a bow tie, some there twice.
@@ -149,14 +149,19 @@ def geojson_export(spark: SparkSession, parcels: DataFrame) -> DataFrame:
     return out.select("idx", "land_use", "points", F.col("b.x0").alias("min_x"), F.col("b.y0").alias("min_y"), F.col("b.x1").alias("max_x"), F.col("b.y1").alias("max_y"), "area")
 
 
-def layers(parcels: DataFrame, register: DataFrame, candidates: DataFrame, survey: DataFrame, structures: DataFrame, corridors: DataFrame, customer: DataFrame):
+def layers(parcels: DataFrame, register: DataFrame, candidates: DataFrame, survey: DataFrame, structures: DataFrame, corridors: DataFrame, customer: DataFrame, owners: DataFrame | None = None):
+    """The sources of a run; with owners (idx, local_a, english_a, local_b, english_b) the names of both sides are theirs, in two scripts."""
     from landloom.plans.harmonize import Layers
 
+    if owners is not None:
+        parcels = parcels.drop("owner_name").join(owners.select("idx", F.col("local_a").alias("owner_local"), F.col("english_a").alias("owner_name")), "idx", "left")
+        owned = register.join(owners.select(F.col("idx").alias("parcel_ref"), F.col("english_b").alias("owner"), F.col("local_b").alias("owner_local")), "parcel_ref", "left")
+        return Layers(parcels, owned, candidates, survey, structures, corridors)
     owned = register.join(customer.select(F.col("c_custkey").alias("parcel_ref"), F.col("c_name").alias("owner")), "parcel_ref", "left")
     return Layers(parcels, owned, candidates, survey, structures, corridors)
 
 
-@query(None, "v_surveyed", "v_register", "v_candidate", "v_survey", "v_structure", "v_corridor", "customer")
+@query(None, "v_surveyed", "v_register", "v_candidate", "v_survey", "v_structure", "v_corridor", "customer", "v_owner")
 def harmonization_run(spark: SparkSession, *sources: DataFrame) -> DataFrame:
     """The whole run: parcels with match, attribute status, confidence and route."""
     from landloom.plans.harmonize import run
@@ -164,7 +169,7 @@ def harmonization_run(spark: SparkSession, *sources: DataFrame) -> DataFrame:
     return run(layers(*sources), "run-1")["parcels"].withColumn("concerns", F.array_join("concerns", ", "))
 
 
-@query(None, "v_surveyed", "v_register", "v_candidate", "v_survey", "v_structure", "v_corridor", "customer")
+@query(None, "v_surveyed", "v_register", "v_candidate", "v_survey", "v_structure", "v_corridor", "customer", "v_owner")
 def harmonization_conflicts(spark: SparkSession, *sources: DataFrame) -> DataFrame:
     from landloom.plans.harmonize import run
 

@@ -31,8 +31,8 @@ class Blocked(RuntimeError):
 
 @dataclass
 class Layers:
-    """Sources: parcels (idx, parcel_id, khasra_no, owner_name, land_use, surveyed, box), register (parcel_ref, reg_idx, recorded, survey_no,
-    owner), candidates (cand_idx, cand_id, box), survey (obs_idx, x, y), structures (b_idx, hint, box), corridors (corridor_id,
+    """Sources: parcels (idx, parcel_id, khasra_no, owner_name, land_use, surveyed, box; owner_local, the name in the local script, if there is one),
+    register (parcel_ref, reg_idx, recorded, survey_no, owner; owner_local likewise), candidates (cand_idx, cand_id, box), survey (obs_idx, x, y), structures (b_idx, hint, box), corridors (corridor_id,
     conflict_type, box), datasets (see quality.gate)."""
 
     parcels: DataFrame
@@ -56,13 +56,14 @@ def run(layers: Layers, run_id: str, params: dict | None = None, strict: bool =
         if bad:
             raise Blocked(f"blocked datasets: {', '.join(bad)}")
     cell = p["cell_m"]
+    local = lambda df, of: F.col(f"{of}owner_local") if "owner_local" in df.columns else F.lit(None).cast("string")
     centre = layers.candidates.select(F.col("cand_idx").alias("a_id"), ((F.col("x0") + F.col("x1")) / 2).alias("a_x"), ((F.col("y0") + F.col("y1")) / 2).alias("a_y"))
     near = S.nearest(centre, layers.survey.select(F.col("obs_idx").alias("b_order"), F.col("x").alias("b_x"), F.col("y").alias("b_y")), 16.0).select(F.col("a_id").alias("cand_idx"), rnd(F.col("distance"), 3).alias("distance"))
     right = layers.candidates.join(near, "cand_idx", "left").select(F.col("cand_idx").alias("b_order"), F.col("cand_id").alias("b_id"), F.col("distance").alias("b_distance"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
     matched = M.assign_once(M.best_matches(boxes(layers.parcels, "a_", "idx"), right, size=cell), "b_id", "a_idx")
     matched = cut(matched.select(F.col("a_idx").alias("idx"), F.col("b_id").alias("cand_id"), "score", F.col("verdict").alias("match_verdict"), "iou", "outline", "shift", "likeness", F.col("b_distance").alias("distance")))
     looked = A.register_lookup(layers.parcels, layers.register, ["parcel_ref", "survey_no"], "idx", "khasra_no", "reg_idx")
-    checks = looked.withColumn("area", A.area_check(F.col("register.recorded"), F.col("surveyed"), p["area_tolerance_pct"])).withColumn("owner", A.owner_check(F.lit(None).cast("string"), F.col("owner_name"), F.lit(None).cast("string"), F.col("register.owner")))
+    checks = looked.withColumn("area", A.area_check(F.col("register.recorded"), F.col("surveyed"), p["area_tolerance_pct"])).withColumn("owner", A.owner_check(local(layers.parcels, ""), F.col("owner_name"), local(layers.register, "register."), F.col("register.owner")))
     checks = checks.withColumn("attribute_status", A.overall(F.col("owner.status"), F.col("area.status"))).withColumn("attribute_score", A.attribute_score(F.col("owner.confidence"), F.col("area.status"), F.col("area.difference_pct")))
     disputes = S.grid_join(boxes(layers.parcels, "a_", "idx"), boxes(layers.parcels, "b_", "idx"), cell, lambda a, b: (F.col("a_idx") < F.col("b_idx")) & (G.box_overlap(a, b) > 0.05))
     issues = disputes.select(F.explode(F.array("a_idx", "b_idx")).alias("idx")).groupBy("idx").agg(F.count(F.lit(1)).alias("issues"))
