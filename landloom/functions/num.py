@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is evaluated once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def rnd(c: Column, places: int) -> Column:
     """Half-up rounding as floor(c * 10^n + 0.5) / 10^n; null stays null."""
     p = float(10**places)

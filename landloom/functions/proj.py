@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from landloom.functions.num import let
+
 A, FLAT, K0 = 6378137.0, 1 / 298.257223563, 0.9996
 N = FLAT / (2 - FLAT)
 RECTIFYING = A / (1 + N) * (1 + N**2 / 4 + N**4 / 64 + N**6 / 256)
@@ -36,37 +38,56 @@ def utm_central_meridian(zone: int) -> float:
     return zone * 6 - 183.0
 
 
+def _pair(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
 def utm_forward(lon: Column, lat: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
     """Longitude and latitude in degrees to easting and northing in metres."""
-    phi, lam = F.radians(lat), F.radians(lon - utm_central_meridian(zone))
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - ECC * F.atanh(s * ECC))
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.asinh(F.sin(lam) / F.sqrt(t * t + F.cos(lam) * F.cos(lam)))
-    x, y = eta, xi
-    for j, a in enumerate(ALPHA, 1):
-        x = x + F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * a
-        y = y + F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * a
-    return x * (K0 * RECTIFYING) + 500000.0, y * (K0 * RECTIFYING) + (10000000.0 if south else 0.0)
+
+    def sphere(p: Column) -> Column:
+        t = let(F.sin(p["y"]), lambda s: F.sinh(F.atanh(s) - ECC * F.atanh(s * ECC)))
+        return let(_pair(t, F.cos(p["x"])), lambda q: _pair(F.atan2(q["x"], q["y"]), F.asinh(F.sin(p["x"]) / F.sqrt(q["x"] * q["x"] + q["y"] * q["y"]))))
+
+    def series(p: Column) -> Column:
+        xi, eta = p["x"], p["y"]
+        x, y = eta, xi
+        for j, a in enumerate(ALPHA, 1):
+            x = x + F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * a
+            y = y + F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * a
+        return _pair(x * (K0 * RECTIFYING) + 500000.0, y * (K0 * RECTIFYING) + (10000000.0 if south else 0.0))
+
+    out = let(let(_pair(F.radians(lon - utm_central_meridian(zone)), F.radians(lat)), sphere), series)
+    return out["x"], out["y"]
 
 
 def utm_inverse(easting: Column, northing: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
     """Easting and northing to longitude and latitude; the latitude by three Newton steps."""
-    eta, xi = (easting - 500000.0) / (K0 * RECTIFYING), (northing - (10000000.0 if south else 0.0)) / (K0 * RECTIFYING)
-    x, y = eta, xi
-    for j, b in enumerate(BETA, 1):
-        x = x - F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * b
-        y = y - F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * b
-    t0 = F.sin(y) / F.sqrt(F.sinh(x) * F.sinh(x) + F.cos(y) * F.cos(y))
-    lam = F.atan2(F.sinh(x), F.cos(y))
 
-    def step(t: Column, _: Column) -> Column:
-        sigma = F.sinh(ECC * F.atanh(ECC * t / F.sqrt(t * t + 1)))
-        ti = t * F.sqrt(sigma * sigma + 1) - sigma * F.sqrt(t * t + 1)
-        return t + (t0 - ti) / F.sqrt(ti * ti + 1) * ((t * t * (1 - ECC**2) + 1) / (F.sqrt(t * t + 1) * (1 - ECC**2)))
+    def series(p: Column) -> Column:
+        xi, eta = p["x"], p["y"]
+        x, y = eta, xi
+        for j, b in enumerate(BETA, 1):
+            x = x - F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * b
+            y = y - F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * b
+        return _pair(F.sinh(x), y)
+
+    def sphere(p: Column) -> Column:
+        t0 = F.sin(p["y"]) / F.sqrt(p["x"] * p["x"] + F.cos(p["y"]) * F.cos(p["y"]))
+        lam = F.atan2(p["x"], F.cos(p["y"]))
+        return _pair(F.degrees(lam) + utm_central_meridian(zone), F.degrees(F.atan(let(t0, newton))))
+
+    def newton(t0: Column) -> Column:
+        def step(t: Column, _: Column) -> Column:
+            sigma = F.sinh(ECC * F.atanh(ECC * t / F.sqrt(t * t + 1)))
+            ti = let(sigma, lambda s: t * F.sqrt(s * s + 1) - s * F.sqrt(t * t + 1))
+            return let(ti, lambda ti: t + (t0 - ti) / F.sqrt(ti * ti + 1) * ((t * t * (1 - ECC**2) + 1) / (F.sqrt(t * t + 1) * (1 - ECC**2))))
+
+        return F.aggregate(F.array(F.lit(0), F.lit(1), F.lit(2)), t0, step)
 
-    t = F.aggregate(F.array(F.lit(0), F.lit(1), F.lit(2)), t0, step)
-    return F.degrees(lam) + utm_central_meridian(zone), F.degrees(F.atan(t))
+    plane = _pair((northing - (10000000.0 if south else 0.0)) / (K0 * RECTIFYING), (easting - 500000.0) / (K0 * RECTIFYING))
+    out = let(let(plane, series), sphere)
+    return out["x"], out["y"]
 
 
 def mercator_forward(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -85,5 +106,5 @@ def transform(x: Column, y: Column, source: int, target: int) -> tuple[Column, C
     """x and y between 4326, 3857 and the UTM systems of UTM; results that are not finite are null."""
     lon, lat = (x, y) if source == 4326 else mercator_inverse(x, y) if source == 3857 else utm_inverse(x, y, *UTM[source])
     a, b = (lon, lat) if target == 4326 else mercator_forward(lon, lat) if target == 3857 else utm_forward(lon, lat, *UTM[target])
-    fine = lambda c: F.when(~F.isnan(c) & (F.abs(c) < 1e12), c)
+    fine = lambda c: let(c, lambda v: F.when(~F.isnan(v) & (F.abs(v) < 1e12), v))
     return fine(a), fine(b)

@@ -145,13 +145,14 @@ def corridors(layer: DataFrame) -> DataFrame:
 def observations(rows: DataFrame, srid: int = 32643) -> DataFrame:
     """Survey rows (seq, obs_id, gt_id, easting, northing, lon, lat, rms, accuracy, method) in project coordinates: point_id, x, y, accuracy_m.
 
-    Eastings are taken as they are, else longitudes are projected, else the row goes. Rows without an id are named by method and seq.
+    Eastings are taken as they are, else longitudes are projected, else the row goes. Rows without an id are named by method and seq. Where rms is
+    null or 0 the accuracy counts as it is, 0 too: the last of `a or b` is not judged.
     """
     east, north = P.transform(F.col("lon"), F.col("lat"), 4326, srid)
     grid, earth = F.col("easting").isNotNull() & F.col("northing").isNotNull(), F.col("lon").isNotNull() & F.col("lat").isNotNull()
     point = first_truthy(F.col("obs_id"), F.col("gt_id"), F.concat("method", F.lit("-"), F.col("seq").cast("string")))
     usable = rows.filter(grid | (earth & (F.abs("lat") < 90) & (F.abs("lon") <= 180)))
-    out = usable.select("seq", point.alias("point_id"), F.when(grid, F.col("easting")).when(earth, east).alias("x"), F.when(grid, F.col("northing")).when(earth, north).alias("y"), first_truthy(F.col("rms"), F.col("accuracy")).alias("accuracy_m"))
+    out = usable.select("seq", point.alias("point_id"), F.when(grid, F.col("easting")).when(earth, east).alias("x"), F.when(grid, F.col("northing")).when(earth, north).alias("y"), F.coalesce(first_truthy(F.col("rms")), F.col("accuracy")).alias("accuracy_m"))
     return out
 
 

@@ -71,3 +71,11 @@ def test_scores(spark):
     assert (r.c.overall, r.c.route, r.e.severity, r.e.confidence, r[2]) == (0.97, "AUTO_ACCEPTED", "HIGH", 0.85, 96.3)
     rows = spark.createDataFrame([(50.0, 0.0), (10.0, 0.0), (9.99, 0.049), (1.0, 0.25)], "a double, s double")
     assert [x[0] for x in rows.select(M.severity(F.col("a"), F.col("s"))).collect()] == ["HIGH", "MEDIUM", "LOW", "HIGH"]
+
+
+def test_accuracy_of_zero_stays(spark):
+    from landloom.operators.ingest import observations
+
+    cols = "seq long, obs_id string, gt_id string, easting double, northing double, lon double, lat double, rms double, accuracy double, method string"
+    rows = [(i, "o", None, 1.0, 2.0, None, None, rms, accuracy, "gnss") for i, (rms, accuracy) in enumerate([(None, 0.0), (0.5, 3.0), (0.0, 3.0), (0.0, 0.0), (None, None)])]
+    assert [r[0] for r in observations(spark.createDataFrame(rows, cols)).orderBy("seq").select("accuracy_m").collect()] == [0.0, 0.5, 3.0, 0.0, None]
