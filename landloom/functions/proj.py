@@ -102,6 +102,13 @@ def mercator_inverse(x: Column, y: Column) -> tuple[Column, Column]:
 UTM = {32642: (42, False), 32643: (43, False), 32644: (44, False), 32743: (43, True)}
 
 
+def in_area_of_use(lon: Column, lat: Column, code: int) -> Column:
+    """Whether longitude and latitude lie in the six degrees of a UTM zone, from the equator to 84 degrees north or 80 south."""
+    zone, south = UTM[code]
+    middle = utm_central_meridian(zone)
+    return lon.between(middle - 3, middle + 3) & (lat.between(-80.0, 0.0) if south else lat.between(0.0, 84.0))
+
+
 def transform(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
     """x and y between 4326, 3857 and the UTM systems of UTM; results that are not finite are null."""
     lon, lat = (x, y) if source == 4326 else mercator_inverse(x, y) if source == 3857 else utm_inverse(x, y, *UTM[source])

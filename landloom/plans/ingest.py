@@ -119,11 +119,11 @@ def layer_alignment(spark: SparkSession, files: DataFrame) -> DataFrame:
 
 @query(f"SELECT idx, {s_rnd('x0 + 370000.0', 3)} AS x, {s_rnd('y0 + 2050000.0', 3)} AS y, TRUE AS inside FROM v_parcel", "v_parcel")
 def wgs84_storage(spark: SparkSession, parcels: DataFrame) -> DataFrame:
-    """Corners go to longitude and latitude, as they are stored, and back to their place."""
+    """Corners go to longitude and latitude, as they are stored, and back to their place; inside tells whether they lie in the zone's area of use, however far the layer reaches."""
     lon, lat = P.transform(F.col("x0") + 370000.0, F.col("y0") + 2050000.0, 32643, 4326)
     there = parcels.select("idx", lon.alias("lon"), lat.alias("lat"))
     x, y = P.transform(F.col("lon"), F.col("lat"), 4326, 32643)
-    return there.select("idx", rnd(x, 3).alias("x"), rnd(y, 3).alias("y"), (F.col("lon").between(72.0, 75.0) & F.col("lat").between(18.0, 20.0)).alias("inside"))
+    return there.select("idx", rnd(x, 3).alias("x"), rnd(y, 3).alias("y"), P.in_area_of_use(F.col("lon"), F.col("lat"), 32643).alias("inside"))
 
 
 @query(f"SELECT idx, {s_rnd('(x1 - x0) / 111000.0 * (y1 - y0) / 111000.0 * 111000.0 * 111000.0', 4)} AS area_sqm, {s_rnd('(idx % 5) * 0.000009', 9)} AS buffer_deg FROM v_parcel", "v_parcel")

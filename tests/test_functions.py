@@ -79,3 +79,11 @@ def test_accuracy_of_zero_stays(spark):
     cols = "seq long, obs_id string, gt_id string, easting double, northing double, lon double, lat double, rms double, accuracy double, method string"
     rows = [(i, "o", None, 1.0, 2.0, None, None, rms, accuracy, "gnss") for i, (rms, accuracy) in enumerate([(None, 0.0), (0.5, 3.0), (0.0, 3.0), (0.0, 0.0), (None, None)])]
     assert [r[0] for r in observations(spark.createDataFrame(rows, cols)).orderBy("seq").select("accuracy_m").collect()] == [0.0, 0.5, 3.0, 0.0, None]
+
+
+def test_far_parcels_lie_in_their_zone(spark):
+    from landloom.plans import ingest
+
+    far = spark.createDataFrame([(1, 0.0, 0.0), (2, 1000.0, 495_000.0), (3, 0.0, 3_000_000.0), (4, 0.0, 8_000_000.0)], "idx long, x0 double, y0 double")
+    got = ingest.wgs84_storage(spark, far).orderBy("idx").collect()
+    assert [(r.x, r.y, r.inside) for r in got[:3]] == [(370000.0, 2050000.0, True), (371000.0, 2545000.0, True), (370000.0, 5050000.0, True)] and not got[3].inside
