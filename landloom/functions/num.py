@@ -34,8 +34,9 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def first_truthy(*cols: Column) -> Column:
-    """The first value that is neither null, empty, nor zero, else null: `a or b` of dynamic languages."""
-    return F.coalesce(*[F.when(c.cast("string").isin("", "0", "0.0", "false"), F.lit(None)).otherwise(c) for c in cols])
+    """The first value that is neither null, empty, nor zero (of either sign, with any number of places), else null: `a or b` of dynamic languages."""
+    zero = lambda c: (F.typeof(c) != "string") & (F.coalesce(c.cast("string").try_cast("double"), F.lit(1.0)) == 0)
+    return F.coalesce(*[F.when(c.cast("string").isin("", "0", "0.0", "false") | zero(c), F.lit(None)).otherwise(c) for c in cols])
 
 
 def coerce_number(c: Column) -> Column:

@@ -73,6 +73,12 @@ def test_scores(spark):
     assert [x[0] for x in rows.select(M.severity(F.col("a"), F.col("s"))).collect()] == ["HIGH", "MEDIUM", "LOW", "HIGH"]
 
 
+def test_zeros_of_either_sign_are_falsy(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (0.01,), (None,)], "v double")
+    assert [r[0] for r in df.select(F.coalesce(first_truthy(F.col("v")), F.lit(50.0))).collect()] == [50.0, 50.0, 0.01, 50.0]
+    assert [r[0] for r in df.select(F.coalesce(first_truthy(F.col("v").cast("decimal(9,2)")).cast("double"), F.lit(50.0))).collect()] == [50.0, 50.0, 0.01, 50.0]
+
+
 def test_accuracy_of_zero_stays(spark):
     from landloom.operators.ingest import observations
 
