@@ -7,11 +7,17 @@ a whole layer, for touching is no dispute.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landloom.functions import batch as B
 from landloom.functions import geom as G
 from landloom.functions import kernel as K
 from landloom.operators.cut import cut
@@ -36,6 +42,29 @@ def from_rings(rings: list[np.ndarray]) -> list[list[dict]]:
     return [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]
 
 
+def batched(df: DataFrame, look: Callable, schema: str) -> DataFrame:
+    """look(an Arrow batch of df), a list of columns, as a frame of a schema."""
+    names = [c.split()[0].strip("`") for c in re.split(r",\s*(?![^<]*>)", schema)]
+
+    def run(batches):
+        for part in batches:
+            if part.num_rows:
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in look(part)], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def members(column: pa.Array) -> tuple[B.Shapes, np.ndarray]:
+    """The shapes of a column of lists of (ord, rings), and the row of each."""
+    n = B.lengths(column)
+    return B.Shapes.of(pc.struct_field(column.flatten(), "rings")), np.repeat(np.arange(len(n)), n)
+
+
+def listed(shapes: DataFrame, key: str, ord: str = "ord", rings: str = "rings") -> DataFrame:
+    """key, own: the shapes of a key in their order."""
+    return shapes.groupBy(F.col(key)).agg(F.array_sort(F.collect_list(F.struct(F.col(ord).alias("ord"), F.col(rings).alias("rings")))).alias("own"))
+
+
 def valid_rings(df: DataFrame, col: str = "rings") -> DataFrame:
     """df with every outline replaced by its even-odd parts, and repaired: whether that changed it."""
 

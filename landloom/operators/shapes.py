@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landloom.functions import geom as G
+from landloom.functions import batch as B
 from landloom.functions import kernel as K
 from landloom.functions.num import ratio, rnd
 from landloom.operators import repair as R
@@ -175,15 +177,10 @@ def harmonise(legacy: DataFrame, modern: DataFrame, structures: DataFrame | None
 def overlays(pairs: DataFrame) -> DataFrame:
     """pairs (idx, a, b: rings) -> idx and the areas common, united, only_a, either (one without the other)."""
 
-    def run(batches):
-        for part in batches:
-            out = []
-            for i, v, w in zip(part["idx"], part["a"], part["b"], strict=True):
-                a, b = R.to_rings(v), R.to_rings(w)
-                out.append((i, *[K.area(f(a, b)) for f in (K.intersection, K.union, K.difference, K.symmetric_difference)]))
-            yield pd.DataFrame(out, columns=["idx", "common", "united", "only_a", "either"])
+    def look(part: pa.RecordBatch) -> list:
+        return [part["idx"], *B.areas(B.Shapes.of(part["a"]), B.Shapes.of(part["b"]), B.BOTH, B.EITHER, B.FIRST, B.ONE)]
 
-    return pairs.select("idx", R.boxed("a").alias("a"), R.boxed("b").alias("b")).mapInPandas(run, "idx long, common double, united double, only_a double, either double")
+    return R.batched(pairs.select("idx", "a", "b"), look, "idx long, common double, united double, only_a double, either double")
 
 
 def buffered(lines: DataFrame, key: str, distance: float) -> DataFrame:
