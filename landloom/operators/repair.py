@@ -85,25 +85,27 @@ def valid_rings(df: DataFrame, col: str = "rings") -> DataFrame:
 def conflate(parcels: DataFrame, structures: DataFrame, least_inside: float = 0.55) -> DataFrame:
     """parcels (idx, rings) with the footprints (idx, ord, rings) that lie to a share inside: united in order.
 
-    idx, rings, included, added (area). Order matters, for each step looks at the outline as it is by then.
+    idx, rings, included, added (area). Order matters, for each step looks at the outline as it is by then: the first footprints of all
+    parcels of a batch are looked at together, then the second ones, and so on.
     """
-    lists = structures.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("ord", boxed("rings").alias("rings")))).alias("own"))
 
-    def run(batches):
-        for part in batches:
-            out = []
-            for i, v, own in zip(part["idx"], part["rings"], part["own"], strict=True):
-                rings, n = to_rings(v), 0
-                before = K.area(rings)
-                for s in own if own is not None else ():
-                    b = to_rings(s["rings"])
-                    size = K.area(b)
-                    if size > 0 and K.overlap_area(rings, b) / size >= least_inside:
-                        rings, n = K.union(rings, b), n + 1
-                out.append((i, from_rings(rings), n, K.area(rings) - before))
-            yield pd.DataFrame(out, columns=["idx", "rings", "included", "added"])
-
-    return parcels.select("idx", boxed("rings").alias("rings")).join(lists, "idx", "left").mapInPandas(run, f"idx long, rings {RINGS}, included int, added double")
+    def look(part: pa.RecordBatch) -> list:
+        rings = B.Shapes.of(part["rings"])
+        (own, row), before, n = members(part["own"]), B.area(rings), np.zeros(len(rings), np.int32)
+        size = B.area(own)
+        count = np.bincount(row, minlength=len(rings))
+        start = np.cumsum(count) - count
+        for k in range(count.max(initial=0)):
+            at = np.flatnonzero(count > k)
+            at = at[size[start[at] + k] > 0]
+            common, united = B.common_and_union(rings.take(at), own.take(start[at] + k))
+            fits = np.flatnonzero(common / size[start[at] + k] >= least_inside)
+            rings = rings.replaced(at[fits], united.take(fits))
+            n[at[fits]] += 1
+        return [part["idx"], rings.arrow(), n, B.area(rings) - before]
+
+    both = parcels.select("idx", "rings").join(listed(structures, "idx"), "idx", "left")
+    return batched(dealt(both), look, f"idx long, rings {RINGS}, included int, added double")
 
 
 def subtract(parcels: DataFrame, corridors: DataFrame, size: float = 32.0) -> DataFrame:
