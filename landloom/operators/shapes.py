@@ -198,13 +198,9 @@ def buffered(lines: DataFrame, key: str, distance: float) -> DataFrame:
 def snapped(shapes: DataFrame, grid: float) -> DataFrame:
     """shapes (idx, rings) with vertices on a grid (a ring that would become invalid stays), and changed: whether the area moved."""
 
-    def run(batches):
-        for part in batches:
-            out = []
-            for i, v in zip(part["idx"], part["rings"], strict=True):
-                rings = R.to_rings(v)
-                new = [K.snap(r, grid) for r in rings]
-                out.append((i, R.from_rings(new), abs(K.area(new) - K.area(rings)) > 1e-9))
-            yield pd.DataFrame(out, columns=["idx", "rings", "changed"])
+    def look(part: pa.RecordBatch) -> list:
+        rings = B.Shapes.of(part["rings"])
+        new = B.snap(rings, grid)
+        return [part["idx"], new.arrow(), np.abs(B.area(new) - B.area(rings)) > 1e-9]
 
-    return shapes.select("idx", R.boxed("rings").alias("rings")).mapInPandas(run, f"idx long, rings {R.RINGS}, changed boolean")
+    return R.batched(R.dealt(shapes.select("idx", "rings")), look, f"idx long, rings {R.RINGS}, changed boolean")
