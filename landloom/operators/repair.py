@@ -112,20 +112,18 @@ def subtract(parcels: DataFrame, corridors: DataFrame, size: float = 32.0) -> Da
     """parcels (idx, rings, box) without the corridors (ord, rings, box) that reach them: idx, rings, removed (area)."""
     a = parcels.select(F.col("idx").alias("a_idx"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
     b = corridors.select(F.col("ord").alias("b_ord"), F.col("rings").alias("b_rings"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
-    lists = grid_join(a, b, size).groupBy(F.col("a_idx").alias("idx")).agg(F.array_sort(F.collect_list(F.struct(F.col("b_ord").alias("ord"), boxed("b_rings").alias("rings")))).alias("own"))
+    lists = listed(grid_join(a, b, size), "a_idx", "b_ord", "b_rings").withColumnRenamed("a_idx", "idx")
 
-    def run(batches):
-        for part in batches:
-            out = []
-            for i, v, own in zip(part["idx"], part["rings"], part["own"], strict=True):
-                rings = to_rings(v)
-                before = K.area(rings)
-                for s in own if own is not None else ():
-                    rings = K.difference(rings, to_rings(s["rings"]))
-                out.append((i, from_rings(rings), before - K.area(rings)))
-            yield pd.DataFrame(out, columns=["idx", "rings", "removed"])
-
-    return parcels.select("idx", boxed("rings").alias("rings")).join(lists, "idx", "left").mapInPandas(run, f"idx long, rings {RINGS}, removed double")
+    def look(part: pa.RecordBatch) -> list:
+        rings = B.Shapes.of(part["rings"])
+        own, row = members(part["own"])
+        at = np.unique(row)
+        rest = B.overlay(rings.take(at), own, B.FIRST, of=np.searchsorted(at, row))
+        removed = np.zeros(len(rings))
+        removed[at] = B.area(rings.take(at)) - B.area(rest)
+        return [part["idx"], rings.replaced(at, rest).arrow(), removed]
+
+    return batched(parcels.select("idx", "rings").join(lists, "idx", "left"), look, f"idx long, rings {RINGS}, removed double")
 
 
 def groups(edges: DataFrame) -> DataFrame:
