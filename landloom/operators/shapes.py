@@ -150,16 +150,14 @@ def harmonise(legacy: DataFrame, modern: DataFrame, structures: DataFrame | None
     """
     both = legacy.filter(F.size("rings") > 0).join(modern.select(F.col("idx").alias("_m"), F.col("rings").alias("modern")), F.col("idx") == F.col("_m"), "left").drop("_m")
 
-    def fuse(batches):
-        for part in batches:
-            out = []
-            for i, v, w in zip(part["idx"], part["rings"], part["modern"], strict=True):
-                one, two = R.to_rings(v), R.to_rings(w)
-                ok = bool(two) and K.iou(one, two) >= least_iou
-                out.append((i, R.from_rings(K.union(one, two) if ok else one), ok, K.area(one)))
-            yield pd.DataFrame(out, columns=["idx", "rings", "fused", "before"])
-
-    fused = both.select("idx", R.boxed("rings").alias("rings"), R.boxed("modern").alias("modern")).mapInPandas(fuse, f"idx long, rings {R.RINGS}, fused boolean, before double")
+    def fuse(part: pa.RecordBatch) -> list:
+        one, two = B.Shapes.of(part["rings"]), B.Shapes.of(part["modern"])
+        before, (common, whole) = B.area(one), B.areas(one, two, B.BOTH, B.EITHER)
+        ok = (np.diff(two.shapes) > 0) & (whole > 0) & (common >= least_iou * whole)
+        at = np.flatnonzero(ok)
+        return [part["idx"], one.replaced(at, B.overlay(one.take(at), two.take(at), B.EITHER)).arrow(), ok, before]
+
+    fused = R.batched(both.select("idx", "rings", "modern"), fuse, f"idx long, rings {R.RINGS}, fused boolean, before double")
     if structures is not None:
         grown = R.conflate(fused.select("idx", "rings"), structures).select("idx", "rings", "included")
         fused = fused.drop("rings").join(grown, "idx")
