@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landloom.functions import geom as G
 from landloom.functions import batch as B
+from landloom.functions import geom as G
 from landloom.functions import kernel as K
 from landloom.functions.num import ratio, rnd
 from landloom.operators import repair as R
@@ -96,18 +97,13 @@ def polygonal(shapes: DataFrame, key: str) -> DataFrame:
 
 
 def dissolve(shapes: DataFrame, key: str) -> DataFrame:
-    """shapes (key, ord, rings) -> key, rings of the union of each key's shapes.
+    """shapes (key, ord, rings) -> key, rings of the union of each key's shapes. A key's shapes lie in one task."""
 
-    Shapes meet in a balanced tree of unions: halves of a key's list are united first. A key's shapes lie in one task.
-    """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        level = [R.to_rings(v) for v in part.sort_values("ord")["rings"]]
-        while len(level) > 1:
-            level = [K.union(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return pd.DataFrame([(part[key].iloc[0], R.from_rings(level[0]))], columns=[key, "rings"])
+    def look(part: pa.RecordBatch) -> list:
+        own, row = R.members(part["own"])
+        return [part[key], B.overlay(B.none(part.num_rows), own, B.EITHER, of=row).arrow()]
 
-    return shapes.withColumn("rings", R.boxed("rings")).groupBy(key).applyInPandas(run, f"{key} {shapes.schema[key].dataType.simpleString()}, rings {R.RINGS}")
+    return R.batched(R.listed(shapes, key), look, f"{key} {shapes.schema[key].dataType.simpleString()}, rings {R.RINGS}")
 
 
 def first_within(spots: DataFrame, centres: DataFrame, reach: float) -> DataFrame:
