@@ -286,18 +286,20 @@ def gaps(parcels: DataFrame, extent: tuple[float, float, float, float], tile: fl
 def eave_correction(footprints: DataFrame, trigger: float = 2.5, inset: float = 0.4) -> DataFrame:
     """footprints (idx, height, rings), convex: those at least trigger high move inwards; one that collapses stays. idx, rings, corrected, removed."""
 
-    def run(batches):
-        for part in batches:
-            out = []
-            for i, h, v in zip(part["idx"], part["height"], part["rings"], strict=True):
-                rings = to_rings(v)
-                small = [q for r in rings for q in K.shrink_convex(r, inset)] if h is not None and h >= trigger else []
-                small = sorted(small, key=lambda r: -K.area([r]))[:1]
-                done = small or rings
-                out.append((i, from_rings(done), bool(small), K.area(rings) - K.area(done)))
-            yield pd.DataFrame(out, columns=["idx", "rings", "corrected", "removed"])
-
-    return footprints.select("idx", "height", boxed("rings").alias("rings")).mapInPandas(run, f"idx long, rings {RINGS}, corrected boolean, removed double")
+    def look(part: pa.RecordBatch) -> list:
+        rings, height = B.Shapes.of(part["rings"]), part["height"].to_numpy(zero_copy_only=False).astype(float)
+        high = np.flatnonzero(height >= trigger)
+        small = B.shrink_convex(rings.take(high), inset)
+        size, own = B.area(small.single()), small.owner()
+        order = np.lexsort((np.arange(len(size)), -size, own))
+        best = order[np.r_[True, np.diff(own[order]) != 0][: len(order)]]  # the largest part of each
+        at = high[own[best]]
+        done = rings.replaced(at, small.single().take(best))
+        corrected = np.zeros(len(rings), bool)
+        corrected[at] = True
+        return [part["idx"], done.arrow(), corrected, B.area(rings) - B.area(done)]
+
+    return batched(dealt(footprints.select("idx", "height", "rings")), look, f"idx long, rings {RINGS}, corrected boolean, removed double")
 
 
 def sliver_hosts(boxes: DataFrame, floor: float, size: float = 32.0) -> DataFrame:
