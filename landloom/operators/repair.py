@@ -70,16 +70,11 @@ def valid_rings(df: DataFrame, col: str = "rings") -> DataFrame:
 
     def run(batches):
         for part in batches:
-            fixed, changed = [], []
-            for v in part[col]:
-                rings = to_rings(v)
-                ok = all(K.is_valid(r) for r in rings)
-                fixed.append(from_rings(rings if ok else [q for r in rings for q in K.make_valid(r)]))
-                changed.append(not ok)
-            yield part.assign(**{col: fixed, "repaired": changed})
+            fixed, bad = B.repaired(B.Shapes.of(part[col]))
+            yield pa.RecordBatch.from_arrays([*[fixed.arrow() if c == col else part[c] for c in part.schema.names], pa.array(bad)], names=[*part.schema.names, "repaired"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.withColumn(col, boxed(col)).mapInPandas(run, f"{kinds}, repaired boolean")
+    return df.mapInArrow(run, f"{kinds}, repaired boolean")
 
 
 def conflate(parcels: DataFrame, structures: DataFrame, least_inside: float = 0.55) -> DataFrame:

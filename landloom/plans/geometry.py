@@ -443,5 +443,5 @@ def crossed_repair(spark: SparkSession, parcels: DataFrame) -> DataFrame:
 
     b = G.box()
     crossed = F.array(G.point(b[0], b[1]), G.point(b[2], b[3]), G.point(b[2], b[1]), G.point(b[0], b[3]))
-    fixed = R.valid_rings(parcels.select("idx", F.array(F.when(F.col("idx") % 10 == 0, crossed).otherwise(G.ring_of_box(b))).alias("rings")))
+    fixed = R.valid_rings(R.dealt(parcels.select("idx", F.array(F.when(F.col("idx") % 10 == 0, crossed).otherwise(G.ring_of_box(b))).alias("rings"))))
     return fixed.select("idx", "repaired", F.size("rings").alias("parts"), rnd(rnd(shapes.rings_area(F.col("rings")), 7), 4).alias("area"))
