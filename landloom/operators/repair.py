@@ -262,19 +262,18 @@ def gaps(parcels: DataFrame, extent: tuple[float, float, float, float], tile: fl
     tx = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("x0") - x0) / tile)).cast("long"), F.least(F.lit(nx - 1), F.floor((F.col("x1") - x0) / tile)).cast("long")))
     ty = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("y0") - y0) / tile)).cast("long"), F.least(F.lit(ny - 1), F.floor((F.col("y1") - y0) / tile)).cast("long")))
     inside = parcels.filter((F.col("x1") >= x0) & (F.col("x0") <= x1) & (F.col("y1") >= y0) & (F.col("y0") <= y1))
-    placed = inside.withColumn("tx", tx).withColumn("ty", ty).select("tx", "ty", boxed("rings").alias("rings"))
+    placed = inside.withColumn("tx", tx).withColumn("ty", ty).groupBy("tx", "ty").agg(F.collect_list(F.struct("rings")).alias("own"))
 
-    def uncovered(part: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(part["tx"].iloc[0]), int(part["ty"].iloc[0])
+    def uncovered(part: pa.RecordBatch) -> list:
+        i, j = (part[c].to_numpy(zero_copy_only=False) for c in ("tx", "ty"))
         a, b = x0 + i * tile, y0 + j * tile
-        c, d = min(a + tile, x1), min(b + tile, y1)
-        rest = [np.array([(a, b), (c, b), (c, d), (a, d)])]
-        for v in part["rings"]:
-            if v is not None:
-                rest = K.difference(rest, to_rings(v))
-        return pd.DataFrame([(i, j, K.area(rest))], columns=["tx", "ty", "gap_area"])
-
-    out = tiles.join(placed, ["tx", "ty"], "left").groupBy("tx", "ty").applyInPandas(uncovered, "tx long, ty long, gap_area double")
+        c, d = np.minimum(a + tile, x1), np.minimum(b + tile, y1)
+        n = np.arange(len(i) + 1)
+        ground = B.Shapes(np.stack([a, b, c, b, c, d, a, d], 1).reshape(-1, 2), 4 * n, n)
+        own, row = members(part["own"])
+        return [part["tx"], part["ty"], B.areas(ground, own, B.FIRST, of=row)[0]]
+
+    out = batched(tiles.join(placed, ["tx", "ty"], "left"), uncovered, "tx long, ty long, gap_area double")
     return out.withColumn("kind", F.when(F.col("gap_area") <= ignore, "covered").when(F.col("gap_area") <= material, "residual").otherwise("gap"))
 
 
