@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landloom.functions.num import clamp, ratio, rnd
+from landloom.functions.num import clamp, let, ratio, rnd
 
 
 def box(prefix: str = "") -> tuple[Column, Column, Column, Column]:
@@ -71,7 +71,7 @@ def _total(values: Column) -> Column:
 
 
 def ring_signed_area(ring: Column) -> Column:
-    return _total(F.zip_with(ring, _next(ring), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])) / 2
+    return let(ring, lambda r: _total(F.zip_with(r, _next(r), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])) / 2)
 
 
 def ring_area(ring: Column) -> Column:
@@ -85,11 +85,15 @@ def ring_perimeter(ring: Column) -> Column:
 def ring_centroid(ring: Column) -> Column:
     """Centre of area; the mean of the points where the area is 0."""
     cross = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
-    a = ring_signed_area(ring) * 6
-    x = _total(F.zip_with(ring, _next(ring), lambda p, q: (p["x"] + q["x"]) * cross(p, q)))
-    y = _total(F.zip_with(ring, _next(ring), lambda p, q: (p["y"] + q["y"]) * cross(p, q)))
-    mean = lambda f: _total(F.transform(ring, lambda p: p[f])) / F.size(ring)
-    return F.when(a != 0, point(x / a, y / a)).otherwise(point(mean("x"), mean("y")))
+
+    def centre(v: Column) -> Column:
+        ring, a = v["r"], v["a"]
+        x = _total(F.zip_with(ring, _next(ring), lambda p, q: (p["x"] + q["x"]) * cross(p, q)))
+        y = _total(F.zip_with(ring, _next(ring), lambda p, q: (p["y"] + q["y"]) * cross(p, q)))
+        mean = lambda f: _total(F.transform(ring, lambda p: p[f])) / F.size(ring)
+        return F.when(a != 0, point(x / a, y / a)).otherwise(point(mean("x"), mean("y")))
+
+    return let(F.struct(ring.alias("r"), (ring_signed_area(ring) * 6).alias("a")), centre)
 
 
 def ring_bounds(ring: Column) -> Column:
@@ -152,23 +156,23 @@ def box_outline_likeness(a: tuple, b: tuple) -> Column:
 
 def clip_convex(subject: Column, clip: Column) -> Column:
     """The part of subject inside a convex, counter-clockwise clip ring: one half plane after the other."""
-    after = _next(clip)
 
     def half(poly: Column, side: Column) -> Column:
         a, b = side["a"], side["b"]
         where = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
 
-        def edge(p: Column, q: Column) -> Column:
-            sp, sq = where(p), where(q)
+        none = F.array().cast("array<struct<x:double,y:double>>")
+
+        def edge(s: Column) -> Column:
+            p, q, sp, sq = (s[c] for c in ("p", "q", "sp", "sq"))
             t = sp / (sp - sq)
             cut = F.array(point(p["x"] + (q["x"] - p["x"]) * t, p["y"] + (q["y"] - p["y"]) * t))
-            none = F.array().cast("array<struct<x:double,y:double>>")
-            own = F.when(sp >= 0, F.array(p)).otherwise(none)
-            return F.concat(own, F.when(((sp > 0) & (sq < 0)) | ((sp < 0) & (sq > 0)), cut).otherwise(none))
+            return F.concat(F.when(sp >= 0, F.array(p)).otherwise(none), F.when(((sp > 0) & (sq < 0)) | ((sp < 0) & (sq > 0)), cut).otherwise(none))
 
-        return F.flatten(F.zip_with(poly, _next(poly), edge))
+        placed = lambda poly: F.zip_with(poly, _next(poly), lambda p, q: F.struct(p.alias("p"), q.alias("q"), where(p).alias("sp"), where(q).alias("sq")))
+        return F.flatten(F.transform(let(poly, placed), edge))
 
-    return F.aggregate(F.zip_with(clip, after, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), subject.cast("array<struct<x:double,y:double>>"), half)
+    return F.aggregate(let(clip, lambda c: F.zip_with(c, _next(c), lambda a, b: F.struct(a.alias("a"), b.alias("b")))), subject.cast("array<struct<x:double,y:double>>"), half)
 
 
 def convex_iou(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from landloom.functions import batch as B
 from landloom.functions import geom as G
 from landloom.functions import kernel as K
-from landloom.functions.num import ratio, rnd
+from landloom.functions.num import let, ratio, rnd
 from landloom.operators import repair as R
 from landloom.operators.cut import cut
 from landloom.operators.spatial import _cell, grid_join
@@ -63,11 +63,14 @@ def ring_distance(a: Column, b: Column) -> Column:
 
 def difference_stats(a: Column, b: Column) -> Column:
     """struct(overlap_sqm, only_a_sqm, only_b_sqm, shift_m) of two convex rings; zeros where one is missing."""
-    common = G.ring_area(G.clip_convex(a, b))
-    p, q = G.ring_centroid(a), G.ring_centroid(b)
-    shift = F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"]))
     of = lambda c: F.coalesce(c, F.lit(0.0))
-    return F.struct(of(common).alias("overlap_sqm"), of(G.ring_area(a) - common).alias("only_a_sqm"), of(G.ring_area(b) - common).alias("only_b_sqm"), of(shift).alias("shift_m"))
+
+    def told(v: Column) -> Column:
+        shift = F.sqrt((v["p"]["x"] - v["q"]["x"]) * (v["p"]["x"] - v["q"]["x"]) + (v["p"]["y"] - v["q"]["y"]) * (v["p"]["y"] - v["q"]["y"]))
+        return F.struct(of(v["common"]).alias("overlap_sqm"), of(v["a"] - v["common"]).alias("only_a_sqm"), of(v["b"] - v["common"]).alias("only_b_sqm"), of(shift).alias("shift_m"))
+
+    measures = F.struct(G.ring_area(G.clip_convex(a, b)).alias("common"), G.ring_area(a).alias("a"), G.ring_area(b).alias("b"), G.ring_centroid(a).alias("p"), G.ring_centroid(b).alias("q"))
+    return let(measures, told)
 
 
 def polygonal(shapes: DataFrame, key: str) -> DataFrame:
