@@ -81,8 +81,8 @@ def nearest(left: DataFrame, points: DataFrame, size: float) -> DataFrame:
 
     Rows look at the 3 x 3 cells around them; a hit within one cell's side is exact. The others descend a pyramid of
     occupied cells, each level four times as fine: a cell stays while the least distance to the box of its
-    points does not exceed the smallest largest distance to any box, so few cells a row are left on each level and
-    far rows never meet all points. Without points the result is empty.
+    points does not exceed the distance to the nearest of the points that touch the boxes' sides. These are real points, so a far row
+    keeps few cells on each level, however many face it, and never meets all points. Without points the result is empty.
     """
     x, y = F.col("a_x"), F.col("a_y")
     far = points.agg(F.max(F.abs("b_x")).alias("x"), F.max(F.abs("b_y")).alias("y")).first()
@@ -100,20 +100,22 @@ def nearest(left: DataFrame, points: DataFrame, size: float) -> DataFrame:
     near = cut(closest(probe.join(placed, ["_cx", "_cy"])).filter(F.col("b._d") <= size))
     rest = cut(left.join(near.select(*cols), cols, "left_anti"))
     if rest.limit(1).count():
-        box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
-        levels = [cut(placed.groupBy("_cx", "_cy").agg(F.min("b_x").alias("x0"), F.min("b_y").alias("y0"), F.max("b_x").alias("x1"), F.max("b_y").alias("y1")))]
+        x_first, y_first = (lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))), (lambda s: F.struct(s["y"].alias("y"), s["x"].alias("x")))
+        ends = {"w": (F.min, x_first), "s": (F.min, y_first), "e": (F.max, x_first), "n": (F.max, y_first)}  # a cell's points farthest to each side
+        point = F.struct(F.col("b_x").alias("x"), F.col("b_y").alias("y"))
+        levels = [cut(placed.groupBy("_cx", "_cy").agg(*[best(of(point)).alias(k) for k, (best, of) in ends.items()]))]
         side = size
         while max(far["x"], far["y"]) / side > 2:  # the top level has at most 6 x 6 cells
             up = levels[-1].withColumn("_px", F.floor(F.col("_cx") / 4).cast("long")).withColumn("_py", F.floor(F.col("_cy") / 4).cast("long"))
-            levels.append(cut(up.groupBy(F.col("_px").alias("_cx"), F.col("_py").alias("_cy")).agg(*box)))
+            levels.append(cut(up.groupBy(F.col("_px").alias("_cx"), F.col("_py").alias("_cy")).agg(*[best(k).alias(k) for k, (best, _) in ends.items()])))
             side *= 4
         rows = rest.select(F.struct(*cols).alias("_row"), "a_x", "a_y")
         out = lambda lo, hi, v: F.greatest(lo - v, v - hi, F.lit(0.0))
-        wide = lambda lo, hi, v: F.greatest(F.abs(v - lo), F.abs(v - hi))
-        reach = lambda f: F.sqrt(f(F.col("x0"), F.col("x1"), x) * f(F.col("x0"), F.col("x1"), x) + f(F.col("y0"), F.col("y1"), y) * f(F.col("y0"), F.col("y1"), y))
+        dx, dy = out(F.col("w.x"), F.col("e.x"), x), out(F.col("s.y"), F.col("n.y"), y)
+        to = [F.sqrt((x - F.col(f"{k}.x")) * (x - F.col(f"{k}.x")) + (y - F.col(f"{k}.y")) * (y - F.col(f"{k}.y"))) for k in ends]
 
         def pruned(pairs: DataFrame) -> DataFrame:
-            bound = pairs.withColumn("_lo", reach(out)).withColumn("_hi", F.min(reach(wide)).over(Window.partitionBy("_row")))  # few cells a row
+            bound = pairs.withColumn("_lo", F.sqrt(dx * dx + dy * dy)).withColumn("_hi", F.min(F.least(*to)).over(Window.partitionBy("_row")))  # few cells a row
             return cut(bound.filter(F.col("_lo") <= F.col("_hi") * (1 + 1e-12)).select("_row", "a_x", "a_y", "_cx", "_cy"))
 
         pairs = pruned(rows.join(F.broadcast(levels[-1]), F.lit(True)))  # 36 rows at most
