@@ -148,31 +148,32 @@ def planarise(parcels: DataFrame, size: float = 32.0, passes: int = 12) -> DataF
     side = lambda p: corner.join(fixed.select("idx", "rings"), "idx").select(*[F.col(c).alias(p + c) for c in ("idx", "rings", "x0", "y0", "x1", "y1")])
     near = grid_join(side("a_"), side("b_"), size).filter("a_idx < b_idx")
 
-    def disputed(batches):
-        for part in batches:
-            keep = [K.overlap_area(to_rings(x), to_rings(y)) > NOISE for x, y in zip(part["a_rings"], part["b_rings"], strict=True)]
-            yield part.loc[keep, ["a_idx", "b_idx"]].rename(columns={"a_idx": "a", "b_idx": "b"})
+    def disputed(part: pa.RecordBatch) -> list:
+        keep = pa.array(B.areas(B.Shapes.of(part["a_rings"]), B.Shapes.of(part["b_rings"]), B.BOTH)[0] > NOISE)
+        return [part[c].filter(keep) for c in ("a_idx", "b_idx")]
 
-    edges = cut(near.select("a_idx", "b_idx", boxed("a_rings").alias("a_rings"), boxed("b_rings").alias("b_rings")).mapInPandas(disputed, "a long, b long"))
+    edges = cut(batched(near.select("a_idx", "b_idx", "a_rings", "b_rings"), disputed, "a long, b long"))
     member = groups(edges)
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:
         shapes = {int(i): to_rings(v) for i, v in zip(part["idx"], part["rings"], strict=True)}
-        area = {i: K.area(r) for i, r in shapes.items()}
+        area = dict(zip(shapes, B.area(B.packed(list(shapes.values()))).tolist(), strict=True))
         first, resolved, calm = dict(area), dict.fromkeys(shapes, 0), False
         fresh = set(shapes)  # only pairs with a shape that has changed are looked at again
         for _ in range(passes):
-            pairs = [(K.overlap_area(shapes[a], shapes[b]), a, b) for a, b in close_pairs(shapes) if a in fresh or b in fresh]
-            pairs = sorted((p for p in pairs if p[0] > NOISE), key=lambda p: (-p[0], p[1], p[2]))
+            close = [(a, b) for a, b in close_pairs(shapes) if a in fresh or b in fresh]
+            common = B.areas(B.packed([shapes[a] for a, _ in close]), B.packed([shapes[b] for _, b in close]), B.BOTH)[0].tolist()
+            pairs = sorted(((s, a, b) for s, (a, b) in zip(common, close, strict=True) if s > NOISE), key=lambda p: (-p[0], p[1], p[2]))
             calm, fresh = not pairs, set()
             if calm:
                 break
             for _, a, b in pairs:
                 loser, winner = (a, b) if area[a] <= area[b] else (b, a)
-                if not shapes[loser] or not shapes[winner] or K.overlap_area(shapes[loser], shapes[winner]) <= 0:
+                if not shapes[loser] or not shapes[winner] or B.areas(B.packed([shapes[loser]]), B.packed([shapes[winner]]), B.BOTH)[0][0] <= 0:
                     continue
-                rest = [r for r in K.difference(shapes[loser], shapes[winner]) if K.area([r]) > HAIR]
-                size = K.area(rest)
+                left = B.overlay(B.packed([shapes[loser]]), B.packed([shapes[winner]]), B.FIRST)
+                left = B.only(left, B.area(left.single()) > HAIR)
+                rest, size = B.unpacked(left)[0], float(B.area(left)[0])
                 # What is left of a parcel that its neighbour covers is noise: it was a duplicate.
                 shapes[loser], area[loser] = (rest, size) if size > NOISE else ([], 0.0)
                 resolved[winner] += 1
@@ -209,20 +210,19 @@ def with_box(shapes: DataFrame) -> DataFrame:
 def issue_counts(shapes: DataFrame, least: float = 2.0, size: float = 32.0) -> DataFrame:
     """kind, n: pairs of outlines (idx, rings) that share more than noise, slivers under a least area, invalid outlines, empty ones."""
 
-    def look(batches):
-        for part in batches:
-            rings = [to_rings(v) for v in part["rings"]]
-            yield pd.DataFrame({"sliver": [0 < K.area(r) < least for r in rings], "invalid": [not all(K.is_valid(q) for q in r) for r in rings], "empty": [not r for r in rings]})
+    def look(part: pa.RecordBatch) -> list:
+        rings = B.Shapes.of(part["rings"])
+        size = B.area(rings)
+        return [(size > 0) & (size < least), np.bincount(rings.owner()[~B.valid(rings)], minlength=len(rings)) > 0, np.diff(rings.shapes) == 0]
 
-    one = dealt(shapes).select(boxed("rings").alias("rings")).mapInPandas(look, "sliver boolean, invalid boolean, empty boolean").agg(*[F.count_if(k).alias(k) for k in ("sliver", "invalid", "empty")])
+    one = batched(dealt(shapes).select("rings"), look, "sliver boolean, invalid boolean, empty boolean").agg(*[F.count_if(k).alias(k) for k in ("sliver", "invalid", "empty")])
     side = lambda p: with_box(shapes).select(*[F.col(c).alias(p + c) for c in ("idx", "rings", "x0", "y0", "x1", "y1")])
     near = grid_join(side("a_"), side("b_"), size).filter("a_idx < b_idx")
 
-    def disputed(batches):
-        for part in batches:
-            yield pd.DataFrame({"overlap": [K.overlap_area(to_rings(x), to_rings(y)) > NOISE for x, y in zip(part["a_rings"], part["b_rings"], strict=True)]})
+    def disputed(part: pa.RecordBatch) -> list:
+        return [B.areas(B.Shapes.of(part["a_rings"]), B.Shapes.of(part["b_rings"]), B.BOTH)[0] > NOISE]
 
-    two = near.select(boxed("a_rings").alias("a_rings"), boxed("b_rings").alias("b_rings")).mapInPandas(disputed, "overlap boolean").agg(F.count_if("overlap").alias("overlap"))
+    two = batched(near.select("a_rings", "b_rings"), disputed, "overlap boolean").agg(F.count_if("overlap").alias("overlap"))
     return one.join(two, F.lit(True)).select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in ("overlap", "sliver", "invalid", "empty")])).alias("x")).select("x.*")  # one row each
 
 
