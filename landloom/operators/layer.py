@@ -17,11 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landloom.functions import arrangement as A
-from landloom.functions import kernel as K
+from landloom.functions import batch as B
 from landloom.operators import repair as R
 from landloom.operators.cut import cut
 from landloom.operators.topology import upper_median
@@ -42,21 +43,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def prepared(shapes: DataFrame, snap: float) -> DataFrame:
     """shapes (idx, rings) -> idx, rings on a grid (0: as they are), their box, invalid, snapped. A shape without area has no rings."""
 
-    def run(batches):
-        for part in batches:
-            out = []
-            for i, v in zip(part["idx"], part["rings"], strict=True):
-                old = R.to_rings(v)
-                bad = not all(K.is_valid(r) for r in old)
-                new = [np.round(np.round(r / snap) * snap, 9) for r in old] if snap else old
-                new = [r[np.any(r != np.roll(r, 1, axis=0), axis=1)] for r in new]
-                new = [r for r in new if len(r) >= 3]
-                moved = abs(sum(K.area([r]) for r in old) - sum(K.area([r]) for r in new)) > 1e-9
-                b = (*np.vstack(new).min(0), *np.vstack(new).max(0)) if new else (None,) * 4
-                out.append((i, R.from_rings(new), *b, bad, moved))
-            yield pd.DataFrame(out, columns=["idx", "rings", "x0", "y0", "x1", "y1", "invalid", "snapped"])
-
-    return R.dealt(shapes.select("idx", R.boxed("rings").alias("rings"))).mapInPandas(run, f"idx long, rings {R.RINGS}, x0 double, y0 double, x1 double, y1 double, invalid boolean, snapped boolean")
+    def look(part: pa.RecordBatch) -> list:
+        old = B.Shapes.of(part["rings"])
+        bad = np.bincount(old.owner()[~B.valid(old)], minlength=len(old)) > 0
+        new = B.without_repeats(B.Shapes(np.round(np.round(old.xy / snap) * snap, 9) if snap else old.xy, old.rings, old.shapes))
+        new = B.only(new, np.diff(new.rings) >= 3)
+        moved = np.abs(B.ring_areas(old) - B.ring_areas(new)) > 1e-9
+        at = np.flatnonzero(np.diff(new.shapes) > 0)
+        first = new.rings[new.shapes[at]]
+        box = np.full((len(new), 4), np.nan)
+        if len(at):
+            box[at] = np.column_stack([np.minimum.reduceat(new.xy, first), np.maximum.reduceat(new.xy, first)])
+        return [part["idx"], new.arrow(), *[pa.array(box[:, k], mask=np.isnan(box[:, k])) for k in range(4)], bad, moved]
+
+    return R.batched(R.dealt(shapes.select("idx", "rings")), look, f"idx long, rings {R.RINGS}, x0 double, y0 double, x1 double, y1 double, invalid boolean, snapped boolean")
 
 
 def overlay(shapes: DataFrame, tile: float) -> tuple[DataFrame, DataFrame]:
