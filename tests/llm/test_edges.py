@@ -53,6 +53,25 @@ def test_exact_keeps_any_columns(odd):
     assert got == sorted({(str(BIG + 1), TEXT), ("None", ROWS[1][1]), (str(BIG + 3), ROWS[2][1]), (str(BIG + 3), ROWS[3][1]), ("7", "")})
 
 
+def test_exact_exchanges_a_text_once(spark):
+    """Copies that differ in case give back the text of the row that stays, and texts cross the exchange once, not beside themselves."""
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefghijklmnopqrstABCDé ") for _ in range(3000)) for _ in range(300)] + ["Z", "Ab" + "x" * 300 + "C", "é" * 254 + "Q"]
+    rows = [(k, t) for k, t in enumerate(base)] + [(1000 + k, t.upper() if t.isascii() else t.translate({65: 97})) for k, t in enumerate(base)] + [(2000, "aB"), (2000, "Ab"), (3000, None), (3001, "")]
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = written()
+    got = {r.doc_id: r.text for r in exact_dedup.exact_dedup(df).collect()}
+    assert got == dict(enumerate(base)) | {2000: "Ab", 3000: None}
+    assert written() - before < 1.4 * sum(len((t or '').encode()) for _, t in rows)
+
+
 def test_repeated_ids_link_by_each_text(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "alone here now")]
