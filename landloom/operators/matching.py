@@ -28,7 +28,16 @@ def verdict(score: Column, iou: Column, least_iou: float = 0.55) -> Column:
 FAR_SCORE = 0.18 + 0.16 + 0.10
 
 
-def best_matches(legacy: DataFrame, candidates: DataFrame, far: float = 25.0, size: float = 32.0) -> DataFrame:
+#: Rows of one task before boxes are expanded to cells: a task's exchange holds some ten copies of each.
+TASK_ROWS = 50_000
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over tasks of about TASK_ROWS rows, to be merged, not broadcast: files of few bytes would give a task any number of rows, and each task the cells of all."""
+    return df.repartition(max(1, -(-df.count() // TASK_ROWS)), key).hint("merge")
+
+
+def best_matches(legacy: DataFrame, candidates: DataFrame, far: float = 25.0, size: float = 64.0) -> DataFrame:
     """The best candidate of each legacy box: a_ columns, b_ columns, iou, shift, likeness, outline, score, verdict.
 
     legacy has a_idx and box; candidates have b_order, b_distance (to the nearest survey point, may be null) and box.
@@ -63,7 +72,7 @@ def best_matches(legacy: DataFrame, candidates: DataFrame, far: float = 25.0, si
         return shaped.groupBy("a_idx").agg(F.max_by(F.struct(*own), F.struct("score", -F.col("b_order"))).alias("m"))
 
     legacy, candidates = cut(legacy), cut(candidates)  # both are read several times
-    near = cut(winners(grid_join(legacy, candidates, size, margin=far)))
+    near = cut(winners(grid_join(spread(legacy, "a_idx"), spread(candidates, "b_order"), size, margin=far)))
     weak = cut(legacy.join(near.filter(F.col("m.score") > FAR_SCORE), "a_idx", "left_anti").withColumn("a_area", G.box_area(a)))
     best = near
     if weak.limit(1).count():
@@ -72,7 +81,7 @@ def best_matches(legacy: DataFrame, candidates: DataFrame, far: float = 25.0, si
         alike = cut(weak.join(alike, "a_area"))
         alone = winners(alike.drop("a_area", "value").join(candidates, "b_order"))
         floor = alike.select("a_idx", F.col("value").alias("floor"))
-        reached = within_reach(weak.drop("a_area"), candidates, F.sqrt(G.box_area(a)), F.sqrt(G.box_area(b))).join(floor, "a_idx")
+        reached = within_reach(spread(weak.drop("a_area"), "a_idx"), spread(candidates, "b_order"), F.sqrt(G.box_area(a)), F.sqrt(G.box_area(b))).join(floor, "a_idx")
         best = near.union(cut(winners(reached, F.col("floor")))).union(cut(alone))
         best = best.groupBy("a_idx").agg(F.max_by("m", F.struct("m.score", -F.col("m.b_order"))).alias("m"))
     out = legacy.join(best, "a_idx", "left")

@@ -129,11 +129,15 @@ def nearest(left: DataFrame, points: DataFrame, size: float) -> DataFrame:
 
 
 def nearest_within(left: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """nearest() for the left rows that have a point within the radius; the others are left out. One equi-join on 3 x 3 cells."""
+    """nearest() for the left rows that have a point within the radius; the others are left out.
+
+    One equi-join on the cells that the radius touches, four times as large, so mostly one or two. The left side's files tell
+    nothing of its size in cells, so it is merged, not broadcast.
+    """
     x, y = F.col("a_x"), F.col("a_y")
-    probe = left.withColumn("_i", F.explode(F.array(*[F.lit(i) for i in range(9)])))
-    probe = probe.withColumn("_cx", _cell(x, radius) + F.col("_i") % 3 - 1).withColumn("_cy", _cell(y, radius) + F.floor(F.col("_i") / 3) - 1)
-    placed = points.withColumn("_cx", _cell(F.col("b_x"), radius)).withColumn("_cy", _cell(F.col("b_y"), radius))
+    reach = radius * (1 + 1e-9)  # the distance is rounded
+    probe = with_cells(left, radius * 4, (x, y, x, y), reach).hint("merge")
+    placed = points.withColumn("_cx", _cell(F.col("b_x"), radius * 4)).withColumn("_cy", _cell(F.col("b_y"), radius * 4))
     d = F.sqrt((x - F.col("b_x")) * (x - F.col("b_x")) + (y - F.col("b_y")) * (y - F.col("b_y")))
     hits = probe.join(placed, ["_cx", "_cy"]).withColumn("distance", d).filter(F.col("distance") <= radius)
     best = hits.groupBy(*left.columns).agg(F.min_by(F.struct(*points.columns, "distance"), F.struct("distance", "b_order")).alias("b"))
