@@ -8,9 +8,15 @@ faces that meet in them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 
+from landloom.functions import batch as B
+
 HAIR = 1e-7  # lengths below it are rounding
+SIDES = ("x0", "x1", "y0", "y1")
 
 
 class Sets:
@@ -227,3 +233,277 @@ def walked(edges: np.ndarray, plain: np.ndarray) -> list[np.ndarray]:
         if keep.sum() >= 3:
             rings.append(points[keep])
     return rings
+
+
+@dataclass
+class Arranged:
+    """What arrange() tells, of many tiles: the tile of each face, its cover (lists: where each starts among the keys) and area; tile, faces and
+    ends of the edges; tile, side (a place in SIDES), from, to and face of the pieces of the border. Faces are numbered anew in each tile."""
+
+    tile: np.ndarray
+    number: np.ndarray
+    cover: np.ndarray
+    starts: np.ndarray
+    area: np.ndarray
+    edges: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+    border: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def arranged(shapes: B.Shapes, keys: np.ndarray, tile: np.ndarray, boxes: np.ndarray) -> Iterator[Arranged]:
+    """arrange() for the shapes of many tiles (tile: of each shape, ascending; boxes: x0, y0, x1, y1 of each tile), in bounded memory: some tiles in one numpy pass, a crowded one by itself."""
+    first = np.searchsorted(tile, np.arange(len(boxes) + 1))
+    n = np.diff(shapes.rings[shapes.shapes[first]])
+    for lo, hi in B.parted(n * n):
+        some = np.arange(first[lo], first[hi])
+        own = shapes.take(some)
+        if hi - lo == 1 and n[lo] * n[lo] > 4 * B.PAIRS:
+            faces, edges, border = arrange(list(zip(keys[some].tolist(), B.unpacked(own), strict=True)), *boxes[lo].tolist())
+            e, s = np.array(edges, float).reshape(-1, 6), [SIDES.index(b[0]) for b in border]
+            at, ends = np.full(len(e), lo), np.array([b[1:3] for b in border], float).reshape(-1, 2)
+            cover = np.array([k for c, _ in faces for k in c], np.int64)
+            yield Arranged(np.full(len(faces), lo), np.arange(len(faces)), cover, B.offsets(np.array([len(c) for c, _ in faces], np.int64)), np.array([a for _, a in faces]), (at, e[:, 0].astype(np.int64), e[:, 1].astype(np.int64), e[:, 2:]), (np.full(len(border), lo), np.array(s, np.int64), ends, np.array([b[3] for b in border], np.int64)))
+        else:
+            yield together(own, keys[some], tile[some], boxes, np.arange(lo, hi))
+
+
+def met(s: np.ndarray, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """crossings() of segments sorted by tile, and their tile."""
+    count = np.searchsorted(tile, tile, "right") - np.arange(len(tile)) - 1
+    left, right, low, high = np.minimum(s[:, 0], s[:, 2]) - 1e-6, np.maximum(s[:, 0], s[:, 2]), s[:, 1] - 1e-6, s[:, 3]
+    d = s[:, 2:] - s[:, :2]
+    ys, whose = [np.zeros(0)], [np.zeros(0, tile.dtype)]
+    for lo, hi in B.parted(count):
+        i, j = np.repeat(np.arange(lo, hi), count[lo:hi]), B.spans(np.arange(lo, hi) + 1, count[lo:hi])
+        for a, b in ((low, high), (left, right)):
+            close = np.flatnonzero((a[i] <= b[j]) & (a[j] <= b[i]))
+            i, j = i[close], j[close]
+        (dx, dy), (fx, fy), (ex, ey) = d[i].T, d[j].T, (s[j, :2] - s[i, :2]).T
+        turn = dx * fy - dy * fx
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t, u = (ex * fy - ey * fx) / turn, (ex * dy - ey * dx) / turn
+        hit = (np.abs(turn) > 1e-12) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+        ys.append(s[i[hit], 1] + t[hit] * dy[hit])
+        whose.append(tile[i[hit]])
+    return np.concatenate(ys), np.concatenate(whose)
+
+
+def leading(key: np.ndarray) -> np.ndarray:
+    """Whether a sorted key differs from the one before."""
+    out = np.ones(len(key), bool)
+    out[1:] = key[1:] != key[:-1]
+    return out
+
+
+def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of the set of each of n members, of which some pairs are joined."""
+    label = np.arange(n)
+    while True:
+        p, q = label[a], label[b]
+        apart = p != q
+        if not apart.any():
+            return label
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def together(shapes: B.Shapes, keys: np.ndarray, tile: np.ndarray, boxes: np.ndarray, tiles: np.ndarray) -> Arranged:
+    """The passes of arrange() over all slabs of some tiles at once."""
+    points = np.diff(shapes.rings)
+    owner = np.repeat(shapes.owner(), points)
+    s, t = np.hstack([shapes.xy, shapes.xy[shapes.after()]]), tile[owner]
+    near = (np.minimum(s[:, 1], s[:, 3]) <= boxes[t, 3]) & (np.maximum(s[:, 1], s[:, 3]) >= boxes[t, 1])
+    s, owner, t = s[near], owner[near], t[near]
+    turn = (s[:, 3] < s[:, 1]) | (s[:, 3] == s[:, 1]) & (s[:, 2] < s[:, 0])
+    s[turn] = s[turn][:, [2, 3, 0, 1]]
+    within = (np.maximum(s[:, 0], s[:, 2]) >= boxes[t, 0]) & (np.minimum(s[:, 0], s[:, 2]) <= boxes[t, 2])
+    up = s[:, 3] - s[:, 1] > 0
+    steep, own, st = s[up], owner[up], t[up]
+    slope = (steep[:, 2] - steep[:, 0]) / (steep[:, 3] - steep[:, 1])
+    cy, ct = met(s[within], t[within])
+    ys, whose = [s[within, 1], s[within, 3], cy], [t[within], t[within], ct]
+    for k in (0, 2):
+        border = boxes[st, k]
+        over = np.flatnonzero((np.minimum(steep[:, 0], steep[:, 2]) < border) & (np.maximum(steep[:, 0], steep[:, 2]) > border))
+        ys.append(steep[over, 1] + (border[over] - steep[over, 0]) / slope[over])
+        whose.append(st[over])
+    ys, whose = np.concatenate(ys), np.concatenate(whose)
+    inner = (ys > boxes[whose, 1] + HAIR) & (ys < boxes[whose, 3] - HAIR)
+    ys, whose = ys[inner], whose[inner]
+    turn = np.lexsort((ys, whose))
+    ys, whose = ys[turn], whose[turn]
+    keep = leading(whose)
+    keep[1:] |= np.diff(ys) > HAIR
+    ys, whose = np.r_[boxes[tiles, 1], ys[keep], boxes[tiles, 3]], np.r_[tiles, whose[keep], tiles]
+    turn = np.argsort(whose, kind="stable")  # the foot of each tile, its heights and its head
+    ys, whose = ys[turn], whose[turn]
+    k = np.flatnonzero(whose[:-1] == whose[1:])
+    lo, hi, home = ys[k], ys[k + 1], whose[k]
+    mid, n, m = (lo + hi) / 2, len(k), len(steep)
+    x0, x1 = boxes[home, 0], boxes[home, 2]
+
+    # The lines of each slab, from left to right.
+    kind = np.r_[np.zeros(2 * m, np.int64), np.ones(n, np.int64)]
+    turn = np.lexsort((kind, np.r_[steep[:, 1], steep[:, 3], mid], np.r_[st, st, home]))
+    place = np.empty(len(kind), np.int64)
+    place[turn] = np.cumsum(kind[turn]) - kind[turn]
+    count = place[m : 2 * m] - place[:m]
+    line, slab = np.repeat(np.arange(m), count), B.spans(place[:m], count)
+    x = steep[line, 0] + (mid[slab] - steep[line, 1]) * slope[line]
+    turn = np.lexsort((line, x, slab))
+    line, slab, x = line[turn], slab[turn], x[turn]
+    start = leading(slab)
+    start[1:] |= np.diff(x) > HAIR
+    while True:  # lines no farther than a hair from the first of theirs are one
+        head = np.maximum.accumulate(np.where(start, np.arange(len(x)), 0))
+        far = np.flatnonzero(x - x[head] > HAIR)
+        if not len(far):
+            break
+        start[far[leading(head[far])]] = True
+
+    # Covers as bits, a word for 64 shapes of the tile.
+    local = np.arange(len(shapes)) - np.searchsorted(tile, tile)
+    words = int(local.max(initial=0)) // 64 + 1
+    bits = np.zeros((len(x) + 1, words), np.uint64)
+    on = np.flatnonzero(x[head] < x1[slab])
+    bit = local[own[line[on]]]
+    bits[on + 1, bit // 64] = np.uint64(1) << (bit % 64).astype(np.uint64)
+    bits = np.bitwise_xor.accumulate(bits, axis=0)
+    begin = np.searchsorted(slab, np.arange(n + 1))
+    heads = np.flatnonzero(start)
+    ends = np.r_[heads[1:], len(x)][: len(heads)]
+    c = heads[(bits[heads] != bits[ends]).any(1) & (x[heads] > x0[slab[heads]]) & (x[heads] < x1[slab[heads]])]
+
+    def at(lines: np.ndarray, y: np.ndarray) -> np.ndarray:
+        q = steep[lines]
+        x = q[:, 0] + (y - q[:, 1]) * slope[lines]
+        return np.where(np.abs(y - q[:, 1]) <= HAIR, q[:, 0], np.where(np.abs(y - q[:, 3]) <= HAIR, q[:, 2], x))
+
+    xa, xb = (at(line[c], y[slab[c]]).clip(x0[slab[c]], x1[slab[c]]) for y in (lo, hi))
+    while True:  # of those that can't be told from the one before, the first of each slab goes
+        prior = np.where(leading(slab[c]), x0[slab[c]], np.r_[0.0, (xa + xb)[:-1] / 2][: len(c)])
+        bad = np.flatnonzero(~(x[c] > prior + HAIR))
+        if not len(bad):
+            break
+        keep = np.ones(len(c), bool)
+        keep[bad[leading(slab[c[bad]])]] = False
+        c, xa, xb = c[keep], xa[keep], xb[keep]
+    cut = slab[c]
+
+    # Cells: what lies between two such lines of a slab, or a line and the border.
+    size = np.bincount(cut, minlength=n) + 1
+    of, before = np.repeat(np.arange(n), size), np.arange(len(c)) + cut
+    last = np.cumsum(size) - 1
+    head = np.r_[0, last[:-1] + 1][:n]
+    left, right = np.column_stack([x0[of]] * 2), np.column_stack([x1[of]] * 2)
+    left[before + 1] = right[before] = np.column_stack([xa, xb])
+    cover = np.empty((len(of), words), np.uint64)
+    cover[before], cover[last] = bits[c], bits[begin[1:]]
+    cover ^= bits[begin[of]]
+    area = (hi - lo)[of] * ((right[:, 0] - left[:, 0]) + (right[:, 1] - left[:, 1])) / 2
+
+    # Cells above each other.
+    top, foot = np.flatnonzero(np.r_[home[1:] == home[:-1], False][:n][of]), np.flatnonzero(np.r_[False, home[1:] == home[:-1]][:n][of])
+    above, below = of[top] + 1, of[foot]
+    rims = []
+    for rim, where in ((right[top, 1], above), (right[foot, 0], below)):
+        same = ~leading(where)[1:]
+        while (back := np.flatnonzero(same & (rim[1:] < rim[:-1]))).size:
+            rim[back + 1] = rim[back]
+        rims.append(rim)
+    kind, where = np.r_[np.ones(len(top), np.int64), np.zeros(len(foot), np.int64)], np.r_[above, below]
+    turn = np.lexsort((kind, np.concatenate(rims), where))
+    kind, where = kind[turn], where[turn]
+    i, j = np.cumsum(kind) - kind, np.cumsum(1 - kind) - (1 - kind)
+    some = (i < len(top)) & (j < len(foot))
+    i, j, where = i[some], j[some], where[some]
+    some = (above[i] == where) & (below[j] == where)
+    f, g = top[i[some]], foot[j[some]]
+    p, q = np.maximum(left[f, 1], left[g, 0]), np.minimum(right[f, 1], right[g, 0])
+    some = q - p > HAIR
+    f, g, p, q = f[some], g[some], p[some], q[some]
+    alike = (cover[f] == cover[g]).all(1)
+    roots, face = np.unique(components(len(of), f[alike], g[alike]), return_inverse=True)
+    lies = home[of[roots]]
+    number = np.arange(len(roots)) - np.searchsorted(lies, lies)
+
+    # Edges: pieces of one line with the same faces on both sides are one.
+    a, b = face[before], face[before + 1]
+    turn = np.lexsort((lo[cut], b, a, line[c]))
+    a, b, ln = a[turn], b[turn], line[c][turn]
+    piece = np.column_stack([xa, lo[cut], xb, hi[cut]])[turn]
+    new = leading(a) | leading(b) | leading(ln)
+    new[1:] |= piece[1:, 1] != piece[:-1, 3]
+    begins = np.flatnonzero(new)
+    closes = np.r_[begins[1:], len(new)][: len(begins)] - 1
+    sloped = np.hstack([piece[begins, :2], piece[closes, 2:]])
+    f, g, p, q = f[~alike], g[~alike], p[~alike], q[~alike]
+    level = lo[of[g]]
+    one, two = np.r_[a[begins], face[g]], np.r_[b[begins], face[f]]
+    edges = (lies[one], number[one], number[two], np.vstack([sloped, np.column_stack([p, level, q, level])]))
+
+    # Pieces of the border: those of one face that meet are one.
+    low, high = np.flatnonzero(leading(home)[of]), np.flatnonzero(np.r_[leading(home)[1:], True][:n][of])
+    low, high = low[right[low, 0] - left[low, 0] > HAIR], high[right[high, 1] - left[high, 1] > HAIR]
+    cell = np.r_[head, last, low, high]
+    side = np.repeat(np.arange(4), [n, n, len(low), len(high)])
+    span = np.vstack([np.column_stack([lo, hi]), np.column_stack([lo, hi]), np.column_stack([left[low, 0], right[low, 0]]), np.column_stack([left[high, 1], right[high, 1]])])
+    turn = np.lexsort((span[:, 0], side, home[of[cell]]))
+    cell, side, span = cell[turn], side[turn], span[turn]
+    own = face[cell]
+    new = leading(home[of[cell]]) | leading(side) | leading(own)
+    new[1:] |= np.abs(span[:-1, 1] - span[1:, 0]) > HAIR
+    begins = np.flatnonzero(new)
+    closes = np.r_[begins[1:], len(new)][: len(begins)] - 1
+    border = (lies[own[begins]], side[begins], np.column_stack([span[begins, 0], span[closes, 1]]), number[own[begins]])
+
+    whole = np.bincount(face, weights=area, minlength=len(roots))
+    who, bit = np.nonzero(np.unpackbits(cover[roots].astype("<u8").view(np.uint8), axis=1, bitorder="little"))
+    covering = keys[np.searchsorted(tile, lies)[who] + bit]
+    return Arranged(lies, number, covering, B.offsets(np.bincount(who, minlength=len(roots))), whole, edges, border)
+
+
+def rings_walked(key: np.ndarray, edges: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, B.Shapes]:
+    """walked() for the edges of many shapes, sorted by key and coordinates: the keys and their rings. A shape with a touching point is walked by itself."""
+    n = len(edges)
+    fresh = leading(key)
+    shape = np.cumsum(fresh) - 1
+    ends = np.vstack([np.column_stack([shape, edges[:, :2]]), np.column_stack([shape, edges[:, 2:]])])
+    order = np.lexsort((np.arange(2 * n), *ends.T[::-1]))  # an edge that begins in a point, then one that ends there
+    ends = ends[order]
+    new = np.ones(2 * n, bool)
+    new[1:] = (ends[1:] != ends[:-1]).any(1)
+    paired = (new & (order < n))[0::2] & (~new & (order >= n))[1::2]
+    simple = np.ones(int(shape[-1]) + 1 if n else 0, bool)
+    simple[shape[order[0::2] % n][~paired]] = simple[shape[order[1::2] % n][~paired]] = False
+    on = np.flatnonzero(paired & simple[shape[order[0::2] % n]])
+    follow = np.arange(n)
+    follow[order[2 * on + 1] - n] = order[2 * on]
+    mine = np.flatnonzero(simple[shape]) if n else np.arange(0)
+    head, far = np.arange(n), follow
+    while (head[far] < head).any() or (head[follow] < head).any():
+        head, far = np.minimum(head, head[far]), far[far]
+    place = np.zeros(n, np.int64)
+    first = mine[head[mine] == mine]
+    here, step = follow[first], 0
+    while len(here := here[here != head[here]]):
+        step += 1
+        place[here] = step
+        here = follow[here]
+    turn = mine[np.lexsort((place[mine], head[mine]))]
+    size = np.bincount(np.searchsorted(first, head[mine]), minlength=len(first))
+    rings = B.Shapes(edges[turn, :2], B.offsets(size), B.offsets(np.bincount(shape[first], minlength=len(simple))))
+    after = rings.after()
+    before = np.empty(len(turn), np.int64)
+    before[after] = np.arange(len(turn))
+    u, v = rings.xy - rings.xy[before], rings.xy[after] - rings.xy
+    keep = ~plain[turn] | (np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]) > 1e-6 * np.maximum(1e-9, np.hypot(*u.T) + np.hypot(*v.T))) | ((u * v).sum(1) < 0)
+    ring = np.repeat(np.arange(len(size)), size)
+    done = B.Shapes(rings.xy[keep], B.offsets(np.bincount(ring[keep], minlength=len(size))), rings.shapes)
+    done = B.only(done, np.diff(done.rings) >= 3)
+    bounds = np.r_[np.flatnonzero(fresh), n]
+    at = np.flatnonzero(~simple)
+    if len(at):
+        done = done.replaced(at, B.packed([walked(edges[bounds[k] : bounds[k + 1]], plain[bounds[k] : bounds[k + 1]]) for k in at]))
+    return key[bounds[:-1]], done

@@ -1,6 +1,6 @@
 """A land layer as shared edges: faces of all outlines, each with what covers it, and edges with a face on either side.
 
-The plane is cut at every outline, tile by tile (functions.arrangement), and tiles are sewn together along their borders by joins; from
+The plane is cut at every outline, some tiles in one pass (functions.arrangement), and tiles are sewn together along their borders by joins; from
 then on repair is relational and never touches a coordinate. A disputed face goes to the largest parcel that covers it; a sliver is
 contracted into the neighbour with the longest common edge, chains of slivers in one round; of a parcel in several parts the largest
 stays; what nothing covers is labelled across tiles, judged by whole parts, and closed. Outlines are walked from the edges between
@@ -13,10 +13,10 @@ tens of outlines.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,17 +29,12 @@ from landloom.operators.topology import upper_median
 
 EXTENT, EXCLUDED = -1, -2  # keys of the ground to be covered and of what is left out of it
 NOISE, MATERIAL, COMPACT = 0.05, 25.0, 25.0
+BEYOND = "coordinates or faces beyond the numbers of faces: choose a larger or a smaller tile"
 CREATED = 1 << 52  # added to a face's number it is the key of a record made from a gap
 ROW = "kind string, face long, cover array<long>, area double, other long, ax double, ay double, bx double, by double, line long, beside long"
 HALF = 1 << 17  # tiles on each side of the origin; 18 bits a direction and 16 for the faces of a tile, so a number is exact as a double too
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt by keys to as many tasks as the session has cores or shuffle partitions: a tile is much work in few bytes, so partitions aren't merged by size."""
-    spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
-
-
 def prepared(shapes: DataFrame, snap: float) -> DataFrame:
     """shapes (idx, rings) -> idx, rings on a grid (0: as they are), their box, invalid, snapped. A shape without area has no rings."""
 
@@ -64,21 +59,32 @@ def overlay(shapes: DataFrame, tile: float) -> tuple[DataFrame, DataFrame]:
     cells = lambda lo, hi: F.explode(F.sequence(*(F.floor(c / tile).cast("long") for c in (F.col(lo) - 1e-3, F.col(hi) + 1e-3))))
     placed = shapes.filter(F.size("rings") > 0).withColumn("tx", cells("x0", "x1")).withColumn("ty", cells("y0", "y1"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        tx, ty = int(part["tx"].iloc[0]), int(part["ty"].iloc[0])
-        part = part.sort_values("idx")
-        faces, edges, border = A.arrange([(int(i), R.to_rings(v)) for i, v in zip(part["idx"], part["rings"], strict=True)], tx * tile, ty * tile, (tx + 1) * tile, (ty + 1) * tile)
-        if not (-HALF <= tx < HALF and -HALF <= ty < HALF and len(faces) < 1 << 16):
-            raise ValueError("coordinates or faces beyond the numbers of faces: choose a larger or a smaller tile")
+    def look(part: pa.RecordBatch) -> Iterator[list]:
+        tx, ty = (part[c].to_numpy(zero_copy_only=False) for c in ("tx", "ty"))
+        if not (min(tx.min(), ty.min()) >= -HALF and max(tx.max(), ty.max()) < HALF):
+            raise ValueError(BEYOND)
+        begin = np.flatnonzero(A.leading(tx) | A.leading(ty))
+        number = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(tx)]))
+        tx, ty = tx[begin], ty[begin]
         first = (tx + HALF << 34) + (ty + HALF << 16)
-        at = lambda *v: [round(float(x), 6) + 0.0 for x in v]
-        rows = [("face", first + k, list(cover), float(area), None, *[None] * 4, None, None) for k, (cover, area) in enumerate(faces)]
-        rows += [("edge", first + f, None, None, first + g, *at(*e), None, None) for f, g, *e in edges]
-        where = {"x0": ("v high", tx, ty), "x1": ("v low", tx + 1, ty), "y0": ("h high", ty, tx), "y1": ("h low", ty + 1, tx)}
-        rows += [(where[s][0], first + f, None, None, None, *at(a, b), None, None, *where[s][1:]) for s, a, b, f in border]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in ROW.split(", ")])
-
-    out = cut(spread(placed.select("tx", "ty", "idx", R.boxed("rings").alias("rings")), "tx", "ty").groupBy("tx", "ty").applyInPandas(run, ROW))
+        at = lambda v: np.round(v, 6) + 0.0
+        for a in A.arranged(B.Shapes.of(part["rings"]), part["idx"].to_numpy(zero_copy_only=False), number, np.column_stack([tx * tile, ty * tile, (tx + 1) * tile, (ty + 1) * tile])):
+            if a.number.max(initial=0) >= 1 << 16:
+                raise ValueError(BEYOND)
+            (et, f, g, ends), (bt, side, span, h) = a.edges, a.border
+            counts = len(a.tile), len(et), len(bt)
+            void = [pa.nulls(n, pa.float64()) for n in counts]
+            none = [pa.nulls(n, pa.int64()) for n in counts]
+            kinds = np.r_[np.zeros(counts[0], np.int64), np.ones(counts[1], np.int64), 2 + side]
+            upright = side < 2
+            line, beside = np.where(upright, tx[bt], ty[bt]) + (side % 2), np.where(upright, ty[bt], tx[bt])
+            column = lambda *parts: pa.concat_arrays([p if isinstance(p, pa.Array) else pa.array(p) for p in parts])
+            covers = column(pa.ListArray.from_arrays(pa.array(a.starts, pa.int32()), pa.array(a.cover, pa.int64())), pa.nulls(counts[1] + counts[2], pa.list_(pa.int64())))
+            kind = pa.array(["face", "edge", "v high", "v low", "h high", "h low"]).take(pa.array(kinds))
+            ends = [column(void[0], at(ends[:, k]), at(span[:, k]) if k < 2 else void[2]) for k in range(4)]
+            yield [kind, column(first[a.tile] + a.number, first[et] + f, first[bt] + h), covers, column(a.area, *void[1:]), column(none[0], first[et] + g, none[2]), *ends, *[column(*none[:2], v) for v in (line, beside)]]
+
+    out = cut(R.grouped(placed.select("tx", "ty", "idx", "rings"), ["tx", "ty"], look, ROW, "idx"))
     edges = out.filter("kind = 'edge'").select(F.col("face").alias("left"), F.col("other").alias("right"), "ax", "ay", "bx", "by")
     lo, hi, spot = F.greatest("a0", "b0"), F.least("a1", "b1"), F.round(F.col("line") * tile, 6)
     for way in "vh":
@@ -187,14 +193,11 @@ def parts_of(faces: DataFrame, edges: DataFrame, label: str, large: bool = False
         named = R.groups(met.select("a", "b")).select(F.col("node").alias("face"), F.col("label").alias("part"))
     else:
 
-        def joined(part: pd.DataFrame) -> pd.DataFrame:
-            nodes, at = np.unique(part[["a", "b"]].to_numpy(), return_inverse=True)
-            sets = A.Sets(len(nodes))
-            for i, j in at.reshape(-1, 2).tolist():
-                sets.join(i, j)
-            return pd.DataFrame({"face": nodes, "part": nodes[[sets.find(i) for i in range(len(nodes))]]})
+        def joined(part: pa.RecordBatch) -> Iterator[list]:
+            nodes, at = np.unique(np.column_stack([part["a"].to_numpy(), part["b"].to_numpy()]), return_inverse=True)
+            yield [nodes, nodes[A.components(len(nodes), *at.reshape(-1, 2).T)]]
 
-        named = met.groupBy("l").applyInPandas(joined, "face long, part long")
+        named = R.grouped(met, ["l"], joined, "face long, part long")
     return faces.filter(F.col(label).isNotNull()).select("face").join(named, "face", "left").select("face", F.coalesce("part", "face").alias("part"))
 
 
@@ -224,12 +227,12 @@ class Layer:
         two = lined.filter("b IS NOT NULL").select(F.col("b").alias("idx"), F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("ax").alias("bx"), F.col("ay").alias("by"))
         directed = one.union(two).join(plain, ["ax", "ay"], "left").select("idx", "ax", "ay", "bx", "by", F.coalesce("plain", F.lit(False)).alias("plain"))
 
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values(["ax", "ay", "bx", "by"])
-            rings = A.walked(part[["ax", "ay", "bx", "by"]].to_numpy(), part["plain"].to_numpy(bool))
-            return pd.DataFrame([(int(part["idx"].iloc[0]), R.from_rings(rings))], columns=["idx", "rings"])
+        def look(part: pa.RecordBatch) -> Iterator[list]:
+            of = lambda c: part[c].to_numpy(zero_copy_only=False)
+            idx, rings = A.rings_walked(of("idx"), np.column_stack([of(c) for c in ("ax", "ay", "bx", "by")]), of("plain").astype(bool))
+            yield [idx, rings.arrow()]
 
-        return spread(directed, "idx").groupBy("idx").applyInPandas(run, f"idx long, rings {R.RINGS}")
+        return R.grouped(directed, ["idx"], look, f"idx long, rings {R.RINGS}", "ax", "ay", "bx", "by")
 
 
 def gap_parts(faces: DataFrame, edges: DataFrame, floor: float = 0.0) -> DataFrame:

@@ -54,6 +54,35 @@ def batched(df: DataFrame, look: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def grouped(df: DataFrame, keys: list[str], look: Callable, schema: str, *order: str) -> DataFrame:
+    """batched() over df dealt and sorted by keys (whole numbers) and then an order, so that the rows of a key lie in one batch; a batch has some keys."""
+
+    def whole(batches):
+        held: list[pa.RecordBatch] = []  # rows of one key, of which more may come
+        for part in batches:
+            if not part.num_rows:
+                continue
+            other = np.zeros(part.num_rows, bool)
+            for k in keys:
+                v = part[k].to_numpy(zero_copy_only=False)
+                other |= v != v[-1]
+            last = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+            done = [*held, part.slice(0, last)] if last else held if held and any(held[0][k][0] != part[k][0] for k in keys) else []
+            if done:
+                yield pa.concat_batches(done)
+                held = []
+            held.append(part.slice(last))
+        if held:
+            yield pa.concat_batches(held)
+
+    def run(batches):
+        for part in whole(batches):
+            yield from (pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names) for columns in look(part))
+
+    names = [c.split()[0].strip("`") for c in re.split(r",\s*(?![^<]*>)", schema)]
+    return dealt(df, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def members(column: pa.Array) -> tuple[B.Shapes, np.ndarray]:
     """The shapes of a column of lists of (ord, rings), and the row of each."""
     n = B.lengths(column)
@@ -196,9 +225,9 @@ def close_pairs(shapes: dict[int, list[np.ndarray]]):
         open_.append(i)
 
 
-def dealt(shapes: DataFrame) -> DataFrame:
-    """Shapes dealt to all cores: the work is in each shape, so partitions aren't merged by their few bytes."""
-    return shapes.repartition(max(shapes.sparkSession.sparkContext.defaultParallelism, int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "idx")
+def dealt(shapes: DataFrame, *keys: str) -> DataFrame:
+    """Shapes dealt to all cores, by idx or other keys: the work is in each shape, so partitions aren't merged by their few bytes."""
+    return shapes.repartition(max(shapes.sparkSession.sparkContext.defaultParallelism, int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *(keys or ("idx",)))
 
 
 def with_box(shapes: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from landloom.functions import arrangement as A
+from landloom.functions import batch as B
 from landloom.functions import kernel as K
 from landloom.operators import layer as L
 from landloom.operators import repair as R
@@ -140,3 +141,77 @@ def test_gaps_by_parts(spark, tile):
 def test_empty(spark):
     out = L.planar_layer(spark.createDataFrame([], f"idx long, rings {R.RINGS}"))
     assert out.areas().count() == 0 and out.outlines().count() == 0 and out.log["converged"]
+
+
+def crowd(seed):
+    """Boxes, boxes with holes and bow ties, by seed turned or with corners on a grid that many share."""
+    rng, out = np.random.default_rng(seed), []
+    for k in range(seed * 7 % 25 if seed != 50 else 90):
+        (x, y), (w, h) = rng.uniform(-20, 90, 2), rng.uniform(1, 30, 2)
+        if seed % 2:
+            x, y, w, h = round(x / 2) * 2, round(y / 2) * 2, round(w / 2) * 2 + 2, round(h / 2) * 2 + 2
+        rings = [box(x, y, x + w, y + h)]
+        if k % 3 == 2:
+            rings.append(box(x + w * 0.4, y + h * 0.4, x + w * 0.6, y + h * 0.6)[::-1])
+        out.append(turned([rings[0][[0, 2, 1, 3]]] if k % 5 == 4 else rings, 0.3 if seed % 3 else 0.0))
+    return out
+
+
+@pytest.mark.parametrize("most", [2_000_000, 5_000])
+def test_tiles_together_as_alone(monkeypatch, most):
+    """Many tiles in one pass, some of them in parts or crowded, give each tile's faces, edges and border bit by bit."""
+    monkeypatch.setattr(B, "PAIRS", most)
+    monkeypatch.setattr(B.parted, "__defaults__", (most,))
+    towns = [crowd(k) for k in range(60)]
+    tile = np.repeat(np.arange(60), [len(t) for t in towns])
+    keys = 1000 * tile + np.arange(len(tile))
+    faces, edges, border = ([[] for _ in towns] for _ in range(3))
+    for a in A.arranged(B.packed([s for t in towns for s in t]), keys, tile, np.tile([0.0, 0.0, 64.0, 64.0], (60, 1))):
+        for i, t in enumerate(a.tile.tolist()):
+            faces[t].append((int(a.number[i]), tuple(a.cover[a.starts[i] : a.starts[i + 1]].tolist()), float(a.area[i])))
+        for t, f, g, e in zip(*a.edges, strict=True):
+            edges[t].append((int(f), int(g), *e.tolist()))
+        for t, s, e, f in zip(*a.border, strict=True):
+            border[t].append((A.SIDES[s], *e.tolist(), int(f)))
+    for t, shapes in enumerate(towns):
+        alone = A.arrange(list(zip(keys[tile == t].tolist(), shapes, strict=True)), 0.0, 0.0, 64.0, 64.0)
+        assert sorted(faces[t]) == [(k, c, float(a)) for k, (c, a) in enumerate(alone[0])]
+        assert sorted(edges[t]) == sorted((f, g, *map(float, e)) for f, g, *e in alone[1])
+        assert sorted(border[t]) == sorted((s, float(a), float(b), f) for s, a, b, f in alone[2])
+
+
+def test_outlines_together_as_alone():
+    """Outlines of cells taken at random: holes, touching points and, in some, an edge that is missing."""
+    rng, key, edges = np.random.default_rng(1), [], []
+    for k in range(120):
+        on = np.pad(rng.random((6, 6)) < (0.5 if k % 2 else 0.9), 1)
+        mine = []
+        for i, j in zip(*np.nonzero(on), strict=True):
+            for (u, v), e in {(0, -1): (i, j, i + 1, j), (1, 0): (i + 1, j, i + 1, j + 1), (0, 1): (i + 1, j + 1, i, j + 1), (-1, 0): (i, j + 1, i, j)}.items():
+                if not on[i + u, j + v]:
+                    mine.append(e)
+        mine = sorted(mine)[: -1 if k % 7 == 3 else None]
+        key += [3 * k] * len(mine)
+        edges += mine
+    key, edges, plain = np.array(key), np.array(edges, float), rng.random(len(key)) < 0.7
+    keys, rings = A.rings_walked(key, edges, plain)
+    assert keys.tolist() == sorted(set(key.tolist()))
+    for k, mine in zip(keys, B.unpacked(rings), strict=True):
+        alone = A.walked(edges[key == k], plain[key == k])
+        assert len(alone) == len(mine) and all(np.array_equal(a, b) for a, b in zip(alone, mine, strict=True))
+
+
+def test_keys_stay_whole(spark):
+    """Rows of a key come together whatever the batches of Arrow."""
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(300).selectExpr("id", "cast(sqrt(id) as long) as k")
+
+        def look(part):
+            k, n = np.unique(part["k"].to_numpy(), return_counts=True)
+            yield [k, n]
+
+        assert sorted(map(tuple, R.grouped(df, ["k"], look, "k long, n long", "id").collect())) == [(k, min(2 * k + 1, 300 - k * k)) for k in range(18)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
