@@ -1,14 +1,14 @@
 """Geometry that needs the general kernel: conflation, subtraction, planarising, georeferencing.
 
 Outlines are arrays of rings of points (x, y). Parcels that dispute area form components, found by a
-grid join and settled one component a group; a component is a set of parcels that overlap each other, not
+grid join and settled some whole components at a time; a component is a set of parcels that overlap each other, not
 a whole layer, for touching is no dispute.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -169,7 +169,8 @@ def planarise(parcels: DataFrame, size: float = 32.0, passes: int = 12) -> DataF
 
     Invalid outlines are repaired; then, in each component of disputes, the largest dispute is settled first and the
     smaller parcel (the first of the pair on ties) gives up the common area, until none is left or after some passes.
-    A parcel of which no more than noise is left is emptied. settled is false where the passes did not suffice.
+    A parcel of which no more than noise is left is emptied. settled is false where the passes did not suffice. Outlines only shrink, so the
+    disputes of a pass are among the first ones; those that share no parcel are settled at once, whatever their component.
     """
     fixed = cut(valid_rings(dealt(parcels.select("idx", "rings"))))
     bounds = F.col("ring")
@@ -184,45 +185,58 @@ def planarise(parcels: DataFrame, size: float = 32.0, passes: int = 12) -> DataF
     edges = cut(batched(near.select("a_idx", "b_idx", "a_rings", "b_rings"), disputed, "a long, b long"))
     member = groups(edges)
 
-    def settle(part: pd.DataFrame) -> pd.DataFrame:
-        shapes = {int(i): to_rings(v) for i, v in zip(part["idx"], part["rings"], strict=True)}
-        area = dict(zip(shapes, B.area(B.packed(list(shapes.values()))).tolist(), strict=True))
-        first, resolved, calm = dict(area), dict.fromkeys(shapes, 0), False
-        fresh = set(shapes)  # only pairs with a shape that has changed are looked at again
-        for _ in range(passes):
-            close = [(a, b) for a, b in close_pairs(shapes) if a in fresh or b in fresh]
-            common = B.areas(B.packed([shapes[a] for a, _ in close]), B.packed([shapes[b] for _, b in close]), B.BOTH)[0].tolist()
-            pairs = sorted(((s, a, b) for s, (a, b) in zip(common, close, strict=True) if s > NOISE), key=lambda p: (-p[0], p[1], p[2]))
-            calm, fresh = not pairs, set()
-            if calm:
-                break
-            for _, a, b in pairs:
-                loser, winner = (a, b) if area[a] <= area[b] else (b, a)
-                if not shapes[loser] or not shapes[winner] or B.areas(B.packed([shapes[loser]]), B.packed([shapes[winner]]), B.BOTH)[0][0] <= 0:
-                    continue
-                left = B.overlay(B.packed([shapes[loser]]), B.packed([shapes[winner]]), B.FIRST)
-                left = B.only(left, B.area(left.single()) > HAIR)
-                rest, size = B.unpacked(left)[0], float(B.area(left)[0])
-                # What is left of a parcel that its neighbour covers is noise: it was a duplicate.
-                shapes[loser], area[loser] = (rest, size) if size > NOISE else ([], 0.0)
-                resolved[winner] += 1
-                fresh.add(loser)
-        return pd.DataFrame([(i, from_rings(shapes[i]), first[i] - area[i], resolved[i], calm) for i in sorted(shapes)], columns=["idx", "rings", "lost", "resolved", "settled"])
-
+    foes = edges.groupBy(F.col("a").alias("idx")).agg(F.collect_list("b").alias("foes"))
     joined = fixed.join(member.withColumnRenamed("node", "idx"), "idx", "left")
-    quiet = joined.filter("label IS NULL").select("idx", "rings", F.lit(0.0).alias("lost"), F.lit(0).alias("resolved"), F.lit(True).alias("settled"), "repaired")
-    settled = joined.filter("label IS NOT NULL").withColumn("rings", boxed("rings")).groupBy("label").applyInPandas(settle, f"idx long, rings {RINGS}, lost double, resolved int, settled boolean")
-    return settled.join(fixed.select("idx", "repaired"), "idx").unionByName(quiet).select("idx", "rings", "repaired", "lost", "resolved", "settled")
-
-
-def close_pairs(shapes: dict[int, list[np.ndarray]]):
-    """Pairs (a < b) of shapes whose boxes meet, by a sweep from left to right."""
-    box = {i: (*np.vstack(r).min(0), *np.vstack(r).max(0)) for i, r in shapes.items() if r}
-    open_: list[int] = []
-    for i in sorted(box, key=lambda k: box[k][0]):
-        open_ = [j for j in open_ if box[j][2] > box[i][0]]
-        yield from ((min(i, j), max(i, j)) for j in open_ if box[j][1] < box[i][3] and box[j][3] > box[i][1])
-        open_.append(i)
+    quiet = joined.filter("label IS NULL").select("idx", "rings", "repaired", F.lit(0.0).alias("lost"), F.lit(0).alias("resolved"), F.lit(True).alias("settled"))
+    members = joined.filter("label IS NOT NULL").join(foes, "idx", "left").select("label", "idx", "rings", "repaired", F.coalesce("foes", F.array().cast("array<long>")).alias("foes"))
+    return grouped(members, ["label"], lambda part: settle(part, passes), f"idx long, rings {RINGS}, repaired boolean, lost double, resolved int, settled boolean", "idx").unionByName(quiet)
+
+
+def settle(part: pa.RecordBatch, passes: int) -> Iterator[list]:
+    """Whole components (label, idx, rings, repaired, foes: the idx of later parcels in dispute) -> idx, rings, repaired, lost, resolved, settled."""
+    idx, label = (part[c].to_numpy(zero_copy_only=False) for c in ("idx", "label"))
+    rings = B.Shapes.of(part["rings"])
+    area, shapes = B.area(rings), B.unpacked(rings)
+    first, resolved, calm = area.copy(), np.zeros(len(idx), np.int32), np.ones(len(idx), bool)
+    by = np.argsort(idx)
+    one = np.repeat(np.arange(len(idx)), B.lengths(part["foes"]))
+    two = by[np.searchsorted(idx[by], part["foes"].flatten().to_numpy())]
+    some = lambda which: B.packed([shapes[i] for i in which])
+    fresh = np.ones(len(idx), bool)  # only pairs with a shape that has changed are looked at again
+    for _ in range(passes):
+        close = np.flatnonzero(fresh[one] | fresh[two])
+        a, b = one[close], two[close]
+        common = B.areas(some(a), some(b), B.BOTH)[0]
+        much = common > NOISE
+        a, b, common = a[much], b[much], common[much]
+        calm, fresh = ~np.isin(label, label[a]), np.zeros(len(idx), bool)
+        if calm.all():
+            break
+        order = np.lexsort((idx[b], idx[a], -common))
+        a, b = a[order], b[order]
+        for at in waves(a, b):
+            lost = area[a[at]] <= area[b[at]]
+            loser, winner = np.where(lost, a[at], b[at]), np.where(lost, b[at], a[at])
+            meet = B.areas(some(loser), some(winner), B.BOTH)[0] > 0
+            loser, winner = loser[meet], winner[meet]
+            left = B.overlay(some(loser), some(winner), B.FIRST)
+            left = B.only(left, B.area(left.single()) > HAIR)
+            # What is left of a parcel that its neighbour covers is noise: it was a duplicate.
+            for i, rest, size in zip(loser.tolist(), B.unpacked(left), B.area(left).tolist(), strict=True):
+                shapes[i], area[i] = (rest, size) if size > NOISE else ([], 0.0)
+            resolved[winner] += 1
+            fresh[loser] = True
+    yield [part["idx"], B.packed(shapes).arrow(), part["repaired"], first - area, resolved, calm]
+
+
+def waves(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Pairs (a, b) in turn, as lists of places: pairs of one list have no member in common, and of two pairs that have, the first lies in an earlier list."""
+    last: dict[int, int] = {}
+    turn = np.empty(len(a), np.int64)
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        turn[k] = last[i] = last[j] = max(last.get(i, -1), last.get(j, -1)) + 1
+    order = np.argsort(turn, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(turn[order])) + 1) if len(a) else []
 
 
 def dealt(shapes: DataFrame, *keys: str) -> DataFrame:

@@ -6,9 +6,11 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from landloom.functions import batch as B
 from landloom.functions import kernel as K
 from landloom.operators import repair as R
 from landloom.operators import spatial as S
@@ -80,6 +82,46 @@ def test_planarise(spark):
     assert R.planarise(rings_df(spark, [])).count() == 0
 
 
+def in_turn(shapes, passes):
+    """Disputes of one component settled one after the other, largest first: shapes, disputes won, whether none is left."""
+    common = lambda i, j: B.areas(B.packed([shapes[i]]), B.packed([shapes[j]]), B.BOTH)[0][0]
+    shapes, size, won = dict(shapes), {i: B.area(B.packed([r]))[0] for i, r in shapes.items()}, dict.fromkeys(shapes, 0)
+    for _ in range(passes):
+        pairs = sorted((-s, i, j) for i in shapes for j in shapes if i < j and (s := common(i, j)) > R.NOISE)
+        if not pairs:
+            return shapes, won, True
+        for _, i, j in pairs:
+            loser, winner = (i, j) if size[i] <= size[j] else (j, i)
+            if common(loser, winner) > 0:
+                left = B.overlay(B.packed([shapes[loser]]), B.packed([shapes[winner]]), B.FIRST)
+                left = B.only(left, B.area(left.single()) > R.HAIR)
+                size[loser] = float(B.area(left)[0])
+                shapes[loser] = B.unpacked(left)[0] if size[loser] > R.NOISE else []
+                won[winner] += 1
+    return shapes, won, False
+
+
+@pytest.mark.parametrize("passes", [1, 12])
+def test_components_together_as_alone(passes, monkeypatch):
+    """Many components in one batch end as each by itself, bit by bit, with few overlays."""
+    rng, rows, alone = np.random.default_rng(4), [], {}
+    for label in range(12):
+        turn = np.array([[np.cos(label), -np.sin(label)], [np.sin(label), np.cos(label)]])
+        shapes = {100 * label + k: [(SQUARE * rng.uniform(0.5, 3, 2) + rng.uniform(0, 12, 2)) @ turn.T] for k in range(9)}
+        shapes[100 * label + 9] = shapes[100 * label]  # a copy
+        foes = {i: [j for j in shapes if i < j and B.areas(B.packed([shapes[i]]), B.packed([shapes[j]]), B.BOTH)[0][0] > R.NOISE] for i in shapes}
+        rows += [(label, i, r, foes[i]) for i, r in shapes.items()]
+        alone[label] = in_turn(shapes, passes)
+    part = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), B.packed([r[2] for r in rows]).arrow(), pa.array([False] * len(rows)), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["label", "idx", "rings", "repaired", "foes"])
+    calls, plain = [], B.overlay
+    monkeypatch.setattr(B, "overlay", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    (idx, rings, _, _, won, calm) = next(R.settle(part, passes))
+    assert len(calls) < sum(sum(w.values()) for _, w, _ in alone.values()) / 4
+    for i, r, w, c in zip(idx.to_pylist(), B.unpacked(B.Shapes.of(rings)), won.tolist(), calm.tolist(), strict=True):
+        shapes, most, settled = alone[i // 100]
+        assert len(r) == len(shapes[i]) and all(np.array_equal(p, q) for p, q in zip(r, shapes[i], strict=True)) and (w, c) == (most[i], settled)
+
+
 def test_conflate_in_order(spark):
     parcels = rings_df(spark, [(0, [SQUARE]), (1, [SQUARE + 100])])
     own = [(0, 1, SQUARE * 0.5 + [2.8, 1]), (0, 2, SQUARE * 0.5 + [1, 1]), (0, 3, SQUARE + [3, 3])]
