@@ -288,7 +288,7 @@ def georeference(points: DataFrame, smoothing: float = 0.01) -> DataFrame:
         return pd.DataFrame([(name, "SUCCESS", len(ties), off.mean(), off.max(), float(np.sqrt((((t - s) ** 2).sum(1)).mean())))], columns=cols)
 
     cols = ["sheet", "status", "points", "mean_error", "largest_error", "baseline"]
-    return points.groupBy("sheet").applyInPandas(fit, "sheet string, status string, points int, mean_error double, largest_error double, baseline double")
+    return dealt(points, "sheet").groupBy("sheet").applyInPandas(fit, "sheet string, status string, points int, mean_error double, largest_error double, baseline double")
 
 
 def gaps(parcels: DataFrame, extent: tuple[float, float, float, float], tile: float = 128.0, ignore: float = 0.05, material: float = 25.0, exclusions: DataFrame | None = None) -> DataFrame:

@@ -62,6 +62,29 @@ def test_spline():
         K.thin_plate(s[:3], t[:3])
 
 
+@pytest.mark.parametrize("held", [0, 1 << 24])
+def test_spline_of_many_points(monkeypatch, held):
+    """Without its system a spline is the same: of random points with noise, and of a strip of columns."""
+    rng = np.random.default_rng(0)
+    s = rng.uniform(0, 1000, (900, 2))
+    u = np.arange(900) * 5
+    t = np.column_stack([(u % 40) * 26.0 + u % 7 * 0.125, u // 40 * 22.0 + u % 3 * 0.125])
+    strip = np.column_stack([t[:, 0] * 0.999 - t[:, 1] * 0.01 + np.sin(t[:, 1] / 50) * 0.3, t[:, 1] * 1.001 + t[:, 0] * 0.01])
+    line = np.column_stack([np.arange(900.0), np.arange(900.0) * 2])
+    for a, b in ((s, s * 1.01 + rng.normal(0, 0.3, (900, 2))), (strip, t)):
+        monkeypatch.setattr(K, "DENSE", 3000)
+        off = K.thin_plate(a, b)[1](a) - b
+        monkeypatch.setattr(K, "DENSE", 100)
+        monkeypatch.setattr(K, "HELD", held)
+        solve, sizes = np.linalg.solve, []
+        monkeypatch.setattr(np.linalg, "solve", lambda m, v: sizes.append(len(m)) or solve(m, v))  # noqa: B023
+        assert np.allclose(K.thin_plate(a, b)[1](a) - b, off, atol=1e-7, rtol=0)
+        assert max(sizes) <= 2 * K.LEAF
+        monkeypatch.setattr(np.linalg, "solve", solve)
+    with pytest.raises(np.linalg.LinAlgError):
+        K.thin_plate(line, line)
+
+
 def rings_df(spark, rows):
     pts = [(i, [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]) for i, rings in rows]
     return spark.createDataFrame(pts, f"idx long, rings {R.RINGS}")
